@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from palisade.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
+from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
 
 
 def queries() -> dict:
     return {
+        "op3_source_mixing": op3_source_mixing,
+        "op5_secret_scan": op5_secret_scan,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op3_source_mixing": OP3_SQL,
+        "op5_secret_scan": OP5_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
