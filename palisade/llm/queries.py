@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from palisade.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from palisade.llm.packing import op4_best_fit_packing
 from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
 from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
 
@@ -10,6 +11,7 @@ from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
 def queries() -> dict:
     return {
         "op3_source_mixing": op3_source_mixing,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
         "op8_exact_dedup": op8_exact_dedup,
     }
