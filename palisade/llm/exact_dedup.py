@@ -25,6 +25,16 @@ def _sorted_names(df: DataFrame, *keys: str) -> DataFrame:
     return distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
+def _sorted_block_names(blocks: DataFrame) -> DataFrame:
+    """As _sorted_names() for ``block``, with its fingerprint; the order is by first characters, fingerprint, block.
+
+    The ranges are drawn by the short parts of that key, so the samples that Spark sends to the driver hold no whole blocks.
+    """
+    distinct = _fingerprint(blocks.select("block").distinct(), "block").withColumn("head", F.substring("block", 1, 8))
+    ranged = distinct.repartitionByRange("head", "fp_a").sortWithinPartitions("head", "fp_a", "block")
+    return ranged.withColumn("name", F.monotonically_increasing_id())
+
+
 def _fingerprint(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({"fp_a": F.xxhash64(column), "fp_b": F.xxhash64(F.lit(7), F.reverse(column))})
 
@@ -35,14 +45,14 @@ def block_names(docs: DataFrame, id_col: str, text_col: str, block_chars: int =
     cut = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     parts = text.withColumn("parts", F.when(F.col("t") == "", F.array(F.lit(""))).otherwise(cut))
     blocks = parts.select(F.explode("parts").alias("block"))
-    names = materialize(_fingerprint(_sorted_names(blocks, "block"), "block").drop("block"), "block-names")
+    names = materialize(_sorted_block_names(blocks).select("fp_a", "fp_b", "name"), "block-names")
     seen = names.agg(F.count("*").alias("n"), F.count_distinct("fp_a", "fp_b").alias("d")).first()
     placed = parts.select("id", F.sha2("t", 256).alias("sha"), F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "block"))
     if seen["n"] == seen["d"]:
         named = _fingerprint(placed, "block").drop("block").join(names, ["fp_a", "fp_b"])
     else:
         discard(names)
-        names = materialize(_sorted_names(blocks, "block"), "block-names")
+        names = materialize(_sorted_block_names(blocks).select("block", "name"), "block-names")
         named = placed.join(names, ["block"])
     out = materialize(named.groupBy("id", "sha", "n", "pos", "name").agg(F.count("*").alias("m")), "block-places")
     discard(names)
