@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from palisade.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from palisade.llm.language_id import op7_language_id
 from palisade.llm.packing import op4_best_fit_packing
 from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
 from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op3_source_mixing": op3_source_mixing,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
+        "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
