@@ -7,6 +7,7 @@ from palisade.llm.language_id import op7_language_id
 from palisade.llm.packing import op4_best_fit_packing
 from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
 from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
+from palisade.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op3_source_mixing": op3_source_mixing,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
+        "op6_toxicity": op6_toxicity,
         "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
     }
