@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palisade.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from palisade.llm.language_id import op7_language_id
+from palisade.llm.ngram_join import op10_ngram_join
 from palisade.llm.packing import op4_best_fit_packing
 from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
 from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
