@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ GROUP = 2048
 #: Rounds of exchange at most. Each leaves about one sequence in GROUP / 5 to the next.
 ROUNDS = 8
 #: Entries of each of a worker's two caches of token ids, which are emptied when full.
-CACHE = 300_000
+CACHE = 500_000
 
 
 class _Words(dict):
@@ -41,6 +42,7 @@ class _Words(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.plain = regex.compile(r"[\x21-\x7EÀ-ÿ]*").fullmatch
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,7 +51,10 @@ class _Words(dict):
         self.parts: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if "<|" in chunk or not self.plain(chunk):
+        if chunk.isascii() and chunk.isalpha():
+            part = chunk.lower()
+            ids = self.parts.get(part) or self._part(part)
+        elif "<|" in chunk or not self.plain(chunk):
             ids = self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         else:
             ids = b"".join([self.parts.get(p) or self._part(p) for p in self.split(chunk.lower())])
@@ -60,7 +65,8 @@ class _Words(dict):
         return ids
 
     def _part(self, part: str) -> bytes:
-        ids = self._packed([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin1").translate(self.shown))])
+        shown = part if part.isascii() else part.encode().decode("latin1").translate(self.shown)
+        ids = self._packed([t.id for t in self.tokenize(shown)])
         if len(self.parts) >= CACHE:
             self.parts.clear()
         self.parts[part] = ids
@@ -68,13 +74,16 @@ class _Words(dict):
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         for blank in "\n\t\r":
-            text = text.replace(blank, " ")
+            if blank in text:
+                text = text.replace(blank, " ")
+        if text.isascii():
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
