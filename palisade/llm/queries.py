@@ -8,6 +8,7 @@ from palisade.llm.ngram_join import op10_ngram_join
 from palisade.llm.packing import op4_best_fit_packing
 from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
 from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
+from palisade.llm.suffix_dedup import op9_suffix_dedup
 from palisade.llm.toxicity import op6_toxicity
 
 
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_ngram_join": op10_ngram_join,
     }
 
