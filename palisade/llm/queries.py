@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from palisade.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from palisade.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from palisade.llm.language_id import op7_language_id
+from palisade.llm.line_dedup import OP1_SQL, op1_line_dedup
 from palisade.llm.ngram_join import op10_ngram_join
 from palisade.llm.packing import op4_best_fit_packing
 from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
@@ -14,6 +16,8 @@ from palisade.llm.toxicity import op6_toxicity
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
@@ -27,6 +31,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_line_dedup": OP1_SQL,
+        "op2_embedding_dedup": OP2_SQL,
         "op3_source_mixing": OP3_SQL,
         "op5_secret_scan": OP5_SQL,
         "op8_exact_dedup": OP8_SQL,
