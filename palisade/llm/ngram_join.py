@@ -30,6 +30,8 @@ WORDS = 5
 THRESHOLD = 75
 #: A token is rare if at most so many classes have it in their prefixes.
 RARE = 24
+#: Classes of a frequent token that are compared at once.
+CHUNK = 512
 #: Tokens by which a class meets one other before the exact search.
 STARS = 2
 #: Bytes of text for each range of token hashes.
@@ -200,6 +202,101 @@ def _pairs(index: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     return a.join(b, keys).filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & sizes).select("u", "v").distinct()
 
 
+_SKETCH = 4096
+
+
+def _sketched(sets: DataFrame) -> DataFrame:
+    """``class, held, sketch``: the number of shared tokens, and a bit set of their hashes."""
+
+    def compute(batches):
+        for batch in batches:
+            offsets = np.asarray(batch.column(1).offsets)
+            held = np.diff(offsets)
+            tokens = np.asarray(batch.column(1).values)
+            bits = np.zeros((len(held), _SKETCH), bool)
+            bits[np.repeat(np.arange(len(held)), held), tokens[offsets[0] : offsets[-1]] & (_SKETCH - 1)] = True
+            packed = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.astype(np.int64)), pa.array([b.tobytes() for b in packed], pa.binary())], ["class", "held", "sketch"])
+
+    return sets.select("class", "tokens").mapInArrow(compute, "class long, held long, sketch binary")
+
+
+def _meet(threshold: int):
+    """Blocks of classes that have a frequent token: pairs that may be similar and have it as the first of two or more in common.
+
+    A block is all classes of one token, or two chunks of them, and its rows come together. Of a class come all its frequent tokens,
+    so the combinations of tokens are intersections of bit sets here, and a pair is made for its first combination alone.
+    """
+
+    def block(rows: pa.Table):
+        token, first, second = rows["token"][0].as_py(), rows["low"][0].as_py(), rows["high"][0].as_py()
+        own, ids = rows["own"].to_numpy(), rows["class"].to_numpy()
+        n, held, component = rows["n"].to_numpy(), rows["held"].to_numpy(), rows["component"].to_numpy()
+        lists = rows["often"].combine_chunks()
+        offsets = np.asarray(lists.offsets)
+        tokens = np.asarray(lists.values)[offsets[0] : offsets[-1]]
+        row = np.repeat(np.arange(len(ids)), np.diff(offsets))
+        before, after = tokens < token, tokens > token
+
+        def matrix(mask):
+            names, at = np.unique(tokens[mask], return_inverse=True)
+            out = np.zeros((len(ids), len(names)), np.float32)
+            out[row[mask], at] = 1
+            return out
+
+        left, right = (np.arange(len(ids)),) * 2 if first == second else (np.flatnonzero(own == first), np.flatnonzero(own == second))
+        less, more = matrix(before), matrix(after)
+        good = (less[left] @ less[right].T == 0) & (more[left] @ more[right].T > 0)
+        good &= component[left][:, None] != component[right][None]
+        good &= (100 * n[left][:, None] >= threshold * n[right][None]) & (100 * n[right][None] >= threshold * n[left][:, None])
+        a, b = np.nonzero(good)
+        a, b = left[a], right[b]
+        if first == second:
+            a, b = a[a < b], b[a < b]
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        keep = []
+        for lo in range(0, len(a), 1 << 14):
+            x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
+            both = np.minimum(held[x] - np.bitwise_count(sketch[x] & ~sketch[y]).sum(axis=1, dtype=np.int64), held[y] - np.bitwise_count(sketch[y] & ~sketch[x]).sum(axis=1, dtype=np.int64))
+            keep.append(100 * both >= threshold * (n[x] + n[y] - both))
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        u, v = np.minimum(ids[a[keep]], ids[b[keep]]), np.maximum(ids[a[keep]], ids[b[keep]])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
+
+    def compute(batches):
+        carried = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([carried, rows]).combine_chunks() if carried is not None else rows
+            change = np.zeros(len(rows) - 1, bool)
+            for k in ("token", "low", "high"):
+                column = rows[k].to_numpy()
+                change |= column[1:] != column[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi - lo > 1 and (out := block(rows.slice(lo, hi - lo))) is not None:
+                    yield out
+            carried = rows.slice(edges[-1])
+        if carried is not None and len(carried) > 1 and (out := block(carried)) is not None:
+            yield out
+
+    return compute
+
+
+def _combined_pairs(opened: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``u, v`` of classes that have two frequent tokens in common. ``opened(class, n, component, token)``."""
+    often = opened.groupBy("class", "n", "component").agg(F.array_sort(F.collect_set("token")).alias("often"))
+    often = often.join(_sketched(sets), "class")
+    chunks = opened.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    met = often.withColumn("token", F.explode("often")).join(chunks, "token")
+    met = met.withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "n", "component", "held", "often", "sketch")
+    keys = ["token", "low", "high"]
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_meet(threshold), "u long, v long").distinct()
+
+
 def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``u, v`` between classes: enough of them that their components are those of all links. ``sets(class, n, tokens)``."""
     met = sets.select("class", "n", F.explode(F.array(*[_least_hashed(k) for k in range(STARS)])).alias("star"))
@@ -216,10 +313,7 @@ def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     open_tokens = materialize(kinds.filter("low != high").select("token", (F.col("held") <= RARE).alias("rare")), "open-tokens")
     opened = index.join(open_tokens, "token")
     single = _pairs(opened.filter("rare"), ["token"], threshold)
-    several = opened.filter("not rare").groupBy("class", "n", "component").agg(F.array_sort(F.collect_set("token")).alias("often"))
-    first = several.select("class", "n", "component", "often", F.posexplode("often").alias("at", "x"))
-    combined = first.select("class", "n", "component", "x", F.explode(F.slice("often", F.col("at") + 2, F.size("often"))).alias("y"))
-    double = _pairs(combined, ["x", "y"], threshold)
+    double = _combined_pairs(opened.filter("not rare").select("class", "n", "component", "token"), sets, threshold)
     rest = materialize(single.unionByName(double).distinct(), "pairs")
     more = materialize(_verified(rest, sets, threshold), "more-links")
     discard(groups, index, open_tokens, rest)
