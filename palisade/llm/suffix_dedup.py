@@ -82,7 +82,8 @@ def phrases(raw: np.ndarray, cuts: np.ndarray, most: int = SLICE) -> tuple[np.nd
             sizes = np.minimum(np.repeat(sizes, pieces) - within * LENGTH, LENGTH)
             starts = np.repeat(starts, pieces) + within * LENGTH
         whole = mixed(_window_hashes(h, starts) * _C[8] + _window_hashes(h, starts + sizes - 1) * _C[9] + sizes.astype(np.uint64))
-        found.append((low[starts], whole, starts + lo, sizes))
+        even = mixed(low[starts] + _C[12])  # least hashes are small; ranges of these hold about the same
+        found.append((even, whole, starts + lo, sizes))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -185,15 +186,12 @@ def _judge(rows: pa.Table) -> pa.Table:
     return _table(out, _FOUND)
 
 
-def _compare(rows: pa.Table) -> pa.Table:
-    """Of the phrases of a part that must be compared, the strings that a document of a smaller id has, as bits."""
-    get = lambda name, kind: [np.frombuffer(b, kind) for b in rows[name].to_pylist()]
-    sizes, triggers, owners = np.concatenate(get("sizes", np.int64)), np.concatenate(get("triggers", np.uint64)), np.concatenate(get("owners", np.int64))
-    raw = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
+def _repeated(raw: np.ndarray, sizes: np.ndarray, triggers: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Of phrases one after another in ``raw``, a bit for each string that a document of a smaller id has."""
     lengths = sizes + LENGTH - 1
     starts = np.cumsum(lengths) - lengths
-    n = int(sizes.sum())
-    offset = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = np.cumsum(sizes) - sizes
+    offset = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
     at = np.repeat(starts, sizes) + offset
     h = _rolled(raw)
     a, b = _window_hashes(h, at), mixed(h[32][at] * _C[10] + h[32][at + 18] * _C[11])
@@ -202,14 +200,35 @@ def _compare(rows: pa.Table) -> pa.Table:
     order = np.lexsort((owner, b, a))
     new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
     least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    gone = np.zeros(n, bool)
+    gone = np.zeros(len(owner), bool)
     gone[order] = least < owner[order]
-    masks = np.bitwise_or.reduceat(np.where(gone, np.uint64(1) << offset.astype(np.uint64), np.uint64(0)), np.cumsum(sizes) - sizes)
+    return np.bitwise_or.reduceat(np.where(gone, np.uint64(1) << offset.astype(np.uint64), np.uint64(0)), first)
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """Of the phrases of a part that must be compared, the strings that a document of a smaller id has, as bits."""
+    get = lambda name, kind: [np.frombuffer(b, kind) for b in rows[name].to_pylist()]
+    sizes, triggers, owners = np.concatenate(get("sizes", np.int64)), np.concatenate(get("triggers", np.uint64)), np.concatenate(get("owners", np.int64))
+    raw = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
+    lengths = sizes + LENGTH - 1
+    starts = np.cumsum(lengths) - lengths
+    masks = np.zeros(len(sizes), np.uint64)
+    order = np.argsort(triggers, kind="stable")
+    total = np.cumsum(lengths[order])
+    ends = np.flatnonzero(np.concatenate([triggers[order][1:] != triggers[order][:-1], [True]])) + 1
+    lo = 0
+    while lo < len(order):  # about SLICE / 2 bytes at once, whole triggers each time
+        aim = np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE // 2)
+        hi = int(ends[np.searchsorted(ends, max(aim, lo + 1))]) if aim < len(order) else len(order)
+        mine = order[lo:hi]
+        place = np.repeat(starts[mine] - (np.cumsum(lengths[mine]) - lengths[mine]), lengths[mine]) + np.arange(lengths[mine].sum())
+        masks[mine] = _repeated(raw[place], sizes[mine], triggers[mine], owners[mine])
+        lo = hi
     out, k = [], 0
     for block, places in zip(rows["block"].to_pylist(), get("at", np.int64), strict=True):
-        mine = masks[k : k + len(places)]
-        if mine.any():
-            out.append((block, places[mine != 0].tobytes(), mine[mine != 0].tobytes()))
+        found = masks[k : k + len(places)]
+        if found.any():
+            out.append((block, places[found != 0].tobytes(), found[found != 0].tobytes()))
         k += len(places)
     return _table(out, _SPANS)
 
