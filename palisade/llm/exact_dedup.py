@@ -107,11 +107,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. See exact_groups()."""
-    groups = exact_groups(docs, id_col, text_col, block_chars)
-    kept = groups.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    groups = materialize(exact_groups(docs, id_col, text_col, block_chars), "exact-groups")
+    same_id = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    gone = groups.filter(~same_id).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    repeated = groups.filter(same_id & ~F.col("kept")).limit(1).count() > 0
     keyed = docs.withColumns({"__key": F.col(id_col), "__text": F.sha2(squeezed(F.col(text_col)), 256)})
-    same = keyed["__key"].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__sha"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["__key", "__text"]).select(*docs.columns)
+    rest = keyed.join(gone, keyed["__key"].eqNullSafe(gone["__id"]) & (keyed["__text"] == gone["__sha"]), "left_anti")
+    return (rest.dropDuplicates(["__key", "__text"]) if repeated else rest).select(*docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -348,10 +348,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, one of each group: that of the smallest id, and one of those if it repeats."""
-    groups = jaccard_groups(docs, id_col, text_col, size, threshold)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    groups = materialize(jaccard_groups(docs, id_col, text_col, size, threshold), "jaccard-groups")
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    gone = groups.filter(~stays).select(F.col(id_col).alias("__id")).distinct()
+    repeated = groups.filter(stays & (F.col("n_shingles") > 0)).groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
     keyed = docs.withColumn("__key", F.col(id_col))
-    return keyed.join(kept, keyed["__key"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    rest = keyed.join(gone, keyed["__key"].eqNullSafe(gone["__id"]), "left_anti")
+    return (rest.dropDuplicates(["__key"]) if repeated else rest).select(*docs.columns)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(lexicon, weights, trees, calibration)
 
 
-def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1), ``predicted`` (1 if score >= 0.5) and FEATURES of each row of ``docs``.
 
     Null text counts as empty; an empty text has all features 0 and gets the score of that. Without a model each score is 0. Repeated
@@ -180,6 +180,12 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return out.select(F.col("__id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't predict to be toxic, with their columns, whatever their names. See score_toxicity()."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return score_toxicity(whole, model, "__row").filter("predicted = 0").select("__row.*")
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
