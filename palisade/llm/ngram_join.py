@@ -32,8 +32,8 @@ THRESHOLD = 75
 RARE = 24
 #: Classes of a frequent token that are compared at once.
 CHUNK = 512
-#: Tokens by which a class meets one other before the exact search.
-STARS = 2
+#: Rounds before the exact search, in each of which a class meets two others by one of its tokens.
+ROUNDS = 4
 #: Bytes of text for each range of token hashes.
 RANGE_BYTES = 4 << 20
 
@@ -88,13 +88,17 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which the shuffle compresses well when ``x`` is sorted."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """Bytes of equal weight together, which the shuffle compresses well when ``x`` is sorted; of tokens the upper 7 bytes."""
+    planes = x.view(np.uint8).reshape(len(x), -1).T
+    return np.ascontiguousarray(planes[1:] if len(planes) == 8 else planes).tobytes()
 
 
 def _from_planes(b: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+    planes = np.frombuffer(b, np.uint8).reshape(7 if width == 8 else width, -1)
+    out = np.zeros((planes.shape[1], width), np.uint8)
+    out[:, -len(planes) :] = planes.T
+    return out.view(dtype).ravel()
 
 
 _BLOCK = "part int, block long, head binary, tokens binary, owners binary"
@@ -188,6 +192,8 @@ def candidate_sets(docs: DataFrame, text_col: str, size: int, threshold: int, n_
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """``u, v`` of those ``pairs(u, v)`` whose sets are similar."""
+    some = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    sets = sets.join(some, "class", "left_semi")
     left = sets.select(F.col("class").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
     right = sets.select(F.col("class").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
     both = F.size(F.array_intersect("tu", "tv")).cast("long")
@@ -214,7 +220,7 @@ def _sketched(sets: DataFrame) -> DataFrame:
             held = np.diff(offsets)
             tokens = np.asarray(batch.column(1).values)
             bits = np.zeros((len(held), _SKETCH), bool)
-            bits[np.repeat(np.arange(len(held)), held), tokens[offsets[0] : offsets[-1]] & (_SKETCH - 1)] = True
+            bits[np.repeat(np.arange(len(held)), held), tokens[offsets[0] : offsets[-1]] >> 8 & (_SKETCH - 1)] = True
             packed = np.packbits(bits, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.astype(np.int64)), pa.array([b.tobytes() for b in packed], pa.binary())], ["class", "held", "sketch"])
 
@@ -299,15 +305,25 @@ def _combined_pairs(opened: DataFrame, sets: DataFrame, threshold: int) -> DataF
 
 def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``u, v`` between classes: enough of them that their components are those of all links. ``sets(class, n, tokens)``."""
-    met = sets.select("class", "n", F.explode(F.array(*[_least_hashed(k) for k in range(STARS)])).alias("star"))
-    hubs = met.groupBy("star").agg(F.min(F.struct("n", "class")).alias("hub"))
-    near = met.join(hubs, "star").select(F.col("hub.class").alias("u"), F.col("class").alias("v")).filter("u != v").distinct()
-    links = materialize(_verified(near, sets, threshold), "star-links")
-    groups = materialize(connected_components(links), "star-components")
+    stars = materialize(sets.select("class", "n", F.array(*[_least_hashed(k) for k in range(ROUNDS)]).alias("stars")), "stars")
+    links, groups = [], None
+    for turn in range(ROUNDS):
+        known = _with_components(stars, groups).select("class", "n", "component", F.get("stars", F.lit(turn)).alias("star"))
+        one, key = F.struct(F.col("class").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")), F.xxhash64("class", F.lit(turn))
+        hubs = known.groupBy("star").agg(F.array(F.min_by(one, key), F.max_by(one, key)).alias("hubs"), F.min("component").alias("low"), F.max("component").alias("high"))
+        met = known.join(hubs.filter("low != high"), "star").select("class", "n", "component", F.explode("hubs").alias("hub"))
+        sizes = (100 * F.col("hub.nu") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("hub.nu"))
+        near = met.filter((F.col("hub.cu") != F.col("component")) & sizes).select(F.least("hub.u", "class").alias("u"), F.greatest("hub.u", "class").alias("v"))
+        near = materialize(near.distinct(), "near")
+        found = materialize(_verified(near, sets, threshold), "star-links")
+        discard(near)
+        links.append(found)
+        if found.limit(1).count():
+            groups = materialize(connected_components(_all(links)), "star-components")
+    known = _with_components(sets, groups)
     prefix = F.floor((100 - threshold) * F.col("n") / 100).cast("int") + 2  # n - ceil(t n) + k
     alone = (F.col("n") - F.size("tokens")).cast("int")  # tokens of no other document come first
     head = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), prefix - alone))
-    known = sets.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     index = materialize(known.select("class", "n", "component", F.explode(head).alias("token")), "prefix-index")
     kinds = index.groupBy("token").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
     open_tokens = materialize(kinds.filter("low != high").select("token", (F.col("held") <= RARE).alias("rare")), "open-tokens")
@@ -316,8 +332,22 @@ def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     double = _combined_pairs(opened.filter("not rare").select("class", "n", "component", "token"), sets, threshold)
     rest = materialize(single.unionByName(double).distinct(), "pairs")
     more = materialize(_verified(rest, sets, threshold), "more-links")
-    discard(groups, index, open_tokens, rest)
-    return links.unionByName(more)
+    discard(index, open_tokens, rest, stars)
+    return _all([*links, more])
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _with_components(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``classes`` with their ``component`` so far, at first themselves."""
+    if groups is None:
+        return classes.withColumn("component", F.col("class"))
+    return classes.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
 def _least_hashed(seed: int):
@@ -339,7 +369,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = materialize(candidate_sets(docs, text_col, size, threshold, n_bytes), "candidate-sets")
     links = similar_classes(sets, threshold)
     groups = materialize(connected_components(links), "components")
-    discard(sets, links)
+    discard(sets)
     named = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
     names = named.filter("group is not null").groupBy("group").agg(F.min("id").alias("least"))
     out = named.join(names, "group", "left")
