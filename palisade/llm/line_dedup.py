@@ -25,8 +25,8 @@ def _lines(text: Column) -> Column:
 
 def _masked(line: Column) -> Column:
     """Tokens, one space between them, with those that hold a digit masked; blanks at either end go."""
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)
-    return F.regexp_replace(F.regexp_replace(masked, r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(line)
+    return F.trim(F.regexp_replace(masked, r"[\x20\x09-\x0D]+", " "))
 
 
 def _digest(value: Column) -> list[Column]:
