@@ -1,0 +1,17 @@
+"""The registered queries of the library and the DuckDB SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from palisade.queries import relations
+
+
+def _all() -> dict:
+    return relations.QUERIES
+
+
+def queries() -> dict:
+    return {name: query for name, (query, _) in _all().items()}
+
+
+def oracle_sql() -> dict:
+    return {name: sql for name, (_, sql) in _all().items() if sql}
