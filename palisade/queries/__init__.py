@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from palisade.queries import relations
+from palisade.queries import histories, relations
 
 
 def _all() -> dict:
-    return relations.QUERIES
+    return relations.QUERIES | histories.QUERIES
 
 
 def queries() -> dict:
