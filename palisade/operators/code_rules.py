@@ -35,31 +35,31 @@ _MODULE = r"""require\(\s*["'](?:node:)?{}["']\s*\)"""
 _BOUND = r"""(?:(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*["'](?:node:)?{m}["']\s*\)|import\s+(?:\*\s+as\s+)?(\w+)\s+from\s+["'](?:node:)?{m}["'])"""
 _TAKEN = r"""(?:(?:const|let|var)\s*\{{[^}}]*\b{f}\b[^}}]*\}}\s*=\s*require\(\s*["'](?:node:)?{m}["']\s*\)|import\s*\{{[^}}]*\b{f}\b[^}}]*\}}\s*from\s+["'](?:node:)?{m}["'])"""
 
-#: Pattern, severity, what the code must match.
+#: Pattern, severity, what the code must match, whether the match reaches into strings.
 JS_RULES = [
-    ("CODE_EXECUTION", "CRITICAL", r"[(,]\s*(?:eval|Function)\s*[,)]"),
-    ("DYNAMIC_IMPORT", "HIGH", rf"\bimport\s*\(\s*(?!{_Q}[^\"'`]*{_Q}\s*\))[^)\s]"),
-    ("CODE_EXECUTION", "CRITICAL", r"(?<![\w.$])(?:eval|Function)\s*\("),
-    ("DYNAMIC_REQUIRE", "HIGH", r"(?<![\w.$])require\s*\(\s*[^\"'`)\s]"),
-    ("PROCESS_SPAWN", "CRITICAL", _MODULE.format("child_process") + rf"\s*\.\s*{_SPAWN}\s*\("),
-    ("PROCESS_SPAWN", "CRITICAL", r"\bprocess\s*\.\s*binding\s*\("),
-    ("CODE_EXECUTION", "CRITICAL", r"\bprocess\s*\.\s*dlopen\s*\("),
-    ("PROCESS_SPAWN", "CRITICAL", r"\bprocess\s*\.\s*mainModule\s*\.\s*require\s*\("),
-    ("CODE_EXECUTION", "CRITICAL", r"\.\s*constructor\s*\.\s*_load\s*\("),
-    ("BASE64_DECODE", "HIGH", r"\bBuffer\s*\.\s*from\s*\([^;]*?,\s*[\"']base64[\"']\s*\)"),
-    ("BASE64_DECODE", "HIGH", r"\.\s*toString\s*\(\s*[\"']base64[\"']\s*\)"),
-    ("CODE_EXECUTION", "CRITICAL", r"\bWebAssembly\s*\.\s*(?:instantiate|compile)(?:Streaming)?\s*\("),
-    ("CODE_EXECUTION", "CRITICAL", r"\.\s*constructor\s*\(\s*[\"'`]"),
-    ("NETWORK_ACCESS", "HIGH", r"(?<![\w.$])fetch\s*\("),
-    ("CODE_EXECUTION", "CRITICAL", r"\(\s*0\s*,\s*(?:eval|Function)\s*\)\s*\("),
-    ("CODE_EXECUTION", "CRITICAL", r"(?<![\w$])(?:setTimeout|setInterval|setImmediate)\s*\(\s*[\"'`]"),
-    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*[\"'](?:eval|Function)[\"']\s*\]\s*\("),
-    ("POSSIBLE_OBFUSCATION", "HIGH", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*[^\"'\]\s][^\]]*\]\s*\("),
-    ("CODE_EXECUTION", "CRITICAL", r"\bnew\s+Function\s*\("),
-    ("CODE_EXECUTION", "HIGH", r"\bnew\s+Worker\s*\("),
-    ("CODE_EXECUTION", "CRITICAL", r"\bnew\s+WebAssembly\s*\.\s*(?:Module|Instance)\s*\("),
-    ("ENV_HARVESTING", "CRITICAL", rf"\bprocess\s*(?:\.\s*env|\[\s*[\"']env[\"']\s*\])\s*(?:\.\s*{_ENV}\b|\[\s*[\"']{_ENV}[\"']\s*\])"),
-    ("POSSIBLE_OBFUSCATION", "CRITICAL", r"(?<![\w.$])require\s*\(\s*[\"'][^\"']*[\"']\s*\+"),
+    ("CODE_EXECUTION", "CRITICAL", r"[(,]\s*(?:eval|Function)\s*[,)]", False),
+    ("DYNAMIC_IMPORT", "HIGH", rf"\bimport\s*\(\s*(?!{_Q}[^\"'`]*{_Q}\s*\))[^)\s]", False),
+    ("CODE_EXECUTION", "CRITICAL", r"(?<![\w.$])(?:eval|Function)\s*\(", False),
+    ("DYNAMIC_REQUIRE", "HIGH", r"(?<![\w.$])require\s*\(\s*[^\"'`)\s]", False),
+    ("PROCESS_SPAWN", "CRITICAL", _MODULE.format("child_process") + rf"\s*\.\s*{_SPAWN}\s*\(", True),
+    ("PROCESS_SPAWN", "CRITICAL", r"\bprocess\s*\.\s*binding\s*\(", False),
+    ("CODE_EXECUTION", "CRITICAL", r"\bprocess\s*\.\s*dlopen\s*\(", False),
+    ("PROCESS_SPAWN", "CRITICAL", r"\bprocess\s*\.\s*mainModule\s*\.\s*require\s*\(", False),
+    ("CODE_EXECUTION", "CRITICAL", r"\.\s*constructor\s*\.\s*_load\s*\(", False),
+    ("BASE64_DECODE", "HIGH", r"\bBuffer\s*\.\s*from\s*\([^;]*?,\s*[\"']base64[\"']\s*\)", True),
+    ("BASE64_DECODE", "HIGH", r"\.\s*toString\s*\(\s*[\"']base64[\"']\s*\)", True),
+    ("CODE_EXECUTION", "CRITICAL", r"\bWebAssembly\s*\.\s*(?:instantiate|compile)(?:Streaming)?\s*\(", False),
+    ("CODE_EXECUTION", "CRITICAL", r"\.\s*constructor\s*\(\s*[\"'`]", False),
+    ("NETWORK_ACCESS", "HIGH", r"(?<![\w.$])fetch\s*\(", False),
+    ("CODE_EXECUTION", "CRITICAL", r"\(\s*0\s*,\s*(?:eval|Function)\s*\)\s*\(", False),
+    ("CODE_EXECUTION", "CRITICAL", r"(?<![\w$])(?:setTimeout|setInterval|setImmediate)\s*\(\s*[\"'`]", False),
+    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*[\"'](?:eval|Function)[\"']\s*\]\s*\(", True),
+    ("POSSIBLE_OBFUSCATION", "HIGH", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*[^\"'\]\s][^\]]*\]\s*\(", False),
+    ("CODE_EXECUTION", "CRITICAL", r"\bnew\s+Function\s*\(", False),
+    ("CODE_EXECUTION", "HIGH", r"\bnew\s+Worker\s*\(", False),
+    ("CODE_EXECUTION", "CRITICAL", r"\bnew\s+WebAssembly\s*\.\s*(?:Module|Instance)\s*\(", False),
+    ("ENV_HARVESTING", "CRITICAL", rf"\bprocess\s*(?:\.\s*env|\[\s*[\"']env[\"']\s*\])\s*(?:\.\s*{_ENV}\b|\[\s*[\"']{_ENV}[\"']\s*\])", True),
+    ("POSSIBLE_OBFUSCATION", "CRITICAL", r"(?<![\w.$])require\s*\(\s*[\"'][^\"']*[\"']\s*\+", False),
 ]
 #: Pattern, severity, module, methods: a call of a module's method, through a name bound to the module or one taken from it.
 JS_BOUND = [
@@ -118,15 +118,24 @@ def _without_strings(code: Column) -> Column:
     return F.regexp_replace(code, r"""("|'|`)(?:(?!\1)[^\\]|\\[\s\S])*\1""", '""')
 
 
+def _calls_through(code: Column, names: Column, methods: str, argument: str) -> Column:
+    """Calls of ``methods`` on any of ``names``."""
+
+    def add(total, name):
+        return total + F.regexp_count(code, F.concat(F.lit(r"(?<![\w.$])"), name, F.lit(rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*\({argument}")))
+
+    return F.aggregate(F.filter(names, lambda n: n != ""), F.lit(0), add)
+
+
 def js_findings(files: DataFrame, source: str = "source") -> DataFrame:
     """The columns of ``files`` but ``source``, with ``pattern``, ``severity``, ``hits`` (matches of that rule)."""
     code = F.col("__code")
     base = files.withColumn("__code", _without_comments(F.regexp_replace(F.col(source), r"^#![^\n]*", "")))
     base = base.withColumn("__bare", _without_strings(code))
-    rules = [F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"), F.regexp_count(code, F.lit(rx)).alias("hits")) for p, s, rx in JS_RULES]
+    rules = [F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"), F.regexp_count(code if strings else F.col("__bare"), F.lit(rx)).alias("hits")) for p, s, rx, strings in JS_RULES]
     for pattern, severity, module, methods, argument in JS_BOUND:
         names = F.array_distinct(F.concat(F.regexp_extract_all(code, F.lit(_BOUND.format(m=module)), F.lit(1)), F.regexp_extract_all(code, F.lit(_BOUND.format(m=module)), F.lit(2))))
-        through = F.aggregate(F.filter(names, lambda n: n != ""), F.lit(0), lambda a, n, m=methods, x=argument: a + F.regexp_count(code, F.concat(F.lit(r"(?<![\w.$])"), n, F.lit(rf"\s*\.\s*(?:promises\s*\.\s*)?{m}\s*\({x}"))))  # noqa: E501
+        through = _calls_through(code, names, methods, argument)
         taken = F.when(code.rlike(_TAKEN.format(f=methods, m=module)), F.regexp_count(code, F.lit(rf"(?<![\w.$]){methods}\s*\({argument}"))).otherwise(0)
         direct = F.regexp_count(code, F.lit(_MODULE.format(module) + rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*\({argument}")) if module != "child_process" else F.lit(0)
         rules.append(F.struct(F.lit(pattern).alias("pattern"), F.lit(severity).alias("severity"), (through + taken + direct).cast("int").alias("hits")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from palisade.queries import histories, relations
+from palisade.queries import histories, relations, texts
 
 
 def _all() -> dict:
-    return relations.QUERIES | histories.QUERIES
+    return relations.QUERIES | histories.QUERIES | texts.QUERIES
 
 
 def queries() -> dict:
