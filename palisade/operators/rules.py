@@ -55,14 +55,14 @@ def _signal(profiles: DataFrame, when: Column, signal: str | Column, severity: C
     )
 
 
-def metadata_signals(profiles: DataFrame, vuln_counts: DataFrame, known_install: DataFrame, popular: DataFrame, as_of: Column) -> DataFrame:
-    """Signals of the registry's data. ``vuln_counts(name, vulns)``, ``known_install(name)``, ``popular(name)``."""
+def metadata_signals(profiles: DataFrame, vuln_counts: DataFrame, known_install: DataFrame, imitations: DataFrame, as_of: Column) -> DataFrame:
+    """Signals of the registry's data. ``vuln_counts(name, vulns)``, ``known_install(name)``, ``imitations`` of typosquats()."""
     good = known_install.select("name", F.lit(True).alias("known_good"))
     p = profiles.join(vuln_counts, "name", "left").join(F.broadcast(good), "name", "left").withColumn("known_good", F.coalesce("known_good", F.lit(False)))
     team = F.coalesce(F.size("maintainers"), F.lit(0))
     since = millis_between(as_of, F.col("latest_publish_time"))
     rapid = rapid_severity(F.col("publish_interval_ms"), team, F.col("known_good"))
-    squats = typosquats(profiles, popular).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("distance", "similar"))).alias("matches"))
+    squats = imitations.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("distance", "similar"))).alias("matches"))
     return _union(
         _signal(p, F.col("vulns") > 0, "KNOWN_COMPROMISED", "CRITICAL", F.concat("vulns", F.lit(" known vulnerabilities")), 4, F.struct("vulns")),
         _signal(p, F.col("maintainer_changed"), "MAINTAINER_CHANGE", maintainer_severity(since, team), F.concat(F.lit("publisher changed from "), "previous_publisher", F.lit(" to "), "latest_publisher"), 4, F.struct("previous_publisher", "latest_publisher")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from palisade.allowlists import KNOWN_INSTALL_SCRIPTS, POPULAR_NPM, POPULAR_PYPI
 from palisade.schema import ADVISORY_TTL_MS, ECOSYSTEMS, METADATA_TTL_MS, MOST_ADVISORY_TTL_MS, MOST_METADATA_TTL_MS, SEVERITIES
 
 VALID_ECOSYSTEMS = tuple(e for e, *_ in ECOSYSTEMS)
@@ -24,8 +25,9 @@ class Options:
     deep: bool = False
     force: bool = False
     any_age: bool = False
-    popular: tuple[str, ...] = ()
-    known_install_scripts: tuple[str, ...] = ()
+    popular_npm: tuple[str, ...] = tuple(POPULAR_NPM)
+    popular_pypi: tuple[str, ...] = tuple(POPULAR_PYPI)
+    known_install_scripts: tuple[str, ...] = tuple(KNOWN_INSTALL_SCRIPTS)
     warnings: tuple[str, ...] = field(default=(), compare=False)
 
 

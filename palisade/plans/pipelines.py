@@ -90,6 +90,8 @@ def analyze(deps: DataFrame, vulns: DataFrame, packages: DataFrame, versions: Da
     of = mine.select("name", F.col("latest_version").alias("version"))
     counts = vulns.groupBy(F.col("package").alias("name")).agg(F.count("*").alias("vulns"))
     listed = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    names = lambda ecosystem: unique.filter(F.col("ecosystem") == ecosystem).select("name")
+    imitations = rules.typosquats(names("npm"), listed(opts.popular_npm)).unionByName(rules.typosquats(names("pypi"), listed(opts.popular_pypi)))
     code = script_findings(mine)
     caps = code_rules.profile(code, ["name"])
     current = mine.join(caps, "name", "left").select(
@@ -107,9 +109,9 @@ def analyze(deps: DataFrame, vulns: DataFrame, packages: DataFrame, versions: Da
     signals = reduce(
         DataFrame.unionByName,
         [
-            rules.metadata_signals(mine, counts, listed(opts.known_install_scripts), listed(opts.popular), as_of),
+            rules.metadata_signals(mine, counts, listed(opts.known_install_scripts), imitations, as_of),
             _code_signals(code, of, "AST_DANGEROUS_PATTERN", "install script: "),
-            rules.dependency_signals(mine, everything),
+            rules.dependency_signals(mine.join(names("npm").distinct(), "name", "left_semi"), everything),
             layer3,
         ],
     )
