@@ -35,7 +35,7 @@ def tables_for(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tupl
 
 
 def _hashed(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """Rows of ``vectors(row, vec_id, label, embedding)`` that can link, with ``dim``, ``vec`` (bytes of doubles) and ``codes``."""
+    """Rows of ``vectors(row, vec_id, label, embedding)`` that can link, with ``dim``, ``vec`` (bytes of its components, of their own kind) and ``codes``."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
 
     def compute(batches):
@@ -45,6 +45,7 @@ def _hashed(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
             rows, dims, vecs, codes = [], [], [], []
             lists = batch.column(3)
             offsets = np.asarray(lists.offsets)
+            narrow = lists.type.value_type == pa.float32()
             values = np.asarray(lists.values.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False), np.float64)
             sizes = np.diff(offsets) * np.asarray(lists.is_valid())
             for dim in np.unique(sizes[sizes > 0]).tolist():
@@ -59,7 +60,7 @@ def _hashed(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 code = (signs * powers).sum(axis=2).astype(np.int32)
                 rows += at.tolist()
                 dims += [dim] * len(at)
-                vecs += [v.tobytes() for v in x]
+                vecs += [v.tobytes() for v in (x.astype(np.float32) if narrow else x)]
                 codes += [c.tobytes() for c in code]
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary()), pa.array(codes, pa.binary())], ["row", "vec_id", "label", "dim", "vec", "codes"])
@@ -75,7 +76,9 @@ def _blocks(threshold: float):
         number = rows["table"][0].as_py()
         own = rows["own"].to_numpy()
         ids, weights = rows["node"].to_numpy(), rows["weight"].to_numpy()
-        x = np.frombuffer(b"".join(rows["vec"].to_pylist()), np.float64).reshape(len(ids), -1)
+        vectors = rows["vec"].to_pylist()
+        narrow = len(vectors[0]) == 4 * rows["dim"][0].as_py()
+        x = np.frombuffer(b"".join(vectors), np.float32 if narrow else np.float64).reshape(len(ids), -1).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.int32).reshape(len(ids), -1)[:, :number]
