@@ -81,7 +81,8 @@ def profiles(packages: DataFrame, versions: DataFrame, as_of: Column) -> DataFra
         F.min("published_at").alias("first_at"),
     )
     gaps = dormancy(versions)
-    added, removed = added_and_removed(F.map_keys("l.dependencies"), F.map_keys("p.dependencies"))
+    keys = lambda c: F.coalesce(F.map_keys(c), F.array().cast("array<string>"))
+    added, removed = added_and_removed(keys("l.dependencies"), F.when(F.col("p").isNotNull(), keys("p.dependencies")))
     base = packages.join(picked, "name", "left").join(gaps, "name", "left")
     scripts = lifecycle_scripts(F.col("l.scripts"))
     return base.select(
@@ -107,3 +108,75 @@ def profiles(packages: DataFrame, versions: DataFrame, as_of: Column) -> DataFra
         "repository",
         "license",
     )
+
+
+#: A raw npm registry document: what is read of it.
+NPM_DOCUMENT = "name string, `dist-tags` map<string,string>, time map<string,string>, versions map<string, struct<scripts: map<string,string>, dependencies: map<string,string>, _npmUser: struct<name: string, email: string>>>, maintainers array<struct<name: string, email: string>>, repository string, license string"
+#: A raw PyPI document: what is read of it.
+PYPI_DOCUMENT = (
+    "info struct<name: string, version: string, requires_dist: array<string>, project_urls: map<string,string>, home_page: string, license: string>, "
+    "releases map<string, array<struct<upload_time_iso_8601: string, yanked: boolean>>>"
+)
+
+
+def npm_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """PACKAGE and PACKAGE_VERSION rows of ``documents(content)``; versions without a time are left out, as are invalid documents."""
+    doc = documents.withColumn("d", F.from_json("content", NPM_DOCUMENT)).filter("d.name is not null")
+    time = lambda c: F.try_to_timestamp(c).cast("timestamp_ntz")
+    people = F.transform("d.maintainers", lambda m: F.coalesce(m["name"], m["email"]))
+    url = F.coalesce(F.get_json_object("d.repository", "$.url"), F.col("d.repository"))
+    packages = doc.select("d.name", F.col("d.dist-tags")["latest"].alias("latest_tag"), time(F.col("d.time")["created"]).alias("created_at"), people.alias("maintainers"), url.alias("repository"), F.col("d.license").alias("license"))
+    each = doc.select("d.name", "d.time", F.explode("d.versions").alias("version", "v"))
+    publisher = F.coalesce("v._npmUser.name", "v._npmUser.email")
+    rows = each.select("name", "version", time(F.col("time")[F.col("version")]).alias("published_at"), publisher.alias("publisher"), "v.scripts", "v.dependencies")
+    return packages, rows.filter("published_at is not null")
+
+
+def pypi_releases(documents: DataFrame) -> DataFrame:
+    """``name, latest, version, uploaded, yanked`` of each release with files, by the time of its first file."""
+    doc = documents.withColumn("d", F.from_json("content", PYPI_DOCUMENT)).filter("d.info.name is not null")
+    each = doc.select(F.col("d.info.name").alias("name"), F.col("d.info.version").alias("latest"), F.explode("d.releases").alias("version", "files"))
+    return each.filter(F.size("files") > 0).select("name", "latest", "version", F.col("files")[0]["upload_time_iso_8601"].alias("uploaded"), F.exists("files", lambda f: F.coalesce(f["yanked"], F.lit(False))).alias("yanked"))
+
+
+def pypi_profiles(releases: DataFrame, as_of: Column) -> DataFrame:
+    """One row per package of ``releases(name, latest, version, uploaded, yanked)``.
+
+    Releases are in order of their upload times as text. The previous one is the one before the latest, or, if the latest is the first
+    or unknown, the last but one.
+    """
+    w = Window.partitionBy("name").orderBy(F.coalesce("uploaded", F.lit("")), "version")
+    row = F.struct("version", "uploaded")
+    placed = releases.withColumns({"before": F.lag(row).over(w), "at": F.row_number().over(w)})
+    last = F.max_by(row, "at")
+    folded = placed.groupBy("name").agg(
+        F.max("latest").alias("tagged"),
+        F.max_by(row, F.when(F.col("version") == F.col("latest"), F.lit(1))).alias("mine"),
+        F.max_by("before", F.when((F.col("version") == F.col("latest")) & F.col("before").isNotNull(), F.lit(1))).alias("prior"),
+        last.alias("last"),
+        F.max_by("before", "at").alias("second_last"),
+        F.min_by("uploaded", "at").alias("first_uploaded"),
+        F.count("*").cast("int").alias("version_count"),
+        F.array_sort(F.collect_list(F.when(F.col("yanked"), F.col("version")))).alias("yanked_versions"),
+    )
+    time = lambda c: F.try_to_timestamp(c).cast("timestamp_ntz")
+    previous = F.coalesce("prior", "second_last")
+    latest_at, previous_at = time(F.when(F.col("tagged").isNull(), F.col("last.uploaded")).otherwise(F.col("mine.uploaded"))), time(previous["uploaded"])
+    return folded.select("name", F.coalesce("tagged", "last.version").alias("latest_version"), previous["version"].alias("previous_version"), latest_at.alias("latest_publish_time"), previous_at.alias("previous_publish_time"), millis_between(latest_at, previous_at).alias("publish_interval_ms"), millis_between(as_of, time(F.col("first_uploaded"))).alias("package_age_ms"), "version_count", "yanked_versions")
+
+
+def pypi_requirement_names(requires: Column) -> Column:
+    """Names of an array of requirement texts."""
+    return F.transform(requires, lambda r: F.when(r.rlike("^[a-zA-Z0-9._-]+"), F.regexp_replace(F.lower(F.regexp_extract(r, "^([a-zA-Z0-9._-]+)", 1)), "[._]", "-")).otherwise(r))
+
+
+def npm_archive_url(name: Column, version: Column) -> Column:
+    return F.concat(F.lit("https://registry.npmjs.org/"), name, F.lit("/-/"), F.element_at(F.split(name, "/"), -1), F.lit("-"), version, F.lit(".tgz"))
+
+
+def pypi_archive_url(urls: Column, hosts: list[str]) -> Column:
+    """The first source archive of ``urls(url, packagetype)``, else the first file; null if its URL isn't allowed."""
+    from palisade.functions.text import url_problem
+
+    first = F.coalesce(F.get(F.filter(urls, lambda u: u["packagetype"] == "sdist"), F.lit(0))["url"], F.get(urls, F.lit(0))["url"])
+    return F.when(url_problem(first, hosts).isNull(), first)

@@ -83,7 +83,10 @@ def analyze(deps: DataFrame, vulns: DataFrame, packages: DataFrame, versions: Da
     raises the score, not ``risk_level``; ``risk_level_final`` counts it.
     """
     spark = deps.sparkSession
-    unique = relational.first_wins(deps.filter("ecosystem in ('npm', 'pypi')"), KEYS, ["source_file", "ord"])
+    mine_only = deps.filter("ecosystem in ('npm', 'pypi')")
+    if not opts.verbose:
+        mine_only = relational.prefer(mine_only, ["source_file"], F.coalesce("is_direct", F.lit(False))).drop("fallback")
+    unique = relational.first_wins(mine_only, KEYS, ["source_file", "ord"])
     wanted = unique.select("name").distinct()
     everything = registry.profiles(packages, versions, as_of)
     mine = everything.join(wanted, "name", "left_semi")
@@ -143,8 +146,13 @@ def fix(vulns: DataFrame, index: DataFrame, current: DataFrame) -> DataFrame:
     ``current(package, ecosystem, version)`` is what is installed; ``index`` has the ids of vulnerable versions.
     """
     best = advisories.verified_fixes(vulns, index.select(F.col("name").alias("package"), "version"))
-    target = shell_quoted(F.concat("package", F.when(F.col("ecosystem") == "npm", "@").otherwise("=="), "fix"))
-    command = F.when(F.col("ecosystem") == "npm", F.concat(F.lit("npm install "), target)).when(F.col("ecosystem") == "pypi", F.concat(F.lit("pip install "), target)).when(F.col("ecosystem") == "cargo", F.concat(F.lit("cargo update -p "), shell_quoted(F.col("package")), F.lit(" --precise "), shell_quoted(F.col("fix"))))
+    package, version = shell_quoted(F.col("package")), shell_quoted(F.col("fix"))
+    command = (
+        F.when(F.col("ecosystem") == "npm", F.concat(F.lit("npm install "), package, F.lit("@"), version))
+        .when(F.col("ecosystem") == "pypi", F.concat(F.lit("pip install "), package, F.lit("=="), version))
+        .when(F.col("ecosystem") == "cargo", F.concat(F.lit("cargo update -p "), package, F.lit(" --precise "), version))
+        .otherwise(F.concat(F.lit("# upgrade "), package, F.lit(" to "), version))
+    )
     return best.join(current, "package", "left").select("package", F.col("version").alias("current_version"), "vuln_count", "vuln_ids", "fix", F.when(F.col("fix").isNotNull(), command).alias("command"), F.when(F.col("fix").isNull(), "no verified fix").alias("reason"))
 
 

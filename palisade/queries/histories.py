@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.severity import level_of
 from palisade.operators import provenance as attested
-from palisade.operators import registry, rules
+from palisade.operators import registry, relational, rules
 from palisade.queries.tables import events_with_end, table
 from palisade.schema import DAY_MS, HOUR_MS
 
@@ -248,7 +248,40 @@ SELECT u.user_id, CASE WHEN failed IS NULL THEN false WHEN failed THEN NULL ELSE
 FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN g USING (user_id)
 """
 
+def direct_preferred(spark, d):
+    """Orders as files: their returned lines if they have any, else all."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return relational.prefer(items, ["l_orderkey"], F.col("l_returnflag") == "R")
+
+
+DIRECT = "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, NOT has AS fallback FROM (SELECT *, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS has FROM lineitem) WHERE NOT has OR l_returnflag = 'R'"
+
+
+def release_history(spark, d):
+    """Brands as packages, parts as releases, dated by size; the tagged release is the one of the largest key but one."""
+    p = table(spark, d, "part").select("p_brand", "p_partkey", "p_size")
+    at = F.concat(F.lit("2024-01-01T00:"), F.lpad((F.col("p_size") % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("p_partkey") % 60).cast("string"), 2, "0"), F.lit("Z"))
+    tag = p.groupBy("p_brand").agg(F.max(F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey"))).cast("string").alias("latest"))
+    releases = p.join(tag, "p_brand").select(F.col("p_brand").alias("name"), "latest", F.col("p_partkey").cast("string").alias("version"), at.alias("uploaded"), (F.col("p_size") == 7).alias("yanked"))
+    out = registry.pypi_profiles(releases, F.lit("2024-01-02").cast("timestamp_ntz"))
+    return out.select("name", "latest_version", "previous_version", "publish_interval_ms", "package_age_ms", "version_count", F.array_join("yanked_versions", ",").alias("yanked"))
+
+
+RELEASES = """
+WITH r AS (SELECT p_brand AS name, p_partkey::VARCHAR AS version, p_size % 60 * 60 + p_partkey % 60 AS s, p_size = 7 AS yanked, max(p_partkey) FILTER (p_partkey % 2 = 0) OVER (PARTITION BY p_brand)::VARCHAR AS latest FROM part),
+x AS (SELECT *, lag(version) OVER w AS pv, lag(s) OVER w AS ps, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY name ORDER BY s, version)),
+g AS (
+  SELECT name, any_value(latest) AS latest, max(pv) FILTER (version = latest) AS pv, max(ps) FILTER (version = latest) AS ps, max(s) FILTER (version = latest) AS ls, arg_max(version, n) AS lv, arg_max(s, n) AS lls,
+         arg_max(pv, n) AS pv2, arg_max(ps, n) AS ps2, min(s) AS first_s, count(*)::INT AS version_count, coalesce(string_agg(version, ',' ORDER BY version) FILTER (yanked), '') AS yanked
+  FROM x GROUP BY name
+)
+SELECT name, coalesce(latest, lv) AS latest_version, coalesce(pv, pv2) AS previous_version,
+       (CASE WHEN latest IS NULL THEN lls ELSE ls END - CASE WHEN pv IS NULL THEN ps2 ELSE ps END) * 1000::BIGINT AS publish_interval_ms, (86400 - first_s) * 1000::BIGINT AS package_age_ms, version_count, yanked FROM g
+"""
+
 QUERIES = {
+    "direct_preferred": (direct_preferred, DIRECT),
+    "release_history": (release_history, RELEASES),
     "version_latest_previous": (version_latest_previous, _PAIR + "SELECT * FROM p"),
     "publish_interval": (publish_interval, _PAIR + f"SELECT user_id, {_ms('latest_ts', 'previous_ts')} AS interval_ms FROM p"),
     "package_age": (package_age, f"SELECT user_id, {_ms('(SELECT max(ts) FROM events)', 'min(ts)')} AS age_ms FROM events GROUP BY user_id"),

@@ -210,6 +210,25 @@ def test_history(spark):
     assert p["good"]["dormancy_ms"] == 300 * 86_400_000
 
 
+def test_registry_documents(spark):
+    import json
+
+    doc = {"name": "a", "dist-tags": {"latest": "1.1.0"}, "time": {"created": "2024-01-01T00:00:00.000Z", "1.0.0": "2024-01-01T00:00:00.000Z", "1.1.0": "2024-01-01T00:05:00.000Z"}, "versions": {"1.0.0": {"_npmUser": {"name": "x"}}, "1.1.0": {"_npmUser": {"name": "y"}, "scripts": {"install": "z", "test": "t"}, "dependencies": {"d": "1"}}, "9.9.9": {}}, "maintainers": [{"name": "x"}], "repository": {"url": "git"}}
+    docs = spark.createDataFrame([(json.dumps(doc),), ("{bad",)], "content string")
+    p = registry.profiles(*registry.npm_tables(docs), F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz")).collect()
+    assert len(p) == 1 and p[0]["publish_interval_ms"] == 300_000 and p[0]["maintainer_changed"] and p[0]["added_deps"] == ["d"] and p[0]["repository"] == "git" and p[0]["package_age_ms"] == 86_400_000
+    py = {"info": {"name": "b", "version": "2"}, "releases": {"1": [{"upload_time_iso_8601": "2024-01-01T00:00:00Z"}], "2": [{"upload_time_iso_8601": "2024-01-01T01:00:00Z", "yanked": True}], "0": []}}
+    r = registry.pypi_profiles(registry.pypi_releases(spark.createDataFrame([(json.dumps(py),)], "content string")), F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz")).first()
+    assert (r["previous_version"], r["publish_interval_ms"], r["version_count"], r["yanked_versions"]) == ("1", 3_600_000, 2, ["2"])
+    assert one(spark, "@s/p", lambda c: registry.npm_archive_url(c, F.lit("1.0"))) == "https://registry.npmjs.org/@s/p/-/p-1.0.tgz"
+    urls = [("http://files.pythonhosted.org/a", "sdist"), ("https://files.pythonhosted.org/b", "wheel")]
+    kind = "array<struct<url: string, packagetype: string>>"
+    from palisade.schema import ARCHIVE_HOSTS
+
+    assert one(spark, urls, lambda c: registry.pypi_archive_url(c, ARCHIVE_HOSTS), kind) is None
+    assert one(spark, urls[1:], lambda c: registry.pypi_archive_url(c, ARCHIVE_HOSTS), kind) == "https://files.pythonhosted.org/b"
+
+
 def test_severity_threshold_is_monotone(spark):
     rows = spark.createDataFrame([(s,) for s in ("CRITICAL", "HIGH", "MODERATE", "LOW", "ODD")], "severity string")
     n = [advisories.filter_by_severity(rows, s).count() for s in ("CRITICAL", "HIGH", "MODERATE", "LOW", "what")]
