@@ -30,6 +30,8 @@ LENGTH = 50
 GRAM = 20
 #: Bytes of text for each range of triggers.
 RANGE_BYTES = 4 << 20
+#: Phrases of one trigger up to which they are compared in one task; of more, each string goes by its own hash.
+WIDE = 2048
 #: A null id comes after all others.
 LAST_ID = np.iinfo(np.int64).max
 
@@ -155,8 +157,8 @@ def _ddl(fields: dict) -> str:
     return ", ".join(f"{k} {names[v]}" for k, v in fields.items())
 
 
-#: What is known of a phrase: nothing is repeated, all is, or its strings must be compared.
-_NONE, _ALL, _ASK = 0, 1, 2
+#: What is known of a phrase: nothing is repeated, all is, or its strings must be compared, by trigger or each by itself.
+_NONE, _ALL, _ASK, _ASK_EACH = 0, 1, 2, 3
 
 
 def _judge(rows: pa.Table) -> pa.Table:
@@ -173,9 +175,10 @@ def _judge(rows: pa.Table) -> pa.Table:
     t_at, w_at = np.flatnonzero(new_t), np.flatnonzero(new_w)
     t_of, w_of = np.cumsum(new_t) - 1, np.cumsum(new_w) - 1
     several = np.minimum.reduceat(d, t_at) != np.maximum.reduceat(d, t_at)
-    variants = np.add.reduceat(new_w.astype(np.int64), t_at) > 1
+    variants = np.add.reduceat(new_w.astype(np.int64), t_at)
+    ask = np.where((variants > 1) & several, np.where(variants > WIDE, _ASK_EACH, _ASK), _NONE)
     first = d[w_at][w_of]
-    code = np.where(d > first, _ALL, np.where((variants & several)[t_of], _ASK, _NONE)).astype(np.uint8)
+    code = np.where(d > first, _ALL, ask[t_of]).astype(np.uint8)
     codes = np.empty(len(code), np.uint8)
     codes[order] = code
     out, at = [], 0
@@ -186,6 +189,22 @@ def _judge(rows: pa.Table) -> pa.Table:
     return _table(out, _FOUND)
 
 
+def _fingerprints(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the 50 bytes from each of the places ``at``."""
+    h = _rolled(raw)
+    return _window_hashes(h, at), mixed(h[32][at] * _C[10] + h[32][at + 18] * _C[11])
+
+
+def _later(a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which strings, told by ``a`` and ``b``, a smaller owner has too."""
+    order = np.lexsort((owner, b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    gone = np.zeros(len(owner), bool)
+    gone[order] = least < owner[order]
+    return gone
+
+
 def _repeated(raw: np.ndarray, sizes: np.ndarray, triggers: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """Of phrases one after another in ``raw``, a bit for each string that a document of a smaller id has."""
     lengths = sizes + LENGTH - 1
@@ -193,15 +212,9 @@ def _repeated(raw: np.ndarray, sizes: np.ndarray, triggers: np.ndarray, owners:
     first = np.cumsum(sizes) - sizes
     offset = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
     at = np.repeat(starts, sizes) + offset
-    h = _rolled(raw)
-    a, b = _window_hashes(h, at), mixed(h[32][at] * _C[10] + h[32][at + 18] * _C[11])
+    a, b = _fingerprints(raw, at)
     a ^= mixed(np.repeat(triggers, sizes))
-    owner = np.repeat(owners, sizes)
-    order = np.lexsort((owner, b, a))
-    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
-    least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    gone = np.zeros(len(owner), bool)
-    gone[order] = least < owner[order]
+    gone = _later(a, b, np.repeat(owners, sizes))
     return np.bitwise_or.reduceat(np.where(gone, np.uint64(1) << offset.astype(np.uint64), np.uint64(0)), first)
 
 
@@ -233,6 +246,20 @@ def _compare(rows: pa.Table) -> pa.Table:
     return _table(out, _SPANS)
 
 
+def _compare_each(rows: pa.Table) -> pa.Table:
+    """As _compare(), of single strings that came by their own hashes."""
+    get = lambda name, kind: [np.frombuffer(b, kind) for b in rows[name].to_pylist()]
+    places = get("at", np.int64)
+    gone = _later(np.concatenate(get("triggers", np.uint64)), np.concatenate(get("data", np.uint64)), np.concatenate(get("owners", np.int64)))
+    out, k = [], 0
+    for block, at in zip(rows["block"].to_pylist(), places, strict=True):
+        found = at[gone[k : k + len(at)]]
+        if len(found):
+            out.append((block, found.tobytes(), np.ones(len(found), np.uint64).tobytes()))
+        k += len(at)
+    return _table(out, _SPANS)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``n_bytes``, ``spans`` (array of start and stop in UTF-8 bytes), ``kept_sha256``.
 
@@ -260,23 +287,40 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one = _slice_of(rows.filter(pc.is_valid(rows["data"])))
         rows = rows.filter(pc.is_null(rows["data"]))
         codes = dict(zip(rows["part"].to_pylist(), rows["codes"].to_pylist(), strict=True))
-        out, block = [], rows["block"][0].as_py() if len(rows) else None
+        out, each, block = [], [], rows["block"][0].as_py() if len(rows) else None
         for p, a, b in one.parse(bits) if codes else []:
             if p not in codes:
                 continue
             code = np.frombuffer(codes[p], np.uint8)
             full, open_ = a + np.flatnonzero(code == _ALL), a + np.flatnonzero(code == _ASK)
+            each.append(a + np.flatnonzero(code == _ASK_EACH))
             if len(full):
                 out.append((block, None, one.at[full].tobytes(), one.sizes[full].tobytes(), None, None, None))
             if len(open_):
                 data = b"".join([one.raw[s : s + n + LENGTH - 1].tobytes() for s, n in zip(one.at[open_].tolist(), one.sizes[open_].tolist(), strict=True)])
                 out.append((block, p, one.at[open_].tobytes(), one.sizes[open_].tobytes(), one.triggers[open_].tobytes(), one.owners[open_].tobytes(), data))
+        each = np.concatenate(each) if each else np.zeros(0, np.int64)
+        if len(each):
+            sizes = one.sizes[each]
+            at = np.repeat(one.at[each], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            x, y = _fingerprints(one.raw, at)
+            owners = np.repeat(one.owners[each], sizes)
+            here = _later(x, y, owners)  # of a slice, only the first document's strings go out
+            if here.any():
+                out.append((block, None, at[here].tobytes(), np.ones(here.sum(), np.int64).tobytes(), None, None, None))
+            order = np.flatnonzero(~here)[np.argsort(x[~here], kind="stable")]
+            parts = (x[order] >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.searchsorted(parts, np.arange((1 << bits) + 1))
+            for p, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if lo < hi:
+                    out.append((block, p, at[order[lo:hi]].tobytes(), None, x[order[lo:hi]].tobytes(), owners[order[lo:hi]].tobytes(), y[order[lo:hi]].tobytes()))
         return _table(out, _ASKED)
 
     asked = materialize(known.groupBy("block").applyInArrow(ask, _ddl(_ASKED)), "phrases")
-    compared = asked.filter("part is not null").groupBy("part").applyInArrow(_compare, _ddl(_SPANS))
+    compared = asked.filter("part is not null and sizes is not null").groupBy("part").applyInArrow(_compare, _ddl(_SPANS))
+    compared_each = asked.filter("part is not null and sizes is null").groupBy("part").applyInArrow(_compare_each, _ddl(_SPANS))
     whole = asked.filter("part is null").select("block", "at", "sizes")
-    everything = slices.unionByName(whole, allowMissingColumns=True).unionByName(compared, allowMissingColumns=True)
+    everything = slices.unionByName(whole, allowMissingColumns=True).unionByName(compared, allowMissingColumns=True).unionByName(compared_each, allowMissingColumns=True)
     kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), "kept_sha256": pa.string()}
 
     def remove(rows: pa.Table) -> pa.Table:

@@ -30,11 +30,26 @@ def brute_spans(rows):
     return sorted(out)
 
 
+def _judge_with(wide, real=X._judge):
+    def judge(rows):
+        import palisade.llm.suffix_dedup as module
+
+        before, module.WIDE = module.WIDE, wide
+        try:
+            return real(rows)
+        finally:
+            module.WIDE = before
+
+    return judge
+
+
 def spans_of(df):
     return sorted((r["doc_id"], r["n_bytes"], [(s["start"], s["stop"]) for s in r["spans"]], r["kept_sha256"]) for r in X.repeated_spans(df).collect())
 
 
-def test_suffix(docs, rows):
+@pytest.mark.parametrize("wide", [X.WIDE, 1])
+def test_suffix(docs, rows, wide, monkeypatch):
+    monkeypatch.setattr(X, "_judge", _judge_with(wide))  # with 1, every phrase that varies goes string by string
     assert spans_of(docs) == brute_spans([(i, t) for i, t, *_ in rows])
 
 
