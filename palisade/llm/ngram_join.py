@@ -306,7 +306,7 @@ def _combined_pairs(opened: DataFrame, sets: DataFrame, threshold: int) -> DataF
 def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``u, v`` between classes: enough of them that their components are those of all links. ``sets(class, n, tokens)``."""
     stars = materialize(sets.select("class", "n", F.array(*[_least_hashed(k) for k in range(ROUNDS)]).alias("stars")), "stars")
-    links, groups = [], None
+    links, groups, n_classes = [], None, stars.count()
     for turn in range(ROUNDS):
         known = _with_components(stars, groups).select("class", "n", "component", F.get("stars", F.lit(turn)).alias("star"))
         one, key = F.struct(F.col("class").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")), F.xxhash64("class", F.lit(turn))
@@ -318,8 +318,11 @@ def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         found = materialize(_verified(near, sets, threshold), "star-links")
         discard(near)
         links.append(found)
-        if found.limit(1).count():
+        n_found = found.count()
+        if n_found:
             groups = materialize(connected_components(_all(links)), "star-components")
+        if n_found * 50 < n_classes:  # what few links are left, the exact search finds as cheaply
+            break
     known = _with_components(sets, groups)
     prefix = F.floor((100 - threshold) * F.col("n") / 100).cast("int") + 2  # n - ceil(t n) + k
     alone = (F.col("n") - F.size("tokens")).cast("int")  # tokens of no other document come first
