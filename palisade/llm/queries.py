@@ -6,11 +6,11 @@ from palisade.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from palisade.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from palisade.llm.language_id import op7_language_id
 from palisade.llm.line_dedup import OP1_SQL, op1_line_dedup
-from palisade.llm.ngram_join import op10_ngram_join
+from palisade.llm.ngram_join import OP10_SQL, op10_ngram_join
 from palisade.llm.packing import op4_best_fit_packing
 from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
 from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
-from palisade.llm.suffix_dedup import op9_suffix_dedup
+from palisade.llm.suffix_dedup import OP9_SQL, op9_suffix_dedup
 from palisade.llm.toxicity import op6_toxicity
 
 
@@ -36,4 +36,6 @@ def oracle_sql() -> dict:
         "op3_source_mixing": OP3_SQL,
         "op5_secret_scan": OP5_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op9_suffix_dedup": OP9_SQL,
+        "op10_ngram_join": OP10_SQL,
     }

@@ -357,3 +357,17 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Bytes as pairs of hexadecimal digits; all strings of all texts.
+OP9_SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(x) // 2 AS n FROM documents),
+w AS (SELECT doc_id, k, substr(x, 2 * k + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, x, unnest(range(0, greatest(n - {LENGTH - 1}, 0))) AS k FROM h)),
+m AS (SELECT w.doc_id, k FROM w JOIN (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1) USING (s) WHERE least < w.doc_id),
+i AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM (SELECT *, (k > coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k), -{LENGTH + 1}) + {LENGTH})::INT AS fresh FROM m)),
+r AS (SELECT doc_id, min(k) AS a, max(k) + {LENGTH} AS b FROM i GROUP BY doc_id, run),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+g AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last FROM q JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM h LEFT JOIN g USING (doc_id)
+"""
