@@ -29,7 +29,7 @@ WHERE levenshtein(name, "similar") BETWEEN 1 AND lim AND NOT (length("similar")
 
 
 def homoglyph(spark, d):
-    name = F.concat(F.split_part(F.substring("text", 1, 60), F.lit(" "), F.lit(1)), F.when(F.col("doc_id") % 7 == 0, F.chr(F.lit(8203)) if False else F.lit("​")).when(F.col("doc_id") % 11 == 0, F.lit("‮")).otherwise(F.lit("")))
+    name = F.concat(F.split_part(F.substring("text", 1, 60), F.lit(" "), F.lit(1)), F.when(F.col("doc_id") % 7 == 0, F.lit("\u200b")).when(F.col("doc_id") % 11 == 0, F.lit("\u202e")).otherwise(F.lit("")))
     return table(spark, d, "documents").select("doc_id", F.array_join(text.homoglyphs(name), ",").alias("found"))
 
 
