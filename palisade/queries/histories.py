@@ -120,14 +120,14 @@ def new_dep_profile(spark, d):
     """Findings on the parts that a customer's last order has and the one before hasn't."""
     x = _order_parts(spark, d).filter("l_partkey is not null").groupBy("o_custkey", "l_partkey").agg(F.min("back").alias("first"), F.max("back").alias("last"), F.max("o_orderdate").alias("publish_time"))
     new = x.filter("first = 1 and last = 1")
-    parts = table(spark, d, "part").filter("p_partkey % 13 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("known"), (F.col("p_size").cast("bigint") * DAY_MS).alias("dep_age_ms"), (F.col("p_partkey") % 4).cast("int").alias("dep_maintainers"), (F.col("p_size") % 5).alias("dep_versions"), (F.col("p_partkey") % 3).cast("string").alias("dep_publisher"), (F.col("p_partkey") % 7 == 0).alias("dep_scripts"))
+    parts = table(spark, d, "part").filter("p_size <> 13").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("known"), (F.col("p_size").cast("bigint") * DAY_MS).alias("dep_age_ms"), (F.col("p_partkey") % 4).cast("int").alias("dep_maintainers"), (F.col("p_size") % 5).alias("dep_versions"), (F.col("p_partkey") % 3).cast("string").alias("dep_publisher"), (F.col("p_partkey") % 7 == 0).alias("dep_scripts"))
     pairs = new.join(parts, "l_partkey", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "publisher": (F.col("o_custkey") % 3).cast("string"), "dep_publish_time": F.expr("publish_time + interval '1' day * cast(l_partkey % 5 as int)")})
     return rules.new_dependency_findings(pairs).select("o_custkey", "l_partkey", "signal", "severity")
 
 
 NEW_DEPS = _ORDERS + """,
 n AS (SELECT o_custkey, l_partkey FROM x WHERE l_partkey IS NOT NULL GROUP BY ALL HAVING min(back) = 1 AND max(back) = 1),
-j AS (SELECT n.*, p_partkey IS NOT NULL AS known, p_size, p_partkey FROM n LEFT JOIN (SELECT * FROM part WHERE p_partkey % 13 <> 0) p ON p_partkey = l_partkey),
+j AS (SELECT n.*, p_partkey IS NOT NULL AS known, p_size, p_partkey FROM n LEFT JOIN (SELECT * FROM part WHERE p_size <> 13) p ON p_partkey = l_partkey),
 f AS (
   SELECT o_custkey, l_partkey, 'PHANTOM_DEPENDENCY' AS signal, 'CRITICAL' AS severity FROM j WHERE known AND p_size < 7
   UNION ALL SELECT o_custkey, l_partkey, 'PHANTOM_DEPENDENCY', 'HIGH' FROM j WHERE known AND p_partkey % 4 <= 1 AND p_size % 5 <= 2
@@ -201,8 +201,8 @@ SPIKE = _ORDERS + """, c AS (SELECT o_custkey, count(l_partkey) FILTER (back = 1
 
 
 def risk_score(spark, d):
-    """Scores of users: events by type as signals of several severities; errors of every tenth user are known to be good."""
-    e = table(spark, d, "events").filter("event_id % 40 = user_id % 40")  # the events that are signals
+    """Scores of users: their last seven events as signals of severities by type; errors of every tenth user are known to be good."""
+    e = registry.ranked(table(spark, d, "events"), "user_id", "ts", ["event_id"]).filter("back <= 7")
     kind = F.create_map(*[F.lit(x) for kv in {"click": "LOW", "view": "LOW", "purchase": "MODERATE", "signup": "HIGH", "error": "CRITICAL"}.items() for x in kv])
     signals = e.select(F.col("user_id").alias("name"), F.col("event_type").alias("signal"), F.coalesce(kind[F.col("event_type")], F.lit("OTHER")).alias("severity"), ((F.col("user_id") % 10 == 0) & (F.col("event_type") == "error")).alias("known_good"))
     context = table(spark, d, "events").groupBy(F.col("user_id").alias("name")).agg((F.col("name") % 60 * DAY_MS).alias("package_age_ms"), F.expr("cast(nullif(name % 4, 3) as int)").alias("maintainer_count"))
@@ -210,7 +210,7 @@ def risk_score(spark, d):
 
 
 RISK = f"""
-WITH s AS (SELECT user_id, event_type, CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 5 WHEN 'error' THEN 10 ELSE 1 END * CASE WHEN user_id % 10 = 0 AND event_type = 'error' THEN 0.2 ELSE 1.0 END::DOUBLE AS w FROM events WHERE event_id % 40 = user_id % 40),
+WITH s AS (SELECT user_id, event_type, CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 5 WHEN 'error' THEN 10 ELSE 1 END * CASE WHEN user_id % 10 = 0 AND event_type = 'error' THEN 0.2 ELSE 1.0 END::DOUBLE AS w FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 7),
 g AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k, sum(w::DOUBLE) AS w FROM s GROUP BY 1),
 c AS (
   SELECT u.user_id AS name, coalesce(n, 0) AS n_signals, coalesce(k, 0) AS distinct_signals,
@@ -232,22 +232,21 @@ FLAGGED = "SELECT * FROM (SELECT user_id, count(*) FILTER (event_type = 'error')
 
 
 def provenance_status(spark, d):
+    """A user's last event as attestation: views have none, lookups of errors fail, payloads of clicks can't be read."""
     e = table(spark, d, "events")
-    users = e.select("user_id").distinct()
-    doc = F.when(F.col("event_id") % 5 == 0, F.lit("{not json")).otherwise(F.concat(F.lit('{"predicate":{"buildType":"'), "event_type", F.lit('","invocation":{"configSource":{"uri":"git+'), F.col("user_id").cast("string"), F.lit('"}}}}')))
-    rows = e.filter("event_id % 100 = user_id % 7").select("user_id", F.col("event_id").alias("ord"), F.base64(F.encode(doc, "utf-8")).alias("payload"), (F.col("event_id") % 3).cast("int").alias("tlog_entries"), (F.col("event_id") % 11 != 0).alias("fetched"))
-    rows = rows.filter(F.col("ord") % 5 != 0)
-    return attested.provenance(users, rows, ["user_id"])
+    doc = F.when(F.col("event_type") == "click", F.lit("not json")).otherwise(F.concat(F.lit('{"predicate":{"buildType":"'), "event_type", F.lit('","invocation":{"configSource":{"uri":"git+'), F.col("user_id").cast("string"), F.lit('"}}}}')))
+    last = registry.ranked(e, "user_id", "ts", ["event_id"]).filter("back = 1 and event_type != 'view'")
+    rows = last.select("user_id", F.col("event_id").alias("ord"), F.base64(F.encode(doc, "utf-8")).alias("payload"), (F.col("event_id") % 3).cast("int").alias("tlog_entries"), (F.col("event_type") != "error").alias("fetched"))
+    return attested.provenance(e.select("user_id").distinct(), rows, ["user_id"])
 
 
 PROVENANCE = """
-WITH a AS (SELECT * FROM events WHERE event_id % 100 = user_id % 7 AND event_id % 5 <> 0),
-g AS (SELECT user_id, bool_or(event_id % 11 = 0) AS failed, arg_max(event_type, event_id) AS build_type, bool_or(event_id % 3 > 0) AS logged FROM a GROUP BY 1)
-SELECT u.user_id, CASE WHEN failed IS NULL THEN false WHEN failed THEN NULL ELSE true END AS has_provenance, build_type,
-       CASE WHEN failed IS NOT NULL THEN 'git+' || u.user_id END AS source_repo, CASE WHEN logged THEN 'verified' END AS transparency
-FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN g USING (user_id)
+WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back = 1)
+SELECT user_id, CASE event_type WHEN 'view' THEN false WHEN 'error' THEN NULL WHEN 'click' THEN NULL ELSE true END AS has_provenance, CASE WHEN event_type NOT IN ('view', 'click') THEN event_type END AS build_type,
+       CASE WHEN event_type NOT IN ('view', 'click') THEN 'git+' || user_id END AS source_repo, CASE WHEN event_type NOT IN ('view', 'click') AND event_id % 3 > 0 THEN 'verified' END AS transparency FROM a
 """
 
+
 def direct_preferred(spark, d):
     """Orders as files: their returned lines if they have any, else all."""
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
