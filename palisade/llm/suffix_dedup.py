@@ -128,17 +128,29 @@ class _Slice:
         self.raw = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
 
     def parse(self, bits: int):
+        """Parts as (part, first, last) of ``sent``: of phrases that are equal, only the first of the smallest id goes out."""
         triggers, whole, at, sizes = phrases(self.raw, self.cuts)
-        order = np.argsort(triggers, kind="stable")
-        self.triggers, self.whole, self.at, self.sizes = triggers[order], whole[order], at[order], sizes[order]
-        self.owners = self.ids[np.searchsorted(self.cuts, self.at, "right") - 1]
-        parts = (self.triggers >> np.uint64(64 - bits)).astype(np.int64)
+        owners = self.ids[np.searchsorted(self.cuts, at, "right") - 1]
+        order = np.lexsort((owners, whole, triggers))
+        self.triggers, self.whole, self.at, self.sizes, self.owners = triggers[order], whole[order], at[order], sizes[order], owners[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (self.triggers[1:] != self.triggers[:-1]) | (self.whole[1:] != self.whole[:-1])
+        self.sent = np.flatnonzero(new)
+        self.like = np.cumsum(new) - 1  # of each phrase, its place in ``sent``
+        parts = (self.triggers[self.sent] >> np.uint64(64 - bits)).astype(np.int64)
         ends = np.searchsorted(parts, np.arange((1 << bits) + 1))
         return [(p, a, b) for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < b]
 
+    def spread(self, codes: np.ndarray) -> np.ndarray:
+        """The codes of all phrases from those of ``sent``."""
+        first = self.owners[self.sent][self.like] if len(self.like) else self.owners
+        return np.where(self.owners > first, _ALL, codes[self.like]).astype(np.uint8)
+
 
 def _slice_of(row: pa.Table) -> _Slice:
-    return _Slice(row["ids"][0], row["ends"][0].as_py(), row["data"][0].as_py())
+    out = _Slice(row["ids"][0], row["ends"][0].as_py(), row["data"][0].as_py())
+    out.block = row["block"][0].as_py()
+    return out
 
 
 def _table(rows: list[tuple], fields: dict) -> pa.Table:
@@ -276,7 +288,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = pa.Table.from_batches([batch])
             for i in range(len(rows)):
                 one = _slice_of(rows.slice(i, 1))
-                out = [(p, batch.column(batch.schema.get_field_index("block"))[i].as_py(), _planes(one.triggers[a:b], 6), _planes(one.whole[a:b], 6), _planes(one.owners[a:b], 8)) for p, a, b in one.parse(bits)]
+                out = [(p, batch.column(batch.schema.get_field_index("block"))[i].as_py(), _planes(one.triggers[k], 6), _planes(one.whole[k], 6), _planes(one.owners[k], 8)) for p, a, b in one.parse(bits) for k in [one.sent[a:b]]]
                 yield from _table(out, _SENT).to_batches()
 
     found = slices.mapInArrow(send, _ddl(_SENT)).groupBy("part").applyInArrow(_judge, _ddl(_FOUND))
@@ -287,19 +299,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one = _slice_of(rows.filter(pc.is_valid(rows["data"])))
         rows = rows.filter(pc.is_null(rows["data"]))
         codes = dict(zip(rows["part"].to_pylist(), rows["codes"].to_pylist(), strict=True))
-        out, each, block = [], [], rows["block"][0].as_py() if len(rows) else None
-        for p, a, b in one.parse(bits) if codes else []:
-            if p not in codes:
-                continue
-            code = np.frombuffer(codes[p], np.uint8)
-            full, open_ = a + np.flatnonzero(code == _ALL), a + np.flatnonzero(code == _ASK)
-            each.append(a + np.flatnonzero(code == _ASK_EACH))
-            if len(full):
-                out.append((block, None, one.at[full].tobytes(), one.sizes[full].tobytes(), None, None, None))
+        out, block = [], one.block
+        parts = one.parse(bits)
+        known = np.zeros(len(one.sent), np.uint8)
+        for p, a, b in parts:
+            if p in codes:
+                known[a:b] = np.frombuffer(codes[p], np.uint8)
+        code = one.spread(known)
+        full = np.flatnonzero(code == _ALL)
+        if len(full):
+            out.append((block, None, one.at[full].tobytes(), one.sizes[full].tobytes(), None, None, None))
+        asks = np.flatnonzero(code == _ASK)
+        place = one.like[asks]
+        for p, a, b in parts:
+            open_ = asks[np.searchsorted(place, a) : np.searchsorted(place, b)]
             if len(open_):
                 data = b"".join([one.raw[s : s + n + LENGTH - 1].tobytes() for s, n in zip(one.at[open_].tolist(), one.sizes[open_].tolist(), strict=True)])
                 out.append((block, p, one.at[open_].tobytes(), one.sizes[open_].tobytes(), one.triggers[open_].tobytes(), one.owners[open_].tobytes(), data))
-        each = np.concatenate(each) if each else np.zeros(0, np.int64)
+        each = np.flatnonzero(code == _ASK_EACH)
         if len(each):
             sizes = one.sizes[each]
             at = np.repeat(one.at[each], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
