@@ -31,12 +31,19 @@ def scratch_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows that a task of a narrow table writes, at the most, where the number of rows is known.
+TASK_ROWS = 250_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     Cuts the lineage: a lost executor re-reads these files instead of recomputing, and values such as
-    generated names can't change between two reads.
+    generated names can't change between two reads. ``rows``, a bound on the number of rows of a narrow table, makes few files of
+    few rows.
     """
+    if rows is not None:
+        df = df.coalesce(max(6, rows // TASK_ROWS + 1))
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -27,15 +27,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round keeps one row per node and star, so hot nodes never meet all pairs of their neighbours. The rounds grow as the
     logarithm of the components' size. Edges to oneself keep a node that has no other edge; an empty table gives no rows.
     """
+    rows = 2 * edges.count()
     loops = edges.filter("u = v").select("u", "v")
-    now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large, "large-star", rows)
         stars = _smallest(large)
         small = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v")))
-        after = materialize(small.filter("u != v").distinct(), "small-star")
+        after = materialize(small.filter("u != v").distinct(), "small-star", rows)
         discard(now, large)
         now = after
         if _is_forest_of_stars(now):

@@ -314,13 +314,13 @@ def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         met = known.join(hubs.filter("low != high"), "star").select("class", "n", "component", F.explode("hubs").alias("hub"))
         sizes = (100 * F.col("hub.nu") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("hub.nu"))
         near = met.filter((F.col("hub.cu") != F.col("component")) & sizes).select(F.least("hub.u", "class").alias("u"), F.greatest("hub.u", "class").alias("v"))
-        near = materialize(near.distinct(), "near")
+        near = materialize(near.distinct(), "near", 2 * n_classes)
         found = materialize(_verified(near, sets, threshold), "star-links")
         discard(near)
         links.append(found)
         n_found = found.count()
         if n_found:
-            groups = materialize(connected_components(_all(links)), "star-components")
+            groups = materialize(connected_components(_all(links)), "star-components", n_classes)
         if n_found * 50 < n_classes:  # what few links are left, the exact search finds as cheaply
             break
     known = _with_components(sets, groups)
