@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,15 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a driver with little to do puts off while disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def squeezed(text: Column) -> Column:
     """Each run of blanks becomes one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.arrays import BYTE_VALUES, SLICE, buffers, mixed, ranges
-from palisade.llm.common import materialize, table
+from palisade.llm.common import materialize, release, table
 
 LENGTH = 50
 GRAM = 20
@@ -334,6 +334,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _table(out, _ASKED)
 
     asked = materialize(known.groupBy("block").applyInArrow(ask, _ddl(_ASKED)), "phrases")
+    del found, known
+    release(docs.sparkSession)
     compared = asked.filter("part is not null and sizes is not null").groupBy("part").applyInArrow(_compare, _ddl(_SPANS))
     compared_each = asked.filter("part is not null and sizes is null").groupBy("part").applyInArrow(_compare_each, _ddl(_SPANS))
     whole = asked.filter("part is null").select("block", "at", "sizes")
