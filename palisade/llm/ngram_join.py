@@ -105,11 +105,15 @@ _BLOCK = "part int, block long, head binary, tokens binary, owners binary"
 
 
 def _token_blocks(docs: DataFrame, text_col: str, size: int, bits: int) -> DataFrame:
-    """Blocks of tokens by the first ``bits`` bits; with each slice of texts, one row of its classes and set sizes (``head``)."""
+    """Blocks of tokens by the first ``bits`` bits; with each slice of texts, one row of its classes and set sizes (``head``).
+
+    A slice's ``block`` is its first row's number, so slices of the same texts stay apart, and a repeated task gives the same ones.
+    """
 
     def compute(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(0))
+            numbers = batch.column(1)
             for first, last in ranges(offsets):
                 tokens, bounds, prints = shingle_sets(data, offsets[first : last + 1], size)
                 if not len(tokens):
@@ -118,14 +122,14 @@ def _token_blocks(docs: DataFrame, text_col: str, size: int, bits: int) -> DataF
                 owners = np.repeat(np.arange(len(n), dtype=np.uint32), n)
                 order = np.argsort(tokens, kind="stable")
                 tokens, owners = tokens[order], owners[order]
-                block = int(mixed(np.array([prints.sum(dtype=np.uint64)]))[0] >> np.uint64(1))
+                block = numbers[first].as_py()
                 parts = (tokens >> np.uint64(64 - bits)).astype(np.int64)
                 ends = np.searchsorted(parts, np.arange((1 << bits) + 1))
-                rows = [(block & ((1 << bits) - 1), block, prints.tobytes() + n.tobytes(), None, None)]
+                rows = [(int(mixed(np.array([block], np.uint64))[0]) & ((1 << bits) - 1), block, prints.tobytes() + n.tobytes(), None, None)]
                 rows += [(p, block, None, _planes(tokens[a:b]), _planes(owners[a:b])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "head", "tokens", "owners"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(compute, _BLOCK)
+    return docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("number")).mapInArrow(compute, _BLOCK)
 
 
 def _count_tokens(rows: pa.Table) -> pa.Table:
@@ -157,7 +161,7 @@ def _shared_sets(threshold: int):
     kinds = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def compute(rows: pa.Table) -> pa.Table:
-        head = next(h for h in rows["head"].to_pylist() if h is not None)
+        (head,) = [h for h in rows["head"].to_pylist() if h is not None]
         prints, n = np.frombuffer(head, np.uint64).reshape(2, -1)
         n = n.astype(np.int64)
         rows = rows.filter(pc.is_null(rows["head"]))

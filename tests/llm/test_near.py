@@ -75,6 +75,31 @@ def test_repeated_rows_and_null_ids(spark, none):
     assert N.jaccard_groups(none).count() == 0 and N.jaccard_dedup(none).count() == 0
 
 
+def in_files(spark, tmp_path, files):
+    """A table of one file per list of rows."""
+    for rows in files:
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    return spark.read.parquet(str(tmp_path / "docs"))
+
+
+def test_same_texts_in_another_order(spark, tmp_path):
+    rng = random.Random(5)
+    a, b = words(rng, 40), words(rng, 40)
+    df = in_files(spark, tmp_path, [[(1, a), (2, b)], [(3, b), (4, a)]])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.jaccard_groups(df).collect()} == brute({1: a, 2: b, 3: b, 4: a})
+    assert sorted(r["doc_id"] for r in N.jaccard_dedup(df).collect()) == [1, 2]
+    sets = {r["class"]: r for r in N.candidate_sets(df, "text", N.WORDS, N.THRESHOLD, 1000).collect()}
+    assert [len(r["tokens"]) for r in sets.values()] == [36, 36] and len({t for r in sets.values() for t in r["tokens"]}) == 72
+
+
+def test_slices_of_one_text_stay_apart(spark, tmp_path):
+    text = words(random.Random(6), 200)
+    df = in_files(spark, tmp_path, [[(1000 * k + i, text) for i in range(1000)] for k in range(4)])
+    heads = N._token_blocks(df, "text", N.WORDS, 6).filter("head is not null").select("block").collect()
+    assert len(heads) >= 4 and len({r["block"] for r in heads}) == len(heads)
+    assert {(r["n_shingles"], r["component_id"]) for r in N.jaccard_groups(df).collect()} == {(196, 0)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(900, 900)]
