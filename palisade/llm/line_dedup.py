@@ -36,7 +36,8 @@ def _digest(value: Column) -> list[Column]:
 def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
     """``h1, h2, template, docs`` of each masked line whose template ``least_docs`` documents or more have.
 
-    ``h1, h2`` is the masked line's 128-bit digest; ``docs`` counts each line once a document.
+    ``h1, h2`` is the masked line's 128-bit digest; ``docs`` counts different documents, however many lines of the template one has.
+    Sums over lines only rule out what can't recur; what is left is counted by the documents that own its lines.
     """
     masked = F.array_distinct(F.transform(_lines(F.col(text_col)), _masked))
     lines = docs.select(F.explode(F.filter(masked, lambda x: x != "")).alias("line")).groupBy("line").agg(F.count("*").alias("docs"))
@@ -45,8 +46,14 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     lines = materialize(lines.withColumn("leaf", leaf), "lines")
     leaves = lines.groupBy("leaf").agg(F.sum("docs").alias("in_leaf")).filter(F.col("in_leaf") >= least_docs)
     some = materialize(lines.join(leaves, "leaf").select("leaf", "line", "docs", *_digest(F.col("line"))), "leaf-lines")
+    owned = docs.withColumn("number", F.monotonically_increasing_id()).select("number", F.explode(F.filter(masked, lambda x: x != "")).alias("line"))
+    owned = materialize(owned.select("number", *_digest(F.col("line"))).join(some.select("h1", "h2"), ["h1", "h2"]), "line-owners")
     placed = some.select("leaf", "h1", "h2", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    held = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("held")).filter(F.col("held") >= least_docs).select("leaf", "at", "token", F.lit(True).alias("fixed"))
+    sums = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("held"), F.max("docs").alias("most")).filter(F.col("held") >= least_docs)
+    sums = materialize(sums.select("leaf", "at", "token", (F.col("most") >= least_docs).alias("fixed")), "tokens")
+    unsure = placed.join(sums.filter("not fixed").drop("fixed"), ["leaf", "at", "token"]).join(owned, ["h1", "h2"]).select("leaf", "at", "token", "number").distinct()
+    counted = unsure.groupBy("leaf", "at", "token").count().filter(F.col("count") >= least_docs).select("leaf", "at", "token", F.lit(True).alias("fixed"))
+    held = sums.filter("fixed").unionByName(counted)
     marked = placed.join(held, ["leaf", "at", "token"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
     field = F.when(F.col("fixed"), F.col("token")).otherwise(FIELD)
     general = marked.groupBy("h1", "h2").agg(
@@ -54,9 +61,11 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     )
     template = F.when(F.col("share") >= fixed_share, F.col("general")).otherwise(F.col("line"))
     named = materialize(some.join(general, ["h1", "h2"]).select("h1", "h2", "docs", template.alias("template")), "templates")
-    often = named.groupBy("template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
+    likely = named.groupBy("template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("template")
+    owners = named.join(likely, "template").select("h1", "h2", "template").join(owned, ["h1", "h2"]).select("template", "number").distinct()
+    often = owners.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
     out = materialize(named.select("h1", "h2", "template").join(often, "template").select("h1", "h2", "template", "docs"), "recurring")
-    discard(lines, some, named)
+    discard(lines, some, owned, sums, named)
     return out
 
 
@@ -64,7 +73,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per input row: the columns of ``docs`` with ``text_col`` rid of recurring lines, ``n_lines`` and ``n_dropped``.
 
     Lines end at newlines. Blank lines stay and count for no template. A null text stays null and has no lines; an empty one has one
-    blank line. A template recurs if lines of it are in ``least_docs`` documents, counting each different line once a document. Rows
+    blank line. A template recurs if lines of it are in ``least_docs`` different documents. Rows
     that repeat count as documents of their own and are treated alike. An input column named ``n_lines`` or ``n_dropped`` is
     replaced. An empty table gives no rows.
     """

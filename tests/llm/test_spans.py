@@ -110,6 +110,15 @@ def test_line_templates_generalise_fields(spark):
     assert names == {"job <*> done in the usual place today"}
 
 
+def test_lines_of_one_document_count_once(spark):
+    log = "\n".join(f"user login failed for name{c}" for c in "abcdefghijkl")
+    rows = [(1, log), (2, log.replace("name", "other"))] + [(k, f"job run ended for {c}x\njob run ended for {c}y") for k, c in enumerate("abcdefghij", 10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in L.drop_recurring_lines(df).collect()}
+    assert out[1] == (log, 0) and out[2][1] == 0 and {out[k] for k in range(10, 20)} == {("", 2)}
+    assert {(r["template"], r["docs"]) for r in L.recurring_lines(df).collect()} == {("job run ended for <*>", 10)}
+
+
 def test_repeated_rows_and_extra_columns(spark):
     rows = [(1, "same line here\nown", 5, 6)] * 12
     out = L.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string, n_lines int, gone int"))
