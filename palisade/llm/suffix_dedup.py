@@ -1,4 +1,4 @@
-"""Removal of repeated 50-byte strings by a parse into phrases and a sorted dictionary of them.
+"""Removal of repeated 50-byte strings by a parse into phrases and hash groups of their strings.
 
 A rolling hash of 20 bytes has a trigger in each 50-byte string: the place where that hash is least. Consecutive strings with the same
 trigger form a phrase, so each 50-byte string is in one phrase of its text, and equal strings have equal triggers wherever they
@@ -6,8 +6,9 @@ are. (With triggers where a hash is 0 modulo p, some strings would hold none, an
 
 1. Parse: all phrases of all texts, as (trigger, phrase hash, document), meet by trigger. A phrase that also is in a document of
    a smaller id is repeated as a whole. Only where one trigger has several phrases, the strings themselves must be compared.
-2. Dictionary: of each such phrase, its first document gives the bytes. All suffixes of these phrases, cut to 50 bytes, are
-   sorted by trigger and content, and equal neighbours find the smallest document of each string.
+2. Dictionary: of each such phrase, its first document gives the bytes. Their 50-byte strings are sorted
+   by trigger and hash, and equal neighbours find the smallest document of each string. There are no suffix arrays and no
+   corpus order: only equality of strings is asked for.
 3. Both results go back to the texts, where removed strings are joined to spans.
 
 Texts stay in compressed slices of about 1 MB; what travels by trigger is about a sixth of the texts.
