@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -27,11 +27,15 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+#: Has Spark remove a query's shuffle files when it ends, instead of when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that a task of a narrow table writes, at the most, where the number of rows is known.
 TASK_ROWS = 250_000
 
@@ -40,14 +44,19 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     Cuts the lineage: a lost executor re-reads these files instead of recomputing, and values such as
-    generated names can't change between two reads. ``rows``, a bound on the number of rows of a narrow table, makes few files of
-    few rows.
+    generated names can't change between two reads. The shuffle files behind ``df`` go once it is written. ``rows``, a bound on the
+    number of rows of a narrow table, makes few files of few rows.
     """
     if rows is not None:
         df = df.coalesce(max(6, rows // TASK_ROWS + 1))
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -63,15 +72,6 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of frames that nothing refers to any more.
-
-    It does so when the driver collects garbage, which a driver with little to do puts off while disks fill.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def squeezed(text: Column) -> Column:
     """Each run of blanks becomes one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")

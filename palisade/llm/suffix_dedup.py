@@ -1,17 +1,21 @@
-"""Removal of repeated 50-byte strings by a parse into phrases and hash groups of their strings.
-
-A rolling hash of 20 bytes has a trigger in each 50-byte string: the place where that hash is least. Consecutive strings with the same
-trigger form a phrase, so each 50-byte string is in one phrase of its text, and equal strings have equal triggers wherever they
-are. (With triggers where a hash is 0 modulo p, some strings would hold none, and be missed.)
-
-1. Parse: all phrases of all texts, as (trigger, phrase hash, document), meet by trigger. A phrase that also is in a document of
-   a smaller id is repeated as a whole. Only where one trigger has several phrases, the strings themselves must be compared.
-2. Dictionary: of each such phrase, its first document gives the bytes. Their 50-byte strings are sorted
-   by trigger and hash, and equal neighbours find the smallest document of each string. There are no suffix arrays and no
-   corpus order: only equality of strings is asked for.
+"""Removal of repeated 50-byte strings by a parse into phrases, whose dictionary is sorted into suffix arrays.
+
+Triggers. A rolling hash of 20 bytes has a trigger in each 50-byte string: the place where that hash is least. Consecutive strings
+with the same trigger form a phrase, so each 50-byte string is in one phrase of its text, and equal strings have equal triggers
+wherever they are. (With triggers where a hash is 0 modulo p, some strings would hold none, and be missed.) Neighbouring phrases
+overlap by 49 bytes, so no 50-byte suffix that the order is asked for runs over a phrase's end.
+
+1. Parse: the distinct phrases of each block of texts, as (trigger, fingerprint, smallest document), meet by trigger. A phrase that also is
+   in a document of a smaller id is repeated as a whole. Only where one trigger has several phrases is the dictionary needed.
+2. Dictionary: of each such phrase, its first document gives the bytes. The suffixes of a range of triggers' phrases are sorted by
+   their bytes to a depth of 50: the dictionary's suffix array. Where neighbours in it agree in 50 bytes, their phrases' documents,
+   taken from the parse, follow each other in the corpus order, and all but the smallest lose the string.
 3. Both results go back to the texts, where removed strings are joined to spans.
 
-Texts stay in compressed slices of about 1 MB; what travels by trigger is about a sixth of the texts.
+As phrases overlap by 49 bytes, the order of the parse never decides between two suffixes: of the parse, each phrase's smallest document is all
+that the corpus order needs. Whole phrases are told by their trigger and 80 bits of fingerprint, their strings by their bytes.
+
+Texts stay in compressed blocks; what travels by trigger is about a sixth of the texts.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.arrays import BYTE_VALUES, SLICE, buffers, mixed, ranges
-from palisade.llm.common import materialize, release, table
+from palisade.llm.common import materialize, table
 
 LENGTH = 50
 GRAM = 20
 #: Bytes of text for each range of triggers.
 RANGE_BYTES = 4 << 20
+#: Bytes of texts in a block. Of equal phrases of a block one travels, so this bounds what meets of a phrase that all texts hold.
+BLOCK = 4 << 20
 #: Phrases of one trigger up to which they are compared in one task; of more, each string goes by its own hash.
 WIDE = 2048
 #: A null id comes after all others.
@@ -53,9 +59,27 @@ def _window_hashes(h: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
     return mixed(h[32][at] * _C[5] + h[16][at + 32] * _C[6] + h[2][at + 48])
 
 
-def phrases(raw: np.ndarray, cuts: np.ndarray, most: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Triggers, phrase hashes, places and numbers of strings of all phrases. ``cuts``: where texts begin, and the end."""
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+def _second_hashes(h: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """As _window_hashes(), independent of those."""
+    return mixed(h[32][at] * _C[10] + h[32][at + 18] * _C[11])
+
+
+def _both_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the 50 bytes from each of the places ``at``, about SLICE bytes at once."""
+    x, y = np.zeros((2, len(at)), np.uint64)
+    order = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[order], np.arange(0, len(raw) + SLICE, SLICE))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if a < b:
+            mine = order[a:b]
+            h = _rolled(raw[k * SLICE : (k + 1) * SLICE + LENGTH])
+            x[mine], y[mine] = _window_hashes(h, at[mine] - k * SLICE), _second_hashes(h, at[mine] - k * SLICE)
+    return x, y
+
+
+def phrases(raw: np.ndarray, cuts: np.ndarray, most: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Triggers, both phrase hashes, places and numbers of strings of all phrases. ``cuts``: where texts begin, and the end."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for lo in range(0, max(len(raw) - LENGTH + 1, 0), most):
         part = raw[lo : lo + most + LENGTH - 1]
         n = len(part) - LENGTH + 1
@@ -85,20 +109,21 @@ def phrases(raw: np.ndarray, cuts: np.ndarray, most: int = SLICE) -> tuple[np.nd
             sizes = np.minimum(np.repeat(sizes, pieces) - within * LENGTH, LENGTH)
             starts = np.repeat(starts, pieces) + within * LENGTH
         whole = mixed(_window_hashes(h, starts) * _C[8] + _window_hashes(h, starts + sizes - 1) * _C[9] + sizes.astype(np.uint64))
+        more = mixed(_second_hashes(h, starts) * _C[13] + _second_hashes(h, starts + sizes - 1) * _C[14] + sizes.astype(np.uint64))
         even = mixed(low[starts] + _C[12])  # least hashes are small; ranges of these hold about the same
-        found.append((even, whole, starts + lo, sizes))
+        found.append((even, whole, (more >> np.uint64(32)).astype(np.uint32), starts + lo, sizes))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
-    """The upper ``width`` bytes of 64-bit values, bytes of equal weight together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, 8 - width :].T).tobytes()
+    """The upper ``width`` bytes of integers, bytes of equal weight together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, -width:].T).tobytes()
 
 
 def _from_planes(b: bytes, width: int, dtype=np.uint64) -> np.ndarray:
     planes = np.frombuffer(b, np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 8 - width :] = planes.T
+    out = np.zeros((planes.shape[1], np.dtype(dtype).itemsize), np.uint8)
+    out[:, -width:] = planes.T
     return out.view(dtype).ravel()
 
 
@@ -109,7 +134,7 @@ def text_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def cut(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for first, last in ranges(offsets):
+            for first, last in ranges(offsets, BLOCK):
                 lo, hi = int(offsets[first]), int(offsets[last])
                 packed = pa.compress(data[lo:hi].tobytes(), codec="zstd", asbytes=True)
                 ids = pa.ListArray.from_arrays([0, last - first], batch.column(0).slice(first, last - first))
@@ -130,12 +155,12 @@ class _Slice:
 
     def parse(self, bits: int):
         """Parts as (part, first, last) of ``sent``: of phrases that are equal, only the first of the smallest id goes out."""
-        triggers, whole, at, sizes = phrases(self.raw, self.cuts)
+        triggers, whole, more, at, sizes = phrases(self.raw, self.cuts)
         owners = self.ids[np.searchsorted(self.cuts, at, "right") - 1]
-        order = np.lexsort((owners, whole, triggers))
-        self.triggers, self.whole, self.at, self.sizes, self.owners = triggers[order], whole[order], at[order], sizes[order], owners[order]
+        order = np.lexsort((owners, more, whole, triggers))
+        self.triggers, self.whole, self.more, self.at, self.sizes, self.owners = triggers[order], whole[order], more[order], at[order], sizes[order], owners[order]
         new = np.ones(len(order), bool)
-        new[1:] = (self.triggers[1:] != self.triggers[:-1]) | (self.whole[1:] != self.whole[:-1])
+        new[1:] = (self.triggers[1:] != self.triggers[:-1]) | (self.whole[1:] != self.whole[:-1]) | (self.more[1:] != self.more[:-1])
         self.sent = np.flatnonzero(new)
         self.like = np.cumsum(new) - 1  # of each phrase, its place in ``sent``
         parts = (self.triggers[self.sent] >> np.uint64(64 - bits)).astype(np.int64)
@@ -159,7 +184,7 @@ def _table(rows: list[tuple], fields: dict) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
 
 
-_SENT = {"part": pa.int32(), "block": pa.int64(), "triggers": pa.binary(), "whole": pa.binary(), "owners": pa.binary()}
+_SENT = {"part": pa.int32(), "block": pa.int64(), "triggers": pa.binary(), "whole": pa.binary(), "more": pa.binary(), "owners": pa.binary()}
 _FOUND = {"block": pa.int64(), "part": pa.int32(), "codes": pa.binary()}
 _ASKED = {"block": pa.int64(), "part": pa.int32(), "at": pa.binary(), "sizes": pa.binary(), "triggers": pa.binary(), "owners": pa.binary(), "data": pa.binary()}
 _SPANS = {"block": pa.int64(), "at": pa.binary(), "masks": pa.binary()}
@@ -180,11 +205,12 @@ def _judge(rows: pa.Table) -> pa.Table:
     sizes = [len(t) for t in triggers]
     trigger = np.concatenate(triggers)
     whole = np.concatenate([_from_planes(b, 6) for b in rows["whole"].to_pylist()])
+    more = np.concatenate([_from_planes(b, 4, np.uint32) for b in rows["more"].to_pylist()])
     owner = np.concatenate([_from_planes(b, 8, np.int64) for b in rows["owners"].to_pylist()])
-    order = np.lexsort((owner, whole, trigger))
-    t, w, d = trigger[order], whole[order], owner[order]
+    order = np.lexsort((owner, more, whole, trigger))
+    t, w, m, d = trigger[order], whole[order], more[order], owner[order]
     new_t = np.concatenate([[True], t[1:] != t[:-1]])
-    new_w = new_t | np.concatenate([[True], w[1:] != w[:-1]])
+    new_w = new_t | np.concatenate([[True], (w[1:] != w[:-1]) | (m[1:] != m[:-1])])
     t_at, w_at = np.flatnonzero(new_t), np.flatnonzero(new_w)
     t_of, w_of = np.cumsum(new_t) - 1, np.cumsum(new_w) - 1
     several = np.minimum.reduceat(d, t_at) != np.maximum.reduceat(d, t_at)
@@ -202,32 +228,33 @@ def _judge(rows: pa.Table) -> pa.Table:
     return _table(out, _FOUND)
 
 
-def _fingerprints(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the 50 bytes from each of the places ``at``."""
-    h = _rolled(raw)
-    return _window_hashes(h, at), mixed(h[32][at] * _C[10] + h[32][at + 18] * _C[11])
-
-
-def _later(a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which strings, told by ``a`` and ``b``, a smaller owner has too."""
-    order = np.lexsort((owner, b, a))
-    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+def _later(keys: tuple[np.ndarray, ...], owner: np.ndarray) -> np.ndarray:
+    """Which strings, told by ``keys``, a smaller owner has too."""
+    order = np.lexsort((owner, *reversed(keys)))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
     least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     gone = np.zeros(len(owner), bool)
     gone[order] = least < owner[order]
     return gone
 
 
-def _repeated(raw: np.ndarray, sizes: np.ndarray, triggers: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """Of phrases one after another in ``raw``, a bit for each string that a document of a smaller id has."""
+def _fifty(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The 50 bytes from each of the places ``at`` as seven integers, whose order is that of the bytes."""
+    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    return tuple(np.ascontiguousarray(eight[at + k]).view(">u8").ravel().astype(np.uint64) for k in (0, 8, 16, 24, 32, 40, 42))
+
+
+def _repeated(raw: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Of phrases one after another in ``raw``, a bit for each string that a document of a smaller id has.
+
+    The phrases' suffixes of 50 bytes or more are sorted by their first 50 bytes, and equal ones by document.
+    """
     lengths = sizes + LENGTH - 1
     starts = np.cumsum(lengths) - lengths
     first = np.cumsum(sizes) - sizes
     offset = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    at = np.repeat(starts, sizes) + offset
-    a, b = _fingerprints(raw, at)
-    a ^= mixed(np.repeat(triggers, sizes))
-    gone = _later(a, b, np.repeat(owners, sizes))
+    gone = _later(_fifty(raw, np.repeat(starts, sizes) + offset), np.repeat(owners, sizes))
     return np.bitwise_or.reduceat(np.where(gone, np.uint64(1) << offset.astype(np.uint64), np.uint64(0)), first)
 
 
@@ -248,7 +275,7 @@ def _compare(rows: pa.Table) -> pa.Table:
         hi = int(ends[np.searchsorted(ends, max(aim, lo + 1))]) if aim < len(order) else len(order)
         mine = order[lo:hi]
         place = np.repeat(starts[mine] - (np.cumsum(lengths[mine]) - lengths[mine]), lengths[mine]) + np.arange(lengths[mine].sum())
-        masks[mine] = _repeated(raw[place], sizes[mine], triggers[mine], owners[mine])
+        masks[mine] = _repeated(raw[place], sizes[mine], owners[mine])
         lo = hi
     out, k = [], 0
     for block, places in zip(rows["block"].to_pylist(), get("at", np.int64), strict=True):
@@ -263,7 +290,7 @@ def _compare_each(rows: pa.Table) -> pa.Table:
     """As _compare(), of single strings that came by their own hashes."""
     get = lambda name, kind: [np.frombuffer(b, kind) for b in rows[name].to_pylist()]
     places = get("at", np.int64)
-    gone = _later(np.concatenate(get("triggers", np.uint64)), np.concatenate(get("data", np.uint64)), np.concatenate(get("owners", np.int64)))
+    gone = _later((np.concatenate(get("triggers", np.uint64)), np.concatenate(get("data", np.uint64))), np.concatenate(get("owners", np.int64)))
     out, k = [], 0
     for block, at in zip(rows["block"].to_pylist(), places, strict=True):
         found = at[gone[k : k + len(at)]]
@@ -289,7 +316,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = pa.Table.from_batches([batch])
             for i in range(len(rows)):
                 one = _slice_of(rows.slice(i, 1))
-                out = [(p, batch.column(batch.schema.get_field_index("block"))[i].as_py(), _planes(one.triggers[k], 6), _planes(one.whole[k], 6), _planes(one.owners[k], 8)) for p, a, b in one.parse(bits) for k in [one.sent[a:b]]]
+                out = [(p, batch.column(batch.schema.get_field_index("block"))[i].as_py(), _planes(one.triggers[k], 6), _planes(one.whole[k], 6), _planes(one.more[k], 4), _planes(one.owners[k], 8)) for p, a, b in one.parse(bits) for k in [one.sent[a:b]]]
                 yield from _table(out, _SENT).to_batches()
 
     found = slices.mapInArrow(send, _ddl(_SENT)).groupBy("part").applyInArrow(_judge, _ddl(_FOUND))
@@ -321,9 +348,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if len(each):
             sizes = one.sizes[each]
             at = np.repeat(one.at[each], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            x, y = _fingerprints(one.raw, at)
+            x, y = _both_hashes(one.raw, at)
             owners = np.repeat(one.owners[each], sizes)
-            here = _later(x, y, owners)  # of a slice, only the first document's strings go out
+            here = _later((x, y), owners)  # of a slice, only the first document's strings go out
             if here.any():
                 out.append((block, None, at[here].tobytes(), np.ones(here.sum(), np.int64).tobytes(), None, None, None))
             order = np.flatnonzero(~here)[np.argsort(x[~here], kind="stable")]
@@ -335,8 +362,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _table(out, _ASKED)
 
     asked = materialize(known.groupBy("block").applyInArrow(ask, _ddl(_ASKED)), "phrases")
-    del found, known
-    release(docs.sparkSession)
     compared = asked.filter("part is not null and sizes is not null").groupBy("part").applyInArrow(_compare, _ddl(_SPANS))
     compared_each = asked.filter("part is not null and sizes is null").groupBy("part").applyInArrow(_compare_each, _ddl(_SPANS))
     whole = asked.filter("part is null").select("block", "at", "sizes")

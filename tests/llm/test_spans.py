@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.llm import line_dedup as L
 from palisade.llm import secret_scan as S
 from palisade.llm import suffix_dedup as X
+from palisade.llm.arrays import ranges
 from tests.llm.conftest import DOCUMENTS
 
 
@@ -56,10 +57,26 @@ def test_suffix(docs, rows, wide, monkeypatch):
 def test_suffix_with_small_slices(docs, rows):
     # slices of a few hundred bytes cut long texts and put each text into a slice of its own
     parts = X.phrases(np.frombuffer(b"abcdefghij" * 40, np.uint8), np.array([0, 150, 400]), most=64)
-    starts = np.concatenate([np.arange(a, a + n) for a, n in zip(parts[2], parts[3], strict=True)])
+    starts = np.concatenate([np.arange(a, a + n) for a, n in zip(parts[3], parts[4], strict=True)])
     assert sorted(starts.tolist()) == [*range(0, 101), *range(150, 351)]
 
 
+def test_dictionary_is_sorted_by_bytes():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 99, 400, dtype=np.uint8)
+    at = np.arange(len(raw) - 49)
+    order = np.lexsort(tuple(reversed(X._fifty(raw, at))))
+    strings = [bytes(raw[k : k + 50]) for k in at]
+    assert [strings[k] for k in order] == sorted(strings)
+    both = X._both_hashes(np.tile(raw, 3), np.array([0, 400, 7, 1]))
+    assert both[0][0] == both[0][1] and len(set(both[1].tolist())) == 3
+
+
+def test_suffix_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(X, "ranges", lambda offsets, most: ranges(offsets, 500))  # most blocks hold one text
+    assert spans_of(docs) == brute_spans([(i, t) for i, t, *_ in rows])
+
+
 def test_suffix_ties_and_constant_text(spark, none):
     rows = [(5, "a" * 300), (3, "a" * 80), (5, "b" * 60 + "a" * 60), (9, "x" * 49), (1, "x" * 49), (4, ("ab" * 40) + "é" * 30), (6, "é" * 30), (7, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
