@@ -58,40 +58,55 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _ODD + (b ^ (b >> np.uint64(29))) * _MIX_B)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 19
+_BASE = 0xD1342543DE82EF95
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        base = 0xD1342543DE82EF95
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, b, np.uint64)
+def powers() -> list[np.ndarray]:
+    """Powers of an odd base modulo 2**64, and of its inverse, up to PIECE."""
+    if not _powers:
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.full(PIECE, b, np.uint64)
             p[0] = 1
-            both.append(np.cumprod(p))
-        _powers.clear()
-        _powers[size] = tuple(both)
-    return _powers[size]
+            _powers.append(np.cumprod(p))
+    return _powers
 
 
 def words(data: np.ndarray, is_word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the runs of bytes for which the table ``is_word`` holds; runs end at ``cuts``."""
-    if len(data) == 0:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none
-    inside = is_word[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cuts = cuts[cuts < len(data)]
-    begins[cuts] = inside[cuts]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    before = cuts[cuts > 0] - 1
-    ends[before] = inside[before]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=total[1:])
-    return mixed((total[stops] - total[starts]) * down[starts]), starts, stops
+    """Hashes, starts and ends of the runs of bytes for which the table ``is_word`` holds; runs end at the sorted ``cuts``.
+
+    Works through PIECE bytes at a time, and hashes runs over several pieces as others, so what is held beside ``data`` and the
+    results doesn't grow.
+    """
+    none = np.zeros(0, np.int64)
+    starts, stops, at_start, at_stop, inverse = [none], [none], [none.view(np.uint64)], [none.view(np.uint64)], [none.view(np.uint64)]
+    up, down = powers()
+    before, scale, unscale = np.zeros(1, np.uint64), 1, 1
+    for lo in range(0, len(data), PIECE):
+        part = data[lo : lo + PIECE]
+        n = len(part)
+        inside = is_word[part]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        begins[0] &= not (lo and is_word[data[lo - 1]])
+        ends[-1] &= not (lo + n < len(data) and is_word[data[lo + n]])
+        here = cuts[np.searchsorted(cuts, lo) : np.searchsorted(cuts, lo + n)] - lo
+        begins[here] = inside[here]
+        last = cuts[np.searchsorted(cuts, lo, "right") : np.searchsorted(cuts, lo + n, "right")] - lo - 1
+        ends[last] = inside[last]
+        first, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[part] * up[:n], out=total[1:])
+        factor = np.array([scale], np.uint64)
+        starts.append(first + lo)
+        stops.append(stop + lo)
+        at_start.append(before + total[first] * factor)
+        at_stop.append(before + total[stop] * factor)
+        inverse.append(down[first] * np.array([unscale], np.uint64))
+        before = before + total[-1:] * factor
+        scale, unscale = scale * pow(_BASE, PIECE, 2**64) % 2**64, unscale * pow(_BASE, -PIECE, 2**64) % 2**64
+    hashes = mixed((np.concatenate(at_stop) - np.concatenate(at_start)) * np.concatenate(inverse))
+    return hashes, np.concatenate(starts), np.concatenate(stops)

@@ -5,9 +5,11 @@ many documents have a token and then by its hash. Two sets of Jaccard similarity
 n - ceil(t * n) + k of their n tokens. So a class is indexed by the single tokens of such a prefix if they are rare, and by pairs of
 tokens (k = 2) if they are frequent; what meets there is verified.
 
-Tokens travel in blocks: a task turns about 1 MB of texts into sorted arrays of tokens, one block per range of hashes, where they are
-counted. Tokens that one document alone has go no further, because no intersection holds them: they only count in a prefix. A
-class with so many of them that no other set can be similar is dropped there. What is left is ordinary DataFrames.
+Texts lie in blocks. A block sends each of its distinct tokens once, with the number of its documents that have it, to the token's range
+of hashes, where the counts are added up; so however many documents share a token, a task gets one number of it from each block.
+The sums come back to the block. Tokens that one document alone has go no further, because no intersection holds them:
+they only count in a prefix. A class with so many of them that no other set can be similar is dropped there. What is left is
+ordinary DataFrames. A class is told by 128 bits of its set's fingerprint, and then named by the number of a row that has it.
 
 Large groups of near copies never meet as all pairs. First each class is compared with one other per sampled token, and
 components of those links are formed; from then on only classes of different components are paired.
@@ -20,8 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from palisade.llm.arrays import BLANK, LOWER, buffers, mixed, paired, ranges, words
+from palisade.llm.arrays import BLANK, LOWER, mixed, paired, ranges, words
+from palisade.llm.blocks import from_planes, planes, text_blocks, texts_of
 from palisade.llm.common import discard, materialize, table
 from palisade.llm.components import connected_components
 
@@ -32,6 +36,8 @@ THRESHOLD = 75
 RARE = 24
 #: Classes of a frequent token that are compared at once.
 CHUNK = 512
+#: Tokens of a block of such classes that are intersected at once.
+COLUMNS = 2048
 #: Rounds before the exact search, in each of which a class meets two others by one of its tokens.
 ROUNDS = 4
 #: Bytes of text for each range of token hashes.
@@ -40,8 +46,8 @@ RANGE_BYTES = 4 << 20
 _WORD = ~BLANK
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a few texts: tokens, each text's sorted and distinct; where each text's begin; a fingerprint of each set."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a few texts: tokens, each text's sorted and distinct; where each text's begin; two fingerprints of each set."""
     n = len(offsets) - 1
     raw = LOWER[data[offsets[0] : offsets[-1]]]
     cuts = offsets - offsets[0]
@@ -67,131 +73,104 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tu
         new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
         tokens, owners = tokens[new], owners[new]
     bounds = np.searchsorted(owners, np.arange(n + 1))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens ^ whole))])
-    prints = mixed((total[bounds[1:]] - total[bounds[:-1]]) ^ mixed(np.diff(bounds).astype(np.uint64)))
-    return tokens, bounds, prints
+    prints = []
+    for key in (whole, mixed(whole)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens ^ key))])
+        prints.append(mixed((total[bounds[1:]] - total[bounds[:-1]]) ^ mixed(np.diff(bounds).astype(np.uint64))))
+    return tokens, bounds, *prints
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS) -> DataFrame:
-    """``id``, ``n`` (set size), ``class`` (null if the set is empty)."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _block_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets() of a block, about 1 MB of texts at once: tokens, set sizes, fingerprints."""
+    parts = [(tokens, np.diff(bounds), a, b) for first, last in ranges(offsets) for tokens, bounds, a, b in [shingle_sets(data, offsets[first : last + 1], size)]]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def compute(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for first, last in ranges(offsets):
-                _, bounds, prints = shingle_sets(data, offsets[first : last + 1], size)
-                n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(prints.view(np.int64), mask=n == 0)], ["id", "n", "class"])
 
-    return chosen.mapInArrow(compute, f"id {chosen.schema['id'].dataType.simpleString()}, n long, class long")
+#: Bytes of a token that travel.
+_WIDTH = 7
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which the shuffle compresses well when ``x`` is sorted; of tokens the upper 7 bytes."""
-    planes = x.view(np.uint8).reshape(len(x), -1).T
-    return np.ascontiguousarray(planes[1:] if len(planes) == 8 else planes).tobytes()
+def _sent_tokens(size: int, bits: int):
+    """Of each block, its distinct tokens by their first ``bits`` bits, and how many of its documents have them."""
 
+    def compute(batches):
+        for batch in batches:
+            for block, ends, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens, counts = np.unique(_block_sets(*texts_of(ends, data.as_py()), size)[0], return_counts=True)
+                cuts = np.searchsorted((tokens >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+                rows = [(p, block, planes(tokens[a:b], _WIDTH), planes(counts[a:b].astype(np.int32), 4)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "tokens", "counts"])
 
-def _from_planes(b: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(b, np.uint8).reshape(7 if width == 8 else width, -1)
-    out = np.zeros((planes.shape[1], width), np.uint8)
-    out[:, -len(planes) :] = planes.T
-    return out.view(dtype).ravel()
+    return compute
 
 
-_BLOCK = "part int, block long, head binary, tokens binary, owners binary"
+def _count_tokens(rows: pa.Table) -> pa.Table:
+    """Of each block of a part, how many documents of all blocks have its tokens, in the order in which it sent them."""
+    tokens = [from_planes(b, _WIDTH) for b in rows["tokens"].to_pylist()]
+    counts = np.concatenate([from_planes(b, 4, np.int32) for b in rows["counts"].to_pylist()])
+    _, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+    sums = np.minimum(np.bincount(inverse, weights=counts), 2**31 - 1).astype(np.int32)[inverse]
+    cuts = np.cumsum([0, *[len(t) for t in tokens]])
+    found = [planes(sums[a:b], 4) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.Table.from_arrays([rows["block"].combine_chunks(), rows["part"].combine_chunks(), pa.array(found, pa.binary())], ["block", "part", "counts"])
 
 
-def _token_blocks(docs: DataFrame, text_col: str, size: int, bits: int) -> DataFrame:
-    """Blocks of tokens by the first ``bits`` bits; with each slice of texts, one row of its classes and set sizes (``head``).
+def _shared_sets(size: int, threshold: int, keep: pa.Schema):
+    """Each document of a block: what it brought, set size, fingerprints, and if other sets may be similar its shared tokens in the order of all sets.
 
-    A slice's ``block`` is its first row's number, so slices of the same texts stay apart, and a repeated task gives the same ones.
+    Of documents of the block with equal sets, one has the tokens.
     """
-
-    def compute(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            numbers = batch.column(1)
-            for first, last in ranges(offsets):
-                tokens, bounds, prints = shingle_sets(data, offsets[first : last + 1], size)
-                if not len(tokens):
-                    continue
-                n = np.diff(bounds)
-                owners = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-                order = np.argsort(tokens, kind="stable")
-                tokens, owners = tokens[order], owners[order]
-                block = numbers[first].as_py()
-                parts = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-                ends = np.searchsorted(parts, np.arange((1 << bits) + 1))
-                rows = [(int(mixed(np.array([block], np.uint64))[0]) & ((1 << bits) - 1), block, prints.tobytes() + n.tobytes(), None, None)]
-                rows += [(p, block, None, _planes(tokens[a:b]), _planes(owners[a:b])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "head", "tokens", "owners"])
-
-    return docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("number")).mapInArrow(compute, _BLOCK)
-
-
-def _count_tokens(rows: pa.Table) -> pa.Table:
-    """Of each block of a part, the tokens that more than one document has, and how many have them."""
-    out = []
-    heads = rows.filter(pc.is_valid(rows["head"]))
-    rows = rows.filter(pc.is_null(rows["head"]))
-    for block, head in zip(heads["block"].to_pylist(), heads["head"].to_pylist(), strict=True):
-        out.append((block, head, None, None, None))
-    blocks = rows["block"].to_pylist()
-    if blocks:
-        tokens = [_from_planes(b, np.uint64) for b in rows["tokens"].to_pylist()]
-        sizes = [len(t) for t in tokens]
-        every = np.concatenate(tokens)
-        _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        counts = np.minimum(counts, 2**31 - 1).astype(np.int32)[inverse]
-        at = 0
-        for block, size, owner in zip(blocks, sizes, rows["owners"].to_pylist(), strict=True):
-            shared = counts[at : at + size] > 1
-            if shared.any():
-                out.append((block, None, _planes(every[at : at + size][shared]), _planes(_from_planes(owner, np.uint32)[shared]), _planes(counts[at : at + size][shared])))
-            at += size
-    columns = zip(*out, strict=True) if out else [()] * 5
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "head", "tokens", "owners", "counts"])
-
-
-def _shared_sets(threshold: int):
-    """Of the documents of a block, those that other sets may be similar to: class, size, shared tokens in the order of all sets."""
-    kinds = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    kinds = pa.schema([*keep, pa.field("n", pa.int64()), pa.field("p1", pa.int64()), pa.field("p2", pa.int64()), pa.field("tokens", pa.list_(pa.int64()))])
 
     def compute(rows: pa.Table) -> pa.Table:
-        (head,) = [h for h in rows["head"].to_pylist() if h is not None]
-        prints, n = np.frombuffer(head, np.uint64).reshape(2, -1)
-        n = n.astype(np.int64)
-        rows = rows.filter(pc.is_null(rows["head"]))
-        if not len(rows):
-            return kinds.empty_table()
-        tokens = np.concatenate([_from_planes(b, np.uint64) for b in rows["tokens"].to_pylist()])
-        owners = np.concatenate([_from_planes(b, np.uint32) for b in rows["owners"].to_pylist()])
-        counts = np.concatenate([_from_planes(b, np.int32) for b in rows["counts"].to_pylist()])
-        shared = np.bincount(owners, minlength=len(n))
+        own = rows.filter(pc.is_valid(rows["data"]))
+        tokens, n, p1, p2 = _block_sets(*texts_of(own["ends"][0].as_py(), own["data"][0].as_py()), size)
+        found = rows.filter(pc.is_null(rows["data"])).sort_by("part")
+        sums = np.concatenate([np.zeros(0, np.int32), *[from_planes(b, 4, np.int32) for b in found["counts"].to_pylist()]])
+        owners = np.repeat(np.arange(len(n)), n)
+        _, inverse = np.unique(tokens, return_inverse=True)
+        counts = sums[inverse] if len(tokens) else sums
+        several = counts > 1
+        shared = np.bincount(owners[several], minlength=len(n))
         fit = (100 * shared >= threshold * n) & (n > 0)
-        _, once = np.unique(prints, return_index=True)  # one of each class
+        _, once = np.unique(np.rec.fromarrays([p1, p2]), return_index=True)
         chosen = np.zeros(len(n), bool)
         chosen[once] = fit[once]
-        mine = chosen[owners]
+        mine = several & chosen[owners]
         tokens, owners, counts = tokens[mine], owners[mine], counts[mine]
         order = np.lexsort((tokens, counts, owners))
-        which = np.flatnonzero(chosen)
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(shared[which])]).astype(np.int32), pa.array(tokens[order].view(np.int64)))
-        return pa.Table.from_arrays([pa.array(prints[which].view(np.int64)), pa.array(n[which]), lists], schema=kinds)
+        ends = np.concatenate([[0], np.cumsum(np.where(chosen, shared, 0))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((tokens[order] >> np.uint64(8)).view(np.int64)), mask=pa.array(~chosen))
+        brought = [own[f.name].combine_chunks().flatten().cast(f.type) for f in keep]
+        return pa.Table.from_arrays([*brought, pa.array(n, pa.int64()), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), lists], schema=kinds)
 
     return compute
 
 
-def candidate_sets(docs: DataFrame, text_col: str, size: int, threshold: int, n_bytes: int) -> DataFrame:
-    """``class, n, tokens`` of classes that may be similar to another; ``tokens`` are the shared ones in order."""
+def document_sets(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: ``id``, ``number``, ``t1, t2`` (of the text), ``n`` (set size), ``p1, p2`` (of the set), ``tokens``.
+
+    ``tokens`` are the shared tokens, in order, of the sets that others may be similar to; null for other sets and repeated ones.
+    """
+    text = F.col(text_col)
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, n_bytes / RANGE_BYTES)))))
-    blocks = _token_blocks(docs, text_col, size, bits)
-    counted = blocks.groupBy("part").applyInArrow(_count_tokens, "block long, head binary, tokens binary, owners binary, counts binary")
-    shared = counted.groupBy("block").applyInArrow(_shared_sets(threshold), "class long, n long, tokens array<long>")
-    return shared.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("number"), *text_digest(text), text.alias("text"))
+    blocks = materialize(text_blocks(chosen), "text-blocks")
+    sent = blocks.select("block", "ends", "data").mapInArrow(_sent_tokens(size, bits), "part int, block long, tokens binary, counts binary")
+    counted = sent.groupBy("part").applyInArrow(_count_tokens, "block long, part int, counts binary")
+    kept = [f for f in chosen.schema if f.name != "text"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", n long, p1 long, p2 long, tokens array<long>"
+    both = blocks.unionByName(counted, allowMissingColumns=True)
+    out = materialize(both.groupBy("block").applyInArrow(_shared_sets(size, threshold, to_arrow_schema(chosen.drop("text").schema)), schema), "document-sets")
+    discard(blocks)
+    return out
+
+
+def text_digest(text) -> list:
+    """128 bits that tell texts apart, as ``t1, t2``."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -224,7 +203,7 @@ def _sketched(sets: DataFrame) -> DataFrame:
             held = np.diff(offsets)
             tokens = np.asarray(batch.column(1).values)
             bits = np.zeros((len(held), _SKETCH), bool)
-            bits[np.repeat(np.arange(len(held)), held), tokens[offsets[0] : offsets[-1]] >> 8 & (_SKETCH - 1)] = True
+            bits[np.repeat(np.arange(len(held)), held), tokens[offsets[0] : offsets[-1]] & (_SKETCH - 1)] = True
             packed = np.packbits(bits, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.astype(np.int64)), pa.array([b.tobytes() for b in packed], pa.binary())], ["class", "held", "sketch"])
 
@@ -246,17 +225,24 @@ def _meet(threshold: int):
         offsets = np.asarray(lists.offsets)
         tokens = np.asarray(lists.values)[offsets[0] : offsets[-1]]
         row = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        before, after = tokens < token, tokens > token
+        left, right = (np.arange(len(ids)),) * 2 if first == second else (np.flatnonzero(own == first), np.flatnonzero(own == second))
 
-        def matrix(mask):
-            names, at = np.unique(tokens[mask], return_inverse=True)
-            out = np.zeros((len(ids), len(names)), np.float32)
-            out[row[mask], at] = 1
+        def common(mask):
+            """How many of the tokens of ``mask`` each left and right class share, COLUMNS tokens at once."""
+            names, at, held = np.unique(tokens[mask], return_inverse=True, return_counts=True)
+            rows_of, out = row[mask], np.zeros((len(left), len(right)), np.float32)
+            at = (np.cumsum(held > 1) - 1)[at][held[at] > 1]  # a token of one class is in no intersection
+            rows_of = rows_of[held[np.searchsorted(names, tokens[mask])] > 1] if len(names) else rows_of
+            order = np.argsort(at, kind="stable")
+            at, rows_of = at[order], rows_of[order]
+            for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+                here = slice(*np.searchsorted(at, (lo, lo + COLUMNS)).tolist())
+                some = np.zeros((len(ids), COLUMNS), np.float32)
+                some[rows_of[here], at[here] - lo] = 1
+                out += some[left] @ some[right].T
             return out
 
-        left, right = (np.arange(len(ids)),) * 2 if first == second else (np.flatnonzero(own == first), np.flatnonzero(own == second))
-        less, more = matrix(before), matrix(after)
-        good = (less[left] @ less[right].T == 0) & (more[left] @ more[right].T > 0)
+        good = (common(tokens < token) == 0) & (common(tokens > token) > 0)
         good &= component[left][:, None] != component[right][None]
         good &= (100 * n[left][:, None] >= threshold * n[right][None]) & (100 * n[right][None] >= threshold * n[left][:, None])
         a, b = np.nonzero(good)
@@ -362,6 +348,20 @@ def _least_hashed(seed: int):
     return F.aggregate("tokens", F.lit(2**63 - 1), lambda a, t: F.least(a, F.xxhash64(t, F.lit(seed))))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
+    """``id``, ``t1, t2``, ``n`` of each row, and of its group (null for empty sets) the least row as ``best(none, id, t1, t2)``."""
+    rows = document_sets(docs, id_col, text_col, size, threshold)
+    one = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    classes = rows.filter("n > 0").groupBy("p1", "p2").agg(F.min("number").alias("class"), F.first("n").alias("n"), F.first("tokens", ignorenulls=True).alias("tokens"), F.min(one).alias("best"))
+    classes = materialize(classes, "classes")
+    links = similar_classes(classes.filter("tokens is not null").select("class", "n", "tokens"), threshold)
+    groups = materialize(connected_components(links), "components").withColumnRenamed("node", "class")
+    member = classes.select("p1", "p2", "class", "best").join(groups, "class", "left").withColumn("group", F.coalesce("component", "class"))
+    least = member.groupBy("group").agg(F.min("best").alias("best"))
+    named = member.drop("best").join(least, "group").select("p1", "p2", "best")
+    return rows.select("id", "t1", "t2", "n", "p1", "p2").join(named, ["p1", "p2"], "left").select("id", "t1", "t2", "n", F.when(F.col("n") > 0, F.col("best")).alias("best"))
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``.
 
@@ -371,27 +371,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id is a row like others, but never names a component unless all its ids are null. An empty table gives no rows.
     Other columns aren't read, whatever their names.
     """
-    rows = materialize(document_sets(docs, id_col, text_col, size), "document-sets")
-    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    sets = materialize(candidate_sets(docs, text_col, size, threshold, n_bytes), "candidate-sets")
-    links = similar_classes(sets, threshold)
-    groups = materialize(connected_components(links), "components")
-    discard(sets)
-    named = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
-    names = named.filter("group is not null").groupBy("group").agg(F.min("id").alias("least"))
-    out = named.join(names, "group", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    out = _grouped(docs, id_col, text_col, size, threshold)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"))
 
 
 def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, one of each group: that of the smallest id, and one of those if it repeats."""
-    groups = materialize(jaccard_groups(docs, id_col, text_col, size, threshold), "jaccard-groups")
-    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
-    gone = groups.filter(~stays).select(F.col(id_col).alias("__id")).distinct()
-    repeated = groups.filter(stays & (F.col("n_shingles") > 0)).groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
-    keyed = docs.withColumn("__key", F.col(id_col))
-    rest = keyed.join(gone, keyed["__key"].eqNullSafe(gone["__id"]), "left_anti")
-    return (rest.dropDuplicates(["__key"]) if repeated else rest).select(*docs.columns)
+    """The rows of ``docs``, one of each group of jaccard_groups(): one of the smallest id.
+
+    Rows are told by id and text, so a row goes only if its own text is linked, whatever other rows have its id. Rows without words
+    all stay. Other columns stay as they are, whatever their names.
+    """
+    rows = materialize(_grouped(docs, id_col, text_col, size, threshold).filter("best is not null"), "jaccard-groups")
+    key = [F.col("id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")]
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("t1") == F.col("best.t1")) & (F.col("t2") == F.col("best.t2"))
+    gone = rows.filter(~stays).select(*key).distinct()
+    repeated = materialize(rows.filter(stays).groupBy("id", "t1", "t2").count().filter("count > 1").select(*key), "repeated")
+    keyed = docs.withColumns({"__key": F.col(id_col), "__d1": text_digest(F.col(text_col))[0], "__d2": text_digest(F.col(text_col))[1]})
+    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__d1") == F.col("__t1")) & (F.col("__d2") == F.col("__t2"))
+    rest = keyed.join(gone, same, "left_anti")
+    if repeated.limit(1).count():
+        rest = rest.join(repeated, same, "left_anti").unionByName(rest.join(repeated, same, "left_semi").dropDuplicates(["__key", "__d1", "__d2"]))
+    return rest.select(*docs.columns)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

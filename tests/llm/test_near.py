@@ -88,16 +88,42 @@ def test_same_texts_in_another_order(spark, tmp_path):
     df = in_files(spark, tmp_path, [[(1, a), (2, b)], [(3, b), (4, a)]])
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.jaccard_groups(df).collect()} == brute({1: a, 2: b, 3: b, 4: a})
     assert sorted(r["doc_id"] for r in N.jaccard_dedup(df).collect()) == [1, 2]
-    sets = {r["class"]: r for r in N.candidate_sets(df, "text", N.WORDS, N.THRESHOLD, 1000).collect()}
+    sets = {(r["p1"], r["p2"]): r for r in N.document_sets(df, "doc_id", "text").collect() if r["tokens"] is not None}
     assert [len(r["tokens"]) for r in sets.values()] == [36, 36] and len({t for r in sets.values() for t in r["tokens"]}) == 72
 
 
-def test_slices_of_one_text_stay_apart(spark, tmp_path):
+def test_blocks_of_one_text(spark, tmp_path):
     text = words(random.Random(6), 200)
     df = in_files(spark, tmp_path, [[(1000 * k + i, text) for i in range(1000)] for k in range(4)])
-    heads = N._token_blocks(df, "text", N.WORDS, 6).filter("head is not null").select("block").collect()
-    assert len(heads) >= 4 and len({r["block"] for r in heads}) == len(heads)
+    rows = N.document_sets(df, "doc_id", "text").collect()
+    held = [r for r in rows if r["tokens"] is not None]
+    assert len(rows) == 4000 and len({r["number"] for r in rows}) == 4000
+    assert 4 <= len(held) < 20 and {len(r["tokens"]) for r in held} == {196} and len({(r["p1"], r["p2"]) for r in rows}) == 1
     assert {(r["n_shingles"], r["component_id"]) for r in N.jaccard_groups(df).collect()} == {(196, 0)}
+    assert [r["doc_id"] for r in N.jaccard_dedup(df).collect()] == [0]
+
+
+def test_rows_that_share_an_id_are_told_by_text(spark):
+    a, b, c = "a b c d e f g", "q r s t u v w x", "A b c  d e f g"
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, b), (None, b), (None, "only here once you see"), (8, ""), (8, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, p1 string, best string")
+    out = N.jaccard_dedup(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(3, a), (5, b), (0, "only here once you see"), (8, ""), (8, ""), (9, "")])
+    again = N.jaccard_dedup(spark.createDataFrame([(1, a), (1, a), (1, c), (2, a)], "doc_id bigint, text string"))
+    assert len(again.collect()) == 1 and again.first()["doc_id"] == 1
+
+
+@pytest.mark.parametrize("columns", [N.COLUMNS, 3])
+def test_frequent_tokens_in_columns(spark, monkeypatch, columns):
+    rng = random.Random(9)
+    passage = words(rng, 40).split()
+    texts = {i: " ".join([*passage[: 30 + rng.randrange(10)], *words(rng, rng.randrange(3, 14)).split()]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    monkeypatch.setattr(N, "RARE", 0)
+    monkeypatch.setattr(N, "CHUNK", 16)
+    monkeypatch.setattr(N, "COLUMNS", columns)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.jaccard_groups(df).collect()} == brute(texts)
 
 
 def test_components(spark):
