@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.arrays import buffers, ranges
+from palisade.llm.common import small_batches
 
 #: Bytes of texts in a block. Of equal parts of a block one travels, so this bounds what meets of a part that all texts hold.
 BLOCK = 4 << 20
@@ -36,7 +37,7 @@ def text_blocks(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([ends], pa.binary()), pa.array([packed], pa.binary())], [*[f.name for f in keep], "ends", "data"])
 
     schema = [f"`{f.name}` array<{f.dataType.simpleString()}>" for f in keep]
-    return rows.mapInArrow(cut, ", ".join([*schema, "ends binary", "data binary"])).withColumn("block", F.monotonically_increasing_id())
+    return small_batches(rows).mapInArrow(cut, ", ".join([*schema, "ends binary", "data binary"])).withColumn("block", F.monotonically_increasing_id())
 
 
 def texts_of(ends: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -62,6 +62,19 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once, in the mean.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session cuts Arrow batches by BATCH_BYTES too, as rows of texts can be of any size."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) != f"{BATCH_BYTES}b":
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that no later step reads."""
     for df in frames:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import materialize, table
+from palisade.llm.common import materialize, small_batches, table
 from palisade.llm.components import connected_components
 
 THRESHOLD = 0.98
@@ -66,7 +66,7 @@ def _hashed(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary()), pa.array(codes, pa.binary())], ["row", "vec_id", "label", "dim", "vec", "codes"])
 
     fit = vectors.filter("label is not null and embedding is not null")
-    return fit.mapInArrow(compute, f"row long, vec_id {kinds['vec_id']}, label {kinds['label']}, dim int, vec binary, codes binary")
+    return small_batches(fit).mapInArrow(compute, f"row long, vec_id {kinds['vec_id']}, label {kinds['label']}, dim int, vec binary, codes binary")
 
 
 def _blocks(threshold: float):

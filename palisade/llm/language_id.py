@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.arrays import LOWER, SLICE, buffers, ranges
-from palisade.llm.common import held_out, table
+from palisade.llm.common import held_out, small_batches, table
 
 BUCKETS = 1 << 14
 #: Rows that learning reads, in the mean, drawn by a hash of the id. With BUCKETS and LANGUAGES this bounds the model.
@@ -84,7 +84,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             some = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(got[some], pa.int64())], ["lang", "bucket", "n"])
 
-    return rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return small_batches(rows).select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], ["id", "lang_pred", "score", "ambiguous"])
 
     kind = chosen.schema["id"].dataType.simpleString()
-    out = chosen.withColumn("has", letters).mapInArrow(predict, f"id {kind}, lang_pred string, score double, ambiguous boolean")
+    out = small_batches(chosen).withColumn("has", letters).mapInArrow(predict, f"id {kind}, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("id", id_col)
 
 

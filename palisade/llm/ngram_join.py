@@ -159,12 +159,12 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS
     chosen = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("number"), *text_digest(text), text.alias("text"))
     blocks = materialize(text_blocks(chosen), "text-blocks")
     sent = blocks.select("block", "ends", "data").mapInArrow(_sent_tokens(size, bits), "part int, block long, tokens binary, counts binary")
-    counted = sent.groupBy("part").applyInArrow(_count_tokens, "block long, part int, counts binary")
+    counted = materialize(sent.groupBy("part").applyInArrow(_count_tokens, "block long, part int, counts binary"), "token-counts")
     kept = [f for f in chosen.schema if f.name != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", n long, p1 long, p2 long, tokens array<long>"
     both = blocks.unionByName(counted, allowMissingColumns=True)
     out = materialize(both.groupBy("block").applyInArrow(_shared_sets(size, threshold, to_arrow_schema(chosen.drop("text").schema)), schema), "document-sets")
-    discard(blocks)
+    discard(blocks, counted)
     return out
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import discard, materialize, table
+from palisade.llm.common import discard, materialize, small_batches, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -27,7 +27,7 @@ GROUP = 2048
 #: Rounds of exchange at most. Each leaves about one sequence in GROUP / 5 to the next.
 ROUNDS = 8
 #: Entries of each of a worker's two caches of token ids, which are emptied when full.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class _Words(dict):
@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *[pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], ["id", "piece", "start", "length", "crc"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(cut, f"id {chosen.schema['id'].dataType.simpleString()}, piece int, start long, length long, crc long")
+    return small_batches(chosen).mapInArrow(cut, f"id {chosen.schema['id'].dataType.simpleString()}, piece int, start long, length long, crc long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

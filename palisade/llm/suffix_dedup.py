@@ -28,15 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.arrays import BYTE_VALUES, SLICE, buffers, mixed, ranges
-from palisade.llm.common import materialize, table
+from palisade.llm.arrays import BYTE_VALUES, SLICE, mixed
+from palisade.llm.blocks import from_planes, planes, text_blocks, texts_of
+from palisade.llm.common import discard, materialize, table
 
 LENGTH = 50
 GRAM = 20
 #: Bytes of text for each range of triggers.
 RANGE_BYTES = 4 << 20
-#: Bytes of texts in a block. Of equal phrases of a block one travels, so this bounds what meets of a phrase that all texts hold.
-BLOCK = 4 << 20
 #: Phrases of one trigger up to which they are compared in one task; of more, each string goes by its own hash.
 WIDE = 2048
 #: A null id comes after all others.
@@ -115,43 +114,13 @@ def phrases(raw: np.ndarray, cuts: np.ndarray, most: int = SLICE) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The upper ``width`` bytes of integers, bytes of equal weight together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, -width:].T).tobytes()
+class _Block:
+    """A block's texts again, and its phrases by part, each part's in order of their triggers."""
 
-
-def _from_planes(b: bytes, width: int, dtype=np.uint64) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], np.dtype(dtype).itemsize), np.uint8)
-    out[:, -width:] = planes.T
-    return out.view(dtype).ravel()
-
-
-def text_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``ids, ends, data``: ids, ends and compressed bytes of consecutive texts."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def cut(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for first, last in ranges(offsets, BLOCK):
-                lo, hi = int(offsets[first]), int(offsets[last])
-                packed = pa.compress(data[lo:hi].tobytes(), codec="zstd", asbytes=True)
-                ids = pa.ListArray.from_arrays([0, last - first], batch.column(0).slice(first, last - first))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([(offsets[first + 1 : last + 1] - lo).astype(np.int64).tobytes()], pa.binary()), pa.array([packed], pa.binary())], ["ids", "ends", "data"])
-
-    return chosen.mapInArrow(cut, "ids array<long>, ends binary, data binary")
-
-
-class _Slice:
-    """A slice's texts again, and its phrases by part, each part's in order of their triggers."""
-
-    def __init__(self, ids: pa.Scalar, ends: bytes, data: bytes):
-        self.real_ids = ids.values
+    def __init__(self, row: pa.Table):
+        self.block, self.real_ids = row["block"][0].as_py(), row["id"][0].values
         self.ids = np.asarray(pc.fill_null(self.real_ids, LAST_ID))
-        self.cuts = np.concatenate([[0], np.frombuffer(ends, np.int64)])
-        size = int(self.cuts[-1])
-        self.raw = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+        self.raw, self.cuts = texts_of(row["ends"][0].as_py(), row["data"][0].as_py())
 
     def parse(self, bits: int):
         """Parts as (part, first, last) of ``sent``: of phrases that are equal, only the first of the smallest id goes out."""
@@ -173,12 +142,6 @@ class _Slice:
         return np.where(self.owners > first, _ALL, codes[self.like]).astype(np.uint8)
 
 
-def _slice_of(row: pa.Table) -> _Slice:
-    out = _Slice(row["ids"][0], row["ends"][0].as_py(), row["data"][0].as_py())
-    out.block = row["block"][0].as_py()
-    return out
-
-
 def _table(rows: list[tuple], fields: dict) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [()] * len(fields)
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
@@ -201,12 +164,12 @@ _NONE, _ALL, _ASK, _ASK_EACH = 0, 1, 2, 3
 
 def _judge(rows: pa.Table) -> pa.Table:
     """Of all phrases of a part, what the phrases of other documents say."""
-    triggers = [_from_planes(b, 6) for b in rows["triggers"].to_pylist()]
+    triggers = [from_planes(b, 6) for b in rows["triggers"].to_pylist()]
     sizes = [len(t) for t in triggers]
     trigger = np.concatenate(triggers)
-    whole = np.concatenate([_from_planes(b, 6) for b in rows["whole"].to_pylist()])
-    more = np.concatenate([_from_planes(b, 4, np.uint32) for b in rows["more"].to_pylist()])
-    owner = np.concatenate([_from_planes(b, 8, np.int64) for b in rows["owners"].to_pylist()])
+    whole = np.concatenate([from_planes(b, 6) for b in rows["whole"].to_pylist()])
+    more = np.concatenate([from_planes(b, 4, np.uint32) for b in rows["more"].to_pylist()])
+    owner = np.concatenate([from_planes(b, 8, np.int64) for b in rows["owners"].to_pylist()])
     order = np.lexsort((owner, more, whole, trigger))
     t, w, m, d = trigger[order], whole[order], more[order], owner[order]
     new_t = np.concatenate([[True], t[1:] != t[:-1]])
@@ -309,22 +272,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, n_bytes / RANGE_BYTES)))))
-    slices = materialize(text_slices(docs, id_col, text_col).withColumn("block", F.monotonically_increasing_id()), "text-slices")
+    blocks = materialize(text_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), "text-blocks")
 
     def send(batches):
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             for i in range(len(rows)):
-                one = _slice_of(rows.slice(i, 1))
-                out = [(p, batch.column(batch.schema.get_field_index("block"))[i].as_py(), _planes(one.triggers[k], 6), _planes(one.whole[k], 6), _planes(one.more[k], 4), _planes(one.owners[k], 8)) for p, a, b in one.parse(bits) for k in [one.sent[a:b]]]
+                one = _Block(rows.slice(i, 1))
+                out = [(p, one.block, planes(one.triggers[k], 6), planes(one.whole[k], 6), planes(one.more[k], 4), planes(one.owners[k], 8)) for p, a, b in one.parse(bits) for k in [one.sent[a:b]]]
                 yield from _table(out, _SENT).to_batches()
 
-    found = slices.mapInArrow(send, _ddl(_SENT)).groupBy("part").applyInArrow(_judge, _ddl(_FOUND))
-    known = slices.unionByName(found, allowMissingColumns=True)
+    found = materialize(blocks.mapInArrow(send, _ddl(_SENT)).groupBy("part").applyInArrow(_judge, _ddl(_FOUND)), "phrase-codes")
+    known = blocks.unionByName(found, allowMissingColumns=True)
 
     def ask(rows: pa.Table) -> pa.Table:
         """Phrases that are repeated as a whole (part null, all bits set), and those to compare."""
-        one = _slice_of(rows.filter(pc.is_valid(rows["data"])))
+        one = _Block(rows.filter(pc.is_valid(rows["data"])))
         rows = rows.filter(pc.is_null(rows["data"]))
         codes = dict(zip(rows["part"].to_pylist(), rows["codes"].to_pylist(), strict=True))
         out, block = [], one.block
@@ -350,7 +313,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = np.repeat(one.at[each], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             x, y = _both_hashes(one.raw, at)
             owners = np.repeat(one.owners[each], sizes)
-            here = _later((x, y), owners)  # of a slice, only the first document's strings go out
+            here = _later((x, y), owners)  # of a block, only the first document's strings go out
             if here.any():
                 out.append((block, None, at[here].tobytes(), np.ones(here.sum(), np.int64).tobytes(), None, None, None))
             order = np.flatnonzero(~here)[np.argsort(x[~here], kind="stable")]
@@ -362,14 +325,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _table(out, _ASKED)
 
     asked = materialize(known.groupBy("block").applyInArrow(ask, _ddl(_ASKED)), "phrases")
+    discard(found)
     compared = asked.filter("part is not null and sizes is not null").groupBy("part").applyInArrow(_compare, _ddl(_SPANS))
     compared_each = asked.filter("part is not null and sizes is null").groupBy("part").applyInArrow(_compare_each, _ddl(_SPANS))
     whole = asked.filter("part is null").select("block", "at", "sizes")
-    everything = slices.unionByName(whole, allowMissingColumns=True).unionByName(compared, allowMissingColumns=True).unionByName(compared_each, allowMissingColumns=True)
+    everything = blocks.unionByName(whole, allowMissingColumns=True).unionByName(compared, allowMissingColumns=True).unionByName(compared_each, allowMissingColumns=True)
     kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), "kept_sha256": pa.string()}
 
     def remove(rows: pa.Table) -> pa.Table:
-        one = _slice_of(rows.filter(pc.is_valid(rows["data"])))
+        one = _Block(rows.filter(pc.is_valid(rows["data"])))
         change = np.zeros(len(one.raw) + 1, np.int64)
         for at, sizes, masks in zip(rows["at"].to_pylist(), rows["sizes"].to_pylist(), rows["masks"].to_pylist(), strict=True):
             if sizes is not None:
@@ -395,6 +359,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _table(out, kinds)
 
     out = everything.groupBy("block").applyInArrow(remove, "id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept_sha256 string")
+    out = materialize(out, "spans")
+    discard(blocks, asked)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.arrays import LOWER, buffers, ranges, words
-from palisade.llm.common import discard, held_out, materialize, table
+from palisade.llm.common import discard, held_out, materialize, small_batches, table
 
 #: Labelled rows that learning reads, in the mean, drawn by a hash of the id; this bounds the lexicon and the trees too.
 TRAIN_ROWS = 20_000
@@ -62,7 +62,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                 found, n = np.unique(np.rec.fromarrays([pairs.f0, toxic[first:last][pairs.f1]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.f0), pa.array(found.f1), pa.array(n)], ["word", "toxic", "n"])
 
-    return rows.select("text", "toxic").mapInArrow(count, "word long, toxic long, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
+    return small_batches(rows).select("text", "toxic").mapInArrow(count, "word long, toxic long, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def add_features(rows: DataFrame, lexicon: np.ndarray, weights: np.ndarray) -> D
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(np.ascontiguousarray(got[:, i])) for i in range(len(FEATURES))], [*keep, *FEATURES])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"] + [f"{f} double" for f in FEATURES]
-    return rows.mapInArrow(compute, ", ".join(schema))
+    return small_batches(rows).mapInArrow(compute, ", ".join(schema))
 
 
 class Model:

@@ -1,14 +1,15 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.llm import blocks
 from palisade.llm import line_dedup as L
 from palisade.llm import secret_scan as S
 from palisade.llm import suffix_dedup as X
-from palisade.llm.arrays import ranges
 from tests.llm.conftest import DOCUMENTS
 
 
@@ -73,7 +74,7 @@ def test_dictionary_is_sorted_by_bytes():
 
 
 def test_suffix_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(X, "ranges", lambda offsets, most: ranges(offsets, 500))  # most blocks hold one text
+    monkeypatch.setattr(blocks, "BLOCK", 500)  # most blocks hold one text
     assert spans_of(docs) == brute_spans([(i, t) for i, t, *_ in rows])
 
 
@@ -107,11 +108,27 @@ def test_secrets(spark, none):
 
 
 def test_secret_owners(spark):
-    rows = [(i, f"password: shared{'!' if i else ''} ", f"o{i % 4}") for i in range(8)] + [(8, "password=mine123", "o1"), (9, "password=mine123", "o1")]
+    rows = [(i, f"password: shared{'!' if i else ''} ", f"o{i % 4}") for i in range(8)] + [(8, "secret=mine84Gz", "o1"), (9, "secret=mine84Gz", "o1")]
     got = {r["doc_id"]: (r["live"], r["copied"]) for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert got == {**{i: (0, 1) for i in range(8)}, 8: (1, 0), 9: (1, 0)}
 
 
+def test_repositories_and_looks_decide(spark):
+    rows = [(i, "token=R8s2kq71Zp", "one") for i in range(S.COPIED_REPOS)] + [(100, "token=changeme", "two"), (101, "token=aaaaaa1", "two"), (102, "token=abcdefgh", "two"), (103, "token=k3yP8w2m", None), (104, "-----BEGIN RSA PRIVATE KEY-----", "two")]
+    rows += [(105, "token=k3yP8w2m", None), (106, "token=R8s2kq71Zq", "one"), (106, "token=R8s2kq71Zq", "one")]
+    got = {r["doc_id"]: (r["live"], r["copied"]) for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {got[i] for i in range(S.COPIED_REPOS)} == {(0, 1)}
+    assert [got[i] for i in range(100, 107)] == [(0, 0), (0, 0), (0, 0), (1, 0), (0, 0), (1, 0), (1, 0)]
+
+
+def test_many_matches_in_a_text(spark):
+    text = " ".join(f"token=a{k}bcdef" for k in range(100_000))
+    began = time.time()
+    (row,) = S.scan_secrets(spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")).collect()
+    assert len(row["found"]) == 100_000
+    assert row["found"][-1]["stop"] == len(text) and time.time() - began < 60
+
+
 def test_lines(spark, none):
     head = "posted by user{n} on day {n} at noon"
     rows = [(i, f"{head.format(n=i)}\nunique line w{chr(97 + i)}x of z{chr(97 + i)}\n\nshort", "en", "s", 1) for i in range(12)] + [(20, None, None, None, None), (21, "", None, None, None)]
