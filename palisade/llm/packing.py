@@ -7,13 +7,13 @@ pieces of the others are exchanged between fewer partitions and packed again.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +27,26 @@ GROUP = 2048
 #: Rounds of exchange at most. Each leaves about one sequence in GROUP / 5 to the next.
 ROUNDS = 8
 #: Entries of each of a worker's two caches of token ids, which are emptied when full.
-CACHE = 200_000
+CACHE = 50_000
+
+
+#: The steps before the model for which a text's ids are those of its chunks one after another.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+    "post_processor": None,
+}
 
 
 class _Words(dict):
     """Token ids of blank-free chunks of text, as bytes.
 
-    The tokenizer's splits never cross a blank, so a text's ids are those of its chunks one after another.
+    With STEPS, splits never cross a blank, so a text's ids are those of its chunks one after another. A tokenizer of other steps
+    encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -43,7 +56,9 @@ class _Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_chunk = all(steps[k] == v for k, v in STEPS.items()) and all(t["content"] in ("<|startoftext|>", "<|endoftext|>") for t in steps["added_tokens"])
+        self.split = regex.compile(SPLIT).findall
         self.plain = regex.compile(r"[\x21-\x7EÀ-ÿ]*").fullmatch
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = iter(range(256, 512))
@@ -77,7 +92,7 @@ class _Words(dict):
         return array("I", ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        if not self.by_chunk or not text.isascii() and not unicodedata.is_normalized("NFC", text):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         for blank in "\n\t\r":
             if blank in text:
@@ -157,8 +172,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     rest, placed = pieces.filter(F.col("length") < capacity), [full]
 
     def packed(turn: int, last: bool):
-        def one(key, items: pd.DataFrame) -> pd.DataFrame:
-            items = items.sort_values("row", ignore_index=True)
+        def one(key, items: pa.Table) -> pa.Table:
+            items = items.sort_by("row")
             sizes = items["length"].to_numpy()
             bins, offsets, fills = best_fit(sizes, capacity)
             if last:
@@ -167,10 +182,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
                 stay = np.arange(len(fills)) != np.argmin(fills)
             else:
                 stay = fills == capacity
-            items["sequence_id"] = (turn << 56) + (int(key[0]) << 24) + bins
-            items["offset"] = offsets
-            items["stay"] = stay[bins]
-            return items.drop(columns="part")
+            ids = (turn << 56) + (key[0].as_py() << 24) + bins
+            return items.select(columns).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).append_column("stay", pa.array(stay[bins]))
 
         return one
 
@@ -179,7 +192,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
         parts = max(1, -(-rest.count() // group))
         last = parts == 1 or turn == rounds
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
-        tried = materialize(dealt.groupBy("part").applyInPandas(packed(turn, last), schema), "packed")
+        tried = materialize(dealt.groupBy("part").applyInArrow(packed(turn, last), schema), "packed")
         placed.append(tried.filter("stay").drop("stay"))
         if last:
             break

@@ -53,6 +53,36 @@ def test_small_caches(monkeypatch, rows):
         assert found.ids(t or "") == np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    other = json.loads(Tokenizer.from_file(TOKENIZER).to_str())
+    assert P._Words(TOKENIZER).by_chunk
+    other["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    found, tok = P._Words(str(path)), Tokenizer.from_file(str(path))
+    assert not found.by_chunk
+    for t in HARD:
+        assert found.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_of_nulls_and_clashing_names(spark):
+    rows = [(None, "a b", 7, "x"), (None, None, 8, "y"), (1, "word " * 5000, 9, None), (1, "word " * 5000, 9, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row bigint, part string").repartition(2)
+    out = P.pack_documents(df, TOKENIZER).collect()
+    assert sorted((r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == [(i or 0, *rest) for i, *rest in sorted(pieces([(i or 0, t) for i, t, *_ in rows]))]
+    check_packed(out)
+
+
+def test_mixing_of_null_texts_and_repeats(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, "", None), (None, "x", "a")], "doc_id bigint, text string, source string")
+    out = M.mix_sources(df, total=400.0).collect()
+    assert {r["text"] for r in out} == {None, "", "x"} and len([r for r in out if r["doc_id"] == 1]) % 2 == 0
+
+
 def test_pack_exchanges(spark, none):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1500, 3000)
