@@ -172,7 +172,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     rest, placed = pieces.filter(F.col("length") < capacity), [full]
 
     def packed(turn: int, last: bool):
-        def one(key, items: pa.Table) -> pa.Table:
+        def one(key: tuple[pa.Scalar, ...], items: pa.Table) -> pa.Table:
             items = items.sort_by("row")
             sizes = items["length"].to_numpy()
             bins, offsets, fills = best_fit(sizes, capacity)
