@@ -23,6 +23,7 @@ PYTHON_RULES = [
     ("SYSTEM_PATH_WRITE", "CRITICAL", r"""\bopen\s*\(\s*['"]/(?:usr|etc|bin|tmp|root)""", None),
 ]
 
+#: Methods of modules, names of the global object.
 _SPAWN = r"(?:exec|execSync|spawn|spawnSync|execFile|execFileSync|fork)"
 _VM = r"(?:runInNewContext|runInThisContext|runInContext|compileFunction|createScript)"
 _NET = r"(?:request|get|connect|createConnection|createServer|resolve|resolve4|resolve6|resolveTxt|lookup)"
@@ -32,14 +33,14 @@ _GLOBAL = r"(?:globalThis|global|window|self|GLOBAL|root)"
 _ENV = "(?:" + "|".join(SENSITIVE_ENV_KEYS) + ")"
 _Q = r"""["'`]"""
 _MODULE = r"""require\(\s*["'](?:node:)?{}["']\s*\)"""
-_BOUND = r"""(?:(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*["'](?:node:)?{m}["']\s*\)|import\s+(?:\*\s+as\s+)?(\w+)\s+from\s+["'](?:node:)?{m}["'])"""
-_TAKEN = r"""(?:(?:const|let|var)\s*\{{[^}}]*\b{f}\b[^}}]*\}}\s*=\s*require\(\s*["'](?:node:)?{m}["']\s*\)|import\s*\{{[^}}]*\b{f}\b[^}}]*\}}\s*from\s+["'](?:node:)?{m}["'])"""
+_BOUND = r"""(?:(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*["'](?:node:)?{m}["']\s*\)|import\s+(\w+)\s*(?:,\s*(?:\{{[^}}]*\}}|\*\s+as\s+(\w+))\s*)?from\s+["'](?:node:)?{m}["']|import\s+\*\s+as\s+(\w+)\s+from\s+["'](?:node:)?{m}["'])"""
+_TAKEN = r"""(?:(?:const|let|var)\s*\{{[^}}]*\b{f}\b[^}}]*\}}\s*=\s*require\(\s*["'](?:node:)?{m}["']\s*\)|import\s*(?:\w+\s*,\s*)?\{{[^}}]*\b{f}\b[^}}]*\}}\s*from\s+["'](?:node:)?{m}["'])"""
 
 #: Pattern, severity, what the code must match, whether the match reaches into strings.
 JS_RULES = [
     ("CODE_EXECUTION", "CRITICAL", r"[(,]\s*(?:eval|Function)\s*[,)]", False),
     ("DYNAMIC_IMPORT", "HIGH", rf"\bimport\s*\(\s*(?!{_Q}[^\"'`]*{_Q}\s*\))[^)\s]", False),
-    ("CODE_EXECUTION", "CRITICAL", r"(?<![\w.$])(?:eval|Function)\s*\(", False),
+    ("CODE_EXECUTION", "CRITICAL", r"(?<![\w.$])(?<!\bnew\s{1,9})(?:eval|Function)\s*\(", False),
     ("DYNAMIC_REQUIRE", "HIGH", r"(?<![\w.$])require\s*\(\s*[^\"'`)\s]", False),
     ("PROCESS_SPAWN", "CRITICAL", _MODULE.format("child_process") + rf"\s*\.\s*{_SPAWN}\s*\(", True),
     ("PROCESS_SPAWN", "CRITICAL", r"\bprocess\s*\.\s*binding\s*\(", False),
@@ -108,14 +109,30 @@ def python_findings(files: DataFrame, source: str = "source") -> DataFrame:
     return found.select(*[c for c in lines.columns if c != "code"], "finding.pattern", "finding.severity", F.substring("code", 1, 80).alias("code"))
 
 
-def _without_comments(source: Column) -> Column:
-    """Strings stay; comments become a space. One pass, so that neither hides in the other."""
-    token = r"""("(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`)|/\*[\s\S]*?\*/|//[^\n]*"""
-    return F.regexp_replace(source, token, "$1 ")
+#: A string, a template, a comment, a regular expression, other text. Escapes are gone, so none of these is a loop of choices.
+_TOKEN = r""""[^"\n]*+"|'[^'\n]*+'|`[^`]*+`|/\*[\s\S]*?\*/|//[^\n]*+|(?<=[(,=:\[!&|?{};+\-*%~^<>\n]\s{0,9}|^\s{0,9}|\breturn\s{1,9}|\btypeof\s{1,9})/(?![/*])[^/\n\[]*+(?:\[[^\]\n]*+\][^/\n\[]*+)*+/[a-z]*|[^"'`/]++|[\s\S]"""
 
 
-def _without_strings(code: Column) -> Column:
-    return F.regexp_replace(code, r"""("|'|`)(?:(?!\1)[^\\]|\\[\s\S])*\1""", '""')
+def _tokens(source: Column) -> Column:
+    """The parts of a source, in order: strings, templates, comments, regular expressions, and what is between them."""
+    return F.regexp_extract_all(F.regexp_replace(source, r"\\[\s\S]", "__"), F.lit(_TOKEN), F.lit(0))
+
+
+def _long(token: Column, start: str) -> Column:
+    return token.startswith(start) & (F.length(token) > 1)
+
+
+def _without_comments(tokens: Column) -> Column:
+    """Strings stay; comments and regular expressions become a space or a word."""
+    plain = lambda t: F.when(t.startswith("/*") | t.startswith("//"), " ").when(_long(t, "/"), " r ").otherwise(t)
+    return F.array_join(F.transform(tokens, plain), "")
+
+
+def _without_strings(tokens: Column) -> Column:
+    """As _without_comments(), and strings become empty; of a template, the code that it fills in stays."""
+    filled = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"\$\{([^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+)\}"), F.lit(1)), lambda x: F.concat(F.lit(";"), F.regexp_replace(x, r""""[^"\n]*+"|'[^'\n]*+'""", '""'))), "")
+    bare = lambda t: F.when(_long(t, '"') | _long(t, "'"), '""').when(_long(t, "`"), F.concat(F.lit('""'), filled(t))).otherwise(t)
+    return _without_comments(F.transform(tokens, bare))
 
 
 def _calls_through(code: Column, names: Column, methods: str, argument: str) -> Column:
@@ -128,13 +145,16 @@ def _calls_through(code: Column, names: Column, methods: str, argument: str) ->
 
 
 def js_findings(files: DataFrame, source: str = "source") -> DataFrame:
-    """The columns of ``files`` but ``source``, with ``pattern``, ``severity``, ``hits`` (matches of that rule)."""
+    """The columns of ``files`` but ``source``, with ``pattern``, ``severity``, ``hits`` (matches of that rule).
+
+    A file whose source is missing couldn't be analysed, which is a finding too.
+    """
     code = F.col("__code")
-    base = files.withColumn("__code", _without_comments(F.regexp_replace(F.col(source), r"^#![^\n]*", "")))
-    base = base.withColumn("__bare", _without_strings(code))
+    base = files.withColumn("__tokens", _tokens(F.regexp_replace(F.coalesce(source, F.lit("")), r"^#![^\n]*", "")))
+    base = base.withColumns({"__code": _without_comments(F.col("__tokens")), "__bare": _without_strings(F.col("__tokens"))})
     rules = [F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"), F.regexp_count(code if strings else F.col("__bare"), F.lit(rx)).alias("hits")) for p, s, rx, strings in JS_RULES]
     for pattern, severity, module, methods, argument in JS_BOUND:
-        names = F.array_distinct(F.concat(F.regexp_extract_all(code, F.lit(_BOUND.format(m=module)), F.lit(1)), F.regexp_extract_all(code, F.lit(_BOUND.format(m=module)), F.lit(2))))
+        names = F.array_distinct(F.concat(*[F.regexp_extract_all(code, F.lit(_BOUND.format(m=module)), F.lit(group)) for group in (1, 2, 3, 4)]))
         through = _calls_through(code, names, methods, argument)
         taken = F.when(code.rlike(_TAKEN.format(f=methods, m=module)), F.regexp_count(code, F.lit(rf"(?<![\w.$]){methods}\s*\({argument}"))).otherwise(0)
         direct = F.regexp_count(code, F.lit(_MODULE.format(module) + rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*\({argument}")) if module != "child_process" else F.lit(0)
@@ -144,6 +164,7 @@ def js_findings(files: DataFrame, source: str = "source") -> DataFrame:
     count = lambda c: F.regexp_count(F.col("__bare"), F.lit(c))
     broken = (count(r"\(") != count(r"\)")) | (count(r"\{") != count(r"\}")) | (count(r"\[") != count(r"\]")) | F.col("__bare").rlike("""(?<!")"(?!")|['`]""")
     rules.append(F.struct(F.lit("UNPARSEABLE_CODE").alias("pattern"), F.lit("HIGH").alias("severity"), F.when(broken, 1).otherwise(0).alias("hits")))
+    rules.append(F.struct(F.lit("ANALYSIS_ERROR").alias("pattern"), F.lit("HIGH").alias("severity"), F.when(F.col(source).isNull(), 1).otherwise(0).alias("hits")))
     found = base.withColumn("__f", F.explode(F.filter(F.array(*rules), lambda r: r["hits"] > 0)))
     keep = [c for c in files.columns if c != source]
     return found.select(*keep, "__f.pattern", "__f.severity", "__f.hits").groupBy(*keep, "pattern", "severity").agg(F.sum("hits").alias("hits"))

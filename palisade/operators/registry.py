@@ -180,3 +180,9 @@ def pypi_archive_url(urls: Column, hosts: list[str]) -> Column:
 
     first = F.coalesce(F.get(F.filter(urls, lambda u: u["packagetype"] == "sdist"), F.lit(0))["url"], F.get(urls, F.lit(0))["url"])
     return F.when(url_problem(first, hosts).isNull(), first)
+
+
+def latest_versions(wanted: DataFrame, packages: DataFrame) -> DataFrame:
+    """``wanted(ecosystem, name)`` with ``latest``, the version that the npm registry tags so; null for other ecosystems and unknown names."""
+    tags = packages.select("name", F.col("latest_tag").alias("latest"))
+    return wanted.join(tags, "name", "left").withColumn("latest", F.when(F.col("ecosystem") == "npm", F.col("latest")))

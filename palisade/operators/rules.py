@@ -14,6 +14,9 @@ from palisade.schema import DANGEROUS, DAY_MS, PROTECTED_SIGNALS
 
 TEN_MINUTES_MS, TWO_DAYS_MS, WEEK_MS, MONTH_MS, YEAR_MS = 600_000, 2 * DAY_MS, 7 * DAY_MS, 30 * DAY_MS, 365 * DAY_MS
 
+#: Popular names up to which they are broadcast, about 100 bytes each.
+MOST_BROADCAST = 100_000
+
 
 def maintainer_severity(since: Column, maintainers: Column) -> Column:
     """A change of publisher is critical for 90 days from ``since`` (ms ago; null: now); then low in teams, else moderate."""
@@ -30,13 +33,14 @@ def rapid_severity(interval: Column, maintainers: Column, known_good: Column) ->
 def typosquats(names: DataFrame, popular: DataFrame) -> DataFrame:
     """``name``, ``similar``, ``distance`` of names within a small edit distance of a popular one.
 
-    ``popular`` is a fixed list of a few hundred rows, which the broadcast relies on. Names meet those of a length that the
-    distance allows, so the join has a key.
+    Names meet those of a length that the distance allows, so the join has a key. ``popular`` is broadcast if it has at most
+    MOST_BROADCAST names, else joined.
     """
     low = names.select("name", F.lower("name").alias("low")).distinct().withColumn("limit", typosquat_limit(F.col("low"))).filter("limit > 0")
     keyed = low.withColumn("size", F.explode(F.sequence(F.length("low") - F.col("limit"), F.length("low") + F.col("limit"))))
     known = popular.select(F.lower("name").alias("similar")).distinct().withColumn("size", F.length("similar"))
-    met = keyed.join(F.broadcast(known), "size").filter(~((F.length("similar") <= 3) & (F.length("low") <= 5)))
+    few = known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    met = keyed.join(F.broadcast(known) if few else known, "size").filter(~((F.length("similar") <= 3) & (F.length("low") <= 5)))
     distance = F.levenshtein("low", "similar", 2)
     return met.withColumn("distance", distance).filter((F.col("distance") > 0) & (F.col("distance") <= F.col("limit"))).select("name", "similar", "distance")
 

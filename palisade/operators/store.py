@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.registry import millis_between
+from palisade.schema import CACHES
+
+
+def empty(spark: SparkSession, kind: str) -> DataFrame:
+    """A cache of ``kind`` (CACHES) that knows nothing: every lookup misses, so all goes on without one."""
+    return spark.createDataFrame([], CACHES[kind][0])
+
+
+def stats(**caches: DataFrame) -> DataFrame:
+    """One row: the number of entries of each of the given caches."""
+    out = None
+    for name, cached in caches.items():
+        n = cached.agg(F.count("*").alias(name))
+        out = n if out is None else out.crossJoin(n)  # one row each
+    return out
 
 
 def partition_by_cache(wanted: DataFrame, cached: DataFrame, keys: list[str], as_of: Column, ttl_ms: int | None, at: str = "fetched_at") -> DataFrame:

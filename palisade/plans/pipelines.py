@@ -29,7 +29,7 @@ class Report:
 def dependencies(files: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame]:
     """All dependencies of ``files(path, dir, file, content)`` in the chosen ecosystems, and the files that couldn't be parsed."""
     chosen = discovery.preferred_files(files).filter(F.col("ecosystem").isin(list(opts.ecosystems)))
-    return parsers.parse_all(chosen.select("path", "content")), parsers.parse_failures(chosen.select("path", "content"))
+    return parsers.parse_all(chosen.select("path", "file", "content"), every=files), parsers.parse_failures(chosen.select("path", "content"))
 
 
 def _verdict(coverage: DataFrame, failures: DataFrame | None, rows: DataFrame) -> DataFrame:
@@ -76,6 +76,11 @@ def _code_signals(findings: DataFrame, versions: DataFrame, signal: str, what: s
     return each.select("name", "version", F.lit(signal).alias("signal"), "severity", F.concat(F.lit(what), "pattern").alias("description"), F.to_json(F.struct("pattern")).alias("evidence"), F.lit(1).alias("layer"), F.lit(False).alias("known_good"))
 
 
+def flagged(rows: DataFrame, opts: Options) -> DataFrame:
+    """Results of a risk at or above the severity; with ``verbose``, all of them."""
+    return rows if opts.verbose else advisories.filter_by_severity(rows.filter("risk_level not in ('NONE', 'UNKNOWN')"), opts.least_severity, "risk_level")
+
+
 def analyze(deps: DataFrame, vulns: DataFrame, packages: DataFrame, versions: DataFrame, opts: Options, as_of: Column, attestations: DataFrame | None = None, archive_files: DataFrame | None = None) -> Report:
     """Risk of each npm or PyPI dependency by all layers of rules. ``rows``: one per package, with its signals.
 
@@ -136,8 +141,8 @@ def analyze(deps: DataFrame, vulns: DataFrame, packages: DataFrame, versions: Da
     rows = unique.select(*KEYS, "is_direct").join(base, "name", "left").join(nested, "name", "left").join(bumps, "name", "left")
     rows = rows.withColumns({"covered": F.col("risk_level").isNotNull(), "risk_level": F.coalesce("risk_level", F.lit("UNKNOWN")), "risk_score": F.coalesce("risk_score", F.lit(0.0)) + F.coalesce("bump", F.lit(0.0))}).drop("bump")
     rows = rows.withColumn("risk_level_final", F.when(F.col("covered"), level_of(F.col("risk_score"))).otherwise("UNKNOWN"))
-    flagged = rows if opts.verbose else advisories.filter_by_severity(rows.filter("risk_level not in ('NONE', 'UNKNOWN')"), opts.least_severity, "risk_level")
-    return Report(flagged, _verdict(rows.select("covered"), None, flagged.filter("risk_level != 'NONE'")))
+    shown = flagged(rows, opts)
+    return Report(shown, _verdict(rows.select("covered"), None, shown.filter("risk_level != 'NONE'")))
 
 
 def fix(vulns: DataFrame, index: DataFrame, current: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from palisade.queries import histories, relations, streams, texts
+from palisade.queries import histories, plans, relations, streams, texts
 
 
 def _all() -> dict:
-    return relations.QUERIES | histories.QUERIES | texts.QUERIES | streams.QUERIES
+    return relations.QUERIES | histories.QUERIES | texts.QUERIES | plans.QUERIES | streams.QUERIES
 
 
 def queries() -> dict:

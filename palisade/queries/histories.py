@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from palisade.functions.severity import level_of
 from palisade.operators import provenance as attested
-from palisade.operators import registry, relational, rules
+from palisade.operators import code_rules, registry, relational, rules
+from palisade.options import Options
+from palisade.plans import pipelines
 from palisade.queries.tables import events_with_end, table
 from palisade.schema import DAY_MS, HOUR_MS
 
@@ -139,13 +141,15 @@ SELECT * FROM f UNION ALL SELECT o_custkey, l_partkey, 'NEW_DEPENDENCY', CASE WH
 
 def circular_staging(spark, d):
     """A user and the next one as package and dependency: same type on the last event, within 48 hours."""
-    last = _pair(spark, d).select("user_id", "latest_event_type", "latest_ts")
-    dep = last.select((F.col("user_id") - 1).alias("user_id"), F.col("latest_event_type").alias("dep_type"), F.col("latest_ts").alias("dep_ts"))
-    gap = F.abs(registry.millis_between(F.col("latest_ts"), F.col("dep_ts")))
-    return last.join(dep, "user_id").filter("latest_event_type = dep_type").withColumn("gap_ms", gap).filter(F.col("gap_ms") < 48 * HOUR_MS).select("user_id", "latest_event_type", "gap_ms")
+    last = _pair(spark, d).select("user_id", F.col("latest_event_type").alias("publisher"), F.col("latest_ts").alias("publish_time"))
+    dep = last.select((F.col("user_id") - 1).alias("user_id"), F.col("publisher").alias("dep_publisher"), F.col("publish_time").alias("dep_publish_time"))
+    old = {"known": F.lit(True), "dep_age_ms": F.lit(400 * DAY_MS), "dep_maintainers": F.lit(9), "dep_versions": F.lit(9), "dep_scripts": F.lit(False)}
+    found = rules.new_dependency_findings(last.join(dep, "user_id").withColumns(old))
+    return found.select("user_id", F.col("publisher").alias("latest_event_type"), "signal", "severity")
 
 
-STAGING = _PAIR + f"""SELECT a.user_id, a.latest_event_type, abs({_ms('a.latest_ts', 'b.latest_ts')}) AS gap_ms FROM p a JOIN p b ON b.user_id = a.user_id + 1 AND a.latest_event_type = b.latest_event_type WHERE abs({_ms('a.latest_ts', 'b.latest_ts')}) < {48 * HOUR_MS}"""
+STAGING = _PAIR + f"""SELECT a.user_id, a.latest_event_type, CASE WHEN hit THEN 'CIRCULAR_STAGING' ELSE 'NEW_DEPENDENCY' END AS signal, CASE WHEN hit THEN 'CRITICAL' ELSE 'MODERATE' END AS severity
+FROM (SELECT a.*, coalesce(a.latest_event_type = b.latest_event_type AND abs({_ms('a.latest_ts', 'b.latest_ts')}) < {48 * HOUR_MS}, false) AS hit FROM p a JOIN p b ON b.user_id = a.user_id + 1) a"""
 
 #: Event types as capabilities; the third and fifth are dangerous ones.
 _CAPS = {"click": "filesystem_write", "view": "dynamic_loading", "purchase": "network", "signup": "install_scripts", "error": "process_spawn"}
@@ -157,11 +161,18 @@ def _days(spark, d):
     return e.groupBy("user_id", "day").agg(F.array_sort(F.collect_set("cap")).alias("capabilities"), F.count("*").alias("n"))
 
 
+#: Event types as findings in code, and the capabilities that these show.
+_PATTERNS = {"click": ("FILESYSTEM_WRITE", "filesystem_write"), "view": ("DYNAMIC_IMPORT", "dynamic_loading"), "purchase": ("NETWORK_ACCESS", "network"), "signup": ("BASE64_DECODE", "payload_decode"), "error": ("PROCESS_SPAWN", "process_spawn")}
+
+
 def capability_profile(spark, d):
-    return _days(spark, d).select("user_id", F.col("day").cast("string").alias("day"), F.array_join("capabilities", ",").alias("capabilities"))
+    pattern = F.create_map(*[F.lit(x) for kind, (p, _) in _PATTERNS.items() for x in (kind, p)])
+    found = table(spark, d, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), pattern[F.col("event_type")].alias("pattern"), F.lit("HIGH").alias("severity"))
+    return code_rules.profile(found, ["user_id", "day"]).select("user_id", "day", F.array_join("capabilities", ",").alias("capabilities"))
 
 
-CAPABILITY = f"SELECT user_id, ts::DATE::VARCHAR AS day, string_agg(DISTINCT {_CAP_SQL}, ',' ORDER BY {_CAP_SQL}) AS capabilities FROM events GROUP BY user_id, ts::DATE"
+_SHOWN = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, (_, c) in _PATTERNS.items()) + " END"
+CAPABILITY = f"SELECT user_id, ts::DATE::VARCHAR AS day, coalesce(string_agg(DISTINCT {_SHOWN}, ',' ORDER BY {_SHOWN}), '') AS capabilities FROM events GROUP BY user_id, ts::DATE"
 
 
 def behaviour_diff(spark, d):
@@ -194,15 +205,16 @@ SELECT * REPLACE (since::VARCHAR AS since) FROM f
 def dependency_spike(spark, d):
     """Customers whose last order has over twice the lines of the one before, and over five."""
     x = _order_parts(spark, d).groupBy("o_custkey").agg(*[F.count(F.when(F.col("back") == n, F.col("l_partkey"))).alias(c) for n, c in ((1, "now"), (2, "old"))])
-    return x.filter("old > 0 and now > 2 * old and now > 5")
+    shape = lambda count: x.select(F.col("o_custkey").alias("name"), F.array().cast("array<string>").alias("capabilities"), F.col(count).alias("dependency_count"), F.lit(1).alias("maintainer_count"), F.lit(True).alias("has_repository"))
+    return rules.diff_profiles(shape("now"), shape("old")).select(F.col("name").alias("o_custkey"), "signal", "severity")
 
 
-SPIKE = _ORDERS + """, c AS (SELECT o_custkey, count(l_partkey) FILTER (back = 1) AS now, count(l_partkey) FILTER (back = 2) AS old FROM x GROUP BY 1) SELECT * FROM c WHERE old > 0 AND now > 2 * old AND now > 5"""
+SPIKE = _ORDERS + """, c AS (SELECT o_custkey, count(l_partkey) FILTER (back = 1) AS now, count(l_partkey) FILTER (back = 2) AS old FROM x GROUP BY 1) SELECT o_custkey, 'DEPENDENCY_SPIKE' AS signal, 'HIGH' AS severity FROM c WHERE old > 0 AND now > 2 * old AND now > 5"""
 
 
 def risk_score(spark, d):
-    """Scores of users: their last seven events as signals of severities by type; errors of every tenth user are known to be good."""
-    e = registry.ranked(table(spark, d, "events"), "user_id", "ts", ["event_id"]).filter("back <= 7")
+    """Scores of users: their events as signals of severities by type; errors of every tenth user are known to be good."""
+    e = table(spark, d, "events")
     kind = F.create_map(*[F.lit(x) for kv in {"click": "LOW", "view": "LOW", "purchase": "MODERATE", "signup": "HIGH", "error": "CRITICAL"}.items() for x in kv])
     signals = e.select(F.col("user_id").alias("name"), F.col("event_type").alias("signal"), F.coalesce(kind[F.col("event_type")], F.lit("OTHER")).alias("severity"), ((F.col("user_id") % 10 == 0) & (F.col("event_type") == "error")).alias("known_good"))
     context = table(spark, d, "events").groupBy(F.col("user_id").alias("name")).agg((F.col("name") % 60 * DAY_MS).alias("package_age_ms"), F.expr("cast(nullif(name % 4, 3) as int)").alias("maintainer_count"))
@@ -210,7 +222,7 @@ def risk_score(spark, d):
 
 
 RISK = f"""
-WITH s AS (SELECT user_id, event_type, CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 5 WHEN 'error' THEN 10 ELSE 1 END * CASE WHEN user_id % 10 = 0 AND event_type = 'error' THEN 0.2 ELSE 1.0 END::DOUBLE AS w FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 7),
+WITH s AS (SELECT user_id, event_type, CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 5 WHEN 'error' THEN 10 ELSE 1 END * CASE WHEN user_id % 10 = 0 AND event_type = 'error' THEN 0.2 ELSE 1.0 END::DOUBLE AS w FROM events),
 g AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k, sum(w::DOUBLE) AS w FROM s GROUP BY 1),
 c AS (
   SELECT u.user_id AS name, coalesce(n, 0) AS n_signals, coalesce(k, 0) AS distinct_signals,
@@ -222,28 +234,35 @@ SELECT *, CASE WHEN risk_score >= 30 THEN 'CRITICAL' WHEN risk_score >= 15 THEN
 
 
 def flagged_results(spark, d):
-    """Users by level of the mean of their events' values, without those of no or unknown risk."""
+    """Users by level of their errors, without those of no or unknown risk."""
     x = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"))
     level = F.when(F.col("user_id") % 17 == 0, "UNKNOWN").otherwise(level_of(F.col("errors")))
-    return x.select("user_id", "errors", level.alias("risk_level")).filter("risk_level in ('CRITICAL', 'HIGH', 'MODERATE')")
+    return pipelines.flagged(x.select("user_id", "errors", level.alias("risk_level")), Options(least_severity="MODERATE"))
 
 
 FLAGGED = "SELECT * FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, CASE WHEN user_id % 17 = 0 THEN 'UNKNOWN' WHEN errors >= 30 THEN 'CRITICAL' WHEN errors >= 15 THEN 'HIGH' WHEN errors >= 5 THEN 'MODERATE' WHEN errors > 0 THEN 'LOW' ELSE 'NONE' END AS risk_level FROM events GROUP BY 1) WHERE risk_level IN ('CRITICAL', 'HIGH', 'MODERATE')"
 
 
 def provenance_status(spark, d):
-    """A user's last event as attestation: views have none, lookups of errors fail, payloads of clicks can't be read."""
+    """Users' events as attestations: some lookups of errors fail, payloads of clicks can't be read. Every other user has none."""
     e = table(spark, d, "events")
     doc = F.when(F.col("event_type") == "click", F.lit("not json")).otherwise(F.concat(F.lit('{"predicate":{"buildType":"'), "event_type", F.lit('","invocation":{"configSource":{"uri":"git+'), F.col("user_id").cast("string"), F.lit('"}}}}')))
-    last = registry.ranked(e, "user_id", "ts", ["event_id"]).filter("back = 1 and event_type != 'view'")
-    rows = last.select("user_id", F.col("event_id").alias("ord"), F.base64(F.encode(doc, "utf-8")).alias("payload"), (F.col("event_id") % 3).cast("int").alias("tlog_entries"), (F.col("event_type") != "error").alias("fetched"))
-    return attested.provenance(e.select("user_id").distinct(), rows, ["user_id"])
+    failed = (F.col("event_type") == "error") & (F.col("event_id") % 20 == 0)
+    rows = e.select("user_id", F.col("event_id").alias("ord"), F.base64(F.encode(doc, "utf-8")).alias("payload"), (F.col("event_id") % 3).cast("int").alias("tlog_entries"), (~failed).alias("fetched"))
+    users = e.select((F.col("user_id") + F.expr("event_id % 2 * 100000")).alias("user_id")).distinct()
+    return attested.provenance(users, rows, ["user_id"])
 
 
 PROVENANCE = """
-WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back = 1)
-SELECT user_id, CASE event_type WHEN 'view' THEN false WHEN 'error' THEN NULL WHEN 'click' THEN NULL ELSE true END AS has_provenance, CASE WHEN event_type NOT IN ('view', 'click') THEN event_type END AS build_type,
-       CASE WHEN event_type NOT IN ('view', 'click') THEN 'git+' || user_id END AS source_repo, CASE WHEN event_type NOT IN ('view', 'click') AND event_id % 3 > 0 THEN 'verified' END AS transparency FROM a
+WITH g AS (
+  SELECT user_id, bool_or(event_type = 'error' AND event_id % 20 = 0) AS failed, bool_or(event_type <> 'click') AS fine, arg_max(event_type, event_id) FILTER (event_type <> 'click') AS build,
+         bool_or(event_type <> 'click' AND event_id % 3 > 0) AS logged
+  FROM events GROUP BY user_id
+),
+u AS (SELECT DISTINCT user_id + event_id % 2 * 100000 AS user_id FROM events)
+SELECT u.user_id, CASE WHEN g.user_id IS NULL THEN false WHEN failed THEN NULL WHEN fine THEN true END AS has_provenance, build AS build_type,
+       CASE WHEN build IS NOT NULL THEN 'git+' || u.user_id END AS source_repo, CASE WHEN logged THEN 'verified' END AS transparency
+FROM u LEFT JOIN g USING (user_id)
 """
 
 

@@ -168,24 +168,23 @@ def cache_upsert(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
     last = lambda rows: relational.last_wins(rows, ["user_id", "event_type"], ["event_id"])
-    return store.upsert(last(e.filter(F.col("ts") < cut)), last(e.filter(F.col("ts") >= cut).filter("event_type != 'view'")), ["user_id", "event_type"])
+    return store.upsert(last(e.filter(F.col("ts") < cut)), last(e.filter(F.col("ts") >= cut)), ["user_id", "event_type"])
 
 
 CACHE_UPSERT = """
 WITH o AS (SELECT user_id, event_type, event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1),
-n AS (SELECT user_id, event_type, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
+n AS (SELECT user_id, event_type, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM n)
 """
 
 
 def cache_prune_stats(spark, d):
+    """Entries before and after pruning, beside a cache that knows nothing."""
     e = events_with_end(spark, d)
-    kept = store.prune(e, F.col("as_of"), 7 * 86_400_000, "ts").groupBy("event_type").agg(F.count("*").alias("kept"))
-    every = e.groupBy("event_type").agg(F.count("*").alias("entries"))
-    return every.join(kept, "event_type", "left").select("event_type", "entries", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
+    return store.stats(entries=e, kept=store.prune(e, F.col("as_of"), 7 * 86_400_000, "ts"), none=store.empty(spark, "signals"))
 
 
-CACHE_PRUNE = "SELECT event_type, count(*) AS entries, count(*) FILTER ((SELECT max(ts) FROM events) - ts <= INTERVAL 168 HOUR) AS kept FROM events GROUP BY event_type"
+CACHE_PRUNE = "SELECT count(*) AS entries, count(*) FILTER ((SELECT max(ts) FROM events) - ts <= INTERVAL 168 HOUR) AS kept, 0::BIGINT AS none FROM events"
 
 
 def lock_over_manifest(spark, d):
@@ -260,13 +259,26 @@ QUALIFY row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY 'pkg:' || o_cust
 
 
 def sarif_document(spark, d):
-    doc = reports.sarif(_vulns(spark, d), F.lit(True))
+    """What all documents hold together, of at most 1000 results each."""
+    docs = reports.sarif(_vulns(spark, d), F.lit(True), most=1000)
     read = F.from_json("value", "version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, level: string>>>>")
-    run = doc.select(read.alias("x")).select("x.version", F.col("x.runs")[0].alias("run"))
-    return run.select("version", F.size("run.tool.driver.rules").cast("long").alias("n_rules"), F.size("run.results").cast("long").alias("n_results"), F.size(F.filter("run.results", lambda r: r["level"] == "error")).cast("long").alias("n_errors"))
+    run = docs.select(read.alias("x")).select("x.version", F.col("x.runs")[0].alias("run"))
+    known = F.forall("run.results", lambda r: F.array_contains(F.col("run.tool.driver.rules.id"), r["ruleId"]))
+    each = run.select("version", known.alias("known"), F.explode("run.results").alias("r"))
+    return each.groupBy("version").agg(F.count_distinct("r.ruleId").alias("n_rules"), F.count("*").alias("n_results"), F.count_if(F.col("r.level") == "error").alias("n_errors"), F.bool_and("known").alias("known"))
 
 
-SARIF = f"SELECT '2.1.0' AS version, count(DISTINCT o_custkey % 50) AS n_rules, count(*) AS n_results, count(*) FILTER (s IN ('CRITICAL', 'HIGH')) AS n_errors FROM (SELECT *, {SEVERITY_SQL} AS s FROM orders) WHERE s <> 'UNKNOWN'"
+SARIF = f"SELECT '2.1.0' AS version, count(DISTINCT o_custkey % 50) AS n_rules, count(*) AS n_results, count(*) FILTER (s IN ('CRITICAL', 'HIGH')) AS n_errors, true AS known FROM (SELECT *, {SEVERITY_SQL} AS s FROM orders) WHERE s <> 'UNKNOWN'"
+
+
+def severity_sections(spark, d):
+    return reports.sections(_vulns(spark, d))
+
+
+SECTIONS = f"""
+SELECT s AS severity, 'pkg:' || o_custkey || '@' || o_orderkey || '  GHSA-' || (o_custkey % 50) || ' 100% of ' || o_orderstatus || CASE WHEN o_orderstatus = 'F' THEN '  fix: >= ' || o_orderkey ELSE '' END AS line
+FROM (SELECT *, {SEVERITY_SQL} AS s FROM orders) WHERE s <> 'UNKNOWN'
+"""
 
 QUERIES = {
     "flagship": (flagship, FLAGSHIP),
@@ -290,4 +302,5 @@ QUERIES = {
     "ci_annotations": (ci_annotations, ANNOTATIONS),
     "sarif_rules": (sarif_rules, SARIF_RULES),
     "sarif_document": (sarif_document, SARIF),
+    "severity_sections": (severity_sections, SECTIONS),
 }

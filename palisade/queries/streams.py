@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -11,20 +13,32 @@ from palisade.operators import relational
 from palisade.queries.tables import table
 from palisade.streaming import watch
 
-CUTS = ["2024-01-10", "2024-01-20", "2024-02-10"]
+CUTS = ["2024-01-10", "2024-01-20", "2024-02-10", "2024-02-20"]
+
+
+def _root(spark) -> str:
+    """The shared folder of the session; a temporary one only if all of Spark runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (root or tempfile.mkdtemp(prefix="watch-")).rstrip("/")
 
 
 def watch_microbatch(spark, d):
-    """The baseline after three snapshots; each is the users' last events before a day."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="watch-")
-    folder = f"{root.rstrip('/')}/watch-{uuid.uuid4().hex}"
+    """The baseline after four snapshots of the users' last events before a day.
+
+    The last one brings types of events that the lookup has no answer for, so the baseline stays at the one before.
+    """
+    folder = f"{_root(spark)}/watch-{uuid.uuid4().hex}"
     events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("version"), F.col("event_id").alias("ord"), "ts")
     for cut in CUTS:
         at = F.lit(cut).cast("timestamp_ntz")
         last = relational.last_wins(events.filter(F.col("ts") < at), ["name"], ["ts", "ord"])
-        rows = last.select(F.lit("npm").alias("ecosystem"), "name", "version", F.lit(None).cast("string").alias("integrity"), "ord", at.alias("taken_at"))
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")  # a snapshot is one file
-    writer = watch.watch(watch.read_snapshots(spark, f"{folder}/in"), f"{folder}/base", f"{folder}/reports", lambda changed: True)
+        version = F.col("version") if cut != CUTS[-1] else F.concat(F.col("version"), F.lit("-next"))
+        rows = last.select(F.lit("npm").alias("ecosystem"), "name", version.alias("version"), F.lit(None).cast("string").alias("integrity"), "ord")
+        watch.write_snapshot(rows, folder, datetime.fromisoformat(cut))
+    answered = lambda changed: changed.filter("version like '%-next'").isEmpty()
+    writer = watch.watch(watch.read_snapshots(spark, folder), f"{folder}/base", f"{folder}/reports", answered)
     writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return watch.read_baseline(spark, f"{folder}/base")
 

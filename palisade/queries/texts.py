@@ -12,16 +12,16 @@ from palisade.sources import parsers
 
 
 def typosquat(spark, d):
-    """Words of documents within a small edit distance of part names. ASCII words, whose bytes are characters."""
-    words = F.split(F.lower("text"), "[^a-z]+")
-    names = table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7f]")).select(F.explode(words).alias("name")).filter("length(name) between 3 and 12").distinct()
+    """Words of a-z of all documents within a small edit distance of part names."""
+    words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w.rlike("^[A-Za-z]+$"))
+    names = table(spark, d, "documents").select(F.explode(words).alias("name")).select(F.lower("name").alias("name")).distinct()
     popular = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
     return rules.typosquats(names, popular)
 
 
 TYPOSQUAT = r"""
-WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS name FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]')),
-n AS (SELECT name, CASE WHEN length(name) <= 3 THEN 0 WHEN length(name) <= 6 THEN 1 ELSE 2 END AS lim FROM w WHERE length(name) BETWEEN 3 AND 12),
+WITH w AS (SELECT DISTINCT lower(x) AS name FROM (SELECT unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS x FROM documents) WHERE regexp_matches(x, '^[A-Za-z]+$')),
+n AS (SELECT name, CASE WHEN length(name) <= 3 THEN 0 WHEN length(name) <= 6 THEN 1 ELSE 2 END AS lim FROM w),
 p AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS "similar" FROM part)
 SELECT name, "similar", levenshtein(name, "similar")::INT AS distance FROM n JOIN p ON abs(length(name) - length("similar")) <= lim
 WHERE levenshtein(name, "similar") BETWEEN 1 AND lim AND NOT (length("similar") <= 3 AND length(name) <= 5)
@@ -29,13 +29,22 @@ WHERE levenshtein(name, "similar") BETWEEN 1 AND lim AND NOT (length("similar")
 
 
 def homoglyph(spark, d):
-    name = F.concat(F.split_part(F.substring("text", 1, 60), F.lit(" "), F.lit(1)), F.when(F.col("doc_id") % 7 == 0, F.lit("\u200b")).when(F.col("doc_id") % 11 == 0, F.lit("\u202e")).otherwise(F.lit("")))
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.homoglyphs(name), ",").alias("found"))
+    """How many words of each document have suspicious characters, by kind; every seventh and eleventh document gets one more such word."""
+    given = F.concat("text", F.when(F.col("doc_id") % 7 == 0, F.lit(" na\u200bme")).when(F.col("doc_id") % 11 == 0, F.lit(" \u202ename")).otherwise(F.lit("")))
+    words = F.filter(F.split(given, r"[\x20\x09-\x0D]+"), lambda w: F.size(text.homoglyphs(w)) > 0)
+    names = table(spark, d, "documents").select("doc_id", F.explode(words).alias("name"))
+    return names.select("doc_id", F.explode(text.homoglyphs(F.col("name"))).alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 HOMOGLYPH = r"""
-WITH n AS (SELECT doc_id, split_part(substr(text, 1, 60), ' ', 1) || CASE WHEN doc_id % 7 = 0 THEN chr(8203) WHEN doc_id % 11 = 0 THEN chr(8238) ELSE '' END AS name FROM documents)
-SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(name, '[\x{200b}-\x{200f}\x{2060}\x{feff}]') THEN 'INVISIBLE_CHARS' END, CASE WHEN regexp_matches(name, '[\x{202a}-\x{202e}\x{2066}-\x{2069}]') THEN 'BIDI_OVERRIDE' END, CASE WHEN regexp_matches(name, '[^\x00-\x7f]') THEN 'NON_ASCII' END) AS found FROM n
+WITH g AS (SELECT doc_id, text || CASE WHEN doc_id % 7 = 0 THEN ' na' || chr(8203) || 'me' WHEN doc_id % 11 = 0 THEN ' ' || chr(8238) || 'name' ELSE '' END AS t FROM documents),
+w AS (SELECT doc_id, unnest(regexp_split_to_array(t, '[\x20\x09-\x0D]+')) AS name FROM g),
+k AS (
+  SELECT doc_id, 'INVISIBLE_CHARS' AS kind FROM w WHERE regexp_matches(name, '[\x{200b}-\x{200f}\x{2060}\x{feff}]')
+  UNION ALL SELECT doc_id, 'BIDI_OVERRIDE' FROM w WHERE regexp_matches(name, '[\x{202a}-\x{202e}\x{2066}-\x{2069}]')
+  UNION ALL SELECT doc_id, 'NON_ASCII' FROM w WHERE regexp_matches(name, '[^\x00-\x7f]')
+)
+SELECT doc_id, kind, count(*) AS n FROM k GROUP BY ALL
 """
 
 _ESCAPES = ["\x1b]0;title\x07", "\x1b[31m", "\x1bP1;2|data\x1b\\", "\x9b", "\x01\x07", "\x1bM", "\x7f\t"]
@@ -168,15 +177,14 @@ UNION ALL SELECT p_partkey, 'other', p_size || '.0', false FROM part UNION ALL S
 
 
 def html_block_extract(spark, d):
-    """Links of pages, as elements that a pattern finds."""
-    p = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("at", "href"))
-    return p.groupBy("page_id").agg(F.count("*").alias("n"), F.min_by("href", "at").alias("first"), F.max_by("href", "at").alias("last"))
+    """Elements of build files: each page's links as dependencies with a version, a property and none."""
+    block = lambda v: F.concat(F.lit("<dependency>\n <groupId>org.p"), F.col("page_id").cast("string"), F.lit("</groupId><artifactId>a</artifactId>"), v, F.lit("</dependency>"))
+    content = F.concat(F.lit("<project><dependencies>"), block(F.concat(F.lit("<version> ["), F.col("page_id").cast("string"), F.lit(".1] </version>"))), block(F.lit("<version>${v}</version>")), block(F.lit("")), F.lit("</dependencies><!-- "), F.regexp_replace("html", "<dependency>|-->", ""), F.lit(" --></project>"))
+    files = table(spark, d, "pages").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string"), F.lit("/pom.xml")).alias("path"), content.alias("content"))
+    return parsers.pom(files).select("name", "version", "is_pinned", "source_file")
 
 
-HTML = """
-WITH x AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)
-SELECT page_id, len(h) AS n, h[1] AS first, h[-1] AS last FROM x WHERE len(h) > 0
-"""
+HTML = "SELECT 'org.p' || page_id || ':a' AS name, page_id || '.1' AS version, true AS is_pinned, '/p/' || page_id || '/pom.xml' AS source_file FROM pages"
 
 
 def npm_lock_parse(spark, d):
@@ -217,7 +225,7 @@ _SNIPPETS_SQL = "CASE doc_id % 7 WHEN 0 THEN 'import os' || chr(10) || 'os.syste
 
 def _python_files(spark, d):
     snippet = F.get(F.array(*[F.lit(s) for s in _SNIPPETS]), (F.col("doc_id") % len(_SNIPPETS)).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat(snippet, F.lit("\n"), F.regexp_replace("text", r"\\", "")).alias("source"))
+    return table(spark, d, "documents").select("doc_id", F.concat(snippet, F.lit("\n"), "text").alias("source"))
 
 
 def py_rules(spark, d):
@@ -225,9 +233,9 @@ def py_rules(spark, d):
 
 
 _PY = (
-    "WITH s AS (SELECT doc_id, regexp_replace(" + _SNIPPETS_SQL + r""" || chr(10) || replace(text, chr(92), ''), '\\\r?\n\s*', ' ', 'g') AS t FROM documents),
+    "WITH s AS (SELECT doc_id, regexp_replace(" + _SNIPPETS_SQL + r""" || chr(10) || text, '\\\r?\n[\s\x0b]*', ' ', 'g') AS t FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM s),
-c AS (SELECT doc_id, line, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS code FROM l),
+c AS (SELECT doc_id, line, regexp_replace(raw, '^[\s\x0b\x{a0}\x{feff}]+|[\s\x0b\x{a0}\x{feff}]+$', '', 'g') AS code FROM l),
 f AS ("""
     + "\n  UNION ALL ".join(
         "SELECT doc_id, line, '{}' AS pattern, '{}' AS severity FROM c WHERE NOT starts_with(code, '#') AND regexp_matches(code, '{}'){}".format(p, s, y.replace("'", "''"), f" AND NOT regexp_matches(code, '{n}')" if n else "") for p, s, y, n in code_rules.PYTHON_RULES
@@ -245,21 +253,60 @@ def py_capabilities(spark, d):
 PY_CAPABILITIES = _PY + """SELECT doc_id, bool_or(pattern = 'CODE_EXECUTION') AS code_execution, bool_or(pattern = 'PROCESS_SPAWN') AS process_spawn, bool_or(pattern = 'NETWORK_ACCESS') AS network, bool_or(pattern = 'SYSTEM_PATH_WRITE') AS system_write, bool_or(pattern = 'ENV_HARVESTING') AS credential_access, bool_or(pattern = 'BASE64_DECODE') AS payload_decode,
        CASE max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 ELSE 2 END) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' ELSE 'MODERATE' END AS max_severity, count(*) AS finding_count FROM f GROUP BY doc_id"""
 
-_JS = ["const cp = require('child_process'); cp.exec('x')", "eval(a); // fetch(b)", "fetch('u'); process.env.NPM_TOKEN", "const fs = require('fs'); fs.writeFileSync('/etc/x', y)", "require('a' + b)", "console.log('eval(x)')", "function ( {"]
+#: Sources, and what is found in each; the same code stands plainly, in what a template fills in, and in strings.
+_JS = [
+    ("const cp = require('child_process'); cp.exec('x')", [("PROCESS_SPAWN", "CRITICAL", 1)]),
+    ("eval(a); // fetch(b)", [("CODE_EXECUTION", "CRITICAL", 1)]),
+    ("fetch('u'); process.env.NPM_TOKEN", [("NETWORK_ACCESS", "HIGH", 1), ("ENV_HARVESTING", "CRITICAL", 1)]),
+    ("const fs = require('fs'); fs.writeFileSync('/etc/x', y)", [("SYSTEM_PATH_WRITE", "CRITICAL", 1)]),
+    ("require('a' + b)", [("POSSIBLE_OBFUSCATION", "CRITICAL", 1)]),
+    ("console.log('eval(x)'); const t = 'require(y)'; a = `new Function`; b = /it's eval(c)/g", []),
+    ("function ( {", [("UNPARSEABLE_CODE", "HIGH", 1)]),
+    ("const s = `${eval(x)} and ${fetch(u)}`", [("CODE_EXECUTION", "CRITICAL", 1), ("NETWORK_ACCESS", "HIGH", 1)]),
+    ("import cp, {exec} from 'child_process'; exec('a')", [("PROCESS_SPAWN", "CRITICAL", 1)]),
+    ("import d, * as net from 'net'; net.connect(1)", [("NETWORK_ACCESS", "HIGH", 1)]),
+    ("setTimeout('x()', 1); new Function('y'); new Worker(f)", [("CODE_EXECUTION", "CRITICAL", 2), ("CODE_EXECUTION", "HIGH", 1)]),
+    ("import(name); require(name)", [("DYNAMIC_IMPORT", "HIGH", 1), ("DYNAMIC_REQUIRE", "HIGH", 1)]),
+    ("Buffer.from(x, 'base64'); y.toString('base64')", [("BASE64_DECODE", "HIGH", 2)]),
+    ("const vm = require('vm'); vm.runInNewContext(x); process.binding('fs'); process.dlopen(m)", [("CODE_EXECUTION", "CRITICAL", 2), ("PROCESS_SPAWN", "CRITICAL", 1)]),
+    ("globalThis['eval'](x); window[a + b](c)", [("CODE_EXECUTION", "CRITICAL", 1), ("POSSIBLE_OBFUSCATION", "HIGH", 1)]),
+    ("WebAssembly.instantiate(b); [].filter.constructor('x')()", [("CODE_EXECUTION", "CRITICAL", 2)]),
+    ("const {unlinkSync} = require('fs'); unlinkSync(__filename)", [("SELF_DELETION", "CRITICAL", 1)]),
+    ("import fs from 'node:fs'; fs.readFileSync('/home/u/.ssh/id_rsa'); fs.writeFile('out', 1)", [("ENV_HARVESTING", "CRITICAL", 1), ("FILESYSTEM_WRITE", "MODERATE", 1)]),
+    ("a[b](c); d[e](f); g[h](i)", [("POSSIBLE_OBFUSCATION", "HIGH", 1)]),
+]
+
+
+def _js_files(spark, d):
+    """A source for each document, which also has its whole text as a string and in a comment."""
+    snippet = F.get(F.array(*[F.lit(s) for s, _ in _JS]), (F.col("doc_id") % len(_JS)).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat(snippet, F.lit("\nconst doc = "), F.to_json(F.struct("text")), F.lit(";\n/* "), F.replace("text", F.lit("*/"), F.lit("")), F.lit(" */")).alias("source"))
 
 
 def js_rules(spark, d):
-    snippet = F.get(F.array(*[F.lit(s) for s in _JS]), (F.col("doc_id") % len(_JS)).cast("int"))
-    files = table(spark, d, "documents").select("doc_id", F.concat(snippet, F.lit("\n/* "), F.replace("text", F.lit("*/"), F.lit("")), F.lit(" */")).alias("source"))
-    return code_rules.js_findings(files)
+    return code_rules.js_findings(_js_files(spark, d))
 
 
-JS = """
-WITH w(m, pattern, severity, hits) AS (VALUES (0, 'PROCESS_SPAWN', 'CRITICAL', 1), (1, 'CODE_EXECUTION', 'CRITICAL', 1), (2, 'NETWORK_ACCESS', 'HIGH', 1), (2, 'ENV_HARVESTING', 'CRITICAL', 1), (3, 'SYSTEM_PATH_WRITE', 'CRITICAL', 1), (4, 'POSSIBLE_OBFUSCATION', 'CRITICAL', 1), (6, 'UNPARSEABLE_CODE', 'HIGH', 1))
-SELECT doc_id, pattern, severity, hits::BIGINT AS hits FROM documents JOIN w ON doc_id % 7 = m
+_JS_FOUND = ", ".join(f"({m}, '{p}', '{s}', {n})" for m, (_, found) in enumerate(_JS) for p, s, n in found)
+JS = f"""
+WITH w(m, pattern, severity, hits) AS (VALUES {_JS_FOUND})
+SELECT doc_id, pattern, severity, hits::BIGINT AS hits FROM documents JOIN w ON doc_id % {len(_JS)} = m
 """
 
 
+def js_profiles(spark, d):
+    """Capabilities of each document's source."""
+    return code_rules.profile(js_rules(spark, d), ["doc_id"]).select("doc_id", F.array_join("capabilities", ",").alias("capabilities"))
+
+
+def _caps(found):
+    return ",".join(sorted(c for c, patterns in code_rules.CAPABILITIES[:9] if {p for p, *_ in found} & set(patterns)))
+
+
+_JS_CAPS = ", ".join(f"({m}, '{_caps(found)}')" for m, (_, found) in enumerate(_JS) if found)
+JS_PROFILES = f"WITH w(m, capabilities) AS (VALUES {_JS_CAPS}) SELECT doc_id, capabilities FROM documents JOIN w ON doc_id % {len(_JS)} = m"
+
+
 def inline_js_extract(spark, d):
     forms = ["node -e 'run({n})'", 'sh -c "node --eval \'deep({n})\'"', "node scripts/{n}.js", "npm run build", "var a = {n};", "echo {n}", 'node -e "x({n})" && true']
     form = F.get(F.array(*[F.lit(f) for f in forms]), (F.col("p_partkey") % len(forms)).cast("int"))
@@ -301,5 +348,6 @@ QUERIES = {
     "py_rules": (py_rules, PY_RULES),
     "py_capabilities": (py_capabilities, PY_CAPABILITIES),
     "js_rules": (js_rules, JS),
+    "js_profiles": (js_profiles, JS_PROFILES),
     "inline_js_extract": (inline_js_extract, INLINE_JS),
 }

@@ -12,6 +12,12 @@ ADVISORY = (
 VULNERABILITY = "id string, display_id string, aliases array<string>, summary string, severity string, package string, version string, ecosystem string, fixed string, url string, references array<string>, details_missing boolean"
 PACKAGE_VERSION = "name string, version string, published_at timestamp_ntz, publisher string, scripts map<string,string>, dependencies map<string,string>"
 PACKAGE = "name string, latest_tag string, created_at timestamp_ntz, maintainers array<string>, repository string, license string"
+#: Tables of cached answers, and the columns that tell their rows apart.
+CACHES = {
+    "advisories": ("ecosystem string, name string, version string, vulns string, fetched_at timestamp_ntz", ["ecosystem", "name", "version"]),
+    "metadata": ("ecosystem string, name string, data string, fetched_at timestamp_ntz", ["ecosystem", "name"]),
+    "signals": ("ecosystem string, name string, version string, data string, analyzed_at timestamp_ntz", ["ecosystem", "name", "version"]),
+}
 SIGNAL = "name string, version string, signal string, severity string, description string, evidence string, layer int, known_good boolean"
 
 #: Severity, order, weight.

@@ -1,4 +1,8 @@
-"""Reports: JSON documents, annotation lines, SARIF."""
+"""Reports: JSON documents, sections by severity, annotation lines, SARIF.
+
+A JSON report is rows of text: one head, then one row per result, written in parallel. document() puts a report of a bounded size into one
+JSON document; SARIF comes as documents of a bounded number of results each.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,64 @@ from pyspark.sql import functions as F
 
 from palisade.functions.severity import order_of
 from palisade.functions.text import sanitize
+from palisade.operators.advisories import count_by_severity
+
+#: Results that one JSON document holds.
+MOST_RESULTS = 10_000
+
+
+def _report(command: str, head: DataFrame, results: DataFrame, field: str) -> DataFrame:
+    """``part`` (head, or the field that the result belongs to) and ``value`` (JSON). ``head`` is one row."""
+    first = head.select(F.lit("head").alias("part"), F.to_json(F.struct(F.lit(command).alias("command"), *head.columns)).alias("value"))
+    return first.unionByName(results.select(F.lit(field).alias("part"), F.to_json(F.struct(*results.columns)).alias("value")))
+
+
+def document(report: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
+    """One row with the whole report as one JSON document. A report of over ``most`` results is an error: keep it as rows."""
+    n = report.filter("part != 'head'").limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} results for one document")
+    parts = report.agg(F.max(F.when(F.col("part") == "head", F.col("value"))).alias("head"), F.max(F.when(F.col("part") != "head", F.col("part"))).alias("field"), F.array_sort(F.collect_list(F.when(F.col("part") != "head", F.col("value")))).alias("items"))
+    body = F.concat(F.lit(', "'), F.coalesce("field", F.lit("results")), F.lit('": ['), F.array_join("items", ","), F.lit("]}"))
+    return parts.select(F.concat(F.expr("substring(head, 1, length(head) - 1)"), body).alias("value"))
 
 
 def scan_report(vulns: DataFrame, verdict: DataFrame) -> DataFrame:
-    """One JSON document: verdict, counts by severity and all findings. A report is one document, so it is built in one task."""
-    from palisade.operators.advisories import count_by_severity
+    """Of a scan: verdict, counts by severity, all findings."""
+    head = verdict.crossJoin(count_by_severity(vulns).select(F.struct("*").alias("summary")))  # one row each
+    return _report("scan", head, vulns, "vulnerabilities")
+
+
+def analyze_report(rows: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Of an analysis: how many packages there are, how many are flagged, and these with their signals."""
+    n = rows.agg(F.count("*").alias("flagged"), F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"), F.count_if(F.col("risk_level") == "HIGH").alias("high"))
+    head = verdict.crossJoin(n)  # one row each
+    return _report("analyze", head.select("complete", F.struct(F.col("expected").alias("total"), "flagged", "critical", "high").alias("summary")), rows, "results")
+
 
-    counts = count_by_severity(vulns).select(F.struct("*").alias("summary"))
-    rows = vulns.agg(F.array_sort(F.collect_list(F.struct("id", "package", "version", "ecosystem", "severity", "summary", "fixed"))).alias("vulnerabilities"))
-    one = verdict.select(F.struct("*").alias("verdict")).crossJoin(counts).crossJoin(rows)  # one row each
-    return one.select(F.to_json(F.struct("verdict", "summary", "vulnerabilities")).alias("value"))
+def fix_report(fixes: DataFrame, complete: Column) -> DataFrame:
+    """Of fixes: each package's recommendation, or why it has none."""
+    head = fixes.agg(F.count("*").alias("packages"), F.count("fix").alias("fixable")).withColumn("complete", complete)
+    return _report("fix", head, fixes, "fixes")
+
+
+def guard_report(decision: DataFrame, results: DataFrame) -> DataFrame:
+    """Of pipelines.guard(): what an installation changes, whether it is blocked, and the packages' results."""
+    blocked = (F.col("critical") > 0) | F.col("has_vulns") | ~F.col("complete")
+    head = decision.select(F.struct("added", "changed", "removed").alias("diff"), blocked.alias("blocked"), (~F.col("complete")).alias("incomplete"), "decision")
+    return _report("guard", head, results, "results")
+
+
+def ci_report(vulns: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Of a build server's check: how many packages were looked up, failed or are vulnerable, and the findings."""
+    head = verdict.select("complete", F.struct(F.col("expected").alias("total"), F.col("findings").alias("vulnerable"), F.col("checked").alias("scanned"), (F.col("expected") - F.col("checked")).alias("failed")).alias("summary"))
+    return _report("monitor", head.withColumn("mode", F.lit("ci")), vulns, "vulnerabilities")
+
+
+def sections(vulns: DataFrame) -> DataFrame:
+    """Findings as sections of a listing, the worst severity first: ``severity``, ``line``. Severities without a section are left out."""
+    line = F.concat("package", F.lit("@"), "version", F.lit("  "), sanitize(F.concat_ws(" ", "display_id", "summary")), F.coalesce(F.concat(F.lit("  fix: "), "fixed"), F.lit("")))
+    return vulns.filter(order_of(F.col("severity")) >= 1).orderBy(order_of(F.col("severity")).desc(), "package", "version", "display_id").select("severity", line.alias("line"))
 
 
 def _escaped(text: Column, of: str) -> Column:
@@ -43,14 +95,34 @@ def sarif_rules(vulns: DataFrame) -> DataFrame:
     return vulns.groupBy(F.col("display_id").alias("id")).agg(first).select("id", sarif_level(F.col("f.severity")).alias("level"), F.col("f.summary").alias("text"))
 
 
-def sarif(vulns: DataFrame, complete: Column, tool: str = "palisade") -> DataFrame:
-    """One SARIF 2.1.0 document."""
-    rule = F.struct(F.col("id"), F.struct(F.col("text")).alias("shortDescription"), F.struct(F.col("level")).alias("defaultConfiguration"))
-    rules = sarif_rules(vulns).agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+#: Where a finding of an ecosystem is shown, if its file isn't known.
+LOCATIONS = {"pypi": "requirements.txt", "PyPI": "requirements.txt", "cargo": "Cargo.lock", "crates.io": "Cargo.lock"}
+#: References that a finding shows.
+REFERENCES = 5
+
+
+def sarif(vulns: DataFrame, complete: Column, tool: str = "palisade", most: int = MOST_RESULTS) -> DataFrame:
+    """SARIF 2.1.0 documents of about ``most`` results each, each with the rules of its own results: ``part``, ``value``.
+
+    ``vulns`` may have ``ecosystem``, which places findings without a ``source_file``, and ``references``, of which the first
+    ones are shown.
+    """
+    n = vulns.count()
+    parts = max(1, -(-n // most))
+    kept = vulns.withColumns({c: F.lit(None).cast(k) for c, k in (("ecosystem", "string"), ("references", "array<string>")) if c not in vulns.columns})
+    rule = F.struct(F.col("id"), F.struct(F.col("text")).alias("shortDescription"), F.struct(F.col("level")).alias("defaultConfiguration")).alias("rule")
     message = F.struct(F.concat("package", F.lit("@"), "version", F.lit(": "), "summary").alias("text"))
-    where = F.array(F.struct(F.struct(F.struct(F.coalesce("source_file", F.lit("package-lock.json")).alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    result = F.struct(F.col("display_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), message.alias("message"), where.alias("locations"))
-    results = vulns.agg(F.array_sort(F.collect_list(result)).alias("results"))
+    place = F.lit("package-lock.json")
+    for name, file in LOCATIONS.items():
+        place = F.when(F.col("ecosystem") == name, file).otherwise(place)
+    where = F.array(F.struct(F.struct(F.struct(F.coalesce("source_file", place).alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
+    related = F.transform(F.slice(F.coalesce("references", F.array().cast("array<string>")), 1, REFERENCES), lambda u, i: F.struct(i.alias("id"), F.struct(u.alias("text")).alias("message")))
+    result = F.struct(F.col("display_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), message.alias("message"), where.alias("locations"), F.when(F.size(related) > 0, related).alias("relatedLocations")).alias("result")
+    part = F.pmod(F.xxhash64("package", "version", "display_id"), F.lit(parts)).alias("part")
+    each = kept.select(part, result, F.col("display_id").alias("id")).join(sarif_rules(vulns).select("id", rule), "id")
+    whole = each.groupBy("part").agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.array_sort(F.collect_list("result")).alias("results"))
+    if not n:
+        none = each.select("rule", "result").schema
+        whole = vulns.sparkSession.range(1).select(F.lit(0).cast("long").alias("part"), F.array().cast(f"array<{none['rule'].dataType.simpleString()}>").alias("rules"), F.array().cast(f"array<{none['result'].dataType.simpleString()}>").alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"), F.array(F.struct(complete.alias("executionSuccessful"))).alias("invocations"))
-    both = rules.crossJoin(results)  # one row each
-    return both.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.array(run).alias("runs"))).alias("value"))
+    return whole.select("part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.array(run).alias("runs"))).alias("value"))

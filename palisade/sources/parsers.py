@@ -21,11 +21,31 @@ JSON_FILES = ["package-lock.json", "package.json", "Pipfile.lock", "composer.loc
 PLATFORM = ["php", "php-64bit", "hhvm", "composer-plugin-api", "composer-runtime-api"]
 
 
+#: Text files, and a pattern that each of them that isn't broken matches.
+MARKS = {
+    "poetry.lock": r"(?m)^\[\[package\]\]|^\[metadata\]",
+    "Cargo.lock": r"(?m)^\[\[package\]\]|^version\s*=\s*\d",
+    "yarn.lock": r"(?m)^# yarn lockfile|^__metadata:|^\S.*@.*:\s*$",
+    "pnpm-lock.yaml": r"(?m)^lockfileVersion:",
+    "Gemfile.lock": r"(?m)^(GEM|GIT|PATH|PLATFORMS|DEPENDENCIES)\s*$",
+    "go.mod": r"(?m)^\s*module\s",
+    "gradle.lockfile": r"(?m)^[^#\s].*=",
+    "pom.xml": r"<project\b",
+}
+
+
 def parse_failures(files: DataFrame) -> DataFrame:
-    """``path, reason`` of JSON files that aren't valid."""
+    """``path, reason`` of JSON files that hold no valid object, and of text files without what their format must have.
+
+    Empty text files are valid. A key that occurs twice is no failure.
+    """
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    bad = F.try_parse_json("content").isNull()
-    return files.filter(name.isin(JSON_FILES) & bad).select("path", F.concat(F.lit("invalid JSON in "), name).alias("reason"))
+    broken = F.lit(False)
+    for file, mark in MARKS.items():
+        broken = broken | ((name == file) & ~F.col("content").rlike(mark))
+    broken = broken | (name.rlike(r"\.csproj$") & ~F.col("content").rlike(r"<Project\b"))
+    reason = F.when(F.col("content").isNull(), F.concat(F.lit("unreadable "), name)).when(name.isin(JSON_FILES) & F.json_object_keys("content").isNull(), F.concat(F.lit("invalid JSON in "), name)).when(broken & (trimmed(F.col("content")) != ""), F.concat(F.lit("unknown form of "), name))
+    return files.select("path", reason.alias("reason")).filter("reason is not null")
 
 
 def _rows(df: DataFrame, ecosystem: str, **columns: Column | str) -> DataFrame:
@@ -50,18 +70,29 @@ def npm_lock(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
     return _with_direct(rows, manifests)
 
 
-def npm_lock_v1(files: DataFrame, manifests: DataFrame | None = None, depth: int = 16) -> DataFrame:
-    """package-lock.json of version 1: a tree of dependencies, read level by level, ``depth`` deep."""
-    kind = "map<string, struct<version: string, dev: boolean, dependencies: string>>"
-    level = files.withColumn("tree", F.from_json("content", f"packages string, dependencies {kind}")).filter("tree.packages is null and tree.dependencies is not null")
-    level = level.select("path", F.col("tree.dependencies").alias("tree"), F.array().cast("array<int>").alias("trail"))
-    out = None
-    for _ in range(depth):
-        nodes = level.select("path", "trail", F.posexplode(F.map_entries("tree")).alias("at", "e")).withColumn("trail", F.concat("trail", F.array("at")))
-        out = nodes if out is None else out.unionByName(nodes)
-        level = nodes.filter("e.value.dependencies is not null").select("path", F.from_json("e.value.dependencies", kind).alias("tree"), "trail")
-    ordered = out.withColumn("ord", F.row_number().over(Window.partitionBy("path").orderBy("trail"))).filter("e.value.version is not null")
-    return _with_direct(_once(_rows(ordered, "npm", name=F.col("e.key"), version=F.col("e.value.version"), is_dev=F.coalesce("e.value.dev", F.lit(False)), ord="ord")), manifests)
+def npm_lock_v1(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """package-lock.json of version 1, a tree of dependencies of any depth.
+
+    One pass over the text: each name that opens an object is paired with the number of objects open at that place. An entry's
+    own fields are one level deeper, up to where its object closes.
+    """
+    doc = files.withColumn("doc", F.from_json("content", "packages string, dependencies string")).filter("doc.packages is null and doc.dependencies is not null")
+    tokens = F.regexp_extract_all(F.regexp_replace("doc.dependencies", r"\\[\s\S]", "__"), F.lit(r'"[^"]*+"\s*+:?+|[{}\[\],]|[^\s"{}\[\],]++'), F.lit(0))
+    each = doc.select("path", F.posexplode(tokens).alias("at", "t"))
+    w = Window.partitionBy("path").orderBy("at")
+    each = each.withColumn("depth", F.sum(F.when(F.col("t").isin("{", "["), 1).when(F.col("t").isin("}", "]"), -1).otherwise(0)).over(w))
+    each = each.withColumns({"key": F.when(F.col("t").endswith(":"), F.regexp_extract("t", '^"(.*)"', 1)), "value": F.lead("t").over(w)}).filter("key is not null")
+    # Depth 1 holds names, 2 their fields, 3 the names in a field "dependencies", and so on.
+    by_field = Window.partitionBy("path", F.floor(F.col("depth") / 2)).orderBy("at")
+    section = F.last(F.when((F.col("value") == "{") & (F.col("depth") % 2 == 0), F.col("key")), ignorenulls=True).over(by_field)
+    fields = each.withColumn("name", F.when((F.col("value") == "{") & (F.col("depth") % 2 == 1) & ((F.col("depth") == 1) | (section == "dependencies")), F.struct("at", "key")))
+    by_level = Window.partitionBy("path", F.floor((F.col("depth") + 1) / 2)).orderBy("at")
+    fields = fields.withColumn("entry", F.last("name", ignorenulls=True).over(by_level)).filter("depth % 2 = 0 and entry is not null")
+    flat = fields.groupBy("path", "entry").agg(
+        F.max(F.when((F.col("key") == "version") & F.col("value").startswith('"'), F.regexp_extract("value", '^"(.*)"', 1))).alias("version"), F.bool_or((F.col("key") == "dev") & (F.col("value") == "true")).alias("dev")
+    )
+    rows = _rows(flat.filter("version is not null and version != ''"), "npm", name=F.col("entry.key"), version=F.col("version"), is_dev=F.coalesce("dev", F.lit(False)), ord=F.col("entry.at"))
+    return _with_direct(_once(rows), manifests)
 
 
 def _with_direct(rows: DataFrame, manifests: DataFrame | None) -> DataFrame:
@@ -137,8 +168,40 @@ def _got(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
-def requirements(files: DataFrame) -> DataFrame:
-    """requirements.txt. Includes are files of their own here; options, paths and URLs are no packages."""
+INCLUDE = r"(?m)^[^\S\n]*(?:-r|--requirement|-c|--constraint)[^\S\n]+([^\s#]+)"
+
+
+def _included(path: Column, include: Column) -> Column:
+    """The path that an include comes down to, from the folder of the file that has it."""
+    folder = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    step = lambda at, part: F.when(part == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).when(part.isin("", "."), at).otherwise(F.concat(at, F.array(part)))
+    return F.array_join(F.aggregate(F.split(include, "/"), folder, step), "/")
+
+
+def include_closure(roots: DataFrame, every: DataFrame) -> DataFrame:
+    """``root, path`` of each file of ``every(path, content)`` that a file of ``roots`` includes, directly or not, itself among them.
+
+    One join for each step that includes are deep; circles end as nothing new is found.
+    """
+    edges = every.select("path", F.explode(F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1))).alias("i")).select("path", _included(F.col("path"), F.col("i")).alias("to")).distinct()
+    known = every.select(F.col("path").alias("to"))
+    edges = edges.join(known, "to", "left_semi")
+    reached = new = roots.select(F.col("path").alias("root"), "path").distinct()
+    while True:
+        new = new.join(edges, "path").select("root", F.col("to").alias("path")).distinct().join(reached, ["root", "path"], "left_anti").persist()
+        if new.isEmpty():
+            return reached
+        reached = reached.unionByName(new)
+
+
+def requirements(files: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """requirements.txt. ``every(path, content)``: where -r and -c are looked up; options, paths and URLs are no packages."""
+    if every is not None:
+        both = every.select("path", "content").unionByName(files.select("path", "content")).dropDuplicates(["path"])
+        reached = include_closure(files, both)
+        rows = requirements(both.join(reached.select("path").distinct(), "path", "left_semi"))
+        owned = rows.join(reached, rows["source_file"] == reached["path"]).withColumn("ord", F.col("ord") + F.when(F.col("root") == F.col("path"), 0).otherwise(1 << 32))
+        return _once(owned.withColumn("source_file", F.col("root")).select(*rows.columns))
     clean = trimmed(F.regexp_replace("line", r"(^|\s)#.*$", ""))
     lines = _lines(files).withColumn("spec", F.regexp_replace(clean, r"\[[^\]]*\]", "")).filter(~F.col("spec").rlike(r"^(-|$)") & ~F.col("spec").rlike(r"^(git\+|https?:|file:|\.{0,2}/)"))
     pattern = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:(===|==|~=|!=|<=|>=|<|>)\s*([^;\s#]+))?"
@@ -164,6 +227,17 @@ def cargo_lock(files: DataFrame) -> DataFrame:
     return _toml_packages(files, "cargo", lambda c: c)
 
 
+def cargo_manifest(files: DataFrame) -> DataFrame:
+    """Cargo.toml: the version, or the table with a version, of each entry of a table of dependencies. Paths and git sources have none."""
+    lines = _lines(files).withColumn("section", _above(_got(F.col("line"), r"^\s*\[+([^\]]+)\]+\s*(?:#.*)?$")))
+    kind = r"^(?:target\..*\.|workspace\.)?(dependencies|dev-dependencies|build-dependencies)$"
+    key = r"^\s*([A-Za-z0-9_-]+)\s*="
+    hit = lines.filter(F.col("section").rlike(kind) & F.col("line").rlike(key))
+    spec = F.coalesce(_got(F.col("line"), r'^\s*[^=]+=\s*"([^"]*)"'), _got(F.col("line"), r'\bversion\s*=\s*"([^"]*)"'))
+    hit = hit.select("path", "ord", F.regexp_extract("line", key, 1).alias("n"), spec.alias("spec"), F.col("section").contains("dev-").alias("dev")).withColumn("v", version_of(F.col("spec"))).filter("v is not null")
+    return _once(_rows(hit, "cargo", name="n", version="v", is_dev="dev", is_direct=F.lit(True), is_pinned=F.col("spec").startswith("="), is_range=~F.col("spec").startswith("="), ord="ord"))
+
+
 def pyproject(files: DataFrame) -> DataFrame:
     """pyproject.toml: [project] dependencies, optional ones, and poetry's tables."""
     lines = _lines(files).withColumn("head", _got(F.col("line"), r"^\s*\[+([^\]]+)\]+\s*$")).withColumn("section", _above(F.col("head")))
@@ -264,37 +338,52 @@ def yarn_lock(files: DataFrame) -> DataFrame:
     return _once(_rows(flat, "npm", name=F.lower("entry.n"), version="v", integrity="i", ord=F.col("entry.ord")))
 
 
-#: File name, its parser.
+#: File name, its parser of these files and of all files that may be beside them.
 PARSERS = {
-    "package-lock.json": lambda f: npm_lock(f).unionByName(npm_lock_v1(f)),
-    "pnpm-lock.yaml": pnpm_lock,
-    "yarn.lock": yarn_lock,
-    "package.json": npm_manifest,
-    "Pipfile.lock": pipfile_lock,
-    "poetry.lock": poetry_lock,
+    "package-lock.json": lambda f, every: npm_lock(f, _named(every, "package.json")).unionByName(npm_lock_v1(f, _named(every, "package.json"))),
     "requirements.txt": requirements,
-    "pyproject.toml": pyproject,
-    "Cargo.lock": cargo_lock,
-    "go.sum": go_sum,
-    "go.mod": go_mod,
-    "Gemfile.lock": gemfile_lock,
-    "Gemfile": gemfile,
-    "composer.lock": composer_lock,
-    "composer.json": composer_manifest,
-    "packages.lock.json": nuget_lock,
-    "*.csproj": csproj,
-    "gradle.lockfile": gradle_lock,
-    "pom.xml": pom,
-    "Brewfile.lock.json": brew_lock,
-    "Brewfile": brewfile,
 }
+PARSERS |= {
+    name: lambda f, every, parser=parser: parser(f)
+    for name, parser in {
+        "pnpm-lock.yaml": pnpm_lock,
+        "yarn.lock": yarn_lock,
+        "package.json": npm_manifest,
+        "Pipfile.lock": pipfile_lock,
+        "poetry.lock": poetry_lock,
+        "pyproject.toml": pyproject,
+        "Cargo.lock": cargo_lock,
+        "Cargo.toml": cargo_manifest,
+        "go.sum": go_sum,
+        "go.mod": go_mod,
+        "Gemfile.lock": gemfile_lock,
+        "Gemfile": gemfile,
+        "composer.lock": composer_lock,
+        "composer.json": composer_manifest,
+        "packages.lock.json": nuget_lock,
+        "*.csproj": csproj,
+        "gradle.lockfile": gradle_lock,
+        "pom.xml": pom,
+        "Brewfile.lock.json": brew_lock,
+        "Brewfile": brewfile,
+    }.items()
+}
+
+
+def _named(files: DataFrame, name: str) -> DataFrame:
+    """Files of one name. By a column ``file`` if there is one, which a source laid out by it turns into a choice of folders."""
+    base = F.col("file") if "file" in files.columns else F.regexp_extract("path", "([^/]*)$", 1)
+    return files.filter(base.rlike(r"\.csproj$") if name == "*.csproj" else base == name).select("path", "content")
+
 
+def parse_all(files: DataFrame, names: list[str] | None = None, every: DataFrame | None = None) -> DataFrame:
+    """All dependencies of ``files(path, content)``, first wins by package and version. ``names``: the parsers to apply.
 
-def parse_all(files: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """All dependencies of ``files(path, content)``, first wins by package and version. ``names``: the parsers to apply."""
-    base, out = F.regexp_extract("path", "([^/]*)$", 1), None
+    ``every``: the files beside them, for direct dependencies and includes; without it, ``files``. Each parser scans its own
+    files only if ``files`` is laid out by a column ``file``; else each filters all of them by name.
+    """
+    beside, out = files if every is None else every, None
     for name in names or PARSERS:
-        mine = files.filter(base.rlike(r"\.csproj$") if name == "*.csproj" else base == name).select("path", "content")
-        rows = PARSERS[name](mine)
+        rows = PARSERS[name](_named(files, name), beside)
         out = rows if out is None else out.unionByName(rows)
     return first_wins(out, ["ecosystem", "name", "version"], ["source_file", "ord"])

@@ -1,20 +1,39 @@
 """Watching snapshots of dependencies as a stream.
 
-Each snapshot lands under a new file name. A micro-batch takes the last snapshot of each source, compares it with the baseline table,
-looks up what is new, and moves the baseline on only if that lookup was complete; else the change is looked at again.
+A snapshot is a folder of files, written in parallel; once it is complete, one row about it is added to a small table, which is the
+stream. A micro-batch takes the new snapshots by time, compares each with the baseline table, looks up what is new, and moves the
+baseline on only if that lookup was complete; else the change is looked at again with the next snapshot.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators import relational
+from palisade.operators import advisories, relational
 
-SNAPSHOT = "ecosystem string, name string, version string, integrity string, ord bigint, taken_at timestamp_ntz"
 BASE = "ecosystem string, name string, version string, integrity string, ord bigint"
+MARK = "snapshot string, taken_at timestamp_ntz"
+#: Snapshots that one micro-batch takes at most, so what it knows of them is bounded.
+SNAPSHOTS = 100
+#: The shortest time between two polls.
+LEAST_POLL_SECONDS = 60
+
+
+def write_snapshot(rows: DataFrame, folder: str, taken_at: datetime) -> None:
+    """Write ``rows`` (BASE columns) as a snapshot below ``folder``, and announce it when it is there."""
+    spark, path = rows.sparkSession, f"{folder}/snapshots/{uuid.uuid4().hex}"
+    rows.select("ecosystem", "name", "version", "integrity", "ord").write.parquet(path)
+    spark.createDataFrame([(path, taken_at)], MARK).coalesce(1).write.mode("append").parquet(f"{folder}/ready")
+
+
+def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of snapshots that are complete."""
+    return spark.readStream.schema(MARK).option("maxFilesPerTrigger", SNAPSHOTS).parquet(f"{folder}/ready")
 
 
 def read_baseline(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,37 +46,43 @@ def read_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def watch(stream: DataFrame, baseline: str, reports: str, complete: Callable[[DataFrame], bool]):
-    """A writer for ``stream`` (SNAPSHOT rows); start() it with a checkpointLocation and a trigger.
+    """A writer for ``stream`` of read_snapshots(); start() it with a checkpointLocation and a trigger, stop() what that returns.
 
-    ``complete`` tells whether the lookup of changed packages had an answer for all. Reports are appended as Parquet by batch.
+    ``complete`` tells whether the lookup of changed packages had an answer for all. Reports are Parquet folders by batch and snapshot;
+    a batch that is repeated overwrites its own.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch.agg(F.max("taken_at").alias("taken_at"))
-        now = batch.join(F.broadcast(newest), "taken_at").select("ecosystem", "name", "version", "integrity", "ord").persist()  # one row
-        if now.limit(1).count():
-            old = read_baseline(spark, baseline)
-            diff = relational.diff_snapshots(old, now)
-            diff.filter("status != 'unchanged'").write.mode("overwrite").parquet(f"{reports}/{number}")
+        for k, mark in enumerate(batch.orderBy("taken_at", "snapshot").collect()):  # SNAPSHOTS rows at most
+            at = number * SNAPSHOTS + k
+            now = spark.read.schema(BASE).parquet(mark["snapshot"])
+            diff = relational.diff_snapshots(read_baseline(spark, baseline), now)
+            diff.filter("status != 'unchanged'").write.mode("overwrite").parquet(f"{reports}/{at}")
             if complete(relational.changed_packages(diff)):
-                now.write.mode("overwrite").parquet(f"{baseline}/{number}")
-        now.unpersist()
+                now.write.mode("overwrite").parquet(f"{baseline}/{at}")
 
     return stream.writeStream.foreachBatch(step)
 
 
-def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Snapshot files as a stream; one file a batch keeps their order."""
-    return spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
 def poll(deps: DataFrame, index: DataFrame, details: DataFrame, least: str, top: int = 10) -> DataFrame:
     """The worst findings on the baseline, for a timer: ``top`` rows and how many there are in all."""
     from palisade.functions.severity import order_of
-    from palisade.operators import advisories
 
     hits, _ = advisories.lookup(deps, index)
     rows = advisories.filter_by_severity(advisories.vulnerabilities(hits, details), least)
     total = rows.agg(F.count("*").alias("total"))
     return rows.orderBy(F.coalesce(order_of(F.col("severity")), F.lit(99)).desc(), "package", "id").limit(top).crossJoin(F.broadcast(total))  # one row
+
+
+def poll_timer(spark: SparkSession, baseline: str, advisory: Callable[[], tuple[DataFrame, DataFrame]], results: str, least: str, seconds: int = 3600):
+    """A writer that polls the baseline every ``seconds``, LEAST_POLL_SECONDS at least; start() it, and stop() what that returns.
+
+    ``advisory`` gives the index and the details of that moment. Each poll's findings are a Parquet folder below ``results``.
+    """
+
+    def step(_: DataFrame, number: int) -> None:
+        poll(read_baseline(spark, baseline), *advisory(), least).write.mode("overwrite").parquet(f"{results}/{number}")
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(step).trigger(processingTime=f"{max(seconds, LEAST_POLL_SECONDS)} seconds")

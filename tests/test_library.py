@@ -143,6 +143,12 @@ def test_provenance_three_values(spark):
         ("// eval(x)\nconst s = \"eval(y)\"; foo.exec(z); /a/.exec(b)", set()),
         ("setTimeout(() => f(), 10); obj.get('k')", set()),
         ("function broken( {", {"UNPARSEABLE_CODE"}),
+        ("const s = `${eval(x)}`", {"CODE_EXECUTION"}),
+        ("const s = `eval(x)`; const t = `it's ${a['eval(x)']}`", set()),
+        ("import cp, {exec} from 'child_process'; exec('a')", {"PROCESS_SPAWN"}),
+        ("import d, * as cp from 'child_process'; cp.exec('a')", {"PROCESS_SPAWN"}),
+        ("x.replace(/[/'\"]/g, ''); y = /it's/g; z = a / b; // it's", set()),
+        (None, {"ANALYSIS_ERROR"}),
     ],
 )
 def test_js_rules(spark, source, want):
@@ -150,6 +156,59 @@ def test_js_rules(spark, source, want):
     assert {r["pattern"] for r in code_rules.js_findings(files).collect()} == want
 
 
+def test_js_of_long_strings(spark):
+    source = "const a = '" + "ab\\n" * 200_000 + "'; eval(x); `" + "y" * 300_000 + "`"
+    files = spark.createDataFrame([(1, source)], "id int, source string")
+    assert {r["pattern"] for r in code_rules.js_findings(files).collect()} == {"CODE_EXECUTION"}
+
+
+def test_inline_js_of_nested_shells(spark):
+    script = "run(1)"
+    for k in range(6):
+        script = f"""sh -c {'"' if k % 2 else "'"}{script}{'"' if k % 2 else "'"}"""
+    assert one(spark, script, text.inline_js) == "run(1)"
+    assert one(spark, "true; node --eval 'a(1)' | x", text.inline_js) == "a(1)"
+    assert one(spark, "bash -c 'node x.js'", text.inline_js) is None and one(spark, "npm run x; y()", text.inline_js) is None
+
+
+@pytest.mark.parametrize(("spec", "version", "pinned"), [("=1.0", "1.0", True), ("==1.0", "1.0", True), ("===1.0", "1.0", False), ("[1.0]", "1.0", True), ("'1.0'", "1.0", True), ("1.0", "1.0", True), ("^1.0", "1.0", False), ("'1.0]", "1.0", False), ("", None, False)])
+def test_pinned(spark, spec, version, pinned):
+    df = spark.createDataFrame([(spec, version)], "s string, v string")
+    assert df.select(versions.is_pinned(F.col("s"), F.col("v"))).first()[0] == pinned
+
+
+def test_reports(spark):
+    import json
+
+    vulns = spark.createDataFrame([(f"V{k}", f"V{k % 3}", "s", "HIGH" if k % 2 else "LOW", "p", f"{k}", "cargo", None, None, [f"u{j}" for j in range(7)]) for k in range(25)], "id string, display_id string, summary string, severity string, package string, version string, ecosystem string, fixed string, source_file string, references array<string>")
+    verdict = spark.createDataFrame([(30, 30, 0, True, 25, 1)], "expected long, checked long, failed long, complete boolean, findings long, exit_code int")
+    whole = json.loads(reports.document(reports.scan_report(vulns, verdict)).first()["value"])
+    assert whole["command"] == "scan" and whole["summary"]["high"] == 12 and len(whole["vulnerabilities"]) == 25 and whole["complete"]
+    ci = json.loads(reports.document(reports.ci_report(vulns, verdict)).first()["value"])
+    assert ci["summary"] == {"total": 30, "vulnerable": 25, "scanned": 30, "failed": 0}
+    with pytest.raises(ValueError, match="more than 5"):
+        reports.document(reports.scan_report(vulns, verdict), most=5)
+    docs = [json.loads(r["value"]) for r in reports.sarif(vulns, F.lit(True), most=10).collect()]
+    results = [r for d in docs for r in d["runs"][0]["results"]]
+    assert 1 < len(docs) <= 3 and len(results) == 25 and all(len(r["relatedLocations"]) == 5 for r in results)
+    assert results[0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "Cargo.lock"
+    assert all({r["ruleId"] for r in d["runs"][0]["results"]} == {r["id"] for r in d["runs"][0]["tool"]["driver"]["rules"]} for d in docs)
+    empty = json.loads(reports.sarif(vulns.limit(0), F.lit(True)).first()["value"])
+    assert empty["runs"][0]["results"] == []
+    fixes = spark.createDataFrame([("p", 2, None, "no verified fix")], "package string, vuln_count long, fix string, reason string")
+    assert json.loads(reports.document(reports.fix_report(fixes, F.lit(False))).first()["value"])["fixable"] == 0
+    decision = spark.createDataFrame([(1, 0, 0, 0, 1, 0, False, True, "prompt")], "added long, changed long, removed long, critical long, high long, unknown long, has_vulns boolean, complete boolean, decision string")
+    guard = json.loads(reports.document(reports.guard_report(decision, fixes)).first()["value"])
+    assert guard["blocked"] is False and guard["diff"]["added"] == 1 and guard["decision"] == "prompt"
+
+
+def test_typosquats_of_many_popular_names(spark, monkeypatch):
+    names = spark.createDataFrame([("expresss",)], "name string")
+    popular = spark.createDataFrame([("express",), ("axios",)], "name string")
+    monkeypatch.setattr(rules, "MOST_BROADCAST", 1)
+    assert [r["similar"] for r in rules.typosquats(names, popular).collect()] == ["express"]
+
+
 def test_archives(spark):
     raw = io.BytesIO()
     with tarfile.open(fileobj=raw, mode="w") as tar:
@@ -248,7 +307,7 @@ def test_options():
 
 
 def test_watch(spark, tmp_path):
-    snap = lambda n, rows: spark.createDataFrame([("npm", a, v, None, i, dt.datetime(2026, 1, n)) for i, (a, v) in enumerate(rows)], watch.SNAPSHOT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    snap = lambda n, rows: watch.write_snapshot(spark.createDataFrame([("npm", a, v, None, i) for i, (a, v) in enumerate(rows)], watch.BASE).repartition(3), str(tmp_path / "in"), dt.datetime(2026, 1, n))
     asked = []
 
     def complete(changed):
@@ -263,7 +322,8 @@ def test_watch(spark, tmp_path):
     run()
     snap(2, [("a", "2"), ("b", "1")])
     run()
-    snap(3, [("a", "2"), ("b", "1"), ("c", "1")])
+    snap(4, [("a", "2"), ("b", "1"), ("c", "1")])  # both at once, the later one first
+    snap(3, [("a", "2"), ("b", "2")])
     run()
-    assert asked == [{("a", "1"), ("b", "1")}, {("a", "2")}, {("a", "2"), ("c", "1")}]
+    assert asked == [{("a", "1"), ("b", "1")}, {("a", "2")}, {("a", "2"), ("b", "2")}, {("b", "1"), ("c", "1")}]
     assert {(r["name"], r["version"]) for r in watch.read_baseline(spark, str(tmp_path / "base")).collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
