@@ -27,7 +27,7 @@ GROUP = 2048
 #: Rounds of exchange at most. Each leaves about one sequence in GROUP / 5 to the next.
 ROUNDS = 8
 #: Entries of each of a worker's two caches of token ids, which are emptied when full.
-CACHE = 50_000
+CACHE = 200_000
 
 
 #: The steps before the model for which a text's ids are those of its chunks one after another.
