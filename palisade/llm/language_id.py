@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.arrays import LOWER, SLICE, buffers, ranges
-from palisade.llm.common import held_out, small_batches, table
+from palisade.llm.common import discard, held_out, materialize, small_batches, table
 
 BUCKETS = 1 << 14
-#: Rows that learning reads, in the mean, drawn by a hash of the id. With BUCKETS and LANGUAGES this bounds the model.
+#: Rows that learning reads, in the mean, drawn by a hash of the id.
 TRAIN_ROWS = 20_000
-LANGUAGES = 256
+#: Languages up to which the codewords are the best of several draws; of more, the first draw whose codewords differ.
+CHOSEN = 256
+#: Groups of buckets whose weights are learned at once.
+GROUPS = 64
 SMOOTHING = 0.5
 #: Two codewords are about equally near if their losses differ by less.
 AMBIGUOUS = 1.0
@@ -88,52 +91,91 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
-    """Codewords of -1 and 1 for ``n`` languages: all different columns if few, else random ones with the best least distance."""
+    """Codewords of -1 and 1 for ``n`` languages: all different columns if few, else random ones, about 10 * log2(n) bits long."""
     if n <= 1:
-        return np.ones((n, 1))
+        return np.ones((n, 1), np.int8)
     if n <= 5:
         columns = [[1 - 2 * (c >> i & 1) for i in range(n)] for c in range(2, 2**n, 2)]
-        return np.array(columns, float).T
+        return np.array(columns, np.int8).T
     bits, rng, best, most = int(np.ceil(10 * np.log2(n))), np.random.default_rng(seed), None, -1
     for _ in range(100):
-        code = rng.choice([-1.0, 1.0], (n, bits))
-        near = np.min(((code @ code.T - bits) / -2)[~np.eye(n, dtype=bool)])
-        if near > most and np.all(np.abs(code.sum(axis=0)) < n):
+        code = rng.choice(np.array([-1, 1], np.int8), (n, bits))
+        if np.any(np.abs(code.sum(axis=0, dtype=np.int64)) == n):
+            continue
+        if n > CHOSEN:
+            if len(np.unique(code, axis=0)) == n:
+                return code
+            continue
+        near = np.min(((code.astype(float) @ code.T - bits) / -2)[~np.eye(n, dtype=bool)])
+        if near > most:
             best, most = code, near
     return best
 
 
+def bit_weights(counts: DataFrame, langs: list[str], totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Weights of each bit's classifier, a row a bucket: the log ratio of the bucket's mean share in the languages of either value.
+
+    ``counts(lang, bucket, n)`` is worked through by groups of buckets in tasks; what comes back is a number for each bucket and bit,
+    of which there are few however many languages there are.
+    """
+    yes = (code > 0).T.astype(np.float64)
+    sides = [m / np.maximum(m.sum(axis=1, keepdims=True), 1) for m in (yes, 1 - yes)]
+    whole = totals + SMOOTHING * BUCKETS
+    where = {lang: i for i, lang in enumerate(langs)}
+
+    def ratio(share: np.ndarray) -> np.ndarray:
+        return (np.log(sides[0] @ share) - np.log(sides[1] @ share)).T.astype(np.float32)
+
+    def learn(rows: pa.Table) -> pa.Table:
+        buckets, at = np.unique(rows["bucket"].to_numpy(), return_inverse=True)
+        seen = np.full((len(langs), len(buckets)), SMOOTHING)
+        seen[[where[x] for x in rows["lang"].to_pylist()], at] += rows["n"].to_numpy()
+        got = ratio(seen / whole[:, None])
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "weights": pa.array([w.tobytes() for w in got], pa.binary())})
+
+    out = np.zeros((BUCKETS + 1, code.shape[1]), np.float32)
+    if len(langs) < 2:
+        return out
+    out[:-1] = ratio((SMOOTHING / whole)[:, None])
+    got = counts.groupBy(F.pmod("bucket", F.lit(GROUPS)).alias("g")).applyInArrow(learn, "bucket int, weights binary").collect()  # BUCKETS rows at most
+    for row in got:
+        out[row["bucket"]] = np.frombuffer(row["weights"], np.float32)
+    return out
+
+
 class Model:
-    """Languages, codewords and the bits' weights; a few MB at most (BUCKETS * 10 * log2(LANGUAGES) numbers)."""
+    """Languages, codewords and the bits' weights: BUCKETS * 10 * log2(languages) numbers, a few MB."""
+
+    def __init__(self, langs: list[str], code: np.ndarray, weights: np.ndarray):
+        self.langs, self.code, self.weights = langs, code.astype(np.float32), weights
+
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Each text's margin for each bit. Sums over trigrams are divided by the root of their number, as they vary with that."""
+        n = np.maximum(np.diff(offsets) - 2, 1)
+        return _gram_sums(data, offsets, self.weights) / np.sqrt(n)[:, None]
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs, self.code = langs, codewords(len(langs))
-        share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
-        weights = np.zeros((BUCKETS + 1, self.code.shape[1]), np.float32)
-        for bit in range(self.code.shape[1] if len(langs) > 1 else 0):
-            yes = self.code[:, bit] > 0
-            weights[:-1, bit] = np.log(share[yes].mean(axis=0)) - np.log(share[~yes].mean(axis=0))
-        self.weights = weights
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """The loss of each codeword, less what is the same for all.
 
-    def losses(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Mean loss of each text against each codeword, by the bits' margins."""
-        margins = np.clip(_gram_sums(data, offsets, self.weights), -60, 60)
-        return np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(axis=2)
+        A bit's loss is log(1 + exp(-margin * bit)). For bits of 1 and -1 it differs by the margin, so the sum over bits is half the
+        product of margins and codeword, with its sign changed, and a part that all codewords share.
+        """
+        return -0.5 * (margins @ self.code.T)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of the languages of rows that aren't held out, or None if there are none."""
+    """A model of the languages of rows that aren't held out, however many, or None if there are none."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("id").isNotNull() & ~held_out(F.col("id")) & F.col("lang").isNotNull())
     n = rows.count()
     rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1, train_rows / max(n, 1))))
-    got = gram_counts(rows).toPandas()  # BUCKETS rows a language at most
-    langs = sorted(set(got["lang"]))
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[np.searchsorted(langs, got["lang"].to_numpy(str)) if langs else [], got["bucket"]] = got["n"]
-    return Model(langs, counts) if langs else None
+    counts = materialize(gram_counts(rows), "gram-counts")
+    sums = sorted((r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect())  # a row a language
+    langs, totals = [s[0] for s in sums], np.array([s[1] for s in sums], float)
+    code = codewords(len(langs))
+    model = Model(langs, code, bit_weights(counts, langs, totals, code)) if langs else None
+    discard(counts)
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,14 +197,18 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 langs, score, unsure = ["und"] * len(has), np.zeros(len(has)), np.zeros(len(has), bool)
             else:
                 data, offsets = buffers(batch.column(1))
-                loss = model.losses(data, offsets)
-                nearest = loss.argmin(axis=1)
-                least = loss[np.arange(len(loss)), nearest]
-                share = np.exp(least[:, None] - loss)
-                score = np.where(has, 1 / share.sum(axis=1), 0.0)
-                others = loss.copy()
-                others[np.arange(len(loss)), nearest] = np.inf
-                unsure = has & (others.min(axis=1) - least < AMBIGUOUS)
+                margins = model.margins(data, offsets)
+                nearest, score, unsure = np.zeros(len(has), np.int64), np.zeros(len(has)), np.zeros(len(has), bool)
+                step = max(1, (1 << 20) // len(model.langs))
+                for lo in range(0, len(has), step):
+                    loss = model.losses(margins[lo : lo + step])
+                    rows = np.arange(len(loss))
+                    nearest[lo : lo + step] = near = loss.argmin(axis=1)
+                    least = loss[rows, near]
+                    score[lo : lo + step] = 1 / np.exp(least[:, None] - loss).sum(axis=1)
+                    loss[rows, near] = np.inf
+                    unsure[lo : lo + step] = loss.min(axis=1) - least < AMBIGUOUS
+                score, unsure = np.where(has, score, 0.0), unsure & has
                 langs = [model.langs[k] if h else "und" for k, h in zip(nearest, has, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], ["id", "lang_pred", "score", "ambiguous"])
 
