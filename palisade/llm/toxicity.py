@@ -108,6 +108,8 @@ def _features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, weight
         shouted = (stops - starts > 2) & (upper[stops] - upper[starts] == stops - starts)
         hidden = np.zeros(len(raw), bool)
         hidden[1:-1] = _DISGUISE[raw[1:-1]] & _LETTER[raw[:-2]] & _LETTER[raw[2:]]
+        some = np.diff(cuts) > 0
+        hidden[cuts[:-1][some]] = hidden[cuts[1:][some] - 1] = False  # the next byte belongs to another text
         most = np.zeros(n)
         np.maximum.at(most, owner, weight)
         hits, heavy, aimed = count(hit), count(weight), count(hit & close)
