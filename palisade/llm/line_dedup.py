@@ -106,16 +106,15 @@ m AS (
   SELECT doc_id, pos, raw, regexp_replace(regexp_replace(regexp_replace(raw, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{FIELD}', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS line
   FROM l
 ),
-d AS (SELECT line, string_split(line, ' ') AS toks, count(*) AS docs FROM (SELECT DISTINCT doc_id, line FROM m WHERE line <> '') GROUP BY ALL),
-f AS (SELECT *, len(toks) AS n, array_to_string(toks[1:{DEPTH}], ' ') AS lead FROM d QUALIFY sum(docs) OVER (PARTITION BY n, lead) >= {LEAST_DOCS}),
-t AS (SELECT line, docs, n, lead, unnest(toks) AS tok, generate_subscripts(toks, 1) AS k FROM f),
-x AS (SELECT *, sum(docs) OVER (PARTITION BY n, lead, k, tok) >= {LEAST_DOCS} AS fixed FROM t),
+d AS (SELECT DISTINCT doc_id, line FROM m WHERE line <> ''),
+u AS (SELECT line, string_split(line, ' ') AS toks FROM (SELECT DISTINCT line FROM d)),
+t AS (SELECT line, len(toks) AS n, array_to_string(toks[1:{DEPTH}], ' ') AS lead, unnest(toks) AS tok, generate_subscripts(toks, 1) AS k FROM u),
+x AS (SELECT n, lead, k, tok, true AS fixed FROM t JOIN d USING (line) GROUP BY ALL HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
 g AS (
-  SELECT line, any_value(docs) AS docs,
-         CASE WHEN avg(fixed::INT) >= {FIXED_SHARE} THEN string_agg(CASE WHEN fixed THEN tok ELSE '{FIELD}' END, ' ' ORDER BY k) ELSE line END AS template
-  FROM x GROUP BY line
+  SELECT line, CASE WHEN avg(coalesce(fixed, false)::INT) >= {FIXED_SHARE} THEN string_agg(CASE WHEN fixed THEN tok ELSE '{FIELD}' END, ' ' ORDER BY k) ELSE line END AS template
+  FROM t LEFT JOIN x USING (n, lead, k, tok) GROUP BY line
 ),
-r AS (SELECT line FROM g QUALIFY sum(docs) OVER (PARTITION BY template) >= {LEAST_DOCS}),
+r AS (SELECT line FROM g WHERE template IN (SELECT template FROM g JOIN d USING (line) GROUP BY template HAVING count(DISTINCT doc_id) >= {LEAST_DOCS})),
 o AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (line IN (SELECT line FROM r)) AS n_dropped,
          coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (line NOT IN (SELECT line FROM r)), '') AS kept

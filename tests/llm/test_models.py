@@ -179,6 +179,61 @@ def test_features():
     assert got["shouted"][0] > 0 and got["exclaims"][0] > 0 and got["obfuscated"][0] > 0 and got["capitals"][2] == 0
 
 
+def naive_features(text, lexicon, second):
+    """FEATURES by plain loops; ``lexicon`` maps words to weights."""
+    raw = text.encode()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    words, k = [], 0
+    while k < len(low):
+        if letter(low[k]):
+            end = k
+            while end < len(low) and letter(low[end]):
+                end += 1
+            words.append((low[k:end].decode(errors="replace"), raw[k:end]))
+            k = end
+        else:
+            k += 1
+    weight = [lexicon.get(w, 0.0) for w, _ in words]
+    hit = [w in lexicon for w, _ in words]
+    close = [any(words[j][0] in second for j in range(max(0, i - T.NEAR), min(len(words), i + T.NEAR + 1)) if j != i) for i in range(len(words))]
+    n = max(len(words), 1)
+    aimed = sum(h and c for h, c in zip(hit, close, strict=True))
+    letters, size = max(sum(map(letter, raw)), 1), max(len(raw), 1)
+    hidden = sum(raw[k] in b"0123456789@$*!+" and letter(raw[k - 1]) and letter(raw[k + 1]) for k in range(1, len(raw) - 1))
+    shouted = sum(len(r) > 2 and all(65 <= c <= 90 for c in r) for _, r in words)
+    caps, marks = sum(65 <= c <= 90 for c in raw), sum(c in b"!?.,;:*#$%&@-_" for c in raw)
+    return [sum(hit), sum(hit) / n, sum(weight), sum(weight) / n, max([0.0, *weight]), aimed, aimed / n, caps / letters, shouted / n, marks / size, raw.count(b"!") / size, hidden / n, np.log1p(n)]
+
+
+def test_features_against_brute_force():
+    rng = np.random.default_rng(6)
+    vocabulary = ["you", "Moron", "idi0t", "SHOUT", "été", "vile!", "plain", "du", "a", "?", "x@y", "\n", "NO"]
+    texts = ["", " ", "é"] + [" ".join(rng.choice(vocabulary, rng.integers(1, 40))) for _ in range(60)]
+    lexicon = {"moron": 2.0, "vile": 1.5, "été": 0.5}
+    second = {"you", "du"}
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]])
+    hashes = T.word_hashes(list(lexicon))
+    order = np.argsort(hashes)
+    got = T._features(data, offsets, hashes[order], np.array(list(lexicon.values()))[order], np.sort(T.word_hashes(list(second))))
+    want = np.array([naive_features(t, lexicon, second) for t in texts])
+    assert np.allclose(got, want), [(T.FEATURES[j], texts[i]) for i, j in np.argwhere(~np.isclose(got, want))][:5]
+
+
+def test_scores_against_the_trees_one_by_one(spark):
+    from pyspark.ml.linalg import Vectors
+
+    docs, labels = labelled(spark)
+    model = T.train(docs, labels)
+    bounds, values = model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()
+    rows = T.score_toxicity(docs, model).collect()
+    for r in rows[:: max(1, len(rows) // 60)]:
+        x = Vectors.dense([r[f] for f in T.FEATURES])
+        margin = sum(w * tree.predict(x) for w, tree in zip(model.trees.treeWeights, model.trees.trees, strict=True))
+        p = 1 / (1 + np.exp(-2 * margin))
+        assert abs(r["score"] - np.interp(p, bounds, values)) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
 def languages(n=400):
     rng = np.random.default_rng(8)
     letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst", "ee": "abfgk", "ff": "uvwxy", "gg": "éèàçù"}
@@ -197,6 +252,52 @@ def test_languages(spark, kept):
     assert all(0 <= r["score"] <= 1 for r in out.values()) and out[None]["lang_pred"] == rows[0][2]
 
 
+def test_many_languages(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows, n = [], 300
+    for lang in range(n):
+        own = ["".join(rng.choice(letters, 5)) for _ in range(12)]
+        rows += [(lang + n * k, " ".join(rng.choice(own, 40)), f"l{lang:03d}") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = G.train(df)
+    assert len(model.langs) == n > G.CHOSEN
+    out = {r["doc_id"]: r["lang_pred"] for r in G.identify(df, model).collect()}
+    held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([out[i] == lang for i, lang in held]) > 0.95
+
+
+def test_languages_against_brute_force(spark):
+    """Counts, weights, margins and decoding with plain loops."""
+    rows = [(i, t, lang) for i, t, lang in languages(120)] + [(900, "abcde " * 3 + "é", "aa"), (901, "zz", "bb"), (902, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model = G.train(df)
+
+    def buckets(text):
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        return [((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761 & 0xFFFFFFFF) >> 18 for k in range(len(b) - 2)]
+
+    langs = sorted({lang for i, _, lang in rows if lang and zlib.crc32(str(i).encode()) % 5})
+    counts = np.zeros((len(langs), G.BUCKETS))
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            np.add.at(counts[langs.index(lang)], buckets(text), 1)
+    share = (counts + G.SMOOTHING) / (counts + G.SMOOTHING).sum(axis=1, keepdims=True)
+    code = G.codewords(len(langs))
+    want = {}
+    for i, text, _ in rows:
+        found = buckets(text)
+        margins = [sum(np.log(share[code[:, k] > 0, g].mean()) - np.log(share[code[:, k] < 0, g].mean()) for g in found) / max(1, len(found)) ** 0.5 for k in range(code.shape[1])]
+        losses = [sum(np.log1p(np.exp(-m * c)) for m, c in zip(margins, word, strict=True)) for word in code]
+        order = np.argsort(losses)
+        want[i] = (langs[order[0]], 1 / sum(np.exp(losses[order[0]] - x) for x in losses), losses[order[1]] - losses[order[0]] < G.AMBIGUOUS)
+    for r in G.identify(df, model).collect():
+        lang, score, unsure = want[r["doc_id"]]
+        assert abs(r["score"] - score) < 1e-4
+        if not unsure:
+            assert (r["lang_pred"], r["ambiguous"]) == (lang, False)
+
+
 def test_languages_without_rows(spark, none, docs):
     assert G.train(none) is None
     assert {r["lang_pred"] for r in G.identify(docs, None).collect()} == {"und"} and G.identify(none, None).count() == 0
