@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blanks, as the contracts of the text operators define them: space and 09 to 0D.
-BLANKS = r"[\x20\x09-\x0D]+"
+#: Runs of blanks (space and 09 to 0D, as the contracts of the text operators define them) that aren't one space already.
+RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +87,7 @@ def discard(*frames: DataFrame) -> None:
 
 def squeezed(text: Column) -> Column:
     """Each run of blanks becomes one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), RUNS, " ")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,6 +1,6 @@
 """Exact dedup by deterministic block naming.
 
-Each normalised text is cut into fixed-size blocks. Distinct blocks are sorted, and the place in that order is
+Each normalised text is cut into blocks of a fixed number of bytes. Distinct blocks are sorted, and the place in that order is
 a block's integer name. Then adjacent names are paired, the distinct pairs are sorted and named in turn, and so on until
 each document has one name. Two documents have the same name of the same level exactly if all their blocks are
 equal, so names never collide.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import discard, materialize, squeezed, table
 
-BLOCK_CHARS = 4096
+BLOCK_BYTES = 4096
 
 
 def _sorted_names(df: DataFrame, *keys: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _sorted_names(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _sorted_block_names(blocks: DataFrame) -> DataFrame:
-    """As _sorted_names() for ``block``, with its fingerprint; the order is by first characters, fingerprint, block.
+    """As _sorted_names() for ``block``, with its fingerprint; the order is by first bytes, fingerprint, block.
 
     The ranges are drawn by the short parts of that key, so the samples that Spark sends to the driver hold no whole blocks.
     """
@@ -36,14 +36,15 @@ def _sorted_block_names(blocks: DataFrame) -> DataFrame:
 
 
 def _fingerprint(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumns({"fp_a": F.xxhash64(column), "fp_b": F.xxhash64(F.lit(7), F.reverse(column))})
+    return df.withColumns({"fp_a": F.xxhash64(column), "fp_b": F.xxhash64(F.lit(7), column)})
 
 
-def block_names(docs: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def block_names(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per (document, block): key columns, ``n`` blocks, ``pos``, ``name``, ``m`` repeated rows."""
     text = docs.select(F.col(id_col).alias("id"), squeezed(F.col(text_col)).alias("t"))
-    cut = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    parts = text.withColumn("parts", F.when(F.col("t") == "", F.array(F.lit(""))).otherwise(cut))
+    text = text.select("id", F.col("t").cast("binary").alias("t"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("t") / block_bytes).cast("int") - 1))
+    parts = text.withColumn("parts", F.transform(starts, lambda k: F.substring("t", k * block_bytes + 1, F.lit(block_bytes))))
     blocks = parts.select(F.explode("parts").alias("block"))
     names = materialize(_sorted_block_names(blocks).select("fp_a", "fp_b", "name"), "block-names")
     seen = names.agg(F.count("*").alias("n"), F.count_distinct("fp_a", "fp_b").alias("d")).first()
@@ -85,7 +86,7 @@ def document_names(places: DataFrame) -> DataFrame:
     return out
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Groups of documents whose texts are equal once each run of blanks is one space.
 
     Returns one row per input row: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``. In a group the row with
@@ -93,7 +94,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that repeat an id and a text, one stays. An empty table gives no rows. Other columns of ``docs`` aren't read,
     whatever their names.
     """
-    idents = document_names(block_names(docs, id_col, text_col, block_chars))
+    idents = document_names(block_names(docs, id_col, text_col, block_bytes))
     groups = idents.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("m").alias("group_size"))
     rows = idents.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
     return rows.select(
@@ -105,9 +106,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. See exact_groups()."""
-    groups = materialize(exact_groups(docs, id_col, text_col, block_chars), "exact-groups")
+    groups = materialize(exact_groups(docs, id_col, text_col, block_bytes), "exact-groups")
     same_id = F.col(id_col).eqNullSafe(F.col("keep_id"))
     gone = groups.filter(~same_id).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     repeated = groups.filter(same_id & ~F.col("kept")).limit(1).count() > 0

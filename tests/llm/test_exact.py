@@ -15,8 +15,8 @@ def brute(rows):
 
 
 def test_groups(docs, rows):
-    for size in (7, E.BLOCK_CHARS):  # small blocks need many levels
-        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in E.exact_groups(docs, block_chars=size).collect()}
+    for size in (7, E.BLOCK_BYTES):  # small blocks need many levels
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in E.exact_groups(docs, block_bytes=size).collect()}
         assert got == brute(rows)
 
 
