@@ -16,9 +16,9 @@ def _smallest(pairs: DataFrame) -> DataFrame:
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Each u has one edge, and it leads to a node that has none; as v < u, that is the smallest of its component."""
-    if edges.groupBy("u").count().filter("count > 1").limit(1).count():
-        return False
-    return not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+    nodes = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return nodes.filter("above > 1 or (above = 1 and below = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,17 +30,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rows = 2 * edges.count()
     loops = edges.filter("u = v").select("u", "v")
     now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows)
-    while True:
+    while not _is_forest_of_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = materialize(large, "large-star", rows)
         stars = _smallest(large)
         small = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v")))
-        after = materialize(small.filter("u != v").distinct(), "small-star", rows)
-        discard(now, large)
+        after = materialize(small.filter("u != v").distinct(), "stars", rows)
+        discard(now)
         now = after
-        if _is_forest_of_stars(now):
-            break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).unionByName(alone)

@@ -296,7 +296,7 @@ def _combined_pairs(opened: DataFrame, sets: DataFrame, threshold: int) -> DataF
 def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``u, v`` between classes: enough of them that their components are those of all links. ``sets(class, n, tokens)``."""
     stars = materialize(sets.select("class", "n", F.array(*[_least_hashed(k) for k in range(ROUNDS)]).alias("stars")), "stars")
-    links, groups, n_classes = [], None, stars.count()
+    known_links, groups, n_classes = [], None, stars.count()
     for turn in range(ROUNDS):
         known = _with_components(stars, groups).select("class", "n", "component", F.get("stars", F.lit(turn)).alias("star"))
         one, key = F.struct(F.col("class").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")), F.xxhash64("class", F.lit(turn))
@@ -307,10 +307,10 @@ def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         near = materialize(near.distinct(), "near", 2 * n_classes)
         found = materialize(_verified(near, sets, threshold), "star-links")
         discard(near)
-        links.append(found)
         n_found = found.count()
-        if n_found:
-            groups = materialize(connected_components(_all(links)), "star-components", n_classes)
+        if n_found:  # of earlier links, their components say all
+            groups = materialize(connected_components(_all([*known_links, found])), "star-components", n_classes)
+            known_links = [groups.select(F.col("node").alias("u"), F.col("component").alias("v"))]
         if n_found * 50 < n_classes:  # what few links are left, the exact search finds as cheaply
             break
     known = _with_components(sets, groups)
@@ -326,7 +326,7 @@ def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rest = materialize(single.unionByName(double).distinct(), "pairs")
     more = materialize(_verified(rest, sets, threshold), "more-links")
     discard(index, open_tokens, rest, stars)
-    return _all([*links, more])
+    return _all([*known_links, more])
 
 
 def _all(links: list[DataFrame]) -> DataFrame:
