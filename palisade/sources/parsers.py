@@ -181,25 +181,24 @@ def _included(path: Column, include: Column) -> Column:
 def include_closure(roots: DataFrame, every: DataFrame) -> DataFrame:
     """``root, path`` of each file of ``every(path, content)`` that a file of ``roots`` includes, directly or not, itself among them.
 
-    One join for each step that includes are deep; circles end as nothing new is found.
+    One join for each step that includes are deep, which reads only the files that the last step came to; circles end as nothing
+    new is found.
     """
-    edges = every.select("path", F.explode(F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1))).alias("i")).select("path", _included(F.col("path"), F.col("i")).alias("to")).distinct()
-    known = every.select(F.col("path").alias("to"))
-    edges = edges.join(known, "to", "left_semi")
     reached = new = roots.select(F.col("path").alias("root"), "path").distinct()
     while True:
-        new = new.join(edges, "path").select("root", F.col("to").alias("path")).distinct().join(reached, ["root", "path"], "left_anti").persist()
+        lines = new.join(every.select("path", "content"), "path").select("root", "path", F.explode(F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1))).alias("i"))
+        found = lines.select("root", _included(F.col("path"), F.col("i")).alias("path")).distinct().join(every.select("path"), "path", "left_semi")
+        new = found.select("root", "path").join(reached, ["root", "path"], "left_anti").persist()
         if new.isEmpty():
             return reached
         reached = reached.unionByName(new)
 
 
 def requirements(files: DataFrame, every: DataFrame | None = None) -> DataFrame:
-    """requirements.txt. ``every(path, content)``: where -r and -c are looked up; options, paths and URLs are no packages."""
+    """requirements.txt; options, paths and URLs are no packages. ``every(path, content)``: where -r and -c are looked up, ``files`` among them."""
     if every is not None:
-        both = every.select("path", "content").unionByName(files.select("path", "content")).dropDuplicates(["path"])
-        reached = include_closure(files, both)
-        rows = requirements(both.join(reached.select("path").distinct(), "path", "left_semi"))
+        reached = include_closure(files, every)
+        rows = requirements(every.select("path", "content").join(reached.select("path").distinct(), "path", "left_semi"))
         owned = rows.join(reached, rows["source_file"] == reached["path"]).withColumn("ord", F.col("ord") + F.when(F.col("root") == F.col("path"), 0).otherwise(1 << 32))
         return _once(owned.withColumn("source_file", F.col("root")).select(*rows.columns))
     clean = trimmed(F.regexp_replace("line", r"(^|\s)#.*$", ""))
