@@ -45,10 +45,11 @@ def block_names(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
     text = text.select("id", F.col("t").cast("binary").alias("t"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("t") / block_bytes).cast("int") - 1))
     parts = text.withColumn("parts", F.transform(starts, lambda k: F.substring("t", k * block_bytes + 1, F.lit(block_bytes))))
-    blocks = parts.select(F.explode("parts").alias("block"))
+    # There always is a block; outer spares a filter on that, which would normalise each text once more.
+    blocks = parts.select(F.explode_outer("parts").alias("block"))
     names = materialize(_sorted_block_names(blocks).select("fp_a", "fp_b", "name"), "block-names")
     seen = names.agg(F.count("*").alias("n"), F.count_distinct("fp_a", "fp_b").alias("d")).first()
-    placed = parts.select("id", F.sha2("t", 256).alias("sha"), F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "block"))
+    placed = parts.select("id", F.sha2("t", 256).alias("sha"), F.size("parts").alias("n"), F.posexplode_outer("parts").alias("pos", "block"))
     if seen["n"] == seen["d"]:
         named = _fingerprint(placed, "block").drop("block").join(names, ["fp_a", "fp_b"])
     else:
