@@ -163,6 +163,27 @@ def test_vectors(spark, chunk, monkeypatch):
     assert V.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors_null_ids_and_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 0, 9, "a"), (1, [1.0, 0.0], 0, 9, "a"), (None, [1.0, 0.0], 0, 9, "b"), (None, [0.0, 1.0], 0, 9, "b"), (2, [0.0, 1.0], None, 9, "c"), (3, [1.0, 1e-9], 1, 9, "c")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, node int, component string")
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in V.near_duplicates(df).collect()))
+    assert got == [(0, 0, 0, True), (0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+
+
+def test_recall_on_a_table(spark):
+    """All links of the test table, found by all products."""
+    import os
+
+    from tests.compare import DATA
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    want = brute_vectors([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in V.near_duplicates(df).collect()}
+    assert got == want and sum(n for n, *_ in want.values()) > 0
+
+
 def test_tables_reach_the_recall():
     for n in (0, 10, 10**5, 10**9):
         bits, tables = V.tables_for(n)

@@ -14,24 +14,41 @@ def test_against_sql(spark, name):
     assert same(Q.queries()[name](spark, DATA), Q.oracle_sql()[name], DATA) > 0
 
 
-def test_stages(spark):
-    """Each stage against what its operator's decisions, checked elsewhere, say of its own input."""
-    from palisade.llm.exact_dedup import exact_groups
-    from palisade.llm.ngram_join import jaccard_groups
+def test_stages(spark, tmp_path):
+    """Each stage against plain loops or SQL over what its predecessor kept; what toxicity decides is checked with its operator."""
+    import duckdb
+    import numpy as np
+
+    from palisade.llm import packing
+    from palisade.llm.source_mixing import OP3_SQL
     from palisade.llm.toxicity import score_toxicity, train
+    from tests.llm import test_exact, test_models, test_near
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing sources", "best-fit packing"]
-    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
-    stage = [f for _, f in corpus_pipeline.STAGES]
-    clean = stage[0](spark, docs, DATA).cache()
-    assert ids(clean) == ids(score_toxicity(docs, train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))).filter("predicted = 0"))
-    single = stage[1](spark, clean, DATA).cache()
-    assert ids(single) == ids(exact_groups(clean).filter("kept"))
-    apart = stage[2](spark, single, DATA).cache()
-    assert ids(apart) == ids(jaccard_groups(single).filter("doc_id = component_id"))
-    mixed = stage[3](spark, apart, DATA).cache()
-    assert mixed.columns == docs.columns and set(ids(mixed)) <= set(ids(apart))
-    packed = stage[4](spark, mixed, DATA)
-    assert sorted(set(ids(packed))) == sorted(set(ids(mixed)))
-    assert corpus_pipeline.run(spark, DATA).count() == packed.count()
+
+    def written(stage, given):
+        path = str(tmp_path / f"stage{stage}")
+        corpus_pipeline.STAGES[stage][1](spark, given, DATA).write.parquet(path)
+        out = spark.read.parquet(path)
+        return out, [tuple(r) for r in out.collect()]
+
+    clean, rows = written(0, docs)
+    judged = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))).collect()}
+    given = [tuple(r) for r in docs.collect()]
+    assert sorted(rows) == sorted(r for r in given if not judged[r[0]]) and 0 < len(rows) < len(given)
+    single, after = written(1, clean)
+    kept = {i for i, r in test_exact.brute(rows).items() if r[2]}
+    assert sorted(after) == sorted(r for r in rows if r[0] in kept) and len(after) < len(rows)
+    apart, rows = written(2, single)
+    kept = {i for i, (_, c) in test_near.brute({r[0]: r[1] for r in after}).items() if i == c}
+    assert sorted(rows) == sorted(r for r in after if r[0] in kept) and len(rows) < len(after)
+    mixed, after = written(3, apart)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/stage2/*.parquet'")
+    assert sorted(after) == sorted(con.execute(f"SELECT {', '.join(docs.columns)} FROM ({OP3_SQL})").fetchall())
+    packed, _ = written(4, mixed)
+    out = packed.collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == test_models.pieces([(r[0], r[1]) for r in after])
+    assert test_models.check_packed(out) <= packing.lower_bound(np.array([r["length"] for r in out]), 2048) + 1
+    assert corpus_pipeline.run(spark, DATA).count() == len(out)

@@ -129,6 +129,13 @@ def test_many_matches_in_a_text(spark):
     assert row["found"][-1]["stop"] == len(text) and time.time() - began < 60
 
 
+def test_secrets_and_spans_with_clashing_names(spark):
+    rows = [(None, "token=R8s2kq71Zp " * 3, None, "x", 1), (4, "token=R8s2kq71Zp " * 3, "s", "x", 1), (4, "token=R8s2kq71Zp " * 3, "s", "x", 1), (5, None, "s", None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, value string, block int")
+    assert sorted((r["doc_id"] or 0, len(r["found"])) for r in S.scan_secrets(df).collect()) == [(0, 3), (4, 3), (4, 3), (5, 0)]
+    assert sorted((r["doc_id"] or 0, len(r["spans"])) for r in X.repeated_spans(df).collect()) == [(0, 1), (4, 0), (4, 0), (5, 0)]
+
+
 def test_lines(spark, none):
     head = "posted by user{n} on day {n} at noon"
     rows = [(i, f"{head.format(n=i)}\nunique line w{chr(97 + i)}x of z{chr(97 + i)}\n\nshort", "en", "s", 1) for i in range(12)] + [(20, None, None, None, None), (21, "", None, None, None)]
