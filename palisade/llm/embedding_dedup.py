@@ -2,8 +2,9 @@
 
 The sign bits of a vector against random hyperplanes name its bucket in each table. Vectors that share a bucket are compared in double
 precision inside tasks, a block of rows against a block, so pairs are never rows: a block gives each vector's number of links
-and a spanning forest of them. A pair that meets in several tables counts in the first. Buckets over CHUNK vectors are split
-into chunks, and each pair of chunks is a block of its own. Equal vectors of a label are one node with a weight.
+and a spanning forest of them. A pair that meets in several tables counts in the first, and a bucket that holds the same vectors
+as one of an earlier table is left out. Buckets over CHUNK vectors are split into chunks, and each pair of chunks is a block of its
+own. Equal vectors of a label are one node with a weight.
 """
 
 from __future__ import annotations
@@ -153,8 +154,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     nodes = materialize(nodes, "nodes")
     code = F.conv(F.concat(*[F.hex(F.substring("codes", F.col("table") * 4 + k, F.lit(1))) for k in (4, 3, 2, 1)]), 16, 10).cast("long")
     spread = nodes.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("code", code)
-    sizes = nodes.select("label", "dim", "codes").withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("code", code)
-    sizes = sizes.groupBy("label", "dim", "table", "code").agg(F.count("*").alias("held")).filter("held > 1")
+    members = nodes.select("label", "dim", "codes", *[F.xxhash64("node", F.lit(k)).alias(f"h{k}") for k in (1, 2)])
+    members = members.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("code", code)
+    sizes = members.groupBy("label", "dim", "table", "code").agg(F.count("*").alias("held"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2")).filter("held > 1")
+    # Buckets of several tables that hold the same vectors are compared in the first of these tables.
+    sizes = sizes.groupBy("label", "dim", "held", "x1", "x2").agg(F.min(F.struct("table", "code")).alias("b")).select("label", "dim", "b.table", "b.code", "held")
     met = spread.join(sizes, ["label", "dim", "table", "code"]).withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("label", "dim", "table", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "weight", "vec", "codes")
