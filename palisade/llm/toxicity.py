@@ -120,14 +120,18 @@ def _features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, weight
     return out
 
 
-def add_features(rows: DataFrame, lexicon: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """All columns of ``rows`` but ``text``, then FEATURES. ``rows`` has columns of simple types and no clashing names."""
+def add_features(rows: DataFrame, lexicon: np.ndarray, weights: np.ndarray, inside: tuple[str, int] | None = None) -> DataFrame:
+    """All columns of ``rows`` but ``text``, then FEATURES. ``rows`` has no clashing names.
+
+    ``inside``: a struct column and the place of its field that holds the text, which then isn't sent to Python twice.
+    """
     second = np.sort(word_hashes(list(SECOND_PERSON)))
     keep = [c for c in rows.columns if c != "text"]
 
     def compute(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(batch.schema.get_field_index("text")))
+            held = batch.column(batch.schema.get_field_index(inside[0] if inside else "text"))
+            data, offsets = buffers(held.field(inside[1]) if inside else held)
             got = _features(data, offsets, lexicon, weights, second)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(np.ascontiguousarray(got[:, i])) for i in range(len(FEATURES))], [*keep, *FEATURES])
 
@@ -172,20 +176,25 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     rows and null ids give rows as any other; other columns aren't read.
     """
     chosen = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = add_features(chosen, model.lexicon, model.weights)
+    return _scored(add_features(chosen, model.lexicon, model.weights), model).select(F.col("__id").alias(id_col), "score", "predicted", *FEATURES)
+
+
+def _scored(seen: DataFrame, model: Model) -> DataFrame:
+    """``seen`` with ``score`` and ``predicted`` by its FEATURES."""
     if model.trees is None:
         out = seen.withColumn("score", F.lit(0.0))
     else:
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(seen)
         raw = model.trees.transform(vectors).withColumn("p", vector_to_array("probability")[1])
         out = model.calibration.transform(raw)
-    return out.select(F.col("__id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't predict to be toxic, with their columns, whatever their names. See score_toxicity()."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return score_toxicity(whole, model, "__row").filter("predicted = 0").select("__row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    seen = add_features(whole, model.lexicon, model.weights, ("__row", docs.columns.index(text_col)))
+    return _scored(seen, model).filter("predicted = 0").select("__row.*")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
