@@ -103,6 +103,12 @@ def test_blocks_of_one_text(spark, tmp_path):
     assert [r["doc_id"] for r in N.jaccard_dedup(df).collect()] == [0]
 
 
+def test_texts_without_words(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (2, " \n"), (None, "")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in N.jaccard_groups(df).collect()) == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (2, 0, 2)]
+    assert N.jaccard_dedup(df).count() == 4
+
+
 def test_rows_that_share_an_id_are_told_by_text(spark):
     a, b, c = "a b c d e f g", "q r s t u v w x", "A b c  d e f g"
     rows = [(3, a), (5, a), (5, b), (7, c), (7, b), (None, b), (None, "only here once you see"), (8, ""), (8, ""), (9, None)]
@@ -171,17 +177,24 @@ def test_repeated_vectors_null_ids_and_clashing_names(spark):
 
 
 def test_recall_on_a_table(spark):
-    """All links of the test table, found by all products."""
+    """All links of the test table and of copies of its vectors with noise, close to the threshold on either side, found by all products."""
     import os
 
     from tests.compare import DATA
 
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
-    df = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    want = brute_vectors([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in table.collect()]
+    rng = np.random.default_rng(12)
+    for k, (_, v, label) in enumerate(rows[:300]):
+        x = np.array(v)
+        noise = rng.standard_normal(len(x))
+        rows.append((10**6 + k, [float(np.float32(y)) for y in x + noise * np.linalg.norm(x) / np.linalg.norm(noise) * (0.1 + 0.15 * k / 300)], label))
+    want = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(4)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in V.near_duplicates(df).collect()}
-    assert got == want and sum(n for n, *_ in want.values()) > 0
+    assert got == want and sum(n for n, *_ in want.values()) > 200
 
 
 def test_tables_reach_the_recall():
