@@ -33,12 +33,25 @@ def _digest(value: Column) -> list[Column]:
     return [F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(3), F.concat(value, F.lit("."))).alias("h2")]
 
 
-def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
+def line_digests(docs: DataFrame, text_col: str = "text", id_col: str | None = None) -> DataFrame:
+    """One row per line: its row's ``number``, ``__id`` and ``__text`` that tell the row's content, ``at``, the masked line's digest ``h1, h2``.
+
+    The numbers hold only in what this returns, which is materialised.
+    """
+    ident = F.col(id_col).cast("string") if id_col else F.lit(None).cast("string")
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("number"), ident.alias("__id"), F.xxhash64(F.col(text_col)).alias("__text"), F.col(text_col).alias("t"))
+    lines = rows.select("number", "__id", "__text", F.posexplode(_lines(F.col("t"))).alias("at", "line"))
+    return materialize(lines.select("number", "__id", "__text", "at", *_digest(_masked(F.col("line")))), "line-digests")
+
+
+def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, fixed_share: float = FIXED_SHARE, digests: DataFrame | None = None) -> DataFrame:
     """``h1, h2, template, docs`` of each masked line whose template ``least_docs`` documents or more have.
 
     ``h1, h2`` is the masked line's 128-bit digest; ``docs`` counts different documents, however many lines of the template one has.
-    Sums over lines only rule out what can't recur; what is left is counted by the documents that own its lines.
+    Sums over lines only rule out what can't recur; what is left is counted by the documents that own its lines. ``digests`` are
+    those of line_digests(), if there already.
     """
+    digests = line_digests(docs, text_col) if digests is None else digests
     masked = F.array_distinct(F.transform(_lines(F.col(text_col)), _masked))
     lines = docs.select(F.explode(F.filter(masked, lambda x: x != "")).alias("line")).groupBy("line").agg(F.count("*").alias("docs"))
     tokens = F.split("line", " ")
@@ -46,8 +59,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     lines = materialize(lines.withColumn("leaf", leaf), "lines")
     leaves = lines.groupBy("leaf").agg(F.sum("docs").alias("in_leaf")).filter(F.col("in_leaf") >= least_docs)
     some = materialize(lines.join(leaves, "leaf").select("leaf", "line", "docs", *_digest(F.col("line"))), "leaf-lines")
-    owned = docs.withColumn("number", F.monotonically_increasing_id()).select("number", F.explode(F.filter(masked, lambda x: x != "")).alias("line"))
-    owned = materialize(owned.select("number", *_digest(F.col("line"))).join(some.select("h1", "h2"), ["h1", "h2"]), "line-owners")
+    owned = materialize(digests.select("number", "h1", "h2").join(some.select("h1", "h2"), ["h1", "h2"]), "line-owners")
     placed = some.select("leaf", "h1", "h2", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     sums = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("held"), F.max("docs").alias("most")).filter(F.col("held") >= least_docs)
     sums = materialize(sums.select("leaf", "at", "token", (F.col("most") >= least_docs).alias("fixed")), "tokens")
@@ -78,10 +90,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     replaced. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    recurring = recurring_lines(docs, text_col, depth, least_docs, fixed_share).select("h1", "h2", F.lit(True).alias("gone"))
-    key = [F.col(id_col).cast("string").alias("__id"), F.xxhash64(F.col(text_col)).alias("__text")]
-    lines = docs.filter(F.col(text_col).isNotNull()).select(*key, F.posexplode(_lines(F.col(text_col))).alias("at", "line"))
-    found = lines.select("__id", "__text", "at", *_digest(_masked(F.col("line")))).join(recurring, ["h1", "h2"], "left")
+    digests = line_digests(docs, text_col, id_col)
+    recurring = recurring_lines(docs, text_col, depth, least_docs, fixed_share, digests).select("h1", "h2", F.lit(True).alias("gone"))
+    found = digests.select("__id", "__text", "at", "h1", "h2").join(recurring, ["h1", "h2"], "left")
     flags = found.groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("at", F.col("gone").isNotNull().alias("gone"))))["gone"].alias("__gone"))
     some = flags.filter(F.exists("__gone", lambda g: g))
     keyed = docs.withColumns({"__id2": F.col(id_col).cast("string"), "__text2": F.xxhash64(F.col(text_col))})

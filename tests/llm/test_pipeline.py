@@ -14,6 +14,10 @@ def test_against_sql(spark, name):
     assert same(Q.queries()[name](spark, DATA), Q.oracle_sql()[name], DATA) > 0
 
 
+#: The pipeline's stages all have something to do on the larger table.
+MORE = DATA.replace("sf0.001", "sf0.01")
+
+
 def test_stages(spark, tmp_path):
     """Each stage against plain loops or SQL over what its predecessor kept; what toxicity decides is checked with its operator."""
     import duckdb
@@ -24,17 +28,17 @@ def test_stages(spark, tmp_path):
     from palisade.llm.toxicity import score_toxicity, train
     from tests.llm import test_exact, test_models, test_near
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = spark.read.parquet(f"{MORE}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing sources", "best-fit packing"]
 
     def written(stage, given):
         path = str(tmp_path / f"stage{stage}")
-        corpus_pipeline.STAGES[stage][1](spark, given, DATA).write.parquet(path)
+        corpus_pipeline.STAGES[stage][1](spark, given, MORE).write.parquet(path)
         out = spark.read.parquet(path)
         return out, [tuple(r) for r in out.collect()]
 
     clean, rows = written(0, docs)
-    judged = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))).collect()}
+    judged = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, train(docs, spark.read.parquet(f"{MORE}/labels.parquet"))).collect()}
     given = [tuple(r) for r in docs.collect()]
     assert sorted(rows) == sorted(r for r in given if not judged[r[0]]) and 0 < len(rows) < len(given)
     single, after = written(1, clean)
@@ -51,4 +55,4 @@ def test_stages(spark, tmp_path):
     out = packed.collect()
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == test_models.pieces([(r[0], r[1]) for r in after])
     assert test_models.check_packed(out) <= packing.lower_bound(np.array([r["length"] for r in out]), 2048) + 1
-    assert corpus_pipeline.run(spark, DATA).count() == len(out)
+    assert corpus_pipeline.run(spark, MORE).count() == len(out)
