@@ -32,6 +32,11 @@ def dependencies(files: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame]
     return parsers.parse_all(chosen.select("path", "file", "content"), every=files), parsers.parse_failures(chosen.select("path", "content"))
 
 
+def watched(files: DataFrame, opts: Options) -> DataFrame:
+    """What the lockfiles of a folder, or its manifests, hold at this moment, for streaming.watch.write_snapshot()."""
+    return relational.snapshot(dependencies(files, opts)[0])
+
+
 def _verdict(coverage: DataFrame, failures: DataFrame | None, rows: DataFrame) -> DataFrame:
     parts = relational.completeness(coverage).drop("failed")
     failed = failures.agg(F.count("*").alias("failed")) if failures is not None else coverage.sparkSession.range(1).select(F.lit(0).cast("long").alias("failed"))

@@ -8,7 +8,7 @@ from palisade.functions import text
 from palisade.operators import registry, rules
 from palisade.options import Options
 from palisade.plans import pipelines
-from palisade.queries.tables import SEVERITY_SQL, orders, table
+from palisade.queries.tables import orders, table
 from palisade.schema import ADVISORY, DAY_MS
 from palisade.sinks import reports
 from palisade.sources import parsers

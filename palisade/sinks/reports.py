@@ -85,6 +85,11 @@ def annotations(vulns: DataFrame) -> DataFrame:
     return vulns.select(F.concat(F.lit("::"), kind, F.lit(" title="), title, F.lit("::"), text).alias("value"))
 
 
+def notice(verdict: DataFrame, least: str) -> DataFrame:
+    """``value``: the last line for a build server, which tells how much was looked up and found."""
+    return verdict.select(F.concat(F.lit("::notice::Scanned "), F.col("expected").cast("string"), F.lit(" packages, found "), F.col("findings").cast("string"), F.lit(f" vulnerabilities at {least}+ severity")).alias("value"))
+
+
 def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("CRITICAL", "HIGH"), "error").when(severity == "LOW", "note").otherwise("warning")
 

@@ -2,6 +2,7 @@ import datetime as dt
 import gzip
 import io
 import tarfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,7 @@ def test_reports(spark):
     assert whole["command"] == "scan" and whole["summary"]["high"] == 12 and len(whole["vulnerabilities"]) == 25 and whole["complete"]
     ci = json.loads(reports.document(reports.ci_report(vulns, verdict)).first()["value"])
     assert ci["summary"] == {"total": 30, "vulnerable": 25, "scanned": 30, "failed": 0}
+    assert reports.notice(verdict, "HIGH").first()["value"] == "::notice::Scanned 30 packages, found 25 vulnerabilities at HIGH+ severity"
     with pytest.raises(ValueError, match="more than 5"):
         reports.document(reports.scan_report(vulns, verdict), most=5)
     docs = [json.loads(r["value"]) for r in reports.sarif(vulns, F.lit(True), most=10).collect()]
@@ -306,6 +308,37 @@ def test_options():
     assert merged({"a": {"b": 1}}, {"a": {"c": 2}, "__proto__": 3}) == {"a": {"b": 1, "c": 2}}
 
 
+def test_watched_folder(spark):
+    rows = [("/p/Cargo.lock", "/p", "Cargo.lock", '[[package]]\nname = "a"\nversion = "1.0"\n'), ("/p/Cargo.toml", "/p", "Cargo.toml", '[dependencies]\nb = "2"\n')]
+    snap = pipelines.watched(spark.createDataFrame(rows, "path string, dir string, file string, content string"), Options())
+    assert [(r["ecosystem"], r["name"], r["version"]) for r in snap.collect()] == [("cargo", "a", "1.0")]
+
+
+def test_caches(spark):
+    from palisade.operators import store
+
+    assert store.stats(advisories=store.empty(spark, "advisories"), signals=store.empty(spark, "signals")).first().asDict() == {"advisories": 0, "signals": 0}
+    wanted = spark.createDataFrame([("npm", "a", "1")], "ecosystem string, name string, version string")
+    missed = store.partition_by_cache(wanted, store.empty(spark, "advisories"), ["ecosystem", "name", "version"], F.current_timestamp().cast("timestamp_ntz"), None)
+    assert not missed.first()["hit"]
+
+
+def test_poll_timer(spark, tmp_path):
+    from palisade.schema import ADVISORY
+
+    base = spark.createDataFrame([("npm", "a", "1", None, 1)], watch.BASE)
+    base.write.parquet(str(tmp_path / "base" / "1"))
+    index = spark.createDataFrame([("npm", "a", "1", "V1")], "ecosystem string, name string, version string, id string")
+    query = watch.poll_timer(spark, str(tmp_path / "base"), lambda: (index, spark.createDataFrame([], ADVISORY)), str(tmp_path / "out"), "LOW", 1).option("checkpointLocation", str(tmp_path / "ck")).start()
+    for _ in range(60):
+        if (tmp_path / "out" / "0" / "_SUCCESS").exists():
+            break
+        time.sleep(0.5)
+    query.stop()
+    row = spark.read.parquet(str(tmp_path / "out" / "0")).first()
+    assert (row["id"], row["total"]) == ("V1", 1)
+
+
 def test_watch(spark, tmp_path):
     snap = lambda n, rows: watch.write_snapshot(spark.createDataFrame([("npm", a, v, None, i) for i, (a, v) in enumerate(rows)], watch.BASE).repartition(3), str(tmp_path / "in"), dt.datetime(2026, 1, n))
     asked = []
