@@ -22,8 +22,8 @@ from palisade.llm.components import connected_components
 THRESHOLD = 0.98
 #: The chance that a pair just at the threshold shares no bucket; closer pairs are surer.
 MISS = 1e-5
-#: Vectors a bucket should hold in the mean, if they were spread evenly.
-BUCKET = 32
+#: Vectors a bucket should hold in the mean, if they were spread evenly; most are alone in theirs then, and travel no further.
+BUCKET = 1
 CHUNK = 1024
 SEED = 11
 
@@ -153,15 +153,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     nodes = hashed.groupBy("label", "same").agg(F.min("row").alias("node"), F.count("*").alias("weight"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.first("codes").alias("codes"))
     nodes = materialize(nodes, "nodes")
     code = F.conv(F.concat(*[F.hex(F.substring("codes", F.col("table") * 4 + k, F.lit(1))) for k in (4, 3, 2, 1)]), 16, 10).cast("long")
-    spread = nodes.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("code", code)
-    members = nodes.select("label", "dim", "codes", *[F.xxhash64("node", F.lit(k)).alias(f"h{k}") for k in (1, 2)])
-    members = members.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("code", code)
+    spread = nodes.select("node", "label", "dim", "codes").withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).select("node", "label", "dim", "table", code.alias("code"))
+    members = spread.withColumns({f"h{k}": F.xxhash64("node", F.lit(k)) for k in (1, 2)})
     sizes = members.groupBy("label", "dim", "table", "code").agg(F.count("*").alias("held"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2")).filter("held > 1")
     # Buckets of several tables that hold the same vectors are compared in the first of these tables.
     sizes = sizes.groupBy("label", "dim", "held", "x1", "x2").agg(F.min(F.struct("table", "code")).alias("b")).select("label", "dim", "b.table", "b.code", "held")
     met = spread.join(sizes, ["label", "dim", "table", "code"]).withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("label", "dim", "table", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "weight", "vec", "codes")
+    met = met.select("label", "dim", "table", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node")
+    met = met.join(nodes.select("node", "weight", "vec", "codes"), "node")
     keys = ["label", "dim", "table", "code", "low", "high"]
     found = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks(threshold), "node long, links long, root long")
     found = materialize(found, "links")
