@@ -5,7 +5,8 @@ Texts are handled in slices of about SLICE bytes, so what a task holds beside it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,23 @@ BLANK[[32, *range(9, 14)]] = True
 BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return free memory to the system, which Arrow's and the C library's allocators of an idle worker would hold on to."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what one has left behind is given back before the next."""
+    for batch in batches:
+        yield batch
+        give_back()
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the offsets of each text in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.arrays import buffers, ranges
+from palisade.llm.arrays import buffers, ranges, released
 from palisade.llm.common import small_batches
 
 #: Bytes of texts in a block. Of equal parts of a block one travels, so this bounds what meets of a part that all texts hold.
@@ -25,7 +25,7 @@ def text_blocks(rows: DataFrame) -> DataFrame:
     keep = [f for f in rows.schema if f.name != "text"]
 
     def cut(batches):
-        for batch in batches:
+        for batch in released(batches):
             at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             data, offsets = buffers(at["text"])
             for first, last in ranges(offsets, BLOCK):

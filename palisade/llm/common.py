@@ -63,7 +63,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 #: Bytes of an Arrow batch that a Python worker gets at once, in the mean.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.arrays import LOWER, SLICE, buffers, ranges
+from palisade.llm.arrays import LOWER, SLICE, buffers, ranges, released
 from palisade.llm.common import discard, held_out, materialize, small_batches, table
 
 BUCKETS = 1 << 14
@@ -69,7 +69,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in released(batches):
             data, offsets = buffers(batch.column(0))
             langs = np.array(batch.column(1).to_pylist(), object)
             for first, last, lo, hi in _slices(offsets):
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def predict(batches):
         model = sent.value
-        for batch in batches:
+        for batch in released(batches):
             has = np.array(batch.column(2).to_pylist(), bool)
             if model is None or not len(has):
                 langs, score, unsure = ["und"] * len(has), np.zeros(len(has)), np.zeros(len(has), bool)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from palisade.llm.arrays import BLANK, LOWER, mixed, paired, ranges, words
+from palisade.llm.arrays import BLANK, LOWER, give_back, mixed, paired, ranges, released, words
 from palisade.llm.blocks import from_planes, planes, text_blocks, texts_of
 from palisade.llm.common import discard, materialize, table
 from palisade.llm.components import connected_components
@@ -94,7 +94,7 @@ def _sent_tokens(size: int, bits: int):
     """Of each block, its distinct tokens by their first ``bits`` bits, and how many of its documents have them."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in released(batches):
             for block, ends, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tokens, counts = np.unique(_block_sets(*texts_of(ends, data.as_py()), size)[0], return_counts=True)
                 cuts = np.searchsorted((tokens >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
@@ -107,6 +107,7 @@ def _sent_tokens(size: int, bits: int):
 
 def _count_tokens(rows: pa.Table) -> pa.Table:
     """Of each block of a part, how many documents of all blocks have its tokens, in the order in which it sent them."""
+    give_back()
     tokens = [from_planes(b, _WIDTH) for b in rows["tokens"].to_pylist()]
     counts = np.concatenate([from_planes(b, 4, np.int32) for b in rows["counts"].to_pylist()])
     _, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
@@ -124,6 +125,7 @@ def _shared_sets(size: int, threshold: int, keep: pa.Schema):
     kinds = pa.schema([*keep, pa.field("n", pa.int64()), pa.field("p1", pa.int64()), pa.field("p2", pa.int64()), pa.field("tokens", pa.list_(pa.int64()))])
 
     def compute(rows: pa.Table) -> pa.Table:
+        give_back()
         own = rows.filter(pc.is_valid(rows["data"]))
         tokens, n, p1, p2 = _block_sets(*texts_of(own["ends"][0].as_py(), own["data"][0].as_py()), size)
         found = rows.filter(pc.is_null(rows["data"])).sort_by("part")
@@ -198,7 +200,7 @@ def _sketched(sets: DataFrame) -> DataFrame:
     """``class, held, sketch``: the number of shared tokens, and a bit set of their hashes."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in released(batches):
             offsets = np.asarray(batch.column(1).offsets)
             held = np.diff(offsets)
             tokens = np.asarray(batch.column(1).values)
@@ -261,7 +263,7 @@ def _meet(threshold: int):
 
     def compute(batches):
         carried = None
-        for batch in batches:
+        for batch in released(batches):
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])

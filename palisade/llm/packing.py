@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.arrays import give_back, released
 from palisade.llm.common import materialize, small_batches, table
 
 CAPACITY = 2048
@@ -108,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     def cut(batches):
         found = _Words(tokenizer)
         end = b"\0\0\0\0"
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = found.ids(text.as_py() or "") + end
@@ -173,6 +174,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
 
     def packed(turn: int, last: bool):
         def one(key: tuple[pa.Scalar, ...], items: pa.Table) -> pa.Table:
+            give_back()
             items = items.sort_by("row")
             sizes = items["length"].to_numpy()
             bins, offsets, fills = best_fit(sizes, capacity)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.arrays import BYTE_VALUES, SLICE, mixed
+from palisade.llm.arrays import BYTE_VALUES, SLICE, give_back, mixed, released
 from palisade.llm.blocks import from_planes, planes, text_blocks, texts_of
 from palisade.llm.common import discard, materialize, table
 
@@ -164,6 +164,7 @@ _NONE, _ALL, _ASK, _ASK_EACH = 0, 1, 2, 3
 
 def _judge(rows: pa.Table) -> pa.Table:
     """Of all phrases of a part, what the phrases of other documents say."""
+    give_back()
     triggers = [from_planes(b, 6) for b in rows["triggers"].to_pylist()]
     sizes = [len(t) for t in triggers]
     trigger = np.concatenate(triggers)
@@ -223,6 +224,7 @@ def _repeated(raw: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> np.ndar
 
 def _compare(rows: pa.Table) -> pa.Table:
     """Of the phrases of a part that must be compared, the strings that a document of a smaller id has, as bits."""
+    give_back()
     get = lambda name, kind: [np.frombuffer(b, kind) for b in rows[name].to_pylist()]
     sizes, triggers, owners = np.concatenate(get("sizes", np.int64)), np.concatenate(get("triggers", np.uint64)), np.concatenate(get("owners", np.int64))
     raw = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
@@ -275,7 +277,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = materialize(text_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), "text-blocks")
 
     def send(batches):
-        for batch in batches:
+        for batch in released(batches):
             rows = pa.Table.from_batches([batch])
             for i in range(len(rows)):
                 one = _Block(rows.slice(i, 1))
@@ -287,6 +289,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask(rows: pa.Table) -> pa.Table:
         """Phrases that are repeated as a whole (part null, all bits set), and those to compare."""
+        give_back()
         one = _Block(rows.filter(pc.is_valid(rows["data"])))
         rows = rows.filter(pc.is_null(rows["data"]))
         codes = dict(zip(rows["part"].to_pylist(), rows["codes"].to_pylist(), strict=True))
@@ -333,6 +336,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), "kept_sha256": pa.string()}
 
     def remove(rows: pa.Table) -> pa.Table:
+        give_back()
         one = _Block(rows.filter(pc.is_valid(rows["data"])))
         change = np.zeros(len(one.raw) + 1, np.int64)
         for at, sizes, masks in zip(rows["at"].to_pylist(), rows["sizes"].to_pylist(), rows["masks"].to_pylist(), strict=True):

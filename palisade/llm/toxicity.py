@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.arrays import LOWER, buffers, ranges, words
+from palisade.llm.arrays import LOWER, buffers, ranges, released, words
 from palisade.llm.common import discard, held_out, materialize, small_batches, table
 
 #: Labelled rows that learning reads, in the mean, drawn by a hash of the id; this bounds the lexicon and the trees too.
@@ -50,7 +50,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     """``word, toxic, n``: in how many texts of ``rows(text, toxic)`` each word occurs."""
 
     def count(batches):
-        for batch in batches:
+        for batch in released(batches):
             data, offsets = buffers(batch.column(0))
             toxic = np.array(batch.column(1).to_pylist(), np.int64)
             for first, last in ranges(offsets):
@@ -129,7 +129,7 @@ def add_features(rows: DataFrame, lexicon: np.ndarray, weights: np.ndarray, insi
     keep = [c for c in rows.columns if c != "text"]
 
     def compute(batches):
-        for batch in batches:
+        for batch in released(batches):
             held = batch.column(batch.schema.get_field_index(inside[0] if inside else "text"))
             data, offsets = buffers(held.field(inside[1]) if inside else held)
             got = _features(data, offsets, lexicon, weights, second)
