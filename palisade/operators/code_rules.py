@@ -73,6 +73,9 @@ JS_BOUND = [
     ("ENV_HARVESTING", "CRITICAL", "fs(?:/promises)?", _READ, r"\s*[\"'`][^\"'`]*(?:/etc/passwd|/etc/shadow|/etc/hosts|\.ssh/|\.aws/|\.gnupg/|\.npmrc|\.netrc|\.env|\.git/config)"),
 ]
 
+#: Statements that bind names to modules; patterns for single modules only look into these.
+_STATEMENT = r"""\b(?:const|let|var)\s+(?:\w+|\{[^}]*\})\s*=\s*require\(\s*["'][^"']*["']\s*\)|\bimport\b[^;"'()]*["'][^"']*["']|\brequire\(\s*["'][^"']*["']\s*\)\s*\.\s*(?:promises\s*\.\s*)?\w+\s*\("""
+
 _FINDING = "array<struct<pattern: string, severity: string>>"
 
 #: Capability, the patterns that show it.
@@ -152,12 +155,15 @@ def js_findings(files: DataFrame, source: str = "source") -> DataFrame:
     code = F.col("__code")
     base = files.withColumn("__tokens", _tokens(F.regexp_replace(F.coalesce(source, F.lit("")), r"^#![^\n]*", "")))
     base = base.withColumns({"__code": _without_comments(F.col("__tokens")), "__bare": _without_strings(F.col("__tokens"))})
+    base = base.withColumn("__bound", F.array_join(F.regexp_extract_all("__code", F.lit(_STATEMENT), F.lit(0)), "\n"))
+    bound = F.col("__bound")
     rules = [F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"), F.regexp_count(code if strings else F.col("__bare"), F.lit(rx)).alias("hits")) for p, s, rx, strings in JS_RULES]
     for pattern, severity, module, methods, argument in JS_BOUND:
-        names = F.array_distinct(F.concat(*[F.regexp_extract_all(code, F.lit(_BOUND.format(m=module)), F.lit(group)) for group in (1, 2, 3, 4)]))
+        names = F.array_distinct(F.concat(*[F.regexp_extract_all(bound, F.lit(_BOUND.format(m=module)), F.lit(group)) for group in (1, 2, 3, 4)]))
         through = _calls_through(code, names, methods, argument)
-        taken = F.when(code.rlike(_TAKEN.format(f=methods, m=module)), F.regexp_count(code, F.lit(rf"(?<![\w.$]){methods}\s*\({argument}"))).otherwise(0)
-        direct = F.regexp_count(code, F.lit(_MODULE.format(module) + rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*\({argument}")) if module != "child_process" else F.lit(0)
+        taken = F.when(bound.rlike(_TAKEN.format(f=methods, m=module)), F.regexp_count(code, F.lit(rf"(?<![\w.$]){methods}\s*\({argument}"))).otherwise(0)
+        called = _MODULE.format(module) + rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*\("
+        direct = F.when(bound.rlike(called), F.regexp_count(code, F.lit(called + argument))).otherwise(0) if module != "child_process" else F.lit(0)
         rules.append(F.struct(F.lit(pattern).alias("pattern"), F.lit(severity).alias("severity"), (through + taken + direct).cast("int").alias("hits")))
     computed = F.regexp_count(F.col("__bare"), F.lit(r"[\w$)\]]\s*\[\s*[A-Za-z_$][^\]]*\]\s*\("))
     rules.append(F.struct(F.lit("POSSIBLE_OBFUSCATION").alias("pattern"), F.lit("HIGH").alias("severity"), F.when(computed >= 3, 1).otherwise(0).alias("hits")))
