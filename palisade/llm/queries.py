@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palisade.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from palisade.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from palisade.llm.fill_middle import OP11_SQL, op11_fill_middle
 from palisade.llm.language_id import op7_language_id
 from palisade.llm.line_dedup import OP1_SQL, op1_line_dedup
 from palisade.llm.ngram_join import OP10_SQL, op10_ngram_join
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_ngram_join": op10_ngram_join,
+        "op11_fill_middle": op11_fill_middle,
     }
 
 
@@ -38,4 +40,5 @@ def oracle_sql() -> dict:
         "op8_exact_dedup": OP8_SQL,
         "op9_suffix_dedup": OP9_SQL,
         "op10_ngram_join": OP10_SQL,
+        "op11_fill_middle": OP11_SQL,
     }
