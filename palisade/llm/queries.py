@@ -9,6 +9,7 @@ from palisade.llm.language_id import op7_language_id
 from palisade.llm.line_dedup import OP1_SQL, op1_line_dedup
 from palisade.llm.ngram_join import OP10_SQL, op10_ngram_join
 from palisade.llm.packing import op4_best_fit_packing
+from palisade.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
 from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
 from palisade.llm.suffix_dedup import OP9_SQL, op9_suffix_dedup
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_ngram_join": op10_ngram_join,
         "op11_fill_middle": op11_fill_middle,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
@@ -41,4 +43,5 @@ def oracle_sql() -> dict:
         "op9_suffix_dedup": OP9_SQL,
         "op10_ngram_join": OP10_SQL,
         "op11_fill_middle": OP11_SQL,
+        "op12_prefix_trie": OP12_SQL,
     }
