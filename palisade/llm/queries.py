@@ -14,6 +14,7 @@ from palisade.llm.secret_scan import OP5_SQL, op5_secret_scan
 from palisade.llm.source_mixing import OP3_SQL, op3_source_mixing
 from palisade.llm.suffix_dedup import OP9_SQL, op9_suffix_dedup
 from palisade.llm.toxicity import op6_toxicity
+from palisade.llm.warc import OP13_SQL, op13_warc
 
 
 def queries() -> dict:
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op10_ngram_join": op10_ngram_join,
         "op11_fill_middle": op11_fill_middle,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_warc": op13_warc,
     }
 
 
@@ -44,4 +46,5 @@ def oracle_sql() -> dict:
         "op10_ngram_join": OP10_SQL,
         "op11_fill_middle": OP11_SQL,
         "op12_prefix_trie": OP12_SQL,
+        "op13_warc": OP13_SQL,
     }
