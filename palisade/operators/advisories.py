@@ -81,12 +81,18 @@ def best_fixes(vulns: DataFrame) -> DataFrame:
     return vulns.filter("fixed is not null").withColumn("v", version).groupBy("ecosystem", "package").agg(F.max_by("v", F.struct(semver_key(F.col("v")), "v")).alias("best_fix"))
 
 
-def verified_fixes(vulns: DataFrame, known_bad: DataFrame) -> DataFrame:
-    """Of each package, the highest fixing version that isn't vulnerable itself; null if there is none. ``known_bad(package, version)``."""
+def verified_fixes(vulns: DataFrame, known_bad: DataFrame, keys: list[str] | None = None, checked: DataFrame | None = None) -> DataFrame:
+    """Of each package, the highest fixing version that isn't vulnerable itself; null if there is none. ``known_bad(keys, version)``.
+
+    ``checked(keys, version)`` are the versions that the source has answered for; others are no candidates, and ``unverified`` counts them.
+    """
     from palisade.functions.versions import semver_key
 
+    keys = keys or ["package"]
     version = F.regexp_replace("fixed", r"^>=\s*", "")
-    candidates = vulns.filter("fixed is not null").select("package", version.alias("version")).distinct()
-    safe = candidates.join(known_bad.select("package", "version").distinct(), ["package", "version"], "left_anti")
-    best = safe.groupBy("package").agg(F.max_by("version", F.struct(semver_key(F.col("version")), "version")).alias("fix"))
-    return vulns.groupBy("package").agg(F.count("*").alias("vuln_count"), F.array_sort(F.collect_set("id")).alias("vuln_ids")).join(best, "package", "left")
+    candidates = vulns.filter("fixed is not null").select(*keys, version.alias("version")).distinct()
+    safe = candidates.join(known_bad.select(*keys, "version").distinct(), [*keys, "version"], "left_anti")
+    safe = safe.withColumn("covered", F.lit(True)) if checked is None else left_coverage(safe, checked.select(*keys, "version").distinct(), [*keys, "version"])
+    best = safe.groupBy(*keys).agg(F.max_by(F.when(F.col("covered"), F.col("version")), F.when(F.col("covered"), F.struct(semver_key(F.col("version")), "version"))).alias("fix"), F.count_if(~F.col("covered")).alias("unverified"))
+    counted = vulns.groupBy(*keys).agg(F.count("*").alias("vuln_count"), F.array_sort(F.collect_set("id")).alias("vuln_ids"))
+    return counted.join(best, keys, "left").withColumn("unverified", F.coalesce("unverified", F.lit(0).cast("long")))

@@ -1,7 +1,7 @@
 """Patterns in source code, as built-in expressions: findings per line, capabilities, worst severity.
 
-JavaScript is read as masked text rather than as a tree: comments go, string bodies are kept only where a rule needs them. A text
-whose brackets or strings don't close counts as unparseable, which is a finding of its own and never silence.
+JavaScript is read as scanned text (functions.js_text), in which strings can't be taken for code and a call's arguments are told by the depth of their
+parentheses. A text whose brackets, strings or templates don't close counts as unparseable, which is a finding of its own and never silence.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.js_text import BROKEN, scanned
 from palisade.functions.severity import named, order_of
 from palisade.functions.text import trimmed
 from palisade.schema import SENSITIVE_ENV_KEYS
@@ -31,52 +32,57 @@ _WRITE = r"(?:writeFile|writeFileSync|appendFile|appendFileSync|createWriteStrea
 _READ = r"(?:readFile|readFileSync|createReadStream)"
 _GLOBAL = r"(?:globalThis|global|window|self|GLOBAL|root)"
 _ENV = "(?:" + "|".join(SENSITIVE_ENV_KEYS) + ")"
-_Q = r"""["'`]"""
-_MODULE = r"""require\(\s*["'](?:node:)?{}["']\s*\)"""
-_BOUND = r"""(?:(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*["'](?:node:)?{m}["']\s*\)|import\s+(\w+)\s*(?:,\s*(?:\{{[^}}]*\}}|\*\s+as\s+(\w+))\s*)?from\s+["'](?:node:)?{m}["']|import\s+\*\s+as\s+(\w+)\s+from\s+["'](?:node:)?{m}["'])"""
-_TAKEN = r"""(?:(?:const|let|var)\s*\{{[^}}]*\b{f}\b[^}}]*\}}\s*=\s*require\(\s*["'](?:node:)?{m}["']\s*\)|import\s*(?:\w+\s*,\s*)?\{{[^}}]*\b{f}\b[^}}]*\}}\s*from\s+["'](?:node:)?{m}["'])"""
-
-#: Pattern, severity, what the code must match, whether the match reaches into strings.
+#: In scanned text: ( and ) with their depth, a string's start and end, a whole string, the string of a module.
+_O, _C = r"\([\ue000-\uf8ff]", r"[\ue000-\uf8ff]\)"
+_S, _E = r"\x01", r"\x02"
+_STRING = r"\x01[^\x02]*\x02"
+_NAMED = r"\x01(?:node\x06)?{}\x02"
+_MODULE = rf"(?<![\w.$])require\s*{_O}\s*{_NAMED}\s*{_C}"
+_BOUND = rf"(?:(?:const|let|var)\s+(\w+)\s*=\s*require\s*{_O}\s*{_NAMED}\s*{_C}|import\s+(\w+)\s*(?:,\s*(?:\{{{{[^}}}}]*\}}}}|\*\s+as\s+(\w+))\s*)?from\s+{_NAMED}|import\s+\*\s+as\s+(\w+)\s+from\s+{_NAMED})".replace("{}", "{m}")
+_TAKEN = rf"(?:(?:const|let|var)\s*\{{{{[^}}}}]*\b{{f}}\b[^}}}}]*\}}}}\s*=\s*require\s*{_O}\s*{_NAMED}\s*{_C}|import\s*(?:\w+\s*,\s*)?\{{{{[^}}}}]*\b{{f}}\b[^}}}}]*\}}}}\s*from\s+{_NAMED})".replace("{}", "{m}")
+#: A call's arguments before its last one: all up to a comma, but not past the ) of the depth that the pattern's group 1 holds.
+_EARLIER = r"\(([\ue000-\uf8ff])(?:(?!\1\))[\s\S])*?,"
+
+#: Pattern, severity, what scanned text must match, a word that it must hold.
 JS_RULES = [
-    ("CODE_EXECUTION", "CRITICAL", r"[(,]\s*(?:eval|Function)\s*[,)]", False),
-    ("DYNAMIC_IMPORT", "HIGH", rf"\bimport\s*\(\s*(?!{_Q}[^\"'`]*{_Q}\s*\))[^)\s]", False),
-    ("CODE_EXECUTION", "CRITICAL", r"(?<![\w.$])(?<!\bnew\s{1,9})(?:eval|Function)\s*\(", False),
-    ("DYNAMIC_REQUIRE", "HIGH", r"(?<![\w.$])require\s*\(\s*[^\"'`)\s]", False),
-    ("PROCESS_SPAWN", "CRITICAL", _MODULE.format("child_process") + rf"\s*\.\s*{_SPAWN}\s*\(", True),
-    ("PROCESS_SPAWN", "CRITICAL", r"\bprocess\s*\.\s*binding\s*\(", False),
-    ("CODE_EXECUTION", "CRITICAL", r"\bprocess\s*\.\s*dlopen\s*\(", False),
-    ("PROCESS_SPAWN", "CRITICAL", r"\bprocess\s*\.\s*mainModule\s*\.\s*require\s*\(", False),
-    ("CODE_EXECUTION", "CRITICAL", r"\.\s*constructor\s*\.\s*_load\s*\(", False),
-    ("BASE64_DECODE", "HIGH", r"\bBuffer\s*\.\s*from\s*\([^;]*?,\s*[\"']base64[\"']\s*\)", True),
-    ("BASE64_DECODE", "HIGH", r"\.\s*toString\s*\(\s*[\"']base64[\"']\s*\)", True),
-    ("CODE_EXECUTION", "CRITICAL", r"\bWebAssembly\s*\.\s*(?:instantiate|compile)(?:Streaming)?\s*\(", False),
-    ("CODE_EXECUTION", "CRITICAL", r"\.\s*constructor\s*\(\s*[\"'`]", False),
-    ("NETWORK_ACCESS", "HIGH", r"(?<![\w.$])fetch\s*\(", False),
-    ("CODE_EXECUTION", "CRITICAL", r"\(\s*0\s*,\s*(?:eval|Function)\s*\)\s*\(", False),
-    ("CODE_EXECUTION", "CRITICAL", r"(?<![\w$])(?:setTimeout|setInterval|setImmediate)\s*\(\s*[\"'`]", False),
-    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*[\"'](?:eval|Function)[\"']\s*\]\s*\(", True),
-    ("POSSIBLE_OBFUSCATION", "HIGH", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*[^\"'\]\s][^\]]*\]\s*\(", False),
-    ("CODE_EXECUTION", "CRITICAL", r"\bnew\s+Function\s*\(", False),
-    ("CODE_EXECUTION", "HIGH", r"\bnew\s+Worker\s*\(", False),
-    ("CODE_EXECUTION", "CRITICAL", r"\bnew\s+WebAssembly\s*\.\s*(?:Module|Instance)\s*\(", False),
-    ("ENV_HARVESTING", "CRITICAL", rf"\bprocess\s*(?:\.\s*env|\[\s*[\"']env[\"']\s*\])\s*(?:\.\s*{_ENV}\b|\[\s*[\"']{_ENV}[\"']\s*\])", True),
-    ("POSSIBLE_OBFUSCATION", "CRITICAL", r"(?<![\w.$])require\s*\(\s*[\"'][^\"']*[\"']\s*\+", False),
+    ("CODE_EXECUTION", "CRITICAL", rf"(?:{_O}|,)\s*(?:eval|Function)\s*(?:{_C}|,)", ""),
+    ("DYNAMIC_IMPORT", "HIGH", rf"\bimport\s*{_O}\s*(?!{_STRING}\s*{_C})(?!{_C})\S", "import"),
+    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w.$])(?<!\bnew\s{{1,9}})(?:eval|Function)\s*{_O}", ""),
+    ("DYNAMIC_REQUIRE", "HIGH", rf"(?<![\w.$])require\s*{_O}\s*(?!{_C})[^\x01\s]", "require"),
+    ("PROCESS_SPAWN", "CRITICAL", _MODULE.format("child_process") + rf"\s*\.\s*{_SPAWN}\s*{_O}", "child_process"),
+    ("PROCESS_SPAWN", "CRITICAL", rf"\bprocess\s*\.\s*binding\s*{_O}", "binding"),
+    ("CODE_EXECUTION", "CRITICAL", rf"\bprocess\s*\.\s*dlopen\s*{_O}", "dlopen"),
+    ("PROCESS_SPAWN", "CRITICAL", rf"\bprocess\s*\.\s*mainModule\s*\.\s*require\s*{_O}", "mainModule"),
+    ("CODE_EXECUTION", "CRITICAL", rf"\.\s*constructor\s*\.\s*_load\s*{_O}", "_load"),
+    ("BASE64_DECODE", "HIGH", rf"\bBuffer\s*\.\s*from\s*{_EARLIER}\s*{_S}base64{_E}\s*\1\)", "base64"),
+    ("BASE64_DECODE", "HIGH", rf"\.\s*toString\s*{_O}\s*{_S}base64{_E}\s*{_C}", "base64"),
+    ("CODE_EXECUTION", "CRITICAL", rf"\bWebAssembly\s*\.\s*(?:instantiate|compile)(?:Streaming)?\s*{_O}", "WebAssembly"),
+    ("CODE_EXECUTION", "CRITICAL", rf"\.\s*constructor\s*{_O}\s*{_S}", "constructor"),
+    ("NETWORK_ACCESS", "HIGH", rf"(?<![\w.$])fetch\s*{_O}", "fetch"),
+    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w$])(?:setTimeout|setInterval|setImmediate)\s*{_O}\s*{_S}", "set"),
+    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*{_S}(?:eval|Function){_E}\s*\]\s*{_O}", "["),
+    ("POSSIBLE_OBFUSCATION", "HIGH", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*[^\x01\]\s][^\]]*\]\s*{_O}", "["),
+    ("CODE_EXECUTION", "CRITICAL", rf"\bnew\s+Function\s*{_O}", "new"),
+    ("CODE_EXECUTION", "HIGH", rf"\bnew\s+Worker\s*{_O}", "Worker"),
+    ("CODE_EXECUTION", "CRITICAL", rf"\bnew\s+WebAssembly\s*\.\s*(?:Module|Instance)\s*{_O}", "WebAssembly"),
+    ("ENV_HARVESTING", "CRITICAL", rf"\bprocess\s*(?:\.\s*env\b|\[\s*{_S}env{_E}\s*\])\s*(?:\.\s*{_ENV}\b|\[\s*{_S}{_ENV}{_E}\s*\])", "env"),
+    ("POSSIBLE_OBFUSCATION", "CRITICAL", rf"(?<![\w.$])require\s*{_O}\s*{_STRING}\s*\+", "require"),
 ]
-#: Pattern, severity, module, methods: a call of a module's method, through a name bound to the module or one taken from it.
+_SYSTEM = rf"\s*{_S}\x05(?:usr|etc|bin|sbin|var|tmp|root)\x05"
+_ITSELF = r"\s*(?:__filename|__dirname)\b"
+#: Pattern, severity, module, methods, first argument: a call of a module's method, through a name bound to the module or one taken from it.
 JS_BOUND = [
     ("PROCESS_SPAWN", "CRITICAL", "child_process", _SPAWN, ""),
     ("CODE_EXECUTION", "CRITICAL", "vm", _VM, ""),
     ("NETWORK_ACCESS", "HIGH", "(?:https?|net|dgram|tls|http2|dns)", _NET, ""),
-    ("SYSTEM_PATH_WRITE", "CRITICAL", "fs(?:/promises)?", _WRITE, r"\s*[\"'`]/(?:usr|etc|bin|sbin|var|tmp|root)/"),
-    ("SELF_DELETION", "CRITICAL", "fs(?:/promises)?", r"(?:unlink|unlinkSync|rm|rmSync)", r"\s*(?:__filename|__dirname)\b"),
-    ("FILESYSTEM_WRITE", "MODERATE", "fs(?:/promises)?", _WRITE, r"(?!\s*[\"'`]/(?:usr|etc|bin|sbin|var|tmp|root)/)(?!\s*(?:__filename|__dirname)\b)"),
-    ("ENV_HARVESTING", "CRITICAL", "fs(?:/promises)?", _READ, r"\s*[\"'`][^\"'`]*(?:/etc/passwd|/etc/shadow|/etc/hosts|\.ssh/|\.aws/|\.gnupg/|\.npmrc|\.netrc|\.env|\.git/config)"),
+    ("SYSTEM_PATH_WRITE", "CRITICAL", r"fs(?:\x05promises)?", _WRITE, _SYSTEM),
+    ("SELF_DELETION", "CRITICAL", r"fs(?:\x05promises)?", r"(?:unlink|unlinkSync|rm|rmSync)", _ITSELF),
+    ("FILESYSTEM_WRITE", "MODERATE", r"fs(?:\x05promises)?", _WRITE, rf"(?!{_SYSTEM})(?!{_ITSELF})"),
+    ("ENV_HARVESTING", "CRITICAL", r"fs(?:\x05promises)?", _READ, rf"\s*{_S}[^\x02]*(?:\x05etc\x05passwd|\x05etc\x05shadow|\x05etc\x05hosts|\x04ssh\x05|\x04aws\x05|\x04gnupg\x05|\x04npmrc|\x04netrc|\x04env|\x04git\x05config)"),
 ]
 
 #: Statements that bind names to modules; patterns for single modules only look into these.
-_STATEMENT = r"""\b(?:const|let|var)\s+(?:\w+|\{[^}]*\})\s*=\s*require\(\s*["'][^"']*["']\s*\)|\bimport\b[^;"'()]*["'][^"']*["']|\brequire\(\s*["'][^"']*["']\s*\)\s*\.\s*(?:promises\s*\.\s*)?\w+\s*\("""
-
-_FINDING = "array<struct<pattern: string, severity: string>>"
+_STATEMENT = rf"\b(?:const|let|var)\s+(?:\w+|\{{[^}}]*\}})\s*=\s*require\s*{_O}\s*{_STRING}\s*{_C}|\bimport\b[^;\x01()]*{_STRING}|(?<![\w.$])require\s*{_O}\s*{_STRING}\s*{_C}\s*\.\s*(?:promises\s*\.\s*)?\w+\s*{_O}"
 
 #: Capability, the patterns that show it.
 CAPABILITIES = [
@@ -112,68 +118,42 @@ def python_findings(files: DataFrame, source: str = "source") -> DataFrame:
     return found.select(*[c for c in lines.columns if c != "code"], "finding.pattern", "finding.severity", F.substring("code", 1, 80).alias("code"))
 
 
-#: A string, a template, a comment, a regular expression, other text. Escapes are gone, so none of these is a loop of choices.
-_TOKEN = r""""[^"\n]*+"|'[^'\n]*+'|`[^`]*+`|/\*[\s\S]*?\*/|//[^\n]*+|(?<=[(,=:\[!&|?{};+\-*%~^<>\n]\s{0,9}|^\s{0,9}|\breturn\s{1,9}|\btypeof\s{1,9})/(?![/*])[^/\n\[]*+(?:\[[^\]\n]*+\][^/\n\[]*+)*+/[a-z]*|[^"'`/]++|[\s\S]"""
-
-
-def _tokens(source: Column) -> Column:
-    """The parts of a source, in order: strings, templates, comments, regular expressions, and what is between them."""
-    return F.regexp_extract_all(F.regexp_replace(source, r"\\[\s\S]", "__"), F.lit(_TOKEN), F.lit(0))
-
-
-def _long(token: Column, start: str) -> Column:
-    return token.startswith(start) & (F.length(token) > 1)
-
-
-def _without_comments(tokens: Column) -> Column:
-    """Strings stay; comments and regular expressions become a space or a word."""
-    plain = lambda t: F.when(t.startswith("/*") | t.startswith("//"), " ").when(_long(t, "/"), " r ").otherwise(t)
-    return F.array_join(F.transform(tokens, plain), "")
+def _through(code: Column, names: Column, methods: str, argument: str) -> Column:
+    """Calls of ``methods`` on any of ``names``, found in one pass."""
+    pattern = F.concat(F.lit(r"(?<![\w.$])(?:"), F.array_join(names, "|"), F.lit(rf")\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*{_O}{argument}"))
+    return F.when(F.size(names) > 0, F.regexp_count(code, pattern)).otherwise(0)
 
 
-def _without_strings(tokens: Column) -> Column:
-    """As _without_comments(), and strings become empty; of a template, the code that it fills in stays."""
-    filled = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"\$\{([^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+)\}"), F.lit(1)), lambda x: F.concat(F.lit(";"), F.regexp_replace(x, r""""[^"\n]*+"|'[^'\n]*+'""", '""'))), "")
-    bare = lambda t: F.when(_long(t, '"') | _long(t, "'"), '""').when(_long(t, "`"), F.concat(F.lit('""'), filled(t))).otherwise(t)
-    return _without_comments(F.transform(tokens, bare))
-
-
-def _calls_through(code: Column, names: Column, methods: str, argument: str) -> Column:
-    """Calls of ``methods`` on any of ``names``."""
-
-    def add(total, name):
-        return total + F.regexp_count(code, F.concat(F.lit(r"(?<![\w.$])"), name, F.lit(rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*\({argument}")))
-
-    return F.aggregate(F.filter(names, lambda n: n != ""), F.lit(0), add)
+def js_hits(code: Column, bound: Column) -> list[tuple[str, str, Column]]:
+    """``pattern, severity`` and the number of matches in scanned text ``code``, whose statements that bind modules are ``bound``."""
+    count = lambda text, rx: F.regexp_count(text, F.lit(rx))
+    out = [(p, s, F.when(code.contains(word), count(code, rx)).otherwise(0) if word else count(code, rx)) for p, s, rx, word in JS_RULES]
+    for pattern, severity, module, methods, argument in JS_BOUND:
+        groups = [F.regexp_extract_all(bound, F.lit(_BOUND.format(m=module)), F.lit(group)) for group in (1, 2, 3, 4)]
+        names = F.filter(F.array_distinct(F.concat(*groups)), lambda n: n != "")
+        taken = F.when(bound.rlike(_TAKEN.format(f=methods, m=module)), count(code, rf"(?<![\w.$]){methods}\s*{_O}{argument}")).otherwise(0)
+        called = _MODULE.format(module) + rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*{_O}"
+        direct = F.when(bound.rlike(called), count(code, called + argument)).otherwise(0) if module != "child_process" else F.lit(0)
+        out.append((pattern, severity, F.when(bound != "", _through(code, names, methods, argument) + taken + direct).otherwise(0)))
+    out.append(("POSSIBLE_OBFUSCATION", "HIGH", F.when(count(code, rf"[\w$)\]]\s*\[\s*[A-Za-z_$][^\]]*\]\s*{_O}") >= 3, 1).otherwise(0)))
+    pairs = [F.length(F.translate(code, a, "")) != F.length(F.translate(code, b, "")) for a, b in ("()", "{}", "[]")]
+    out.append(("UNPARSEABLE_CODE", "HIGH", F.when(code.endswith(BROKEN) | pairs[0] | pairs[1] | pairs[2], 1).otherwise(0)))
+    return out
 
 
 def js_findings(files: DataFrame, source: str = "source") -> DataFrame:
-    """The columns of ``files`` but ``source``, with ``pattern``, ``severity``, ``hits`` (matches of that rule).
+    """The columns of ``files`` but ``source``, with ``pattern``, ``severity``, ``hits`` (matches of its rules).
 
     A file whose source is missing couldn't be analysed, which is a finding too.
     """
-    code = F.col("__code")
-    base = files.withColumn("__tokens", _tokens(F.regexp_replace(F.coalesce(source, F.lit("")), r"^#![^\n]*", "")))
-    base = base.withColumns({"__code": _without_comments(F.col("__tokens")), "__bare": _without_strings(F.col("__tokens"))})
-    base = base.withColumn("__bound", F.array_join(F.regexp_extract_all("__code", F.lit(_STATEMENT), F.lit(0)), "\n"))
-    bound = F.col("__bound")
-    rules = [F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"), F.regexp_count(code if strings else F.col("__bare"), F.lit(rx)).alias("hits")) for p, s, rx, strings in JS_RULES]
-    for pattern, severity, module, methods, argument in JS_BOUND:
-        names = F.array_distinct(F.concat(*[F.regexp_extract_all(bound, F.lit(_BOUND.format(m=module)), F.lit(group)) for group in (1, 2, 3, 4)]))
-        through = _calls_through(code, names, methods, argument)
-        taken = F.when(bound.rlike(_TAKEN.format(f=methods, m=module)), F.regexp_count(code, F.lit(rf"(?<![\w.$]){methods}\s*\({argument}"))).otherwise(0)
-        called = _MODULE.format(module) + rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*\("
-        direct = F.when(bound.rlike(called), F.regexp_count(code, F.lit(called + argument))).otherwise(0) if module != "child_process" else F.lit(0)
-        rules.append(F.struct(F.lit(pattern).alias("pattern"), F.lit(severity).alias("severity"), (through + taken + direct).cast("int").alias("hits")))
-    computed = F.regexp_count(F.col("__bare"), F.lit(r"[\w$)\]]\s*\[\s*[A-Za-z_$][^\]]*\]\s*\("))
-    rules.append(F.struct(F.lit("POSSIBLE_OBFUSCATION").alias("pattern"), F.lit("HIGH").alias("severity"), F.when(computed >= 3, 1).otherwise(0).alias("hits")))
-    count = lambda c: F.regexp_count(F.col("__bare"), F.lit(c))
-    broken = (count(r"\(") != count(r"\)")) | (count(r"\{") != count(r"\}")) | (count(r"\[") != count(r"\]")) | F.col("__bare").rlike("""(?<!")"(?!")|['`]""")
-    rules.append(F.struct(F.lit("UNPARSEABLE_CODE").alias("pattern"), F.lit("HIGH").alias("severity"), F.when(broken, 1).otherwise(0).alias("hits")))
-    rules.append(F.struct(F.lit("ANALYSIS_ERROR").alias("pattern"), F.lit("HIGH").alias("severity"), F.when(F.col(source).isNull(), 1).otherwise(0).alias("hits")))
-    found = base.withColumn("__f", F.explode(F.filter(F.array(*rules), lambda r: r["hits"] > 0)))
-    keep = [c for c in files.columns if c != source]
-    return found.select(*keep, "__f.pattern", "__f.severity", "__f.hits").groupBy(*keep, "pattern", "severity").agg(F.sum("hits").alias("hits"))
+    scanned_files = files.withColumn("__code", scanned(F.col(source)))
+    scanned_files = scanned_files.withColumn("__bound", F.array_join(F.regexp_extract_all("__code", F.lit(_STATEMENT), F.lit(0)), "\n"))
+    totals: dict = {}
+    for pattern, severity, n in [*js_hits(F.col("__code"), F.col("__bound")), ("ANALYSIS_ERROR", "HIGH", F.when(F.col(source).isNull(), 1).otherwise(0))]:
+        totals[pattern, severity] = totals[pattern, severity] + n if (pattern, severity) in totals else n
+    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"), n.cast("bigint").alias("hits")) for (p, s), n in totals.items()])
+    found = scanned_files.withColumn("__f", F.explode(F.filter(rows, lambda r: r["hits"] > 0)))
+    return found.select(*[c for c in files.columns if c != source], "__f.pattern", "__f.severity", "__f.hits")
 
 
 def capabilities(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -182,8 +162,12 @@ def capabilities(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.groupBy(*keys).agg(*flags, F.coalesce(named(F.max(order_of(F.col("severity")))), F.lit("LOW")).alias("max_severity"), F.count("*").alias("finding_count"))
 
 
+def capability_names(patterns: Column) -> Column:
+    """The sorted names of the capabilities that are dangerous or concern files and loading, of an array of patterns."""
+    names = [F.when(F.arrays_overlap(patterns, F.array(*[F.lit(p) for p in shown])), F.lit(name)) for name, shown in CAPABILITIES[:9]]
+    return F.array_sort(F.array_compact(F.array(*names)))
+
+
 def profile(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and the sorted names of the capabilities that are dangerous or concern files and loading."""
-    flat = capabilities(findings, keys)
-    names = [F.when(F.col(name), F.lit(name)) for name, _ in CAPABILITIES[:9]]
-    return flat.select(*keys, F.array_sort(F.array_compact(F.array(*names))).alias("capabilities"))
+    """``keys``, ``capabilities``: capability_names() of all findings of the keys."""
+    return findings.groupBy(*keys).agg(F.collect_set("pattern").alias("patterns")).select(*keys, capability_names(F.col("patterns")).alias("capabilities"))

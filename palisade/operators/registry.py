@@ -9,6 +9,10 @@ from palisade.functions.versions import major_of
 from palisade.schema import LIFECYCLE_HOOKS
 
 
+#: Versions among whose gaps the longest one counts.
+DORMANCY = 5
+
+
 def millis_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", earlier, later)
 
@@ -35,7 +39,7 @@ def package_age(versions: DataFrame, as_of: Column, key: str = "name", at: str =
     return versions.groupBy(key).agg(F.min(at).alias("created_at")).withColumn("age_ms", millis_between(as_of, F.col("created_at")))
 
 
-def dormancy(versions: DataFrame, last: int = 5, key: str = "name", at: str = "published_at", tie: list[str] | None = None) -> DataFrame:
+def dormancy(versions: DataFrame, last: int = DORMANCY, key: str = "name", at: str = "published_at", tie: list[str] | None = None) -> DataFrame:
     """Per key ``dormancy_ms``: the longest positive gap between the ``last`` rows; null if there is none."""
     recent = ranked(versions, key, at, tie).filter(F.col("back") <= last)
     gap = millis_between(F.col(at), F.lag(at).over(Window.partitionBy(key).orderBy(F.col("back").desc())))
@@ -63,30 +67,32 @@ def lifecycle_scripts(scripts: Column) -> Column:
     return F.map_filter(scripts, lambda k, v: k.isin(LIFECYCLE_HOOKS) & (F.coalesce(v, F.lit("")) != ""))
 
 
-def profiles(packages: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame:
-    """One row per package from its registry rows: the input of the rules.
+def profiles(packages: DataFrame, versions: DataFrame, as_of: Column, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """One row per package from its registry rows: the input of the rules. ``keys`` tell packages apart, as ("ecosystem", "name") do.
 
     The latest version is the tagged one, else the last by time; the previous one is the last but one by time. Missing history gives
-    nulls, never a clean-looking default.
+    nulls, never a clean-looking default. Versions are sorted once, by package and time.
     """
-    order = ranked(versions)
-    by_tag = order.join(packages.select("name", "latest_tag"), "name", "left")
+    keys = list(keys)
+    by_time = Window.partitionBy(*keys).orderBy(F.col("published_at").desc())
+    gap = millis_between(F.col("published_at"), F.lead("published_at").over(by_time))
+    order = versions.withColumns({"back": F.row_number().over(by_time), "gap": gap})
+    by_tag = order.join(packages.select(*keys, "latest_tag"), keys, "left")
     is_latest = F.coalesce(F.col("version") == F.col("latest_tag"), F.lit(False))
-    details = ["version", "publisher", "published_at", "scripts", "dependencies"]
-    row = F.struct(*details)
-    picked = by_tag.groupBy("name").agg(
+    row = F.struct("version", "publisher", "published_at", "scripts", "dependencies")
+    picked = by_tag.groupBy(*keys).agg(
         F.coalesce(F.max_by(row, F.when(is_latest, F.lit(1))), F.max_by(row, -F.col("back"))).alias("l"),
         F.max_by(row, F.when(F.col("back") == 2, F.lit(1))).alias("p"),
         F.count("*").cast("int").alias("version_count"),
         F.min("published_at").alias("first_at"),
+        F.max(F.when((F.col("back") < DORMANCY) & (F.col("gap") > 0), F.col("gap"))).alias("dormancy_ms"),
     )
-    gaps = dormancy(versions)
-    keys = lambda c: F.coalesce(F.map_keys(c), F.array().cast("array<string>"))
-    added, removed = added_and_removed(keys("l.dependencies"), F.when(F.col("p").isNotNull(), keys("p.dependencies")))
-    base = packages.join(picked, "name", "left").join(gaps, "name", "left")
+    names = lambda c: F.coalesce(F.map_keys(c), F.array().cast("array<string>"))
+    added, removed = added_and_removed(names("l.dependencies"), F.when(F.col("p").isNotNull(), names("p.dependencies")))
+    base = packages.join(picked, keys, "left")
     scripts = lifecycle_scripts(F.col("l.scripts"))
     return base.select(
-        "name",
+        *keys,
         F.col("l.version").alias("latest_version"),
         F.col("p.version").alias("previous_version"),
         "maintainers",
@@ -95,7 +101,7 @@ def profiles(packages: DataFrame, versions: DataFrame, as_of: Column) -> DataFra
         changed_publisher(F.col("l.publisher"), F.col("p.publisher")).alias("maintainer_changed"),
         (F.coalesce(F.size(scripts), F.lit(0)) > 0).alias("has_install_scripts"),
         scripts.alias("install_scripts"),
-        F.coalesce(F.map_keys("l.dependencies"), F.array().cast("array<string>")).alias("dependencies"),
+        names("l.dependencies").alias("dependencies"),
         added.alias("added_deps"),
         removed.alias("removed_deps"),
         F.col("l.published_at").alias("latest_publish_time"),

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.severity import level_of, order_of
-from palisade.functions.text import inline_js, shell_quoted
-from palisade.operators import advisories, code_rules, decisions, registry, relational, rules, store
-from palisade.operators.provenance import provenance
+from palisade.functions.severity import order_of
+from palisade.functions.text import shell_quoted
+from palisade.operators import advisories, decisions, relational, store
 from palisade.options import Options
+from palisade.plans.analysis import analyze, analyze_cached, flagged  # noqa: F401
+from palisade.plans.verdicts import KEYS, Report, verdict
+from palisade.schema import ECOSYSTEMS
+from palisade.scratch import written
 from palisade.sources import discovery, parsers
 
-KEYS = ["ecosystem", "name", "version"]
-
-
-@dataclass
-class Report:
-    """Rows of findings, and a one-row verdict: counts, ``complete``, ``exit_code``."""
-
-    rows: DataFrame
-    verdict: DataFrame
-
 
 def dependencies(files: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame]:
     """All dependencies of ``files(path, dir, file, content)`` in the chosen ecosystems, and the files that couldn't be parsed."""
@@ -37,22 +27,13 @@ def watched(files: DataFrame, opts: Options) -> DataFrame:
     return relational.snapshot(dependencies(files, opts)[0])
 
 
-def _verdict(coverage: DataFrame, failures: DataFrame | None, rows: DataFrame) -> DataFrame:
-    parts = relational.completeness(coverage).drop("failed")
-    failed = failures.agg(F.count("*").alias("failed")) if failures is not None else coverage.sparkSession.range(1).select(F.lit(0).cast("long").alias("failed"))
-    found = rows.agg(F.count("*").alias("findings"))
-    one = parts.crossJoin(failed).crossJoin(found)  # one row each
-    one = one.withColumn("complete", F.col("complete") & (F.col("failed") == 0))
-    return one.withColumn("exit_code", relational.exit_code(F.col("complete"), F.col("findings")))
-
-
 def scan(deps: DataFrame, index: DataFrame, details: DataFrame, opts: Options, checked: DataFrame | None = None, failures: DataFrame | None = None) -> Report:
     """Known vulnerabilities of dependencies at or above a severity, the worst first, and whether the answer is complete."""
     unique = relational.first_wins(deps, KEYS, ["source_file", "ord"])
     hits, coverage = advisories.lookup(advisories.supported(unique), index, checked)
     vulns = advisories.filter_by_severity(advisories.vulnerabilities(hits, details), opts.least_severity)
     ranked = vulns.orderBy(F.coalesce(order_of(F.col("severity")), F.lit(99)).desc(), "package", "version", "id")
-    return Report(ranked, _verdict(coverage, failures, vulns))
+    return Report(ranked, verdict(coverage, failures, vulns))
 
 
 def scan_cached(deps: DataFrame, cached: DataFrame, index: DataFrame, details: DataFrame, opts: Options, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -70,92 +51,16 @@ def scan_cached(deps: DataFrame, cached: DataFrame, index: DataFrame, details: D
     return old.unionByName(new), store.upsert(cached, fresh, KEYS)
 
 
-def script_findings(profiles: DataFrame) -> DataFrame:
-    """Findings in the JavaScript of install scripts: ``name, pattern, severity, hits``."""
-    scripts = profiles.select("name", F.explode("install_scripts").alias("script", "body")).withColumn("source", inline_js(F.col("body"))).filter("source is not null")
-    return code_rules.js_findings(scripts.select("name", "script", "source")).drop("script")
-
-
-def _code_signals(findings: DataFrame, versions: DataFrame, signal: str, what: str) -> DataFrame:
-    each = findings.join(versions, "name").withColumn("hit", F.explode(F.sequence(F.lit(1).cast("long"), F.col("hits"))))
-    return each.select("name", "version", F.lit(signal).alias("signal"), "severity", F.concat(F.lit(what), "pattern").alias("description"), F.to_json(F.struct("pattern")).alias("evidence"), F.lit(1).alias("layer"), F.lit(False).alias("known_good"))
-
-
-def flagged(rows: DataFrame, opts: Options) -> DataFrame:
-    """Results of a risk at or above the severity; with ``verbose``, all of them."""
-    return rows if opts.verbose else advisories.filter_by_severity(rows.filter("risk_level not in ('NONE', 'UNKNOWN')"), opts.least_severity, "risk_level")
-
-
-def analyze(deps: DataFrame, vulns: DataFrame, packages: DataFrame, versions: DataFrame, opts: Options, as_of: Column, attestations: DataFrame | None = None, archive_files: DataFrame | None = None) -> Report:
-    """Risk of each npm or PyPI dependency by all layers of rules. ``rows``: one per package, with its signals.
-
-    A package that the registry doesn't know has level UNKNOWN and makes the result incomplete. What attestations and archives add
-    raises the score, not ``risk_level``; ``risk_level_final`` counts it.
-    """
-    spark = deps.sparkSession
-    mine_only = deps.filter("ecosystem in ('npm', 'pypi')")
-    if not opts.verbose:
-        mine_only = relational.prefer(mine_only, ["source_file"], F.coalesce("is_direct", F.lit(False))).drop("fallback")
-    unique = relational.first_wins(mine_only, KEYS, ["source_file", "ord"])
-    wanted = unique.select("name").distinct()
-    everything = registry.profiles(packages, versions, as_of)
-    mine = everything.join(wanted, "name", "left_semi")
-    of = mine.select("name", F.col("latest_version").alias("version"))
-    counts = vulns.groupBy(F.col("package").alias("name")).agg(F.count("*").alias("vulns"))
-    listed = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
-    names = lambda ecosystem: unique.filter(F.col("ecosystem") == ecosystem).select("name")
-    imitations = rules.typosquats(names("npm"), listed(opts.popular_npm)).unionByName(rules.typosquats(names("pypi"), listed(opts.popular_pypi)))
-    code = script_findings(mine)
-    caps = code_rules.profile(code, ["name"])
-    current = mine.join(caps, "name", "left").select(
-        "name",
-        F.array_sort(F.concat(F.coalesce("capabilities", F.array().cast("array<string>")), F.when(F.col("has_install_scripts"), F.array(F.lit("install_scripts"))).otherwise(F.array().cast("array<string>")))).alias("capabilities"),
-        F.size("dependencies").alias("dependency_count"),
-        F.coalesce(F.size("maintainers"), F.lit(0)).alias("maintainer_count"),
-        (F.coalesce("repository", F.lit("")) != "").alias("has_repository"),
-        "previous_version",
-        (F.size(F.array_except("dependencies", "added_deps")) + F.size("removed_deps")).alias("previous_count"),
-    )
-    previous = current.filter("previous_version is not null").select("name", F.array().cast("array<string>").alias("capabilities"), F.col("previous_count").alias("dependency_count"), "maintainer_count", "has_repository")
-    changed = rules.diff_profiles(current.drop("previous_version", "previous_count"), previous).join(of, "name")
-    layer3 = changed.select("name", "version", "signal", "severity", F.concat_ws(" ", "signal", "detail").alias("description"), F.to_json(F.struct("detail")).alias("evidence"), F.lit(3).alias("layer"), F.lit(False).alias("known_good"))
-    signals = reduce(
-        DataFrame.unionByName,
-        [
-            rules.metadata_signals(mine, counts, listed(opts.known_install_scripts), imitations, as_of),
-            _code_signals(code, of, "AST_DANGEROUS_PATTERN", "install script: "),
-            rules.dependency_signals(mine.join(names("npm").distinct(), "name", "left_semi"), everything),
-            layer3,
-        ],
-    )
-    signals = rules.enabled(signals, list(opts.switched_off))
-    context = mine.select("name", "package_age_ms", F.size("maintainers").alias("maintainer_count"))
-    base = rules.risk_scores(signals, context)
-    extra = []
-    if attestations is not None:
-        status = provenance(base.filter("risk_score >= 5").select("name"), attestations, ["name"]).filter("has_provenance = false").join(of, "name")
-        extra.append(status.select("name", "version", F.lit("MISSING_PROVENANCE").alias("signal"), F.lit("MODERATE").alias("severity"), F.lit("no build attestation").alias("description"), F.lit("{}").alias("evidence"), F.lit(4).alias("layer"), F.lit(False).alias("known_good"), F.lit(2.0).alias("bump")))
-    if archive_files is not None:
-        candidates = base if opts.deep else base.filter("risk_score >= 15 and n_signals > 0")
-        found = code_rules.js_findings(archive_files.join(candidates.select("name"), "name", "left_semi").select("name", F.col("text").alias("source")))
-        extra.append(_code_signals(found, of, "TARBALL_DANGEROUS_PATTERN", "package file: ").withColumn("bump", F.lit(5.0)))
-    more = reduce(DataFrame.unionByName, extra) if extra else None
-    all_signals = signals.unionByName(more.drop("bump")) if more is not None else signals
-    nested = all_signals.groupBy("name").agg(F.collect_list(F.struct("signal", "severity", "description", "evidence", "layer")).alias("signals"))
-    bumps = more.groupBy("name").agg(F.sum("bump").alias("bump")) if more is not None else of.select("name", F.lit(0.0).alias("bump")).limit(0)
-    rows = unique.select(*KEYS, "is_direct").join(base, "name", "left").join(nested, "name", "left").join(bumps, "name", "left")
-    rows = rows.withColumns({"covered": F.col("risk_level").isNotNull(), "risk_level": F.coalesce("risk_level", F.lit("UNKNOWN")), "risk_score": F.coalesce("risk_score", F.lit(0.0)) + F.coalesce("bump", F.lit(0.0))}).drop("bump")
-    rows = rows.withColumn("risk_level_final", F.when(F.col("covered"), level_of(F.col("risk_score"))).otherwise("UNKNOWN"))
-    shown = flagged(rows, opts)
-    return Report(shown, _verdict(rows.select("covered"), None, shown.filter("risk_level != 'NONE'")))
-
-
-def fix(vulns: DataFrame, index: DataFrame, current: DataFrame) -> DataFrame:
+def fix(vulns: DataFrame, index: DataFrame, current: DataFrame, checked: DataFrame | None = None) -> DataFrame:
     """Of each vulnerable package the highest fixing version without known problems, and the command to get it.
 
-    ``current(package, ecosystem, version)`` is what is installed; ``index`` has the ids of vulnerable versions.
+    ``current(package, ecosystem, version)`` is what is installed; ``index`` has the ids of vulnerable versions, ``checked`` the package versions that the
+    source has answered for (without it, all). A version without an answer is never recommended. Packages are told apart by ecosystem
+    where ``vulns`` has it.
     """
-    best = advisories.verified_fixes(vulns, index.select(F.col("name").alias("package"), "version"))
+    keys = ["ecosystem", "package"] if "ecosystem" in vulns.columns else ["package"]
+    of = lambda rows: _own(rows).select(*keys, "version")
+    best = advisories.verified_fixes(_own(vulns, "package"), of(index), keys, of(checked) if checked is not None else None)
     package, version = shell_quoted(F.col("package")), shell_quoted(F.col("fix"))
     command = (
         F.when(F.col("ecosystem") == "npm", F.concat(F.lit("npm install "), package, F.lit("@"), version))
@@ -163,7 +68,31 @@ def fix(vulns: DataFrame, index: DataFrame, current: DataFrame) -> DataFrame:
         .when(F.col("ecosystem") == "cargo", F.concat(F.lit("cargo update -p "), package, F.lit(" --precise "), version))
         .otherwise(F.concat(F.lit("# upgrade "), package, F.lit(" to "), version))
     )
-    return best.join(current, "package", "left").select("package", F.col("version").alias("current_version"), "vuln_count", "vuln_ids", "fix", F.when(F.col("fix").isNotNull(), command).alias("command"), F.when(F.col("fix").isNull(), "no verified fix").alias("reason"))
+    reason = F.when(F.col("fix").isNull(), F.when(F.col("unverified") > 0, "unverified fix").otherwise("no verified fix"))
+    return best.join(current, keys, "left").select("package", "ecosystem", F.col("version").alias("current_version"), "vuln_count", "vuln_ids", "fix", F.when(F.col("fix").isNotNull(), command).alias("command"), reason.alias("reason"), "unverified")
+
+
+def _own(rows: DataFrame, name: str = "name") -> DataFrame:
+    """With the library's names of ecosystems, and the name as ``package``."""
+    out = rows.withColumn("package", F.col(name))
+    if "ecosystem" not in rows.columns:
+        return out
+    theirs = {e[1]: e[0] for e in ECOSYSTEMS if e[1]}
+    return out.withColumn("ecosystem", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in theirs.items() for x in pair]), F.col("ecosystem")), "ecosystem"))
+
+
+def fix_all(deps: DataFrame, index: DataFrame, details: DataFrame, opts: Options, checked: DataFrame | None = None, failures: DataFrame | None = None) -> Report:
+    """Fixes for the vulnerable packages of ``deps``, and a verdict: complete if all packages and all fixing versions had an answer and all files could be parsed.
+
+    Findings are the packages without a recommendation.
+    """
+    unique = relational.first_wins(deps, KEYS, ["source_file", "ord"])
+    hits, coverage = advisories.lookup(advisories.supported(unique), index, checked)
+    vulns = advisories.filter_by_severity(advisories.vulnerabilities(hits, details), opts.least_severity)
+    current = unique.groupBy("ecosystem", F.col("name").alias("package")).agg(F.min("version").alias("version"))
+    rows = written(fix(vulns, index, current, checked), "fixes")
+    asked = coverage.select("covered").unionByName(rows.select((F.col("unverified") == 0).alias("covered")))
+    return Report(rows, verdict(asked, failures, rows.filter("fix is null")))
 
 
 def guard(before: DataFrame, after: DataFrame, results: DataFrame, opts: Options) -> DataFrame:

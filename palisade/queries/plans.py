@@ -181,6 +181,111 @@ SIGNALS = _HISTORY + f""", s AS (
 )
 SELECT *, 4 AS layer FROM s"""
 
+def _analysis(spark, d):
+    """Users as npm packages with their events as versions; every third one is a PyPI package too, with those of its events that are clicks.
+
+    Two versions of each package are installed. Every fifth npm package has a known vulnerability in version 1, no answer came for every eleventh
+    package's version 2, and every thirteenth isn't in the registry.
+    """
+    e = table(spark, d, "events")
+    name = F.concat(F.lit("pkg-u"), "user_id")
+    ecosystems = F.explode(F.when(F.col("user_id") % 3 == 0, F.array(F.lit("npm"), F.lit("pypi"))).otherwise(F.array(F.lit("npm")))).alias("ecosystem")
+    users = e.select("user_id").distinct()
+    both = users.select("user_id", name.alias("name"), ecosystems)
+    team = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (F.col("user_id") % 4).cast("int"))
+    packages = both.filter("user_id % 13 != 0").select("ecosystem", "name", F.lit(None).cast("string").alias("latest_tag"), F.lit(None).cast("timestamp_ntz").alias("created_at"), team.alias("maintainers"), F.when(F.col("user_id") % 3 != 0, "git").alias("repository"), F.lit("MIT").alias("license"))
+    each = e.select("*", ecosystems).filter("ecosystem = 'npm' or event_type = 'click'").withColumn("n", F.expr("row_number() over (partition by ecosystem, user_id order by ts, event_id)"))
+    versions = each.select("ecosystem", name.alias("name"), F.concat(F.expr("cast(event_id % 9 as string)"), F.lit(".0."), "n").alias("version"), F.expr("ts + n * interval '1' microsecond").cast("timestamp_ntz").alias("published_at"), F.col("event_type").alias("publisher"), F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("postinstall"), F.lit("node -e 'eval(x)'"))).alias("scripts"), F.lit(None).cast("map<string,string>").alias("dependencies"))
+    versions_of = both.withColumn("version", F.explode(F.array(F.lit("1"), F.lit("2"))))
+    deps = versions_of.select("ecosystem", "name", "version", F.lit(True).alias("is_direct"), F.lit("f").alias("source_file"), F.col("user_id").cast("bigint").alias("ord"))
+    vulns = users.filter("user_id % 5 = 0").select(F.lit("npm").alias("ecosystem"), name.alias("package"), F.lit("1").alias("version"), F.lit("V").alias("id"))
+    checked = versions_of.filter("not (user_id % 11 = 0 and version = '2')").select("ecosystem", "name", "version")
+    return pipelines.analyze(deps, vulns, packages, versions, Options(verbose=True), F.lit("2025-01-01").cast("timestamp_ntz"), checked=checked)
+
+
+def analyze_results(spark, d):
+    """Signals, scores and warnings of each installed version."""
+    rows = _analysis(spark, d).rows
+    names = F.array_join(F.array_sort(F.transform("signals", lambda s: F.concat_ws("/", s["signal"], s["severity"]))), ",")
+    return rows.select("ecosystem", "name", "version", names.alias("signals"), "risk_score", "risk_level", F.array_join("warnings", ",").alias("warnings"))
+
+
+def analyze_verdict(spark, d):
+    return _analysis(spark, d).verdict
+
+
+_ANALYSIS = f"""
+WITH v AS (
+  SELECT eco, user_id, event_id, event_type, row_number() OVER w AS n, epoch_us(ts) + row_number() OVER w AS stamp, count(*) OVER (PARTITION BY eco, user_id) AS total
+  FROM (SELECT *, unnest(CASE WHEN user_id % 3 = 0 THEN ['npm', 'pypi'] ELSE ['npm'] END) AS eco FROM events) WHERE eco = 'npm' OR event_type = 'click'
+  WINDOW w AS (PARTITION BY eco, user_id ORDER BY ts, event_id)
+),
+g AS (SELECT eco, user_id, max((stamp - before) // 1000) FILTER ((stamp - before) // 1000 > 0) AS dormancy FROM (SELECT *, lag(stamp) OVER (PARTITION BY eco, user_id ORDER BY n) AS before FROM v WHERE n > total - 5) GROUP BY eco, user_id),
+h AS (
+  SELECT eco, user_id, max(event_id) FILTER (n = total) AS le, max(event_id) FILTER (n = total - 1) AS pe, max(event_type) FILTER (n = total) AS lp, max(event_type) FILTER (n = total - 1) AS pp,
+         max(stamp) FILTER (n = total) AS la, max(stamp) FILTER (n = total - 1) AS pa, min(stamp) AS fa FROM v GROUP BY eco, user_id
+),
+b AS (SELECT DISTINCT user_id, unnest(CASE WHEN user_id % 3 = 0 THEN ['npm', 'pypi'] ELSE ['npm'] END) AS eco FROM events),
+x AS (
+  SELECT b.eco, b.user_id, user_id % 4 AS team, le, pe, coalesce(lp <> pp, false) AS handed, le % 4 = 0 AS scripts, (la - pa) // 1000 AS gap, dormancy,
+         (epoch_us(TIMESTAMP '2025-01-01') - la) // 1000 AS since, (epoch_us(TIMESTAMP '2025-01-01') - fa) // 1000 AS age, CASE WHEN pe IS NULL THEN 0 ELSE le % 9 - pe % 9 END AS jump
+  FROM b LEFT JOIN h USING (eco, user_id) LEFT JOIN g USING (eco, user_id)
+),
+i AS (SELECT x.*, unnest(['1', '2']) AS version FROM x),
+s AS (
+  SELECT eco, user_id, version, unnest(list_filter([
+    CASE WHEN eco = 'npm' AND user_id % 5 = 0 AND version = '1' THEN ['KNOWN_COMPROMISED', 'CRITICAL', '10'] END,
+    CASE WHEN handed THEN CASE WHEN since < {90 * DAY_MS} THEN ['MAINTAINER_CHANGE', 'CRITICAL', '10'] WHEN team >= 3 THEN ['MAINTAINER_CHANGE', 'LOW', '1'] ELSE ['MAINTAINER_CHANGE', 'MODERATE', '2'] END END,
+    CASE WHEN scripts THEN ['POSTINSTALL_SCRIPT', 'HIGH', '5'] END,
+    CASE WHEN scripts THEN ['AST_DANGEROUS_PATTERN', 'CRITICAL', '10'] END,
+    CASE WHEN scripts AND pe IS NOT NULL THEN ['CAPABILITY_ESCALATION', 'CRITICAL', '10'] WHEN scripts THEN ['INITIAL_DANGEROUS_CAPABILITY', 'MODERATE', '2'] END,
+    CASE WHEN gap >= 0 AND gap < 600000 THEN CASE WHEN gap = 0 AND team >= 2 THEN ['RAPID_PUBLISH', 'LOW', '1'] ELSE ['RAPID_PUBLISH', 'HIGH', '5'] END END,
+    CASE WHEN jump >= 3 THEN ['VERSION_ANOMALY', 'MODERATE', '2'] END,
+    CASE WHEN dormancy > {365 * DAY_MS} THEN ['VERSION_ANOMALY', 'HIGH', '5'] END,
+    CASE WHEN user_id % 3 = 0 THEN ['NO_REPOSITORY', 'LOW', '1'] END
+  ], lambda z: z IS NOT NULL)) AS z FROM i WHERE user_id % 13 <> 0
+),
+q AS (SELECT eco, user_id, version, string_agg(z[1] || '/' || z[2], ',' ORDER BY z[1], z[2]) AS signals, sum(z[3]::DOUBLE) AS weight, count(DISTINCT z[1]) AS kinds FROM s GROUP BY ALL),
+r AS (
+  SELECT eco AS ecosystem, 'pkg-u' || user_id AS name, version, user_id % 13 <> 0 AS known, NOT (user_id % 11 = 0 AND version = '2') AS covered, coalesce(signals, '') AS signals,
+         floor(coalesce(weight, 0) * CASE WHEN age < {30 * DAY_MS} THEN 2 ELSE 1 END * CASE WHEN team <= 1 THEN 1.5 ELSE 1 END * CASE WHEN kinds >= 5 THEN 3 WHEN kinds >= 3 THEN 1.5 ELSE 1 END * 10 + 0.5) / 10 AS score
+  FROM i LEFT JOIN q USING (eco, user_id, version)
+),
+f AS (
+  SELECT ecosystem, name, version, signals, score::DOUBLE AS risk_score, CASE WHEN NOT known THEN 'UNKNOWN' WHEN score >= 30 THEN 'CRITICAL' WHEN score >= 15 THEN 'HIGH' WHEN score >= 5 THEN 'MODERATE' WHEN score > 0 THEN 'LOW' ELSE 'NONE' END AS risk_level,
+         concat_ws(',', CASE WHEN NOT known THEN 'metadata unavailable' END, CASE WHEN NOT covered THEN 'vulnerability lookup incomplete' END) AS warnings FROM r
+)
+"""
+ANALYZE_VERDICT = _ANALYSIS + """, c AS (SELECT count(*) AS expected, count(*) FILTER (warnings = '') AS checked, count(*) FILTER (risk_level NOT IN ('NONE', 'UNKNOWN')) AS findings FROM f)
+SELECT expected, checked, 0::BIGINT AS failed, expected = checked AS complete, findings, CASE WHEN expected <> checked THEN 2 WHEN findings > 0 THEN 1 ELSE 0 END AS exit_code FROM c"""
+
+
+def fix_verdict(spark, d):
+    """Brands as packages, part sizes as their versions, those over 25 vulnerable. The source has answered for what is installed and for fixing versions below 5."""
+    p = table(spark, d, "part")
+    deps = p.select(F.lit("npm").alias("ecosystem"), F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("version"), F.lit("f").alias("source_file"), F.col("p_partkey").cast("bigint").alias("ord"))
+    ident = F.concat(F.lit("V"), F.expr("p_size % 7"))
+    index = p.filter("p_size > 25").select(F.lit("npm").alias("ecosystem"), F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("version"), ident.alias("id"))
+    fixed = F.concat(F.col("k").cast("string"), F.lit(".0.0"))
+    none = F.lit(None).cast("string")
+    affected = F.transform("brands", lambda b: F.struct(F.struct(b.alias("name")).alias("package"), F.array(F.struct(F.array(F.struct(fixed.alias("fixed"))).alias("events"))).alias("ranges"), F.struct(none.alias("severity")).alias("ecosystem_specific")))
+    schema = spark.createDataFrame([], ADVISORY).schema
+    given = {"id": F.concat(F.lit("V"), "k"), "affected": affected, "database_specific": F.struct(F.lit("HIGH").alias("severity"))}
+    ids = p.groupBy(F.expr("p_size % 7").alias("k")).agg(F.collect_set("p_brand").alias("brands"))  # there are 25 brands
+    details = ids.select(*[(given[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    answered = p.select(F.lit("npm").alias("ecosystem"), F.col("p_brand").alias("name"), F.explode(F.array(F.col("p_size").cast("string"), *[F.lit(f"{k}.0.0") for k in range(5)])).alias("version"))
+    return pipelines.fix_all(deps, index, details, Options(), answered).verdict
+
+
+FIX_VERDICT = """
+WITH u AS (SELECT DISTINCT p_brand AS b, p_size AS v FROM part),
+k AS (SELECT DISTINCT b, v % 7 AS k FROM u WHERE v > 25 AND (b, v % 7) IN (SELECT (b, v % 7) FROM u)),
+p AS (SELECT b, count(*) FILTER (k >= 5) AS unverified, max(k) FILTER (k < 5) AS fix FROM k GROUP BY b),
+c AS (SELECT (SELECT count(*) FROM u) + (SELECT count(*) FROM p) AS expected, (SELECT count(*) FROM u) + (SELECT count(*) FROM p WHERE unverified = 0) AS checked, (SELECT count(*) FROM p WHERE fix IS NULL) AS findings)
+SELECT expected, checked, 0::BIGINT AS failed, expected = checked AS complete, findings, CASE WHEN expected <> checked THEN 2 WHEN findings > 0 THEN 1 ELSE 0 END AS exit_code FROM c
+"""
+
+
 #: Files of a folder: name, content ({k} stands for a number), and the dependencies in it: ecosystem, name, version, dev, direct.
 _FORMATS = [
     ("package-lock.json", '{{"packages": {{"": {{"version": "1"}}, "node_modules/Exp{k}": {{"version": "4.{k}.0"}}, "node_modules/x/node_modules/@s/dev{k}": {{"version": "1.0.0", "dev": true}}}}}}', [("npm", "exp{k}", "4.{k}.0", 0, 1), ("npm", "@s/dev{k}", "1.0.0", 1, 0)]),
@@ -274,6 +379,9 @@ QUERIES = {
     "metadata_signals": (metadata_signals, SIGNALS),
     "parse_all_formats": (parse_all_formats, PARSE_ALL),
     "parse_failures": (parse_failures, PARSE_FAILURES),
+    "analyze_results": (analyze_results, _ANALYSIS + "SELECT * FROM f"),
+    "analyze_verdict": (analyze_verdict, ANALYZE_VERDICT),
+    "fix_verdict": (fix_verdict, FIX_VERDICT),
     "latest_tags": (latest_tags, LATEST),
     "url_quoting": (url_quoting, QUOTING),
 }

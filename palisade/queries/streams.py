@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -11,25 +9,18 @@ from pyspark.sql import functions as F
 
 from palisade.operators import relational
 from palisade.queries.tables import table
+from palisade.scratch import root
 from palisade.streaming import watch
 
 CUTS = ["2024-01-10", "2024-01-20", "2024-02-10", "2024-02-20"]
 
 
-def _root(spark) -> str:
-    """The shared folder of the session; a temporary one only if all of Spark runs on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (root or tempfile.mkdtemp(prefix="watch-")).rstrip("/")
-
-
 def watch_microbatch(spark, d):
     """The baseline after four snapshots of the users' last events before a day.
 
     The last one brings types of events that the lookup has no answer for, so the baseline stays at the one before.
     """
-    folder = f"{_root(spark)}/watch-{uuid.uuid4().hex}"
+    folder = f"{root(spark)}/watch-{uuid.uuid4().hex}"
     events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("version"), F.col("event_id").alias("ord"), "ts")
     for cut in CUTS:
         at = F.lit(cut).cast("timestamp_ntz")

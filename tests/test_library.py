@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 import io
+import random
 import tarfile
 import time
 
@@ -98,7 +99,7 @@ def _registry(spark):
 def test_analyze(spark):
     packages, history, as_of = _registry(spark)
     deps = spark.createDataFrame([("npm", n, "1", True, "f", i) for i, n in enumerate(("good", "chalk", "parent", "ghost"))], "ecosystem string, name string, version string, is_direct boolean, source_file string, ord bigint")
-    vulns = spark.createDataFrame([], "package string")
+    vulns = spark.createDataFrame([], "ecosystem string, package string, version string, id string")
     report = pipelines.analyze(deps, vulns, packages, history, Options(verbose=True), as_of)
     rows = {r["name"]: r for r in report.rows.collect()}
     signals = {n: {s["signal"] for s in r["signals"] or []} for n, r in rows.items()}
@@ -149,6 +150,25 @@ def test_provenance_three_values(spark):
         ("import cp, {exec} from 'child_process'; exec('a')", {"PROCESS_SPAWN"}),
         ("import d, * as cp from 'child_process'; cp.exec('a')", {"PROCESS_SPAWN"}),
         ("x.replace(/[/'\"]/g, ''); y = /it's/g; z = a / b; // it's", set()),
+        ("`${ {a:{b:{c:eval(q)}}} }`", {"CODE_EXECUTION"}),
+        ("`a${`b${`c${`d${fetch(q)}`}`}`}`", {"NETWORK_ACCESS"}),
+        ("`a${`b${'}`eval(x)`'}`}`", set()),
+        ("a = \"require('child_process').exec(1)\"; b = 'use cp.exec(1)'; c = 'process.env.NPM_TOKEN'; d = \"Buffer.from(x,'base64')\"", set()),
+        ("const cp = require('child_process'); log(\"cp.exec('x')\")", set()),
+        ("if (a) /it's/.test(b)", set()),
+        ("x = (a) / b; y = 'c' / d; // it's", set()),
+        ("x = f(a)[0] / 2; s = \"it's\"", set()),
+        ("Buffer.from(a); f(b, 'base64')", set()),
+        ("Buffer.from(f(a, g(b)), 'base64')", {"BASE64_DECODE"}),
+        ("require('child\\x5fprocess').exec(c)", {"PROCESS_SPAWN"}),
+        ("const cp = require('child_process'), x = 1; cp\n.exec(c)", {"PROCESS_SPAWN"}),
+        ("`${a", {"UNPARSEABLE_CODE"}),
+        ("/* open", {"UNPARSEABLE_CODE"}),
+        ("s = 'open", {"UNPARSEABLE_CODE"}),
+        ("#!/usr/bin/env node's\nfetch(u)", {"NETWORK_ACCESS"}),
+        ("import('./a.js'); require(`./b`); import.meta.url; require()", set()),
+        ("x\u0001eval(y)\u0002", {"CODE_EXECUTION"}),
+        ("", set()),
         (None, {"ANALYSIS_ERROR"}),
     ],
 )
@@ -163,6 +183,46 @@ def test_js_of_long_strings(spark):
     assert {r["pattern"] for r in code_rules.js_findings(files).collect()} == {"CODE_EXECUTION"}
 
 
+def test_js_hits_once(spark):
+    files = spark.createDataFrame([(1, "(0, eval)('x'); then(eval); f(0, Function); eval(a)")], "id int, source string")
+    assert [(r["pattern"], r["hits"]) for r in code_rules.js_findings(files).collect()] == [("CODE_EXECUTION", 4)]
+
+
+def test_js_from_token_lists(spark):
+    """Sources put together from parts of which it is known what they hold, nested in templates, strings and comments."""
+    rng = random.Random(11)
+    calls = [("eval(a)", "CODE_EXECUTION"), ("fetch(b)", "NETWORK_ACCESS"), ("new Function('c')", "CODE_EXECUTION"), ("y.toString('base64')", "BASE64_DECODE"), ("require(d)", "DYNAMIC_REQUIRE")]
+
+    def part(depth):
+        kind = rng.randrange(8 if depth else 5)
+        text, pattern = rng.choice(calls)
+        if kind == 0:
+            return text, [pattern]
+        if kind == 1:
+            return '"' + text.replace("'", "\\'") + '"', []
+        if kind == 2:
+            return "/* " + text + " ' */ 1", []
+        if kind == 3:
+            return "`" + text + " \\` ${'}'} '`", []
+        if kind == 4:
+            return "g(1) / 2", []
+        inner, found = expression(depth - 1)
+        shape = ["`x ${%s} ' y`", "({k: {l: [%s]}})", "h(%s, /['`\"{]/g)"][kind - 5]
+        return shape % inner, found
+
+    def expression(depth):
+        parts = [part(depth) for _ in range(rng.randrange(1, 4))]
+        return " + ".join(p for p, _ in parts), [f for _, found in parts for f in found]
+
+    made = [expression(6) for _ in range(150)]
+    rows = [(k, f"const v = {text}; // it's") for k, (text, _) in enumerate(made)]
+    got = {}
+    for r in code_rules.js_findings(spark.createDataFrame(rows, "id int, source string")).collect():
+        got[r["id"], r["pattern"]] = got.get((r["id"], r["pattern"]), 0) + r["hits"]
+    want = {(k, p): found.count(p) for k, (_, found) in enumerate(made) for p in found}
+    assert got == want and any(text.count("${") > 5 for text, _ in made)
+
+
 def test_inline_js_of_nested_shells(spark):
     script = "run(1)"
     for k in range(6):
