@@ -85,6 +85,11 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of ``docs`` as a struct ``row``, with ``keys`` beside it, so no name of an input column meets one of an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def squeezed(text: Column) -> Column:
     """Each run of blanks becomes one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), RUNS, " ")

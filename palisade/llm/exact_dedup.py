@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import discard, materialize, squeezed, table
+from palisade.llm.common import discard, materialize, packed, squeezed, table
 
 BLOCK_BYTES = 4096
 
@@ -113,9 +113,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same_id = F.col(id_col).eqNullSafe(F.col("keep_id"))
     gone = groups.filter(~same_id).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     repeated = groups.filter(same_id & ~F.col("kept")).limit(1).count() > 0
-    keyed = docs.withColumns({"__key": F.col(id_col), "__text": F.sha2(squeezed(F.col(text_col)), 256)})
-    rest = keyed.join(gone, keyed["__key"].eqNullSafe(gone["__id"]) & (keyed["__text"] == gone["__sha"]), "left_anti")
-    return (rest.dropDuplicates(["__key", "__text"]) if repeated else rest).select(*docs.columns)
+    keyed = packed(docs, key=F.col(id_col), text=F.sha2(squeezed(F.col(text_col)), 256))
+    rest = keyed.join(gone, F.col("key").eqNullSafe(F.col("__id")) & (F.col("text") == F.col("__sha")), "left_anti")
+    return (rest.dropDuplicates(["key", "text"]) if repeated else rest).select("row.*")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import discard, materialize, table
+from palisade.llm.common import discard, materialize, packed, table
 
 DEPTH = 3
 LEAST_DOCS = 10
@@ -87,22 +87,23 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Lines end at newlines. Blank lines stay and count for no template. A null text stays null and has no lines; an empty one has one
     blank line. A template recurs if lines of it are in ``least_docs`` different documents. Rows
     that repeat count as documents of their own and are treated alike. An input column named ``n_lines`` or ``n_dropped`` is
-    replaced. An empty table gives no rows.
+    replaced; others can have any names. An empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    rest = docs.drop("n_lines", "n_dropped")
     digests = line_digests(docs, text_col, id_col)
     recurring = recurring_lines(docs, text_col, depth, least_docs, fixed_share, digests).select("h1", "h2", F.lit(True).alias("gone"))
     found = digests.select("__id", "__text", "at", "h1", "h2").join(recurring, ["h1", "h2"], "left")
-    flags = found.groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("at", F.col("gone").isNotNull().alias("gone"))))["gone"].alias("__gone"))
-    some = flags.filter(F.exists("__gone", lambda g: g))
-    keyed = docs.withColumns({"__id2": F.col(id_col).cast("string"), "__text2": F.xxhash64(F.col(text_col))})
-    both = keyed.join(some, F.col("__id2").eqNullSafe(F.col("__id")) & (F.col("__text2") == F.col("__text")), "left")
-    split = _lines(F.col(text_col))
-    kept = F.filter(F.arrays_zip(split.alias("line"), F.col("__gone").alias("gone")), lambda x: ~x["gone"])
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept["line"], "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split))
-    return both.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size(F.filter("__gone", lambda g: g)), F.lit(0)).alias("n_dropped"))
+    flags = found.groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("at", F.col("gone").isNotNull().alias("gone"))))["gone"].alias("gone"))
+    some = flags.filter(F.exists("gone", lambda g: g))
+    keyed = packed(rest, id=F.col(id_col).cast("string"), text=F.xxhash64(F.col(text_col)))
+    both = keyed.join(some, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text") == F.col("__text")), "left")
+    whole = F.col("row").getField(text_col)
+    split = _lines(whole)
+    kept = F.filter(F.arrays_zip(split.alias("line"), F.col("gone").alias("gone")), lambda x: ~x["gone"])
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(kept["line"], "\n"))
+    columns = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in rest.columns]
+    n_lines = F.when(whole.isNull(), F.lit(0)).otherwise(F.size(split))
+    return both.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size(F.filter("gone", lambda g: g)), F.lit(0)).alias("n_dropped"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from palisade.llm.arrays import BLANK, LOWER, give_back, mixed, paired, ranges, released, words
 from palisade.llm.blocks import from_planes, planes, text_blocks, texts_of
-from palisade.llm.common import discard, materialize, table
+from palisade.llm.common import discard, materialize, packed, table
 from palisade.llm.components import connected_components
 
 WORDS = 5
@@ -388,12 +388,12 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("t1") == F.col("best.t1")) & (F.col("t2") == F.col("best.t2"))
     gone = rows.filter(~stays).select(*key).distinct()
     repeated = materialize(rows.filter(stays).groupBy("id", "t1", "t2").count().filter("count > 1").select(*key), "repeated")
-    keyed = docs.withColumns({"__key": F.col(id_col), "__d1": text_digest(F.col(text_col))[0], "__d2": text_digest(F.col(text_col))[1]})
-    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__d1") == F.col("__t1")) & (F.col("__d2") == F.col("__t2"))
+    keyed = packed(docs, key=F.col(id_col), d1=text_digest(F.col(text_col))[0], d2=text_digest(F.col(text_col))[1])
+    same = F.col("key").eqNullSafe(F.col("__id")) & (F.col("d1") == F.col("__t1")) & (F.col("d2") == F.col("__t2"))
     rest = keyed.join(gone, same, "left_anti")
     if repeated.limit(1).count():
-        rest = rest.join(repeated, same, "left_anti").unionByName(rest.join(repeated, same, "left_semi").dropDuplicates(["__key", "__d1", "__d2"]))
-    return rest.select(*docs.columns)
+        rest = rest.join(repeated, same, "left_anti").unionByName(rest.join(repeated, same, "left_semi").dropDuplicates(["key", "d1", "d2"]))
+    return rest.select("row.*")
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

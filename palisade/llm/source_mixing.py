@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import table
+from palisade.llm.common import packed, table
 
 #: Sources up to which the table of rates is broadcast (at most about 1 KB a source); beyond, it is joined.
 BROADCAST_SOURCES = 10_000
@@ -67,15 +67,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
 
     Returns the columns of ``docs`` and ``mix_rate``, ``mix_copy`` (from 1) and ``mix_key``, the place in the shuffle. An input column of
     one of these names is replaced. A null source is a source of its own, a null id draws as the text 'null', and rows that
-    repeat an id get the same number of copies. Texts are not read, so they may be null, empty or very long. An empty table
+    repeat an id get the same number of copies. Other columns can have any names. Texts are not read, so they may be null, empty or very long. An empty table
     gives no rows. All weights 0: no rows.
     """
-    docs = docs.drop("mix_rate", "mix_copy", "mix_key")
+    rest = docs.drop("mix_rate", "mix_copy", "mix_key")
     rates = source_rates(docs, weights, total, source_col, exponent)
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    keyed = docs.withColumn("__key", F.col(source_col))
-    joined = keyed.join(F.broadcast(rates) if few else rates, keyed["__key"].eqNullSafe(rates["__source"]))
-    ident = F.col(id_col)
+    keyed = packed(rest, key=F.col(source_col), ident=F.col(id_col))
+    joined = keyed.join(F.broadcast(rates) if few else rates, F.col("key").eqNullSafe(F.col("__source")))
+    ident = F.col("ident")
 
     def draw(j):
         u = _uniform(F.lit(seed), ident, j)
@@ -83,10 +83,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
 
     one = F.when(F.col("draws") == 1, draw(F.lit(1)))
     many = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, j: a + draw(j))
-    counted = joined.withColumn("__n", F.coalesce(one, many)).filter("__n > 0")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    counted = joined.withColumn("n", F.coalesce(one, many)).filter("n > 0")
+    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:place"), F.coalesce(ident.cast("string"), F.lit("null")), "mix_copy")))
-    out = copies.select(*docs.columns, F.col("rate").alias("mix_rate"), "mix_copy", "mix_key")
+    out = copies.select("row.*", F.col("rate").alias("mix_rate"), "mix_copy", "mix_key")
     return out.repartition("mix_key").sortWithinPartitions("mix_key")
 
 

@@ -117,6 +117,7 @@ def _features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, weight
             [hits, hits / n_words, heavy, heavy / n_words, most, aimed, aimed / n_words, per_text(_UPPER[raw]) / letters, count(shouted) / n_words, per_text(_MARK[raw]) / n_bytes, per_text(raw == 33) / n_bytes, per_text(hidden) / n_words, np.log1p(n_words)],
             axis=1,
         )
+        out[first:last][~some] = 0  # whatever stands beside it, an empty text has no features
     return out
 
 
