@@ -87,9 +87,13 @@ def profiles(packages: DataFrame, versions: DataFrame, as_of: Column, keys: tupl
         F.min("published_at").alias("first_at"),
         F.max(F.when((F.col("back") < DORMANCY) & (F.col("gap") > 0), F.col("gap"))).alias("dormancy_ms"),
     )
+    return _profile(packages.join(picked, keys, "left"), keys, as_of)
+
+
+def _profile(base: DataFrame, keys: list[str], as_of: Column) -> DataFrame:
+    """The columns of profiles() from rows with the latest version ``l``, the previous one ``p`` and what is known of the package."""
     names = lambda c: F.coalesce(F.map_keys(c), F.array().cast("array<string>"))
     added, removed = added_and_removed(names("l.dependencies"), F.when(F.col("p").isNotNull(), names("p.dependencies")))
-    base = packages.join(picked, keys, "left")
     scripts = lifecycle_scripts(F.col("l.scripts"))
     return base.select(
         *keys,
@@ -116,6 +120,56 @@ def profiles(packages: DataFrame, versions: DataFrame, as_of: Column, keys: tupl
     )
 
 
+def version_profiles(packages: DataFrame, versions: DataFrame, as_of: Column, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """As profiles(), for every version of every package: what its profile was when it was the latest. ``keys`` and ``latest_version`` tell rows apart.
+
+    One sort by package and time; all windows have bounded frames or running values, so a long history streams through its task.
+    """
+    keys = list(keys)
+    by_time = Window.partitionBy(*keys).orderBy("published_at", "version")
+    row = F.struct("version", "publisher", "published_at", "scripts", "dependencies")
+    gap = millis_between(F.col("published_at"), F.lag("published_at").over(by_time))
+    each = versions.select(*keys, row.alias("l"), F.lag(row).over(by_time).alias("p"), F.row_number().over(by_time).alias("version_count"), F.min("published_at").over(by_time).alias("first_at"), F.when(gap > 0, gap).alias("gap"))
+    recent = Window.partitionBy(*keys).orderBy("l.published_at", "l.version").rowsBetween(2 - DORMANCY, 0)
+    each = each.withColumn("dormancy_ms", F.max("gap").over(recent)).drop("gap")
+    return _profile(each.join(packages, keys), keys, as_of)
+
+
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: list[str], tie: list[str] | None = None, strict: bool = False, bucket: str = "day") -> DataFrame:
+    """``left`` with ``value``, a struct of these columns of the last row of ``right`` with equal ``keys`` whose time isn't after that of ``left``.
+
+    With ``strict`` its time must be before. Of rows of one time the last by ``tie`` counts. Without such a row, and for null times, the value is
+    null. Keys that are null equal each other. Both sides are put together and sorted by keys, ``bucket`` of time and time, so a hot key is dealt by
+    its buckets; the last value of all earlier buckets stands at each one's start.
+    """
+    tie = tie or []
+    side = lambda at, value, row, kind, order: [*[F.col(k) for k in keys], at.alias("__at"), F.lit(kind).alias("__kind"), order.alias("__tie"), value.alias("__value"), row.alias("__row")]
+    given, none_row = F.struct(*[F.col(f"`{c}`") for c in left.columns]), F.lit(None)
+    value_of, order_of_value = F.struct(*value), F.struct(*(tie or [F.lit(0)]))
+    kind = left.select(given.alias("r")).schema["r"].dataType
+    value_kind, tie_kind = right.select(value_of.alias("v"), order_of_value.alias("t")).schema["v"].dataType, right.select(order_of_value.alias("t")).schema["t"].dataType
+    values = right.filter(F.col(right_at).isNotNull()).select(*side(F.col(right_at), value_of, none_row.cast(kind), 1, order_of_value))
+    asked = left.select(*side(F.col(left_at), F.lit(None).cast(value_kind), given, 0 if strict else 2, F.lit(None).cast(tie_kind)))
+    both = values.unionByName(asked).withColumn("__bucket", F.date_trunc(bucket, "__at"))
+    held = both.groupBy(*keys, "__bucket").agg(F.max_by("__value", F.when(F.col("__kind") == 1, F.struct("__at", "__tie"))).alias("__value"))
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(*keys, "__bucket", F.last("__value", ignorenulls=True).over(earlier).alias("__value")).filter("__value is not null and __bucket is not null")
+    starts = starts.select(*keys, F.col("__bucket").cast(both.schema["__at"].dataType).alias("__at"), F.lit(-1).alias("__kind"), F.lit(None).cast(tie_kind).alias("__tie"), "__value", none_row.cast(kind).alias("__row"), "__bucket")
+    in_bucket = Window.partitionBy(*keys, "__bucket").orderBy("__at", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.unionByName(starts).withColumn("__value", F.last("__value", ignorenulls=True).over(in_bucket))
+    asked_rows = found.filter(F.col("__kind") == (0 if strict else 2))
+    return asked_rows.select(*[F.col("__row").getField(c).alias(c) for c in left.columns], F.when(F.col("__at").isNotNull(), F.col("__value")).alias("value"))
+
+
+def versions_in_use(usage: DataFrame, versions: DataFrame, keys: tuple[str, ...] = ("name",), at: str = "at") -> DataFrame:
+    """``usage(keys, at)`` with ``version``, the package's last one at that time, and ``previous``, the one before it; null if there was none."""
+    keys = list(keys)
+    before = as_of_join(versions.select(*keys, "version", "published_at"), versions, keys, "published_at", "published_at", ["version"], ["version"], strict=True)
+    pairs = before.select(*keys, "published_at", "version", F.col("value.version").alias("previous"))
+    used = as_of_join(usage, pairs, keys, at, "published_at", ["version", "previous"], ["version"])
+    return used.select(*usage.columns, "value.version", "value.previous")
+
+
 #: A raw npm registry document: what is read of it.
 NPM_DOCUMENT = "name string, `dist-tags` map<string,string>, time map<string,string>, versions map<string, struct<scripts: map<string,string>, dependencies: map<string,string>, _npmUser: struct<name: string, email: string>>>, maintainers array<struct<name: string, email: string>>, repository string, license string"
 #: A raw PyPI document: what is read of it.

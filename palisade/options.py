@@ -14,7 +14,9 @@ UNSAFE_KEYS = ("__proto__", "constructor", "prototype")
 
 @dataclass(frozen=True)
 class Options:
-    """``least_severity`` is the mildest one that is reported; ``switched_off`` are signals that aren't computed."""
+    """``least_severity`` is the mildest one that is reported; ``switched_off`` are signals that aren't computed.
+
+    With ``as_of_version`` a package's signals are those of the version in use, as it was when it was the latest; without, of the latest one now."""
 
     ecosystems: tuple[str, ...] = tuple(e for e in VALID_ECOSYSTEMS if e != "brew")
     least_severity: str = "MODERATE"
@@ -25,6 +27,7 @@ class Options:
     deep: bool = False
     force: bool = False
     any_age: bool = False
+    as_of_version: bool = False
     popular_npm: tuple[str, ...] = tuple(POPULAR_NPM)
     popular_pypi: tuple[str, ...] = tuple(POPULAR_PYPI)
     known_install_scripts: tuple[str, ...] = tuple(KNOWN_INSTALL_SCRIPTS)

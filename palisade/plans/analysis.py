@@ -47,24 +47,34 @@ def _code_items(findings: DataFrame, keys: list[str], signal: str, what: str, in
     return each.groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list("items"))).alias(into), F.collect_set("pattern").alias("patterns"))
 
 
+def signal_keys(opts: Options) -> list[str]:
+    """What the registry's signals belong to: a name, as its latest version is now, or each version, as it was when it was the latest."""
+    return KEYS if opts.as_of_version else PACKAGE_KEYS
+
+
 def named_signals(wanted: DataFrame, packages: DataFrame, versions: DataFrame, opts: Options, as_of: Column) -> DataFrame:
-    """Of each package of ``wanted(ecosystem, name)`` that the registry knows: ``items`` (signals without vulnerabilities), ``package_age_ms``, ``maintainer_count``.
+    """Of each package of ``wanted(KEYS)`` that the registry knows, by signal_keys(): ``items`` (signals without vulnerabilities), ``package_age_ms``, ``maintainer_count``.
 
     Only the histories of wanted packages, and of dependencies that their latest versions added, are sorted. The profiles of both are
     written once.
     """
     none = F.array().cast("array<string>")
     of = lambda names, keys: (packages.join(names, keys, "left_semi"), versions.join(names, keys, "left_semi"))
-    wanted = written(wanted, "wanted")
-    mine = written(registry.profiles(*of(wanted, PACKAGE_KEYS), as_of, tuple(PACKAGE_KEYS)), "profiles")
+    keys, pair = signal_keys(opts), tuple(PACKAGE_KEYS)
+    versioned, wanted = wanted, written(wanted.select(*PACKAGE_KEYS).distinct(), "wanted")
+    if opts.as_of_version:
+        found = registry.version_profiles(*of(wanted, PACKAGE_KEYS), as_of, pair).withColumn("version", F.col("latest_version"))
+        mine = written(found.join(versioned.select(*KEYS).distinct(), KEYS, "left_semi"), "profiles")
+    else:
+        mine = written(registry.profiles(*of(wanted, PACKAGE_KEYS), as_of, pair), "profiles")
     npm = mine.filter("ecosystem = 'npm'")
     added = written(npm.select(F.lit("npm").alias("ecosystem"), F.explode("added_deps").alias("name")).distinct(), "added")
-    deps = rules.dependency_signals(npm, registry.profiles(*of(added, PACKAGE_KEYS), as_of, tuple(PACKAGE_KEYS)), PACKAGE_KEYS)
+    deps = rules.dependency_signals(npm, registry.profiles(*of(added, PACKAGE_KEYS), as_of, pair), keys)
     popular = [(e, n) for e, names in (("npm", opts.popular_npm), ("pypi", opts.popular_pypi)) for n in names]
     listed = wanted.sparkSession.createDataFrame(popular, "ecosystem string, name string")
     matches = rules.matches_of(rules.typosquats(wanted, listed, ["ecosystem"]), PACKAGE_KEYS)
-    shown = _code_items(script_findings(mine, PACKAGE_KEYS), PACKAGE_KEYS, "AST_DANGEROUS_PATTERN", "install script: ", "code_items")
-    row = mine.join(deps, PACKAGE_KEYS, "left").join(matches, PACKAGE_KEYS, "left").join(shown, PACKAGE_KEYS, "left")
+    shown = _code_items(script_findings(mine, keys), keys, "AST_DANGEROUS_PATTERN", "install script: ", "code_items")
+    row = mine.join(deps, keys, "left").join(matches, PACKAGE_KEYS, "left").join(shown, keys, "left")
     count = F.coalesce(F.size("maintainers"), F.lit(0))
     row = row.withColumns(
         {
@@ -86,7 +96,7 @@ def named_signals(wanted: DataFrame, packages: DataFrame, versions: DataFrame, o
         F.coalesce("dep_signals", rules.no_items()),
         rules.change_items(F.col("previous_version").isNotNull()),
     )
-    return row.select(*PACKAGE_KEYS, items.alias("items"), "package_age_ms", F.size("maintainers").alias("maintainer_count"))
+    return row.select(*keys, items.alias("items"), "package_age_ms", F.size("maintainers").alias("maintainer_count"))
 
 
 def judged(unique: DataFrame, vulns: DataFrame, packages: DataFrame, versions: DataFrame, opts: Options, as_of: Column, checked: DataFrame | None = None) -> DataFrame:
@@ -98,14 +108,14 @@ def judged(unique: DataFrame, vulns: DataFrame, packages: DataFrame, versions: D
     adv = advisories.advisory_ecosystem
     theirs = ["adv", "name", "version"]
     ids = vulns.groupBy(adv(F.col("ecosystem")).alias("adv"), F.col("package").alias("name"), "version").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    named = named_signals(unique.select(*PACKAGE_KEYS).distinct(), _with_ecosystem(packages), _with_ecosystem(versions), opts, as_of)
+    named = named_signals(unique.select(*KEYS), _with_ecosystem(packages), _with_ecosystem(versions), opts, as_of)
     rows = unique.select(*KEYS, "is_direct", adv(F.col("ecosystem")).alias("adv")).join(ids, theirs, "left")
     if checked is None:
         rows = rows.withColumn("covered", F.lit(True))
     else:
         answered = checked.select(adv(F.col("ecosystem")).alias("adv"), "name", "version").distinct()
         rows = relational.left_coverage(rows, answered, theirs)
-    rows = rows.join(named, PACKAGE_KEYS, "left")
+    rows = rows.join(named, signal_keys(opts), "left")
     rows = rows.withColumn("known", F.col("items").isNotNull())
     n = F.when(F.col("covered"), F.coalesce(F.size("ids"), F.lit(0))).otherwise(0)
     every = F.concat(rules.compromised(n, F.struct(n.alias("vulns"), F.col("ids").alias("ids"))), F.col("items"))

@@ -297,7 +297,24 @@ SELECT name, coalesce(latest, lv) AS latest_version, coalesce(pv, pv2) AS previo
        (CASE WHEN latest IS NULL THEN lls ELSE ls END - CASE WHEN pv IS NULL THEN ps2 ELSE ps END) * 1000::BIGINT AS publish_interval_ms, (86400 - first_s) * 1000::BIGINT AS package_age_ms, version_count, yanked FROM g
 """
 
+def version_in_use(spark, d):
+    """Of each event the user's last purchase up to then, as the version in use, and the one before it."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("name"), "event_id", "event_type", "ts")
+    versions = events.filter("event_type = 'purchase'").select("name", F.col("event_id").alias("version"), F.col("ts").alias("published_at"))
+    return registry.versions_in_use(events.select("name", "event_id", "ts"), versions, at="ts")
+
+
+VERSION_IN_USE = """
+WITH p AS (SELECT user_id, event_id, ts, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS at FROM events WHERE event_type = 'purchase'),
+f AS (SELECT p.*, (SELECT arg_max(q.event_id, (q.ts, q.event_id)) FROM p AS q WHERE q.user_id = p.user_id AND q.ts < p.ts) AS previous FROM p)
+SELECT e.user_id AS name, e.event_id, e.ts, arg_max(f.event_id, (f.ts, f.event_id)) AS version, arg_max(coalesce(f.previous, -1), (f.ts, f.event_id)) AS previous
+FROM events e LEFT JOIN f ON f.user_id = e.user_id AND f.ts <= e.ts GROUP BY ALL
+"""
+VERSION_IN_USE = f"SELECT * REPLACE (nullif(previous, -1) AS previous) FROM ({VERSION_IN_USE})"
+
+
 QUERIES = {
+    "version_in_use": (version_in_use, VERSION_IN_USE),
     "direct_preferred": (direct_preferred, DIRECT),
     "release_history": (release_history, RELEASES),
     "version_latest_previous": (version_latest_previous, _PAIR + "SELECT * FROM p"),

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.operators import registry as registry_ops
 from palisade.operators import rules
 from palisade.options import Options
 from palisade.plans import analysis, pipelines
@@ -180,3 +181,34 @@ def test_typosquat_join_is_small(spark):
     df = lambda w: spark.createDataFrame([(x,) for x in w], "name string")
     # all words have one length, so a join by length would make 900,000 rows
     assert rules.squat_candidates(df(names), df(popular), []).count() < 100
+
+
+def test_as_of_join_against_loop(spark):
+    rng = random.Random(8)
+    day = lambda: at(rng.randrange(-6, 6)).replace(hour=rng.choice([0, 0, 12]), minute=rng.choice([0, 30]))
+    key = lambda: rng.choice(["a", "a", "a", "b", "c", None])
+    left = [(k, key(), None if k % 17 == 0 else day()) for k in range(150)]
+    right = [(key(), None if k % 19 == 0 else day(), f"v{k}") for k in range(60)]
+    a, b = spark.createDataFrame(left, "id int, k string, at timestamp_ntz"), spark.createDataFrame(right, "k string, at timestamp_ntz, v string")
+    for strict in (False, True):
+        for bucket in ("day", "year", "hour"):
+            got = {r["id"]: r["value"]["v"] if r["value"] else None for r in registry_ops.as_of_join(a, b, ["k"], "at", "at", ["v"], ["v"], strict, bucket).collect()}
+            want = {}
+            for i, k, t in left:
+                fit = [(u, v) for kk, u, v in right if kk == k and t and u and (u < t or (u == t and not strict))]
+                want[i] = max(fit)[1] if fit else None
+            assert got == want and any(want.values())
+    assert registry_ops.as_of_join(a, b.limit(0), ["k"], "at", "at", ["v"]).filter("value is not null").count() == 0
+    assert registry_ops.as_of_join(a.limit(0), b, ["k"], "at", "at", ["v"]).count() == 0
+
+
+def test_signals_of_the_version_in_use(spark, registry, deps, as_of):
+    packages, history = registry
+    per_version = {(r["ecosystem"], r["name"], r["latest_version"]): r for r in registry_ops.version_profiles(packages, history, as_of, ("ecosystem", "name")).collect()}
+    last = {(r["ecosystem"], r["name"], r["latest_version"]): r for r in registry_ops.profiles(packages, history, as_of, ("ecosystem", "name")).collect()}
+    assert len(per_version) == 6 and all(per_version[k].asDict(True) == r.asDict(True) for k, r in last.items())
+    assert per_version["npm", "foo", "1.0.0"]["previous_version"] is None and per_version["npm", "foo", "1.0.0"]["version_count"] == 1
+    got = levels(pipelines.analyze(deps, spark.createDataFrame([], VULNS), packages, history, Options(verbose=True, as_of_version=True), as_of))
+    assert got["npm", "foo", "1.0.0"][0] == set() and got["npm", "foo", "9.0.0"][0] == {"VERSION_ANOMALY"}
+    unknown = deps.withColumn("version", F.lit("7.7.7"))
+    assert {v[1] for v in levels(pipelines.analyze(unknown, spark.createDataFrame([], VULNS), packages, history, Options(verbose=True, as_of_version=True), as_of)).values()} == {"UNKNOWN"}
