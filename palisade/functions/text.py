@@ -50,30 +50,49 @@ def typosquat_limit(name: Column) -> Column:
     return F.when(F.length(name) <= 3, 0).when(F.length(name) <= 6, 1).otherwise(2)
 
 
-#: An interpreter's argument that is JavaScript, by the quote around it; a shell's argument that is a command.
-EVAL_ARGUMENT = r"node\s+(?:-e|--eval)\s+{0}([^{0}]+){0}"
-SHELL_ARGUMENT = r"""(?:sh|bash)\s+-c\s+['"]"""
-#: Commands that run files or other tools, and what only JavaScript has.
-OTHER_COMMAND = r"^(?:(?:node|\./|/)\s+[^\s;|&]*\.(?:js|mjs|cjs)\b|(?:python|ruby|perl|npm|npx|yarn|pnpm)\s)"
-JS_SIGNS = r"[;{}()=]|\b(?:require|import|eval)\b"
+#: Shells and the interpreter, and their flags that take code as the next word.
+SHELLS, SHELL_FLAGS = ["sh", "bash"], ["-c"]
+INTERPRETERS, CODE_FLAGS = ["node"], ["-e", "--eval"]
+#: Programs whose commands are no JavaScript, whatever follows them.
+TOOLS = ["python", "ruby", "perl", "npm", "npx", "yarn", "pnpm"]
+QUOTES = ["'", '"']
 
 
-def _innermost(script: Column) -> Column:
-    """The command that nested shells come down to: what follows the last of them, without as many quotes at the end."""
-    shells = F.regexp_count(script, F.lit(SHELL_ARGUMENT))
-    last = F.element_at(F.split(script, SHELL_ARGUMENT, -1), -1)
-    closing = F.concat(F.lit(r"""(?:['"]\s*){"""), shells, F.lit("}$"))
-    return F.when(shells > 0, F.regexp_replace(last, closing, F.lit(""))).otherwise(script)
+def _word(words: Column, k: Column) -> Column:
+    return F.get(words, k)["text"]
+
+
+def _calls(words: Column, programs: list[str], flags: list[str]) -> Column:
+    """Where in ``words`` a program, a flag and a quote follow each other: the places of the quotes among the pieces."""
+    last = F.size(words) - 3
+    fits = lambda k: _word(words, k).isin(programs) & _word(words, k + 1).isin(flags) & _word(words, k + 2).isin(QUOTES)
+    starts = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), fits)
+    return F.transform(starts, lambda k: F.get(words, k + 2)["at"])
 
 
 def inline_js(script: Column) -> Column:
     """JavaScript that a lifecycle script passes to an interpreter; null if it only runs files or other tools.
 
-    An interpreter's argument counts wherever it stands; else a command of shells, however nested, is taken as JavaScript if it looks like it.
+    The script is cut into words, quotes and blanks. A quoted word that an interpreter takes as code counts wherever it stands. Else what the
+    innermost shell gets is taken as JavaScript if it has signs of it, and its first word is no tool and no script file.
     """
-    arguments = [F.nullif(F.regexp_extract(script, EVAL_ARGUMENT.format(quote), 1), F.lit("")) for quote in ("'", '"')]
-    command = _innermost(script)
-    return F.coalesce(*arguments, F.when(command.rlike(JS_SIGNS) & ~command.rlike(OTHER_COMMAND), command))
+    pieces = F.regexp_extract_all(script, F.lit("""['"]|\\s+|[^\\s'"]+"""), F.lit(0))
+    placed = F.transform(pieces, lambda t, k: F.struct(k.alias("at"), t.alias("text")))
+    words = F.filter(placed, lambda w: ~w["text"].rlike(r"^\s"))
+    code_at = F.get(_calls(words, INTERPRETERS, CODE_FLAGS), F.lit(0))
+    behind = F.slice(pieces, code_at + 2, F.size(pieces))
+    length = F.array_position(behind, F.get(pieces, code_at)).cast("int") - 1
+    argument = F.when(length > 0, F.array_join(F.slice(behind, F.lit(1), length), ""))
+    shells = _calls(words, SHELLS, SHELL_FLAGS)
+    inner = F.slice(pieces, F.element_at(shells, F.size(shells)) + 2, F.size(pieces))
+    closing = F.concat(F.lit(r"""(?:['"]\s*){"""), F.size(shells).cast("string"), F.lit("}$"))  # a quote for each shell
+    command = F.when(F.size(shells) > 0, F.regexp_replace(F.array_join(inner, ""), closing, F.lit(""))).otherwise(script)
+    first, second = F.split_part(command, F.lit(" "), F.lit(1)), F.split_part(command, F.lit(" "), F.lit(2))
+    is_file = lambda w: F.regexp_extract(w, r"^[^;|&]*", 0).rlike(r"\.[mc]?js$")
+    other = first.isin(TOOLS) | (first.isin(INTERPRETERS) & is_file(second)) | (first.rlike(r"^\.?/") & (is_file(first) | is_file(second)))
+    signs = F.length(F.translate(command, ";{}()=", "")) < F.length(command)
+    signs = signs | F.exists(F.split(command, r"\W+"), lambda w: w.isin("require", "import", "eval"))
+    return F.coalesce(argument, F.when(signs & ~other, command))
 
 
 def encode_package(name: Column) -> Column:
