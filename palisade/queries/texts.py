@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from palisade.functions import severity as sev
 from palisade.functions import text, versions
 from palisade.operators import advisories, code_rules, rules
 from palisade.queries.tables import table
-from palisade.sources import parsers
+from palisade.sources import archives, parsers
 
 
 def typosquat(spark, d):
@@ -329,7 +333,38 @@ SELECT p_partkey, replace(a, '/', '%2F') || replace(b, '~', '%7E') AS encoded,
        CASE WHEN p_partkey % 3 = 0 THEN '''' || a || b || '''\\''''s''' WHEN contains(a || b, '~') THEN '''' || a || b || '''' ELSE a || b END AS quoted FROM n
 """
 
+#: Documents in an archive.
+_PACKED = 50
+
+
+def _pack(rows):
+    """An archive of documents as scripts; its package.json comes last and names two of them, one deep in its exports."""
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz") as tar:
+        files = [("index" if n == _PACKED - 1 else f"part{n}", str(t or "").encode()) for n, t in sorted(zip(rows["doc_id"] % _PACKED, rows["text"], strict=True))]
+        for name, body in [*[(f"{n}.js", b) for n, b in files], ("package.json", b'{"main": "part7", "exports": {"./a": {"node": [{"import": "./part40.js"}]}}}')]:
+            info = tarfile.TarInfo(f"package/{name}")
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+    return pd.DataFrame({"path": [f"{rows['doc_id'].iloc[0] // _PACKED}.tgz"], "content": [raw.getvalue()]})
+
+
+def archive_files(spark, d):
+    """What is read of archives of documents: entries by name and by package.json, and how long they are."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    packed = docs.groupBy(F.expr(f"doc_id div {_PACKED}")).applyInPandas(_pack, "path string, content binary")
+    return archives.untar(packed).select("path", "entry", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha"), "problem")
+
+
+ARCHIVE_FILES = f"""
+SELECT (doc_id // {_PACKED})::VARCHAR || '.tgz' AS path, CASE doc_id % {_PACKED} WHEN {_PACKED - 1} THEN 'index.js' ELSE 'part' || doc_id % {_PACKED} || '.js' END AS entry,
+       CASE WHEN strlen(text) <= {archives.MOST_FILE} THEN strlen(text) END AS size, CASE WHEN strlen(text) <= {archives.MOST_FILE} THEN sha256(text) END AS sha,
+       CASE WHEN strlen(text) > {archives.MOST_FILE} THEN 'file too large: part' || doc_id % {_PACKED} || '.js' END AS problem
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE doc_id % {_PACKED} IN (7, 40, {_PACKED - 1})
+"""
+
 QUERIES = {
+    "archive_files": (archive_files, ARCHIVE_FILES),
     "typosquat": (typosquat, TYPOSQUAT),
     "homoglyph": (homoglyph, HOMOGLYPH),
     "sanitize_text": (sanitize_text, SANITIZE),

@@ -271,17 +271,37 @@ def test_typosquats_of_many_popular_names(spark, monkeypatch):
     assert [r["similar"] for r in rules.typosquats(names, popular).collect()] == ["express"]
 
 
-def test_archives(spark):
+def packed_files(files):
     raw = io.BytesIO()
     with tarfile.open(fileobj=raw, mode="w") as tar:
-        for name, body in (("package/package.json", b'{"main": "./src/run.js"}'), ("package/index.js", b"eval(x)"), ("package/src/run.js", b"1"), ("package/other.js", b"2"), ("package/readme.md", b"3")):
+        for name, body in files:
             info = tarfile.TarInfo(name)
             info.size = len(body)
             tar.addfile(info, io.BytesIO(body))
-    files = spark.createDataFrame([("a.tgz", bytearray(gzip.compress(raw.getvalue()))), ("b.tgz", bytearray(b"no archive"))], "path string, content binary")
+    return bytearray(gzip.compress(raw.getvalue()))
+
+
+def test_archives(spark):
+    plain = packed_files([("package/package.json", b'{"main": "./src/run.js"}'), ("package/index.js", b"eval(x)"), ("package/src/run.js", b"1"), ("package/other.js", b"2"), ("package/readme.md", b"3")])
+    files = spark.createDataFrame([("a.tgz", plain), ("b.tgz", bytearray(b"no archive")), ("c.tgz", plain[: len(plain) // 2]), ("d.tgz", None)], "path string, content binary")
     entries = archives.untar(files).persist()
-    assert [r["entry"] for r in archives.inspectable(entries).orderBy("ord").collect()] == ["index.js", "src/run.js"]
+    assert [r["entry"] for r in archives.inspectable(entries).filter("path = 'a.tgz'").orderBy("ord").collect()] == ["index.js", "src/run.js"]
     assert entries.filter("path = 'b.tgz'").first()["problem"].startswith("unreadable")
+    assert {r["path"] for r in entries.filter("problem is not null").select("path").distinct().collect()} == {"b.tgz", "c.tgz", "d.tgz"}
+
+
+def test_archives_choose_paths_before_texts(spark):
+    many = [(f"package/lib/x{k}.js", b"1") for k in range(60)]
+    late = packed_files([*many, ("package/index.js", b"eval(x)"), ("package/deep/entry.mjs", b"2"), ("package/dist/a1.cjs", b"3"), ("package/dir/index.js", b"4"), ("package/package.json", b'{"bin": {"x": "lib/x40.js"}, "main": "dir", "exports": {".": [{"node": {"import": {"default": "./deep/entry.mjs"}}}, null, 3], "./*": "./dist/*.cjs"}}')])
+    crowd = packed_files([(f"package/{k}/index.js", b"1") for k in range(14)])
+    big = packed_files([("package/index.js", b" " * (archives.MOST_FILE + 1)), ("package/cli.js", b"5"), ("package/package.json", b"[" * 100_000)])
+    files = spark.createDataFrame([("npm", "late", late), ("npm", "crowd", crowd), ("npm", "big", big)], "ecosystem string, name string, content binary")
+    got = {}
+    for r in archives.untar(files, ["ecosystem", "name"]).collect():
+        got.setdefault(r["name"], []).append((r["entry"], r["problem"]))
+    assert {e for e, _ in got["late"]} == {"index.js", "deep/entry.mjs", "dist/a1.cjs", "dir/index.js", "lib/x40.js"}
+    assert len(got["crowd"]) == 11 and got["crowd"][-1] == (None, "files left out: 4")
+    assert got["big"] == [("index.js", "file too large: index.js"), ("cli.js", None)]
 
 
 def test_discovery_prefers_locks(spark):
