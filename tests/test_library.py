@@ -407,7 +407,7 @@ def test_poll_timer(spark, tmp_path):
     from palisade.schema import ADVISORY
 
     base = spark.createDataFrame([("npm", "a", "1", None, 1)], watch.BASE)
-    base.write.parquet(str(tmp_path / "base" / "1"))
+    watch.set_baseline(base, str(tmp_path / "base"), dt.datetime(2026, 1, 1))
     index = spark.createDataFrame([("npm", "a", "1", "V1")], "ecosystem string, name string, version string, id string")
     query = watch.poll_timer(spark, str(tmp_path / "base"), lambda: (index, spark.createDataFrame([], ADVISORY)), str(tmp_path / "out"), "LOW", 1).option("checkpointLocation", str(tmp_path / "ck")).start()
     for _ in range(60):
