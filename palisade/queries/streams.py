@@ -7,8 +7,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from palisade.operators import relational
+from palisade.operators import relational, store
 from palisade.queries.tables import table
+from palisade.schema import DAY_MS
 from palisade.scratch import root
 from palisade.streaming import watch
 
@@ -36,4 +37,22 @@ def watch_microbatch(spark, d):
 
 WATCH = "SELECT 'npm' AS ecosystem, user_id::VARCHAR AS name, event_type AS version, NULL::VARCHAR AS integrity, event_id AS ord FROM events WHERE ts < TIMESTAMP '2024-02-10' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 
-QUERIES = {"watch_microbatch": (watch_microbatch, WATCH)}
+CACHE = "o_custkey bigint, o_orderkey bigint, o_totalprice double, fetched_at timestamp_ntz"
+
+
+def cache_stored(spark, d):
+    """A stored cache of each customer's last order, after two upserts (orders before 1996, the others) and a pruning of those older than 1000 days."""
+    path = f"{root(spark)}/cache-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("o_orderdate").cast("timestamp_ntz").alias("fetched_at"))
+    for part in (orders.filter("fetched_at < timestamp_ntz'1996-01-01'"), orders.filter("fetched_at >= timestamp_ntz'1996-01-01'")):
+        store.upsert_stored(relational.last_wins(part, ["o_custkey"], ["fetched_at", "o_orderkey"]), path, CACHE, ["o_custkey"])
+    store.prune_stored(spark, path, CACHE, ["o_custkey"], F.lit("1998-08-03").cast("timestamp_ntz"), 1000 * DAY_MS)
+    return store.read_stored(spark, path, CACHE)
+
+
+CACHE_STORED = """
+WITH l AS (SELECT o_custkey, o_orderkey, o_totalprice::DOUBLE AS o_totalprice, o_orderdate::TIMESTAMP AS fetched_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT * FROM l WHERE date_diff('millisecond', fetched_at, TIMESTAMP '1998-08-03') <= 86400000::BIGINT * 1000
+"""
+
+QUERIES = {"watch_microbatch": (watch_microbatch, WATCH), "cache_stored": (cache_stored, CACHE_STORED)}

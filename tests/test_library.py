@@ -403,6 +403,35 @@ def test_caches(spark):
     assert not missed.first()["hit"]
 
 
+def test_stored_cache_touches_only_its_buckets(spark, tmp_path):
+    import os
+
+    from palisade.operators import store
+
+    schema, keys, path = "ecosystem string, name string, vulns string, fetched_at timestamp_ntz", ["ecosystem", "name"], str(tmp_path / "cache")
+    now = dt.datetime(2026, 1, 10)
+    as_of = F.lit(now).cast("timestamp_ntz")
+    assert store.read_stored(spark, path, schema).count() == 0
+    rows = [("npm", f"p{k}", "v", now - dt.timedelta(days=k % 5)) for k in range(60)] + [(None, "n", "v", now)]
+    store.upsert_stored(spark.createDataFrame(rows, schema), path, schema, keys, 16)
+    files = lambda: {(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+    before = files()
+    store.upsert_stored(spark.createDataFrame([("npm", "p7", "new", now), ("npm", "p7", "new", now)], schema), path, schema, keys, 16)
+    after = files()
+    changed = {d for d, _ in set(before.items()) ^ set(after.items()) for d in [d[0]]}
+    assert len(changed) == 1 and len({d for d, _ in before}) > 8
+    got = {r["name"]: r["vulns"] for r in store.read_stored(spark, path, schema).collect()}
+    assert len(got) == 61 and got["p7"] == "new" and sum(v == "new" for v in got.values()) == 1
+    wanted = spark.createDataFrame([("npm", "p7"), ("npm", "p8"), ("npm", "none")], "ecosystem string, name string")
+    found = store.lookup_stored(wanted, path, schema, keys, as_of, 86_400_000, buckets=16)
+    assert {r["name"]: r["hit"] for r in found.collect()} == {"p7": True, "p8": False, "none": False}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    store.prune_stored(spark, path, schema, keys, as_of, 2 * 86_400_000, buckets=16)
+    left = {r["name"] for r in store.read_stored(spark, path, schema).collect()}
+    assert left == {f"p{k}" for k in range(60) if k % 5 <= 2 or k == 7} | {"n"}
+
+
 def test_poll_timer(spark, tmp_path):
     from palisade.schema import ADVISORY
 
