@@ -19,7 +19,7 @@ from palisade.sources import discovery, parsers
 def dependencies(files: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame]:
     """All dependencies of ``files(path, dir, file, content)`` in the chosen ecosystems, and the files that couldn't be parsed."""
     chosen = discovery.preferred_files(files).filter(F.col("ecosystem").isin(list(opts.ecosystems)))
-    return parsers.parse_all(chosen.select("path", "file", "content"), every=files), parsers.parse_failures(chosen.select("path", "content"))
+    return parsers.parse_all(chosen.select("path", "content"), every=files), parsers.parse_failures(chosen.select("path", "content"))
 
 
 def watched(files: DataFrame, opts: Options) -> DataFrame:

@@ -6,12 +6,15 @@ last heading above it, a window over the file's lines. A file that can't be pars
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.text import normalize_name, trimmed
 from palisade.functions.versions import is_pinned, is_semver, version_of
 from palisade.operators.relational import first_wins
+from palisade.scratch import root, written
 
 _PACKAGE = "struct<version: string, dev: boolean, integrity: string>"
 NPM_LOCK = f"packages map<string, {_PACKAGE}>, dependencies map<string, string>"
@@ -31,7 +34,15 @@ MARKS = {
     "go.mod": r"(?m)^\s*module\s",
     "gradle.lockfile": r"(?m)^[^#\s].*=",
     "pom.xml": r"<project\b",
+    "requirements.txt": r"(?m)^\s*(?:[A-Za-z0-9][A-Za-z0-9._-]*|-{1,2}[a-z]|#|\.{0,2}/)",
+    "pyproject.toml": r"(?m)^\s*\[[^\]]+\]",
+    "Cargo.toml": r"(?m)^\s*\[[^\]]+\]",
+    "go.sum": r"(?m)^[A-Za-z0-9][\w.~/-]*",
+    "Gemfile": r"(?m)^\s*(?:source|gem|gemspec|group|ruby|git|git_source|path|platforms?|eval_gemfile)\b|^\s*#",
+    "Brewfile": r"(?m)^\s*(?:brew|cask|tap|mas|vscode|whalebrew|cask_args)\b|^\s*#",
 }
+#: Characters that no text file of these has.
+BINARY = r"[\x00-\x08\x0e-\x1a]"
 
 
 def parse_failures(files: DataFrame) -> DataFrame:
@@ -42,7 +53,7 @@ def parse_failures(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", "([^/]*)$", 1)
     broken = F.lit(False)
     for file, mark in MARKS.items():
-        broken = broken | ((name == file) & ~F.col("content").rlike(mark))
+        broken = broken | ((name == file) & (~F.col("content").rlike(mark) | F.col("content").rlike(BINARY)))
     broken = broken | (name.rlike(r"\.csproj$") & ~F.col("content").rlike(r"<Project\b"))
     reason = F.when(F.col("content").isNull(), F.concat(F.lit("unreadable "), name)).when(name.isin(JSON_FILES) & F.json_object_keys("content").isNull(), F.concat(F.lit("invalid JSON in "), name)).when(broken & (trimmed(F.col("content")) != ""), F.concat(F.lit("unknown form of "), name))
     return files.select("path", reason.alias("reason")).filter("reason is not null")
@@ -188,7 +199,7 @@ def include_closure(roots: DataFrame, every: DataFrame) -> DataFrame:
     while True:
         lines = new.join(every.select("path", "content"), "path").select("root", "path", F.explode(F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1))).alias("i"))
         found = lines.select("root", _included(F.col("path"), F.col("i")).alias("path")).distinct().join(every.select("path"), "path", "left_semi")
-        new = found.select("root", "path").join(reached, ["root", "path"], "left_anti").persist()
+        new = written(found.select("root", "path").join(reached, ["root", "path"], "left_anti"), "includes")
         if new.isEmpty():
             return reached
         reached = reached.unionByName(new)
@@ -369,20 +380,40 @@ PARSERS |= {
 }
 
 
+#: What a file is laid out by if no parser reads it.
+OTHER = "other"
+
+
+def format_of(path: Column) -> Column:
+    """The parser's name that a file is read with, by its own name."""
+    base = F.regexp_extract(path, "([^/]*)$", 1)
+    known = [n for n in PARSERS if "*" not in n]
+    return F.when(base.isin(known), base).when(base.rlike(r"\.csproj$"), "*.csproj").otherwise(OTHER)
+
+
+def laid_out(files: DataFrame) -> DataFrame:
+    """``path, content, format`` of ``files``, written once with a folder a format, so each parser opens its own files only. The input is read once."""
+    path = f"{root(files.sparkSession)}/files-{uuid.uuid4().hex}"
+    routed = files.select("path", "content", format_of(F.col("path")).alias("format"))
+    routed.write.partitionBy("format").parquet(path)
+    return files.sparkSession.read.schema(routed.schema).parquet(path)
+
+
 def _named(files: DataFrame, name: str) -> DataFrame:
-    """Files of one name. By a column ``file`` if there is one, which a source laid out by it turns into a choice of folders."""
-    base = F.col("file") if "file" in files.columns else F.regexp_extract("path", "([^/]*)$", 1)
-    return files.filter(base.rlike(r"\.csproj$") if name == "*.csproj" else base == name).select("path", "content")
+    """Files of one format, which for files of laid_out() is a choice of folders."""
+    kind = F.col("format") if "format" in files.columns else format_of(F.col("path"))
+    return files.filter(kind == name).select("path", "content")
 
 
 def parse_all(files: DataFrame, names: list[str] | None = None, every: DataFrame | None = None) -> DataFrame:
     """All dependencies of ``files(path, content)``, first wins by package and version. ``names``: the parsers to apply.
 
-    ``every``: the files beside them, for direct dependencies and includes; without it, ``files``. Each parser scans its own
-    files only if ``files`` is laid out by a column ``file``; else each filters all of them by name.
+    ``every``: the files beside them, for direct dependencies and includes; without it, ``files``. Either is read once and laid out by
+    format; each parser then reads its own files.
     """
-    beside, out = files if every is None else every, None
+    mine = laid_out(files)
+    beside, out = mine if every is None else laid_out(every), None
     for name in names or PARSERS:
-        rows = PARSERS[name](_named(files, name), beside)
+        rows = PARSERS[name](_named(mine, name), beside)
         out = rows if out is None else out.unionByName(rows)
     return first_wins(out, ["ecosystem", "name", "version"], ["source_file", "ord"])
