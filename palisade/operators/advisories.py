@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.severity import advisory_severity, display_id, fixed_version, named, order_of
-from palisade.operators.relational import left_coverage
+from palisade.operators.relational import bitmap_filtered, left_coverage
 from palisade.schema import ECOSYSTEMS, SEVERITIES
 
 
@@ -23,14 +23,17 @@ def supported(deps: DataFrame) -> DataFrame:
     return deps.filter(advisory_ecosystem(F.col("ecosystem")).isNotNull())
 
 
-def lookup(deps: DataFrame, index: DataFrame, checked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def lookup(deps: DataFrame, index: DataFrame, checked: DataFrame | None = None, narrow: bool = False) -> tuple[DataFrame, DataFrame]:
     """Hits ``ecosystem, name, version, id`` and coverage of each distinct package.
 
-    ``index`` holds the packages' advisory ids, ``checked`` the packages that the source has answered for. Without it, all are.
+    ``index`` holds the packages' advisory ids, ``checked`` the packages that the source has answered for. Without it, all are. With ``narrow``, an
+    index much larger than ``deps`` is filtered by a bitmap of their keys where it is read.
     """
     keys = ["ecosystem", "name", "version"]
     wanted = deps.select(advisory_ecosystem(F.col("ecosystem")).alias("ecosystem"), "name", "version").filter("ecosystem is not null").distinct()
-    hits = wanted.join(index.select(*keys, "id").filter("id is not null and id != ''").distinct(), keys)
+    known = index.select(*keys, "id").filter("id is not null and id != ''")
+    known = bitmap_filtered(known, wanted, keys) if narrow else known
+    hits = wanted.join(known.distinct(), keys)
     coverage = wanted.withColumn("covered", F.lit(True)) if checked is None else left_coverage(wanted, checked.select(*keys).distinct(), keys)
     return hits, coverage
 

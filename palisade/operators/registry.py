@@ -71,22 +71,22 @@ def profiles(packages: DataFrame, versions: DataFrame, as_of: Column, keys: tupl
     """One row per package from its registry rows: the input of the rules. ``keys`` tell packages apart, as ("ecosystem", "name") do.
 
     The latest version is the tagged one, else the last by time; the previous one is the last but one by time. Missing history gives
-    nulls, never a clean-looking default. Versions are sorted once, by package and time.
+    nulls, never a clean-looking default. Of a package with very many versions only sums and its last ones come together.
     """
     keys = list(keys)
     by_time = Window.partitionBy(*keys).orderBy(F.col("published_at").desc())
-    gap = millis_between(F.col("published_at"), F.lead("published_at").over(by_time))
-    order = versions.withColumns({"back": F.row_number().over(by_time), "gap": gap})
-    by_tag = order.join(packages.select(*keys, "latest_tag"), keys, "left")
-    is_latest = F.coalesce(F.col("version") == F.col("latest_tag"), F.lit(False))
     row = F.struct("version", "publisher", "published_at", "scripts", "dependencies")
-    picked = by_tag.groupBy(*keys).agg(
-        F.coalesce(F.max_by(row, F.when(is_latest, F.lit(1))), F.max_by(row, -F.col("back"))).alias("l"),
-        F.max_by(row, F.when(F.col("back") == 2, F.lit(1))).alias("p"),
-        F.count("*").cast("int").alias("version_count"),
-        F.min("published_at").alias("first_at"),
+    # The filter on the row number reaches the tasks that read, so at most DORMANCY rows a task and package travel.
+    recent = versions.select(*keys, row.alias("row"), "published_at").withColumn("back", F.row_number().over(by_time)).filter(F.col("back") <= DORMANCY)
+    recent = recent.withColumn("gap", millis_between(F.col("published_at"), F.lead("published_at").over(by_time)))
+    newest = recent.groupBy(*keys).agg(
+        F.max_by("row", F.when(F.col("back") == 1, F.lit(1))).alias("n"),
+        F.max_by("row", F.when(F.col("back") == 2, F.lit(1))).alias("p"),
         F.max(F.when((F.col("back") < DORMANCY) & (F.col("gap") > 0), F.col("gap"))).alias("dormancy_ms"),
     )
+    counts = versions.groupBy(*keys).agg(F.count("*").cast("int").alias("version_count"), F.min("published_at").alias("first_at"))
+    tagged = versions.join(packages.select(*keys, F.col("latest_tag").alias("version")).distinct(), [*keys, "version"]).groupBy(*keys).agg(F.max_by(row, "published_at").alias("tagged"))
+    picked = counts.join(newest, keys, "left").join(tagged, keys, "left").withColumn("l", F.coalesce("tagged", "n"))
     return _profile(packages.join(picked, keys, "left"), keys, as_of)
 
 

@@ -76,3 +76,21 @@ def completeness(coverage: DataFrame, failed: Column | None = None) -> DataFrame
 
 def exit_code(complete: Column, findings: Column) -> Column:
     return F.when(~complete, EXIT_ERROR).when(findings > 0, EXIT_FOUND).otherwise(EXIT_OK)
+
+
+#: Bits of the bitmap in bitmap_filtered(); as rows of 4 KB it is 8 MB, whatever the tables' sizes.
+BITS = 1 << 26
+
+
+def bitmap_filtered(large: DataFrame, small: DataFrame, keys: list[str], bits: int = BITS) -> DataFrame:
+    """The rows of ``large`` that may have a partner in ``small`` by ``keys``: all that have one, and few others, as long as ``small`` has fewer keys than ``bits``.
+
+    The hashes of the smaller side's keys are bits of a map of fixed size, which is broadcast, so the larger side loses its other rows
+    where it is read, before any join. A key with a null has no partner.
+    """
+    place = lambda rows: rows.withColumn("__at", F.when(~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)), F.pmod(F.xxhash64(*keys), F.lit(bits))))
+    bitmap = place(small.select(*keys)).filter("__at is not null").groupBy(F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__bits"))
+    met = place(large).withColumn("__bucket", F.bitmap_bucket_number("__at")).join(F.broadcast(bitmap), "__bucket")
+    position = F.bitmap_bit_position("__at")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__at) % 8 as int))")) != 0).select(*large.columns)

@@ -1,17 +1,18 @@
 """Reports: JSON documents, sections by severity, annotation lines, SARIF.
 
-A JSON report is rows of text: one head, then one row per result, written in parallel. document() puts a report of a bounded size into one
-JSON document; SARIF comes as documents of a bounded number of results each.
+A JSON report is rows of text: one head, then one row per result, written in parallel. write_document() and write_sarif() make one document of any size:
+its parts are text files in order, written by as many tasks, and merge() puts them into one file. document() and sarif() give small documents as rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.severity import order_of
 from palisade.functions.text import sanitize
 from palisade.operators.advisories import count_by_severity
+from palisade.scratch import written
 
 #: Results that one JSON document holds.
 MOST_RESULTS = 10_000
@@ -33,6 +34,57 @@ def document(report: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
     return parts.select(F.concat(F.expr("substring(head, 1, length(head) - 1)"), body).alias("value"))
 
 
+#: Rows of a document in one of its files.
+PART_ROWS = 100_000
+
+
+def _write(spark: SparkSession, segments: list[str | DataFrame], folder: str) -> None:
+    """Write a JSON text whose ``segments`` are literal texts and tables of list elements (``value``), as text files in order.
+
+    Elements are sorted and numbered over all tasks; all but a list's first one have a comma before them.
+    """
+    rows, count = None, 0
+    for k, segment in enumerate(segments):
+        if isinstance(segment, str):
+            one = spark.range(1).select(F.lit(k).alias("segment"), F.lit(0).cast("long").alias("at"), F.lit(segment).alias("text"))
+        else:
+            n = segment.count()
+            count += n
+            order = F.xxhash64("value")
+            placed = segment.select("value", order.alias("h")).repartitionByRange(max(1, n // PART_ROWS + 1), "h").sortWithinPartitions("h", "value").select("value", F.monotonically_increasing_id().alias("at"))
+            placed = written(placed, "document-list")
+            first = placed.agg(F.min("at")).first()[0]
+            one = placed.select(F.lit(k).alias("segment"), "at", F.concat(F.when(F.col("at") != F.lit(first), ",").otherwise(""), "value").alias("text"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows.repartitionByRange(count // PART_ROWS + 1, "segment", "at").sortWithinPartitions("segment", "at").select("text").write.text(folder)
+
+
+def merge(spark: SparkSession, folder: str, file: str) -> None:
+    """Put the parts in ``folder`` into one ``file``, one after the other through a buffer."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    source, target = path(folder), path(file)
+    fs = source.getFileSystem(conf)
+    parts = sorted((s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for part in parts:
+            stream = fs.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+    finally:
+        out.close()
+
+
+def write_document(report: DataFrame, folder: str) -> None:
+    """Write a report of any number of results as one JSON document in text files in order. A report has one head; without results its list is empty."""
+    report = report.select("part", "value")
+    heads = report.filter("part = 'head'").select("value").collect()  # one row
+    field = report.filter("part != 'head'").select("part").limit(1).collect()
+    head = heads[0]["value"][:-1] + f', "{field[0]["part"] if field else "results"}": ['
+    _write(report.sparkSession, [head, report.filter("part != 'head'").select("value"), "]}"], folder)
+
+
 def scan_report(vulns: DataFrame, verdict: DataFrame) -> DataFrame:
     """Of a scan: verdict, counts by severity, all findings."""
     head = verdict.crossJoin(count_by_severity(vulns).select(F.struct("*").alias("summary")))  # one row each
@@ -106,14 +158,11 @@ LOCATIONS = {"pypi": "requirements.txt", "PyPI": "requirements.txt", "cargo": "C
 REFERENCES = 5
 
 
-def sarif(vulns: DataFrame, complete: Column, tool: str = "palisade", most: int = MOST_RESULTS) -> DataFrame:
-    """SARIF 2.1.0 documents of about ``most`` results each, each with the rules of its own results: ``part``, ``value``.
+SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
-    ``vulns`` may have ``ecosystem``, which places findings without a ``source_file``, and ``references``, of which the first
-    ones are shown.
-    """
-    n = vulns.count()
-    parts = max(1, -(-n // most))
+
+def _sarif_rows(vulns: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``vulns`` with all columns that count, and a SARIF rule of sarif_rules() and a result of ``vulns`` as structs."""
     kept = vulns.withColumns({c: F.lit(None).cast(k) for c, k in (("ecosystem", "string"), ("references", "array<string>")) if c not in vulns.columns})
     rule = F.struct(F.col("id"), F.struct(F.col("text")).alias("shortDescription"), F.struct(F.col("level")).alias("defaultConfiguration")).alias("rule")
     message = F.struct(F.concat("package", F.lit("@"), "version", F.lit(": "), "summary").alias("text"))
@@ -123,6 +172,27 @@ def sarif(vulns: DataFrame, complete: Column, tool: str = "palisade", most: int
     where = F.array(F.struct(F.struct(F.struct(F.coalesce("source_file", place).alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
     related = F.transform(F.slice(F.coalesce("references", F.array().cast("array<string>")), 1, REFERENCES), lambda u, i: F.struct(i.alias("id"), F.struct(u.alias("text")).alias("message")))
     result = F.struct(F.col("display_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), message.alias("message"), where.alias("locations"), F.when(F.size(related) > 0, related).alias("relatedLocations")).alias("result")
+    return kept, rule, result
+
+
+def write_sarif(vulns: DataFrame, complete: bool, folder: str, tool: str = "palisade") -> None:
+    """Write any number of findings as one SARIF 2.1.0 document in text files in order."""
+    kept, rule, result = _sarif_rows(vulns)
+    rules = sarif_rules(vulns).select(F.to_json(rule).alias("value"))
+    head = f'{{"version":"2.1.0","$schema":"{SCHEMA}","runs":[{{"tool":{{"driver":{{"name":"{tool}","rules":['
+    tail = f']}}}},"invocations":[{{"executionSuccessful":{str(complete).lower()}}}],"results":['
+    _write(vulns.sparkSession, [head, rules, tail, kept.select(F.to_json(result).alias("value")), "]}]}"], folder)
+
+
+def sarif(vulns: DataFrame, complete: Column, tool: str = "palisade", most: int = MOST_RESULTS) -> DataFrame:
+    """SARIF 2.1.0 documents of about ``most`` results each, each with the rules of its own results: ``part``, ``value``.
+
+    ``vulns`` may have ``ecosystem``, which places findings without a ``source_file``, and ``references``, of which the first
+    ones are shown.
+    """
+    n = vulns.count()
+    parts = max(1, -(-n // most))
+    kept, rule, result = _sarif_rows(vulns)
     part = F.pmod(F.xxhash64("package", "version", "display_id"), F.lit(parts)).alias("part")
     each = kept.select(part, result, F.col("display_id").alias("id")).join(sarif_rules(vulns).select("id", rule), "id")
     whole = each.groupBy("part").agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.array_sort(F.collect_list("result")).alias("results"))
@@ -130,4 +200,4 @@ def sarif(vulns: DataFrame, complete: Column, tool: str = "palisade", most: int
         none = each.select("rule", "result").schema
         whole = vulns.sparkSession.range(1).select(F.lit(0).cast("long").alias("part"), F.array().cast(f"array<{none['rule'].dataType.simpleString()}>").alias("rules"), F.array().cast(f"array<{none['result'].dataType.simpleString()}>").alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"), F.array(F.struct(complete.alias("executionSuccessful"))).alias("invocations"))
-    return whole.select("part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.array(run).alias("runs"))).alias("value"))
+    return whole.select("part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit(SCHEMA).alias("$schema"), F.array(run).alias("runs"))).alias("value"))

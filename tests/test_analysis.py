@@ -212,3 +212,64 @@ def test_signals_of_the_version_in_use(spark, registry, deps, as_of):
     assert got["npm", "foo", "1.0.0"][0] == set() and got["npm", "foo", "9.0.0"][0] == {"VERSION_ANOMALY"}
     unknown = deps.withColumn("version", F.lit("7.7.7"))
     assert {v[1] for v in levels(pipelines.analyze(unknown, spark.createDataFrame([], VULNS), packages, history, Options(verbose=True, as_of_version=True), as_of)).values()} == {"UNKNOWN"}
+
+
+def test_hot_packages_send_few_rows(spark, as_of):
+    n = 50_000
+    history = spark.range(n).select(F.lit("npm").alias("ecosystem"), F.when(F.col("id") >= 0, "hot").alias("name"), F.concat(F.col("id").cast("string"), F.lit(".0.0")).alias("version"), (F.lit(NOW) - F.make_interval(mins=(n - F.col("id")).cast("int"))).cast("timestamp_ntz").alias("published_at"), F.lit("ann").alias("publisher"), F.lit(None).cast("map<string,string>").alias("scripts"), F.lit(None).cast("map<string,string>").alias("dependencies")).repartition(8)
+    packages = spark.createDataFrame([("npm", "hot", "7.0.0", None, ["a"], "git", "MIT")], f"ecosystem string, {PACKAGE}")
+    found = registry_ops.profiles(packages, history, as_of, ("ecosystem", "name"))
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    row = found.first()
+    assert (row["latest_version"], row["previous_version"], row["version_count"], row["dormancy_ms"]) == ("7.0.0", f"{n - 2}.0.0", n, 60_000)
+    assert registry_ops.profiles(packages.withColumn("latest_tag", F.lit("gone")), history, as_of, ("ecosystem", "name")).first()["latest_version"] == f"{n - 1}.0.0"
+
+
+def test_bitmap_filter(spark):
+    from palisade.operators import advisories, relational
+
+    keys = ["ecosystem", "name", "version"]
+    large = spark.range(40_000).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), "id").alias("name"), F.when(F.col("id") % 1000 != 0, (F.col("id") % 3).cast("string")).alias("version"), F.concat(F.lit("V"), "id").alias("id"))
+    small = large.filter("name like '%77'").select(*keys)
+    kept = relational.bitmap_filtered(large, small, keys)
+    assert kept.columns == large.columns and small.count() <= kept.count() < small.count() + 40
+    a, b = (advisories.lookup(small, large, narrow=narrow)[0] for narrow in (False, True))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect())) and a.count() == small.count()
+    assert relational.bitmap_filtered(large, small, keys, bits=64).count() >= small.count()  # too small a map keeps too much, never too little
+    assert relational.bitmap_filtered(large, small.limit(0), keys).count() == 0
+
+
+def test_documents_of_any_size(spark, tmp_path):
+    import json
+    import os
+
+    from palisade.sinks import reports
+
+    n = 1_000_000
+    rows = spark.range(n).select(F.concat(F.lit("p"), "id").alias("package"), F.lit("1").alias("version"), F.lit('HI"GH\n').alias("severity"))
+    report = reports._report("scan", spark.range(1).select(F.lit(True).alias("complete")), rows, "vulnerabilities")
+    reports.write_document(report, f"{tmp_path}/doc")
+    assert len([f for f in os.listdir(tmp_path / "doc") if f.startswith("part-")]) > 5
+    reports.merge(spark, f"{tmp_path}/doc", f"{tmp_path}/doc.json")
+    doc = json.load(open(tmp_path / "doc.json"))
+    assert doc["command"] == "scan" and doc["complete"] is True and len(doc["vulnerabilities"]) == n and len({v["package"] for v in doc["vulnerabilities"]}) == n
+    reports.write_document(report.filter("part = 'head'"), f"{tmp_path}/none")
+    reports.merge(spark, f"{tmp_path}/none", f"{tmp_path}/none.json")
+    assert json.load(open(tmp_path / "none.json"))["results"] == []
+
+
+def test_sarif_of_any_size(spark, tmp_path):
+    import json
+
+    from palisade.sinks import reports
+
+    found = spark.range(25_000).select(F.concat(F.lit("V"), F.col("id") % 40).alias("display_id"), F.lit("HIGH").alias("severity"), F.concat(F.lit("p"), "id").alias("package"), F.lit("1").alias("version"), F.lit("s").alias("summary"), F.lit("f").alias("source_file"))
+    reports.write_sarif(found, False, f"{tmp_path}/s")
+    reports.merge(spark, f"{tmp_path}/s", f"{tmp_path}/s.json")
+    run = json.load(open(tmp_path / "s.json"))["runs"][0]
+    assert len(run["results"]) == 25_000 and len(run["tool"]["driver"]["rules"]) == 40 and run["invocations"] == [{"executionSuccessful": False}]
+    small = json.loads(reports.sarif(found.limit(5), F.lit(False)).first()["value"])["runs"][0]
+    assert set(small["results"][0]) == set(run["results"][0]) and set(small["tool"]["driver"]["rules"][0]) == set(run["tool"]["driver"]["rules"][0])
+    reports.write_sarif(found.limit(0), True, f"{tmp_path}/e")
+    reports.merge(spark, f"{tmp_path}/e", f"{tmp_path}/e.json")
+    assert json.load(open(tmp_path / "e.json"))["runs"][0]["results"] == []
