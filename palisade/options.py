@@ -28,6 +28,7 @@ class Options:
     force: bool = False
     any_age: bool = False
     as_of_version: bool = False
+    narrow_lookup: bool = False
     popular_npm: tuple[str, ...] = tuple(POPULAR_NPM)
     popular_pypi: tuple[str, ...] = tuple(POPULAR_PYPI)
     known_install_scripts: tuple[str, ...] = tuple(KNOWN_INSTALL_SCRIPTS)

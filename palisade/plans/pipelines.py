@@ -28,10 +28,13 @@ def watched(files: DataFrame, opts: Options) -> DataFrame:
 
 
 def scan(deps: DataFrame, index: DataFrame, details: DataFrame, opts: Options, checked: DataFrame | None = None, failures: DataFrame | None = None) -> Report:
-    """Known vulnerabilities of dependencies at or above a severity, the worst first, and whether the answer is complete."""
+    """Known vulnerabilities of dependencies at or above a severity, the worst first, and whether the answer is complete.
+
+    They are written once, for rows, verdict and reports. With ``narrow_lookup``, an index much larger than ``deps`` loses other packages' rows where it is read.
+    """
     unique = relational.first_wins(deps, KEYS, ["source_file", "ord"])
-    hits, coverage = advisories.lookup(advisories.supported(unique), index, checked)
-    vulns = advisories.filter_by_severity(advisories.vulnerabilities(hits, details), opts.least_severity)
+    hits, coverage = advisories.lookup(advisories.supported(unique), index, checked, opts.narrow_lookup)
+    vulns = advisories.filter_by_severity(written(advisories.vulnerabilities(hits, details), "vulnerabilities"), opts.least_severity)
     ranked = vulns.orderBy(F.coalesce(order_of(F.col("severity")), F.lit(99)).desc(), "package", "version", "id")
     return Report(ranked, verdict(coverage, failures, vulns))
 
@@ -43,7 +46,7 @@ def scan_cached(deps: DataFrame, cached: DataFrame, index: DataFrame, details: D
     old = parted.filter("hit").select(F.inline("vulns"))
     missed = parted.filter("not hit").select(*KEYS)
     hits, coverage = advisories.lookup(missed, index)
-    new = advisories.vulnerabilities(hits, details)
+    new = written(advisories.vulnerabilities(hits, details), "vulnerabilities")
     shape = F.struct(*[F.col(c) for c in new.columns])
     per_package = new.filter("not details_missing").groupBy("ecosystem", F.col("package").alias("name"), "version").agg(F.collect_list(shape).alias("vulns"))
     partial = new.filter("details_missing").select("ecosystem", F.col("package").alias("name"), "version").distinct()
@@ -88,7 +91,7 @@ def fix_all(deps: DataFrame, index: DataFrame, details: DataFrame, opts: Options
     """
     unique = relational.first_wins(deps, KEYS, ["source_file", "ord"])
     hits, coverage = advisories.lookup(advisories.supported(unique), index, checked)
-    vulns = advisories.filter_by_severity(advisories.vulnerabilities(hits, details), opts.least_severity)
+    vulns = advisories.filter_by_severity(written(advisories.vulnerabilities(hits, details), "vulnerabilities"), opts.least_severity)
     current = unique.groupBy("ecosystem", F.col("name").alias("package")).agg(F.min("version").alias("version"))
     rows = written(fix(vulns, index, current, checked), "fixes")
     asked = coverage.select("covered").unionByName(rows.select((F.col("unverified") == 0).alias("covered")))

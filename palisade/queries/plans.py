@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palisade.functions import text
@@ -10,11 +12,12 @@ from palisade.options import Options
 from palisade.plans import pipelines
 from palisade.queries.tables import orders, table
 from palisade.schema import ADVISORY, DAY_MS
+from palisade.scratch import root
 from palisade.sinks import reports
 from palisade.sources import parsers
 
 
-def _scan(spark, d):
+def _scan(spark, d, **given):
     """Parts as installed packages, orders as advisories of packages' versions; every seventh advisory has no details, every thirteenth package no answer."""
     p = table(spark, d, "part")
     deps = p.select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.expr("p_partkey % 150")).alias("name"), F.col("p_size").cast("string").alias("version"), F.lit("f").alias("source_file"), F.col("p_partkey").cast("bigint").alias("ord"))
@@ -33,7 +36,7 @@ def _scan(spark, d):
     schema = spark.createDataFrame([], ADVISORY).schema
     details = ids.select(*[(fields[f.name] if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
     checked = p.filter("p_partkey % 150 % 13 != 0").select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.expr("p_partkey % 150")).alias("name"), F.col("p_size").cast("string").alias("version"))
-    return pipelines.scan(deps, index, details, Options(least_severity="MODERATE"), checked)
+    return pipelines.scan(deps, index, details, Options(least_severity="MODERATE", **given), checked)
 
 
 _SCAN = """
@@ -52,6 +55,25 @@ def scan_findings(spark, d):
     return _scan(spark, d).rows.select("id", "display_id", "summary", "severity", "package", "version", "details_missing")
 
 
+def scan_narrowed(spark, d):
+    """As scan_findings, with the index filtered by a bitmap before the lookup."""
+    return _scan(spark, d, narrow_lookup=True).rows.select("id", "package", "version", "severity")
+
+
+def report_document(spark, d):
+    """The elements of one JSON document of all findings, read back from its parts: each as it stands there, and whether a comma is before it."""
+    scan = _scan(spark, d)
+    folder = f"{root(spark)}/document-{uuid.uuid4().hex}"
+    reports.write_document(reports.scan_report(scan.rows, scan.verdict), folder)
+    lines = spark.read.text(folder)
+    element = F.from_json(F.regexp_replace("value", "^,", ""), "id string, package string, version string, severity string")
+    kind = F.when(F.col("value").startswith('{"command"'), "head").when(F.col("value") == "]}", "tail").when(F.col("value").startswith(","), "next").otherwise("first")
+    out = lines.select(kind.alias("kind"), element.alias("e"))
+    inner = F.col("kind").isin("next", "first")
+    counted = out.groupBy(F.when(inner, "element").otherwise(F.col("kind")).alias("kind"), *[F.when(inner, F.col(f"e.{c}")).alias(c) for c in ("id", "package", "version", "severity")])
+    return counted.agg(F.count("*").alias("n")).unionByName(out.filter("kind = 'first'").select(F.lit("first").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("id", "package", "version", "severity")], F.lit(1).cast("long").alias("n")))
+
+
 def scan_verdict(spark, d):
     return _scan(spark, d).verdict
 
@@ -60,6 +82,11 @@ SCAN_VERDICT = _SCAN + """, c AS (SELECT count(*) AS expected, count(*) FILTER (
 SELECT expected, checked, 0::BIGINT AS failed, expected = checked AS complete, (SELECT count(*) FROM f) AS findings, CASE WHEN expected <> checked THEN 2 WHEN (SELECT count(*) FROM f) > 0 THEN 1 ELSE 0 END AS exit_code FROM c"""
 
 
+REPORT_DOCUMENT = _SCAN + """SELECT 'element' AS kind, id, package, version, severity, count(*) AS n FROM f GROUP BY ALL
+UNION ALL SELECT k, NULL, NULL, NULL, NULL, 1 FROM (VALUES ('head'), ('tail')) t(k)
+UNION ALL SELECT 'first', NULL, NULL, NULL, NULL, 1 WHERE EXISTS (SELECT 1 FROM f)"""
+
+
 def report_rows(spark, d):
     """Rows of the reports of a scan, a build server's check and an analysis, by part, with what their heads say."""
     scan = _scan(spark, d)
@@ -372,6 +399,8 @@ QUOTING = "SELECT p_partkey, '''a b''\\''''' || p_partkey || '''' AS quoted FROM
 QUERIES = {
     "scan_findings": (scan_findings, _SCAN + "SELECT * FROM f"),
     "scan_verdict": (scan_verdict, SCAN_VERDICT),
+    "scan_narrowed": (scan_narrowed, _SCAN + "SELECT id, package, version, severity FROM f"),
+    "report_document": (report_document, REPORT_DOCUMENT),
     "report_rows": (report_rows, REPORT_ROWS),
     "guard_plan": (guard_plan, GUARD_PLAN),
     "fix_plan": (fix_plan, FIX_PLAN),
