@@ -11,10 +11,11 @@ from palisade.operators import registry, rules
 from palisade.options import Options
 from palisade.plans import pipelines
 from palisade.queries.tables import orders, table
-from palisade.schema import ADVISORY, DAY_MS
+from palisade.schema import ADVISORY, DAY_MS, ECOSYSTEMS, VULNERABILITY
 from palisade.scratch import root
 from palisade.sinks import reports
-from palisade.sources import parsers
+from palisade.sources import discovery, parsers
+from palisade.streaming import watch
 
 
 def _scan(spark, d, **given):
@@ -396,7 +397,117 @@ def url_quoting(spark, d):
 
 QUOTING = "SELECT p_partkey, '''a b''\\''''' || p_partkey || '''' AS quoted FROM part"
 
+def scan_cached(spark, d):
+    """As scan_findings, where a cache answers for packages of even size: those of sizes divisible by 4 it knows to be fine, entries of the others are too old."""
+    p = table(spark, d, "part")
+    deps = p.select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.expr("p_partkey % 150")).alias("name"), F.col("p_size").cast("string").alias("version"))
+    index = orders(spark, d).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.expr("o_custkey % 150")).alias("name"), F.expr("cast(o_orderkey % 50 as string)").alias("version"), F.concat(F.lit("V"), F.expr("o_custkey % 90")).alias("id"))
+    now = F.lit("2026-01-02").cast("timestamp_ntz")
+    size = F.col("version").cast("int")
+    kind = ", ".join(c.strip().replace(" ", ": ", 1) for c in VULNERABILITY.split(","))
+    cached = deps.distinct().filter(size % 2 == 0).select("ecosystem", "name", "version", F.when(size % 4 == 0, now).otherwise(F.lit("2026-01-01").cast("timestamp_ntz")).alias("fetched_at"), F.array().cast(f"array<struct<{kind}>>").alias("vulns"))
+    vulns, cache = pipelines.scan_cached(deps, cached, index, spark.createDataFrame([], ADVISORY), Options(), now)
+    found = vulns.select(F.lit("found").alias("kind"), "package", "version", "id", "severity")
+    none = F.lit(None).cast("string")
+    return found.unionByName(cache.select(F.when(F.col("fetched_at") == now, "fresh").otherwise("old").alias("kind"), F.col("name").alias("package"), "version", none.alias("id"), none.alias("severity")))
+
+
+SCAN_CACHED = """
+WITH w AS (SELECT DISTINCT 'p' || p_partkey % 150 AS package, p_size AS size FROM part),
+i AS (SELECT DISTINCT 'p' || o_custkey % 150 AS package, o_orderkey % 50 AS size, 'V' || o_custkey % 90 AS id FROM orders),
+f AS (SELECT w.package, w.size, i.id FROM w JOIN i USING (package, size) WHERE w.size % 4 <> 0)
+SELECT 'found' AS kind, package, size::VARCHAR AS version, id, 'CRITICAL' AS severity FROM f
+UNION ALL SELECT CASE WHEN size % 4 = 0 OR NOT bad THEN 'fresh' ELSE 'old' END, package, size::VARCHAR, NULL, NULL
+FROM (SELECT *, EXISTS (SELECT 1 FROM f WHERE f.package = w.package AND f.size = w.size) AS bad FROM w) WHERE NOT bad OR size % 2 = 0
+"""
+
+
+def npm_manifests(spark, d):
+    """A package.json for each part: exact versions, ranges, what comes from elsewhere, and developers' dependencies."""
+    content = """{"name": "n", "version": "9.9.9", "dependencies": {"Exact{k}": "1.{k}.0", "caret{k}": "^2.{k}.1", "git{k}": "git+https://x/y.git#1.0.0", "any{k}": "*"}, "devDependencies": {"dev{k}": ">= 3.0.{k}-rc.1", "file{k}": "file:../x"}, "optionalDependencies": {"opt{k}": "4.0.0+b{k}"}}"""
+    k = F.col("p_partkey").cast("string")
+    files = table(spark, d, "part").select(F.concat(F.lit("/r/"), k, F.lit("/package.json")).alias("path"), F.replace(F.lit(content), F.lit("{k}"), k).alias("content"))
+    return parsers.npm_manifest(files).select("source_file", "name", "version", "is_dev", "is_direct", "is_range", "is_pinned")
+
+
+NPM_MANIFESTS = """
+SELECT '/r/' || p_partkey || '/package.json' AS source_file, replace(n, '{k}', p_partkey::VARCHAR) AS name, replace(v, '{k}', p_partkey::VARCHAR) AS version, dev AS is_dev, true AS is_direct, range AS is_range, NOT range AS is_pinned
+FROM part, (VALUES ('exact{k}', '1.{k}.0', false, false), ('caret{k}', '2.{k}.1', false, true), ('dev{k}', '3.0.{k}-rc.1', true, true), ('opt{k}', '4.0.0+b{k}', false, false)) t(n, v, dev, range)
+"""
+
+
+def yarn_berry(spark, d):
+    """A yarn.lock of the newer kind for each part; the project itself is no dependency."""
+    content = """__metadata:\n  version: 6\n\n"@s/a{k}@npm:^1.0.0, @s/a{k}@npm:^1.1.0":\n  version: 1.1.{k}\n  resolution: "@s/a{k}@npm:1.1.{k}"\n  checksum: c{k}\n  languageName: node\n\n"b{k}@npm:2.0.0":\n  version: 2.0.0\n\n"app@workspace:.":\n  version: 0.0.0-use.local\n"""
+    k = F.col("p_partkey").cast("string")
+    files = table(spark, d, "part").select(F.concat(F.lit("/r/"), k, F.lit("/yarn.lock")).alias("path"), F.replace(F.lit(content), F.lit("{k}"), k).alias("content"))
+    return parsers.yarn_lock(files).select("source_file", "name", "version", "integrity")
+
+
+YARN_BERRY = """
+SELECT '/r/' || p_partkey || '/yarn.lock' AS source_file, replace(n, '{k}', p_partkey::VARCHAR) AS name, replace(v, '{k}', p_partkey::VARCHAR) AS version, replace(i, '{k}', p_partkey::VARCHAR) AS integrity
+FROM part, (VALUES ('@s/a{k}', '1.1.{k}', 'c{k}'), ('b{k}', '2.0.0', NULL)) t(n, v, i)
+"""
+
+
+def npm_documents(spark, d):
+    """Registry documents of customers, whose orders are their versions; every ninth order has no time, every tenth document is broken."""
+    o = table(spark, d, "orders")
+    version = F.concat(F.lit("1.0."), "o_orderkey")
+    time = F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entry = F.struct(F.struct(F.concat(F.lit("clerk"), F.col("o_orderkey") % 3).alias("name")).alias("_npmUser"), F.create_map(F.lit("install"), F.lit("x")).alias("scripts"))
+    each = o.select("o_custkey", version.alias("v"), F.when(F.col("o_orderkey") % 9 != 0, time).alias("t"), entry.alias("e"))
+    docs = each.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("v", "e"))).alias("versions"), F.map_from_entries(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("v", "t")))).alias("time"), F.max("v").alias("latest"))
+    text = F.to_json(F.struct(F.concat(F.lit("c"), "o_custkey").alias("name"), F.struct("latest").alias("dist-tags"), "time", "versions", F.array(F.struct(F.lit("m").alias("name"))).alias("maintainers"), F.struct(F.lit("git").alias("url")).alias("repository")))
+    content = F.when(F.col("o_custkey") % 10 == 0, F.concat(F.lit("<"), text)).otherwise(text)
+    packages, versions = registry.npm_tables(docs.select(content.alias("content")))
+    return versions.join(packages, "name").select("name", "version", "published_at", "publisher", F.col("scripts")["install"].alias("script"), (F.col("version") == F.col("latest_tag")).alias("is_latest"), F.array_join("maintainers", ",").alias("maintainers"), "repository")
+
+
+NPM_DOCUMENTS = """
+SELECT 'c' || o_custkey AS name, '1.0.' || o_orderkey AS version, o_orderdate::TIMESTAMP AS published_at, 'clerk' || o_orderkey % 3 AS publisher, 'x' AS script,
+       '1.0.' || o_orderkey = max('1.0.' || o_orderkey) OVER (PARTITION BY o_custkey) AS is_latest, 'm' AS maintainers, 'git' AS repository
+FROM orders WHERE o_custkey % 10 <> 0 QUALIFY o_orderkey % 9 <> 0
+"""
+
+
+def poll_worst(spark, d):
+    """The ten worst findings on the installed parts of scan_findings, as the watch's timer reports them."""
+    p = table(spark, d, "part")
+    deps = p.select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.expr("p_partkey % 150")).alias("name"), F.col("p_size").cast("string").alias("version"))
+    index = orders(spark, d).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.expr("o_custkey % 150")).alias("name"), F.expr("cast(o_orderkey % 50 as string)").alias("version"), F.concat(F.lit("V"), F.expr("o_custkey % 90"), F.lit("-"), F.expr("o_orderkey % 50")).alias("id"))
+    return watch.poll(deps, index, spark.createDataFrame([], ADVISORY), "HIGH").select("package", "version", "id", "severity", "total")
+
+
+POLL_WORST = """
+WITH f AS (SELECT DISTINCT 'p' || p_partkey % 150 AS package, p_size::VARCHAR AS version, 'V' || o_custkey % 90 || '-' || o_orderkey % 50 AS id FROM part JOIN orders ON p_partkey % 150 = o_custkey % 150 AND p_size = o_orderkey % 50)
+SELECT package, version, id, 'CRITICAL' AS severity, (SELECT count(*) FROM f) AS total FROM f ORDER BY package, id LIMIT 10
+"""
+
+
+def discovered_files(spark, d):
+    """Which of a folder's files are read: its lockfiles, or the manifests of ecosystems without one. Folders lack some formats each."""
+    n = F.array_position(F.array(*[F.lit(f) for f, *_ in _FORMATS]), F.regexp_extract("path", r"^/r/\d+/(.*)$", 1))
+    files = _format_files(spark, d).filter(n > 0).withColumn("k", F.regexp_extract("path", r"^/r/(\d+)/", 1).cast("long")).filter((F.col("k") + n) % 3 != 0)
+    shaped = files.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "content")
+    return discovery.preferred_files(shaped).select("path", "ecosystem", "kind", "fallback")
+
+
+_PLACES = ", ".join(f"({n}, '{f}', '{e}', '{kind}')" for n, (f, *_) in enumerate(_FORMATS, 1) for e, _, locks, manifests in ECOSYSTEMS for kind, names in (("lock", locks), ("manifest", manifests)) if f in names or ("*.csproj" in names and f.endswith(".csproj")))
+DISCOVERED = f"""
+WITH f(n, file, ecosystem, kind) AS (VALUES {_PLACES}),
+x AS (SELECT p_partkey, f.*, bool_or(kind = 'lock') OVER (PARTITION BY p_partkey, ecosystem) AS locked FROM part, f WHERE (p_partkey + n) % 3 <> 0)
+SELECT '/r/' || p_partkey || '/' || file AS path, ecosystem, kind, NOT locked AS fallback FROM x WHERE NOT locked OR kind = 'lock'
+"""
+
+
 QUERIES = {
+    "scan_cached": (scan_cached, SCAN_CACHED),
+    "npm_manifests": (npm_manifests, NPM_MANIFESTS),
+    "yarn_berry": (yarn_berry, YARN_BERRY),
+    "npm_documents": (npm_documents, NPM_DOCUMENTS),
+    "poll_worst": (poll_worst, POLL_WORST),
+    "discovered_files": (discovered_files, DISCOVERED),
     "scan_findings": (scan_findings, _SCAN + "SELECT * FROM f"),
     "scan_verdict": (scan_verdict, SCAN_VERDICT),
     "scan_narrowed": (scan_narrowed, _SCAN + "SELECT id, package, version, severity FROM f"),
