@@ -32,6 +32,9 @@ RECORD_ID = "<urn:page:{}:{}>"
 #: Parts into which the pages of one payload are dealt, where they are joined with the one that holds it.
 SALTS = 64
 
+#: Rows of shared payloads up to which they are broadcast, about 150 bytes each; beyond it pages are joined with them by payload and salt.
+BROADCAST_ROWS = 200_000
+
 # ---- writing
 
 
@@ -66,8 +69,9 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
         repeated = keyed.select("sha", "id", "uid").join(whole.filter("times > 1"), "sha").filter(F.col("id").eqNullSafe(F.col("best")))
         whole = whole.join(repeated.groupBy("sha").agg(F.min("uid").alias("first")), "sha", "left")
     chosen = each.select("sha", "salt").distinct().join(whole, "sha").select("sha", "salt", "best", "first", F.lit(True).alias("shared"))
-    # As a table its size is known, so Spark broadcasts it if it is below the session's limit; then no payload travels.
-    out = keyed.join(materialize(chosen, "shared-payloads"), ["sha", "salt"], "left")
+    chosen = materialize(chosen, "shared-payloads")
+    few = chosen.count() <= BROADCAST_ROWS  # then no payload travels
+    out = keyed.join(F.broadcast(chosen) if few else chosen, ["sha", "salt"], "left")
     kept = F.col("id").eqNullSafe(F.col("best")) & (F.col("first").isNull() | (F.col("uid") == F.col("first")))
     refers = F.when(F.col("shared") & (F.octet_length("payload") >= least) & ~kept, F.struct(F.col("best").alias("id")))
     return out.select("id", "url", "payload", "sha", sha1_base32(F.col("payload").cast("binary")).alias("digest"), refers.alias("refers"))

@@ -100,6 +100,13 @@ def test_least_bytes_repeated_rows_and_null_ids(spark, tmp_path):
     assert sorted(got, key=str) == sorted([(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None), (4, "revisit", 4), (None, "revisit", 4), (None, "response", None), (5, "response", None)], key=str)
 
 
+def test_many_shared_payloads_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 1)
+    rows = [(k, "u", f"page {k % 7}") for k in range(80)]
+    W.write_warc(spark.createDataFrame(rows, PAGES).repartition(3), f"file://{tmp_path}/w")
+    assert found(W.pages_of(W.read_warc(spark, f"file://{tmp_path}/w")[0])) == brute(rows)
+
+
 def test_broken_archives(spark, tmp_path):
     W.write_warc(spark.createDataFrame([(k, "u", f"page {k}") for k in range(9)], PAGES).coalesce(1), f"file://{tmp_path}/w")
     data = open(glob.glob(f"{tmp_path}/w/*.txt")[0], "rb").read()
