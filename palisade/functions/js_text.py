@@ -3,7 +3,8 @@ r"""JavaScript as text that patterns can't misread.
 Strings, templates, comments and regular expressions nest (a template's fill-in may hold templates), which no regular expression can follow, so
 one small scanner with a stack marks them; all rules are built-in expressions over its result:
 
-* A string is \x01 content \x02. In its content all but letters, digits and _ are other characters, so no pattern for code matches there.
+* A string is \x01 content \x02. In its content all but letters, digits and _ are other characters, so no pattern for code matches there. Of long strings
+  only what a rule could look for is kept.
 * A template is such a string, with the code that it fills in behind it, whatever its depth.
 * Comments are a space, regular expressions a word.
 * A parenthesis has its depth beside it, as a character of the private range: ( d before, d ) after. One call's arguments end at the first ) of its depth.
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 
 BROKEN = "\x0e"
 DEPTHS = 6000
+#: Of a string of more characters only its first word and those with a slash or a point are kept: no rule looks for other words in strings so long.
+LONG = 256
 _FOREIGN = re.compile("[\x01-\x08\x0e\ue000-\uf8ff]")
 _PART = re.compile(r"""(?P<text>"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*')|(?P<note>//[^\n]*|/\*[\s\S]*?\*/)|(?P<plain>[^"'`(){}/]+)|(?P<mark>[\s\S])""")
 _TEMPLATE = re.compile(r"[^`\\$]*(?:(?:\\[\s\S]|\$(?!\{))[^`\\$]*)*")
@@ -36,6 +39,10 @@ _INSIDE = {k: "\x07" for k in range(128) if not (chr(k).isalnum() or chr(k) == "
 def _string(content: str) -> str:
     if "\\" in content:
         content = _ESCAPE.sub(lambda m: chr(int(m[1] or m[2] or m[3], 16)) if m[1] or m[2] or m[3] else {"n": "\n", "t": "\t"}.get(m[4], m[4] or ""), content)
+    if len(content) > LONG:
+        words = content.split()
+        kept = [w for w in words[1:] if "/" in w or "." in w]
+        content = content[:1] * content[:1].isspace() + " ".join([*words[:1], *kept])
     return "\x01" + _FOREIGN.sub(" ", content).translate(_INSIDE) + "\x02"
 
 

@@ -6,6 +6,8 @@ parentheses. A text whose brackets, strings or templates don't close counts as u
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,11 @@ _TAKEN = rf"(?:(?:const|let|var)\s*\{{{{[^}}}}]*\b{{f}}\b[^}}}}]*\}}}}\s*=\s*req
 #: A call's arguments before its last one: all up to a comma, but not past the ) of the depth that the pattern's group 1 holds.
 _EARLIER = r"\(([\ue000-\uf8ff])(?:(?!\1\))[\s\S])*?,"
 
-#: Pattern, severity, what scanned text must match, a word that it must hold.
+#: Pattern, severity, what scanned text must match, words of which it must hold one.
 JS_RULES = [
-    ("CODE_EXECUTION", "CRITICAL", rf"(?:{_O}|,)\s*(?:eval|Function)\s*(?:{_C}|,)", ""),
+    ("CODE_EXECUTION", "CRITICAL", rf"(?:{_O}|,)\s*(?:eval|Function)\s*(?:{_C}|,)", "eval|Function"),
     ("DYNAMIC_IMPORT", "HIGH", rf"\bimport\s*{_O}\s*(?!{_STRING}\s*{_C})(?!{_C})\S", "import"),
-    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w.$])(?<!\bnew\s{{1,9}})(?:eval|Function)\s*{_O}", ""),
+    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w.$])(?<!\bnew\s{{1,9}})(?:eval|Function)\s*{_O}", "eval|Function"),
     ("DYNAMIC_REQUIRE", "HIGH", rf"(?<![\w.$])require\s*{_O}\s*(?!{_C})[^\x01\s]", "require"),
     ("PROCESS_SPAWN", "CRITICAL", _MODULE.format("child_process") + rf"\s*\.\s*{_SPAWN}\s*{_O}", "child_process"),
     ("PROCESS_SPAWN", "CRITICAL", rf"\bprocess\s*\.\s*binding\s*{_O}", "binding"),
@@ -59,10 +61,10 @@ JS_RULES = [
     ("CODE_EXECUTION", "CRITICAL", rf"\bWebAssembly\s*\.\s*(?:instantiate|compile)(?:Streaming)?\s*{_O}", "WebAssembly"),
     ("CODE_EXECUTION", "CRITICAL", rf"\.\s*constructor\s*{_O}\s*{_S}", "constructor"),
     ("NETWORK_ACCESS", "HIGH", rf"(?<![\w.$])fetch\s*{_O}", "fetch"),
-    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w$])(?:setTimeout|setInterval|setImmediate)\s*{_O}\s*{_S}", "set"),
+    ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w$])(?:setTimeout|setInterval|setImmediate)\s*{_O}\s*{_S}", "setTimeout|setInterval|setImmediate"),
     ("CODE_EXECUTION", "CRITICAL", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*{_S}(?:eval|Function){_E}\s*\]\s*{_O}", "["),
     ("POSSIBLE_OBFUSCATION", "HIGH", rf"(?<![\w.$]){_GLOBAL}\s*\[\s*[^\x01\]\s][^\]]*\]\s*{_O}", "["),
-    ("CODE_EXECUTION", "CRITICAL", rf"\bnew\s+Function\s*{_O}", "new"),
+    ("CODE_EXECUTION", "CRITICAL", rf"\bnew\s+Function\s*{_O}", "Function"),
     ("CODE_EXECUTION", "HIGH", rf"\bnew\s+Worker\s*{_O}", "Worker"),
     ("CODE_EXECUTION", "CRITICAL", rf"\bnew\s+WebAssembly\s*\.\s*(?:Module|Instance)\s*{_O}", "WebAssembly"),
     ("ENV_HARVESTING", "CRITICAL", rf"\bprocess\s*(?:\.\s*env\b|\[\s*{_S}env{_E}\s*\])\s*(?:\.\s*{_ENV}\b|\[\s*{_S}{_ENV}{_E}\s*\])", "env"),
@@ -127,7 +129,8 @@ def _through(code: Column, names: Column, methods: str, argument: str) -> Column
 def js_hits(code: Column, bound: Column) -> list[tuple[str, str, Column]]:
     """``pattern, severity`` and the number of matches in scanned text ``code``, whose statements that bind modules are ``bound``."""
     count = lambda text, rx: F.regexp_count(text, F.lit(rx))
-    out = [(p, s, F.when(code.contains(word), count(code, rx)).otherwise(0) if word else count(code, rx)) for p, s, rx, word in JS_RULES]
+    has = lambda words: reduce(Column.__or__, [code.contains(w) for w in words.split("|")])
+    out = [(p, s, F.when(has(words), count(code, rx)).otherwise(0)) for p, s, rx, words in JS_RULES]
     for pattern, severity, module, methods, argument in JS_BOUND:
         groups = [F.regexp_extract_all(bound, F.lit(_BOUND.format(m=module)), F.lit(group)) for group in (1, 2, 3, 4)]
         names = F.filter(F.array_distinct(F.concat(*groups)), lambda n: n != "")
@@ -135,7 +138,8 @@ def js_hits(code: Column, bound: Column) -> list[tuple[str, str, Column]]:
         called = _MODULE.format(module) + rf"\s*\.\s*(?:promises\s*\.\s*)?{methods}\s*{_O}"
         direct = F.when(bound.rlike(called), count(code, called + argument)).otherwise(0) if module != "child_process" else F.lit(0)
         out.append((pattern, severity, F.when(bound != "", _through(code, names, methods, argument) + taken + direct).otherwise(0)))
-    out.append(("POSSIBLE_OBFUSCATION", "HIGH", F.when(count(code, rf"[\w$)\]]\s*\[\s*[A-Za-z_$][^\]]*\]\s*{_O}") >= 3, 1).otherwise(0)))
+    computed = F.when(code.contains("["), count(code, rf"[\w$)\]]\s*\[\s*[A-Za-z_$][^\]]*\]\s*{_O}")).otherwise(0)
+    out.append(("POSSIBLE_OBFUSCATION", "HIGH", F.when(computed >= 3, 1).otherwise(0)))
     pairs = [F.length(F.translate(code, a, "")) != F.length(F.translate(code, b, "")) for a, b in ("()", "{}", "[]")]
     out.append(("UNPARSEABLE_CODE", "HIGH", F.when(code.endswith(BROKEN) | pairs[0] | pairs[1] | pairs[2], 1).otherwise(0)))
     return out

@@ -223,6 +223,13 @@ def test_js_from_token_lists(spark):
     assert got == want and any(text.count("${") > 5 for text, _ in made)
 
 
+def test_js_paths_in_long_strings(spark):
+    pad = "word, " * 200
+    sources = [f"const fs = require('fs'); fs.readFileSync('{pad} /home/x/.ssh/id {pad}')", f"const fs = require('fs'); fs.writeFileSync('/etc/x {pad}', y)", f"const fs = require('fs'); fs.writeFileSync(' {pad} /etc/x', y)"]
+    files = spark.createDataFrame(list(enumerate(sources)), "id int, source string")
+    assert {r["id"]: r["pattern"] for r in code_rules.js_findings(files).collect()} == {0: "ENV_HARVESTING", 1: "SYSTEM_PATH_WRITE", 2: "FILESYSTEM_WRITE"}
+
+
 def test_inline_js_of_nested_shells(spark):
     script = "run(1)"
     for k in range(6):
