@@ -262,9 +262,10 @@ def sarif_document(spark, d):
     """What all documents hold together, of at most 1000 results each."""
     docs = reports.sarif(_vulns(spark, d), F.lit(True), most=1000)
     read = F.from_json("value", "version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, level: string>>>>")
-    run = docs.select(read.alias("x")).select("x.version", F.col("x.runs")[0].alias("run"))
-    known = F.forall("run.results", lambda r: F.array_contains(F.col("run.tool.driver.rules.id"), r["ruleId"]))
-    each = run.select("version", known.alias("known"), F.explode("run.results").alias("r"))
+    parts = docs.select(read.alias("x")).select("x.version", F.col("x.runs")[0]["results"].alias("results"), F.col("x.runs")[0]["tool"]["driver"]["rules"]["id"].alias("rules"))
+    # Told of each document before its results become rows: beside each row, the whole document would be checked again.
+    told = parts.select("version", "results", F.forall("results", lambda r: F.array_contains("rules", r["ruleId"])).alias("known"))
+    each = told.select("version", "known", F.explode("results").alias("r"))
     return each.groupBy("version").agg(F.count_distinct("r.ruleId").alias("n_rules"), F.count("*").alias("n_results"), F.count_if(F.col("r.level") == "error").alias("n_errors"), F.bool_and("known").alias("known"))
 
 
