@@ -28,6 +28,11 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x{a0}\x{feff}]+|[\s\x{a0}\x{feff}]+$", "")
 
 
+def base_name(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.substring_index(path, "/", -1)
+
+
 def sanitize(text: Column) -> Column:
     """Without terminal escape sequences and control characters; tab and line ends stay."""
     for pattern in CONTROL_PATTERNS:

@@ -22,6 +22,12 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(row).select(*[f"__row.{c}" if c in rest else c for c in df.columns])
 
 
+def present(df: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` isn't null. A filter would be moved below the column's expression, which then is computed for the filter and again for the result."""
+    each = F.explode(F.when(F.col(column).isNotNull(), F.array(column))).alias(column)
+    return df.select(*[each if c == column else c for c in df.columns])
+
+
 def snapshot(deps: DataFrame) -> DataFrame:
     """What a diff needs of dependencies."""
     return deps.select("ecosystem", "name", "version", "integrity", "ord")

@@ -10,7 +10,7 @@ from palisade.functions import text
 from palisade.operators import registry, rules
 from palisade.options import Options
 from palisade.plans import pipelines
-from palisade.queries.tables import orders, table
+from palisade.queries.tables import dealt, orders, table
 from palisade.schema import ADVISORY, DAY_MS, ECOSYSTEMS, VULNERABILITY
 from palisade.scratch import root
 from palisade.sinks import reports
@@ -344,11 +344,13 @@ _FORMATS = [
 _DEEP = '{{"dependencies": ' + "".join(f'{{{{"t{n}x{{k}}": {{{{"version": "{n}.0", "requires": {{{{"t0": "1"}}}}, "dependencies": ' for n in range(20)) + "{{}}" + "}}}}" * 20 + "}}"
 
 
-def _format_files(spark, d):
+def _format_files(spark, d, chosen=None):
+    """A folder a part; ``chosen``, a condition on its number ``k`` and the file's number ``at``, leaves out some of its files."""
     every = [(n, c.replace("{{", "{").replace("}}", "}")) for n, c, _ in _FORMATS] + [("old/package-lock.json", _DEEP.replace("{{", "{").replace("}}", "}"))]
-    files = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in every])).alias("f")
-    k = F.col("p_partkey").cast("string")
-    return table(spark, d, "part").select(k.alias("k"), files).select(F.concat(F.lit("/r/"), "k", F.lit("/"), "f.n").alias("path"), F.regexp_replace("f.c", r"\{k\}", F.col("k")).alias("content"))
+    files = F.posexplode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in every])).alias("at", "f")
+    each = dealt(table(spark, d, "part").select(F.col("p_partkey").alias("k"))).select("k", files)
+    each = each if chosen is None else each.filter(chosen)
+    return each.select(F.concat(F.lit("/r/"), F.col("k").cast("string"), F.lit("/"), "f.n").alias("path"), F.replace("f.c", F.lit("{k}"), F.col("k").cast("string")).alias("content"))
 
 
 def parse_all_formats(spark, d):
@@ -487,9 +489,8 @@ SELECT package, version, id, 'CRITICAL' AS severity, (SELECT count(*) FROM f) AS
 
 def discovered_files(spark, d):
     """Which of a folder's files are read: its lockfiles, or the manifests of ecosystems without one. Folders lack some formats each."""
-    n = F.array_position(F.array(*[F.lit(f) for f, *_ in _FORMATS]), F.regexp_extract("path", r"^/r/\d+/(.*)$", 1))
-    files = _format_files(spark, d).filter(n > 0).withColumn("k", F.regexp_extract("path", r"^/r/(\d+)/", 1).cast("long")).filter((F.col("k") + n) % 3 != 0)
-    shaped = files.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "content")
+    files = _format_files(spark, d, (F.col("at") < len(_FORMATS)) & ((F.col("k") + F.col("at") + 1) % 3 != 0))
+    shaped = files.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), text.base_name(F.col("path")).alias("file"), "content")
     return discovery.preferred_files(shaped).select("path", "ecosystem", "kind", "fallback")
 
 

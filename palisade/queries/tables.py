@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table in one task that makes a folder of files of each of them.
+TASK_ROWS = 4_000
+
+
+def dealt(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` over as many tasks as its number of rows asks for, as few bytes of a table can stand for many files: one read task would make them all."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows + 1))
+
+
 def severity() -> Column:
     return F.expr(SEVERITY_SQL)
 
