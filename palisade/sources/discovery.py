@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators.relational import prefer
+from palisade.operators.relational import prefer, present
 from palisade.schema import ECOSYSTEMS
 
 
@@ -21,12 +21,12 @@ def _matches(name: str) -> Column:
 
 def dependency_files(files: DataFrame) -> DataFrame:
     """Files that hold dependencies, with ``ecosystem`` and ``kind`` (lock or manifest)."""
-    found = F.lit(None)
+    found = F
     for ecosystem, _, locks, manifests in ECOSYSTEMS:
         for kind, names in (("lock", locks), ("manifest", manifests)):
             for name in names:
-                found = F.when(_matches(name), F.struct(F.lit(ecosystem).alias("ecosystem"), F.lit(kind).alias("kind"))).otherwise(found)
-    return files.withColumn("found", found).filter("found is not null").select(*files.columns, "found.ecosystem", "found.kind")
+                found = found.when(_matches(name), F.struct(F.lit(ecosystem).alias("ecosystem"), F.lit(kind).alias("kind")))
+    return present(files.withColumn("found", found), "found").select(*files.columns, "found.ecosystem", "found.kind")
 
 
 def preferred_files(files: DataFrame) -> DataFrame:

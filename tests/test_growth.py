@@ -18,3 +18,27 @@ def plan(df) -> str:
 def test_sarif_rules_are_told_once_a_document(spark):
     text = plan(library.queries()["sarif_document"](spark, DATA))
     assert text.index("forall") > text.index("Generate explode")  # below it
+
+
+def test_failures_match_each_pattern_once(spark):
+    from palisade.sources import parsers
+
+    files = spark.createDataFrame([("/a/x.csproj", "<Project/>"), ("/b/x.csproj", "no"), ("plain.csproj", None)], "path string, content string")
+    failed = parsers.parse_failures(files)
+    assert "Filter" not in plan(failed)  # a filter would hold all patterns a second time
+    assert {r["path"]: r["reason"] for r in failed.collect()} == {"/b/x.csproj": "unknown form of x.csproj", "plain.csproj": "unreadable plain.csproj"}
+
+
+@tables
+@pytest.mark.parametrize("name", ["parse_failures", "discovered_files"])
+def test_files_of_small_tables_are_made_in_many_tasks(spark, name):
+    assert "Repartition" in plan(library.queries()[name](spark, DATA))
+
+
+def test_files_are_matched_with_names_once(spark):
+    from palisade.sources import discovery
+
+    files = spark.createDataFrame([("/a/Cargo.lock",), ("/a/b.csproj",), ("/a/.csproj",), ("/a/other",)], "path string").selectExpr("path", "'/a' as dir", "substring_index(path, '/', -1) as file", "'' as content")
+    found = discovery.dependency_files(files)
+    assert "Filter" not in plan(found)
+    assert {(r["path"], r["ecosystem"], r["kind"]) for r in found.collect()} == {("/a/Cargo.lock", "cargo", "lock"), ("/a/b.csproj", "nuget", "manifest")}
