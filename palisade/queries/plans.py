@@ -428,7 +428,7 @@ def npm_manifests(spark, d):
     """A package.json for each part: exact versions, ranges, what comes from elsewhere, and developers' dependencies."""
     content = """{"name": "n", "version": "9.9.9", "dependencies": {"Exact{k}": "1.{k}.0", "caret{k}": "^2.{k}.1", "git{k}": "git+https://x/y.git#1.0.0", "any{k}": "*"}, "devDependencies": {"dev{k}": ">= 3.0.{k}-rc.1", "file{k}": "file:../x"}, "optionalDependencies": {"opt{k}": "4.0.0+b{k}"}}"""
     k = F.col("p_partkey").cast("string")
-    files = table(spark, d, "part").select(F.concat(F.lit("/r/"), k, F.lit("/package.json")).alias("path"), F.replace(F.lit(content), F.lit("{k}"), k).alias("content"))
+    files = dealt(table(spark, d, "part").select("p_partkey"), 50_000).select(F.concat(F.lit("/r/"), k, F.lit("/package.json")).alias("path"), F.replace(F.lit(content), F.lit("{k}"), k).alias("content"))
     return parsers.npm_manifest(files).select("source_file", "name", "version", "is_dev", "is_direct", "is_range", "is_pinned")
 
 
@@ -442,7 +442,7 @@ def yarn_berry(spark, d):
     """A yarn.lock of the newer kind for each part; the project itself is no dependency."""
     content = """__metadata:\n  version: 6\n\n"@s/a{k}@npm:^1.0.0, @s/a{k}@npm:^1.1.0":\n  version: 1.1.{k}\n  resolution: "@s/a{k}@npm:1.1.{k}"\n  checksum: c{k}\n  languageName: node\n\n"b{k}@npm:2.0.0":\n  version: 2.0.0\n\n"app@workspace:.":\n  version: 0.0.0-use.local\n"""
     k = F.col("p_partkey").cast("string")
-    files = table(spark, d, "part").select(F.concat(F.lit("/r/"), k, F.lit("/yarn.lock")).alias("path"), F.replace(F.lit(content), F.lit("{k}"), k).alias("content"))
+    files = dealt(table(spark, d, "part").select("p_partkey"), 50_000).select(F.concat(F.lit("/r/"), k, F.lit("/yarn.lock")).alias("path"), F.replace(F.lit(content), F.lit("{k}"), k).alias("content"))
     return parsers.yarn_lock(files).select("source_file", "name", "version", "integrity")
 
 

@@ -22,3 +22,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of rows that a Python worker gets at once, in the mean.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session cuts Arrow batches by BATCH_BYTES too, as 10,000 rows of texts can be of any size."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) != f"{BATCH_BYTES}b":
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df
