@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palisade.functions import severity as sev
 from palisade.functions import text, versions
 from palisade.operators import advisories, code_rules, rules
-from palisade.queries.tables import table
+from palisade.queries.tables import dealt, table
 from palisade.sources import archives, parsers
 
 
@@ -164,7 +164,7 @@ SELECT page_id, CASE WHEN NOT regexp_matches(u, '^[a-z]+://[^/]+') THEN 'INVALID
 
 
 def _files(spark, d, name, content):
-    return table(spark, d, "part").select(F.concat(F.lit("/p/"), F.col("p_partkey").cast("string"), F.lit(f"/{name}")).alias("path"), content.alias("content"))
+    return dealt(table(spark, d, "part"), 50_000).select(F.concat(F.lit("/p/"), F.col("p_partkey").cast("string"), F.lit(f"/{name}")).alias("path"), content.alias("content"))
 
 
 def requirements_parse(spark, d):
@@ -193,7 +193,7 @@ HTML = "SELECT 'org.p' || page_id || ':a' AS name, page_id || '.1' AS version, t
 
 def npm_lock_parse(spark, d):
     """Lockfiles built of events' properties, read as such."""
-    e = table(spark, d, "events")
+    e = dealt(table(spark, d, "events"), 50_000)
     k = F.get_json_object("props", "$.k")
     content = F.concat(F.lit('{"packages": {"": {"version": "1"}, "node_modules/A'), k, F.lit('": {"version": "'), F.col("user_id").cast("string"), F.lit('.0.0", "dev": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit('}, "node_modules/x/node_modules/@s/b": {"version": "2.0.0"}, "node_modules/none": {}}}'))
     files = e.select(F.concat(F.lit("/e/"), F.col("event_id").cast("string"), F.lit("/package-lock.json")).alias("path"), content.alias("content"))
