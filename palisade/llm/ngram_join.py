@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from palisade.llm.arrays import BLANK, LOWER, give_back, mixed, paired, ranges, released, words
 from palisade.llm.blocks import from_planes, planes, text_blocks, texts_of
 from palisade.llm.common import discard, materialize, packed, table
-from palisade.llm.components import connected_components
+from palisade.llm.components import merged_components
 
 WORDS = 5
 #: Similarity, in hundredths.
@@ -296,9 +296,9 @@ def _combined_pairs(opened: DataFrame, sets: DataFrame, threshold: int) -> DataF
 
 
 def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links ``u, v`` between classes: enough of them that their components are those of all links. ``sets(class, n, tokens)``."""
+    """``node, component`` of each class that is linked with another: the components of all links. ``sets(class, n, tokens)``."""
     stars = materialize(sets.select("class", "n", F.array(*[_least_hashed(k) for k in range(ROUNDS)]).alias("stars")), "stars")
-    known_links, groups, n_classes = [], None, stars.count()
+    groups, n_classes = None, stars.count()
     for turn in range(ROUNDS):
         known = _with_components(stars, groups).select("class", "n", "component", F.get("stars", F.lit(turn)).alias("star"))
         one, key = F.struct(F.col("class").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")), F.xxhash64("class", F.lit(turn))
@@ -310,9 +310,8 @@ def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         found = materialize(_verified(near, sets, threshold), "star-links")
         discard(near)
         n_found = found.count()
-        if n_found:  # of earlier links, their components say all
-            groups = materialize(connected_components(_all([*known_links, found])), "star-components", n_classes)
-            known_links = [groups.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+        if n_found:
+            groups = materialize(merged_components(groups, found), "star-components", n_classes)
         if n_found * 50 < n_classes:  # what few links are left, the exact search finds as cheaply
             break
     known = _with_components(sets, groups)
@@ -328,14 +327,7 @@ def similar_classes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rest = materialize(single.unionByName(double).distinct(), "pairs")
     more = materialize(_verified(rest, sets, threshold), "more-links")
     discard(index, open_tokens, rest, stars)
-    return _all([*known_links, more])
-
-
-def _all(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+    return merged_components(groups, more)
 
 
 def _with_components(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -356,8 +348,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     one = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
     classes = rows.filter("n > 0").groupBy("p1", "p2").agg(F.min("number").alias("class"), F.first("n").alias("n"), F.first("tokens", ignorenulls=True).alias("tokens"), F.min(one).alias("best"))
     classes = materialize(classes, "classes")
-    links = similar_classes(classes.filter("tokens is not null").select("class", "n", "tokens"), threshold)
-    groups = materialize(connected_components(links), "components").withColumnRenamed("node", "class")
+    groups = similar_classes(classes.filter("tokens is not null").select("class", "n", "tokens"), threshold)
+    groups = materialize(groups, "components").withColumnRenamed("node", "class")
     member = classes.select("p1", "p2", "class", "best").join(groups, "class", "left").withColumn("group", F.coalesce("component", "class"))
     least = member.groupBy("group").agg(F.min("best").alias("best"))
     named = member.drop("best").join(least, "group").select("p1", "p2", "best")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from palisade.llm import components as C
 from palisade.llm import embedding_dedup as V
 from palisade.llm import ngram_join as N
 from palisade.llm.components import connected_components
@@ -140,6 +141,32 @@ def test_components(spark):
     assert got == components(nodes, edges)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_merged_components_run_over_components(spark, monkeypatch, few):
+    """Later links join components; the rounds see one edge for each pair of these, however many nodes they hold."""
+    monkeypatch.setattr(C, "FEW_EDGES", few)
+    seen, inner = [], C.connected_components
+    monkeypatch.setattr(C, "connected_components", lambda edges: seen.append(edges.count()) or inner(edges))
+    frame = lambda edges: spark.createDataFrame(edges, "u bigint, v bigint")
+    first = [(0, k) for k in range(1, 200)] + [(300, k) for k in range(301, 500)] + [(600, 601)]
+    later = [(k, 300 + k) for k in range(1, 60)] + [(700, 499), (800, 801), (801, 802)]
+    groups = C.merged_components(None, frame(first))
+    got = {r["node"]: r["component"] for r in C.merged_components(groups, frame(later)).collect()}
+    assert got == components({x for e in first + later for x in e}, first + later)
+    assert seen == [len(first), 4]
+
+
+def test_few_edges_need_no_shuffle(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(900, 900)]
+    table = spark.createDataFrame(edges, "u bigint, v bigint")
+    few = C.connected_components(table)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "FEW_EDGES", 0)
+    many = C.connected_components(table)
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
 def vectors():
     rng = np.random.default_rng(3)
     out, centers = [], rng.standard_normal((12, 16))
